@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from inkstream.llm import warc
 from inkstream.llm.bpe import op3_byte_bpe
+from inkstream.llm.secrets import op10_secret_scan
 
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_warc": warc.op4_warc,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE}
