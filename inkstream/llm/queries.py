@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from inkstream.llm import warc
+from inkstream.llm import topk, warc
 from inkstream.llm.bpe import op3_byte_bpe
+from inkstream.llm.html_crf import op1_html_text
+from inkstream.llm.quality import op7_quality
 from inkstream.llm.secrets import op10_secret_scan
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": warc.op4_warc,
+    "op5_exact_top_k": topk.op5_exact_top_k,
+    "op7_quality": op7_quality,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op5_exact_top_k": topk.ORACLE}
