@@ -5,11 +5,13 @@ from __future__ import annotations
 from inkstream.llm import topk, warc
 from inkstream.llm.bpe import op3_byte_bpe
 from inkstream.llm.html_crf import op1_html_text
+from inkstream.llm.lm_score import op2_cross_entropy
 from inkstream.llm.quality import op7_quality
 from inkstream.llm.secrets import op10_secret_scan
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_cross_entropy": op2_cross_entropy,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": warc.op4_warc,
     "op5_exact_top_k": topk.op5_exact_top_k,
