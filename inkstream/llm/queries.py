@@ -6,6 +6,7 @@ from inkstream.llm import topk, warc
 from inkstream.llm.bpe import op3_byte_bpe
 from inkstream.llm.html_crf import op1_html_text
 from inkstream.llm.lm_score import op2_cross_entropy
+from inkstream.llm.near_dup import op8_near_dup
 from inkstream.llm.quality import op7_quality
 from inkstream.llm.secrets import op10_secret_scan
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op7_quality": op7_quality,
+    "op8_near_dup": op8_near_dup,
     "op10_secret_scan": op10_secret_scan,
 }
 
