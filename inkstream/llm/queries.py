@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkstream.llm import topk, warc
 from inkstream.llm.bpe import op3_byte_bpe
+from inkstream.llm.decontaminate import op9_decontaminate
 from inkstream.llm.html_crf import op1_html_text
 from inkstream.llm.lm_score import op2_cross_entropy
 from inkstream.llm.near_dup import op8_near_dup
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op7_quality": op7_quality,
     "op8_near_dup": op8_near_dup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
 }
 
