@@ -200,12 +200,14 @@ def round_trip(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids"
     return df.select(*kept, whole_text(F.col(text)).alias(text)).mapInArrow(run, schema)
 
 
-def op3_byte_bpe(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+def standard_codec() -> Codec:
     import public_tokenizers
 
-    codec = Codec(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    return Codec(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def digests(docs: DataFrame, codec: Codec) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     coded = round_trip(docs.select("doc_id", "text"), codec)
     return coded.select(
         "doc_id",
@@ -213,3 +215,13 @@ def op3_byte_bpe(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"), standard_codec())
+
+
+def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: the columns of digests and the ids themselves, for every document that is left."""
+    coded = round_trip(docs.select("doc_id", "text"), standard_codec())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkstream.llm import topk, warc
+from inkstream.llm import substring_dedup, topk, warc
 from inkstream.llm.bpe import op3_byte_bpe
 from inkstream.llm.decontaminate import op9_decontaminate
 from inkstream.llm.html_crf import op1_html_text
@@ -17,10 +17,11 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": warc.op4_warc,
     "op5_exact_top_k": topk.op5_exact_top_k,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_quality": op7_quality,
     "op8_near_dup": op8_near_dup,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op5_exact_top_k": topk.ORACLE}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE}
