@@ -81,7 +81,7 @@ def search(queries: list[tuple[int, np.ndarray]], blocks: list[Block], k: int) -
             if not use.any():
                 continue
             score, ids = np.concatenate([best_score, score[use]]), np.concatenate([best_id, block.ids[use]])
-            keep = np.lexsort((ids, np.argsort(np.argsort(-score, kind="stable"), kind="stable") if score.dtype == object else -score))[:k]
+            keep = np.lexsort((ids, np.unique(-score, return_inverse=True)[1]))[:k]
             best_score, best_id = score[keep], ids[keep]
         found += [(own, int(i), max(-(2**63), min(2**63 - 1, int(s)))) for i, s in zip(best_id, best_score)]
     return found
