@@ -47,6 +47,10 @@ def strings(column: pa.Array) -> list[str]:
 MEMO = 400_000
 
 
+def word_code(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
+
+
 class WordCodes(dict):
     """word -> 64-bit code (xxh3), remembered while the memo is below its bound. `clean` maps the word first;
     a word that it turns into nothing gets the code 0."""
@@ -59,7 +63,7 @@ class WordCodes(dict):
         if len(self) >= MEMO:
             self.clear()
         kept = self.clean(word) if self.clean else word
-        code = xxhash.xxh3_64_intdigest(kept.encode("utf-8", "surrogatepass")) | 1 if kept else 0
+        code = word_code(kept) if kept else 0
         self[word] = code
         return code
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm._common import MEMO, ODD, WordCodes, grams, mixed, stored, strings, table, whole_text
+from inkstream.llm._common import MEMO, ODD, grams, mixed, stored, strings, table, whole_text, word_code
 from inkstream.llm.components import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -34,6 +34,10 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 VOCABULARY = 50_000
 SMALL = 16
+#: Shingles times samples that are worked on at once.
+CELLS = 8_192
+#: Shingles of documents that a verifying task remembers.
+HELD = 4_000_000
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> dict[str, float]:
@@ -64,23 +68,37 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> dict[str, float
     return idf | {"": math.log(1 + total / top[-1][1]) if len(top) > VOCABULARY else math.log(1 + total)}
 
 
-class Shingles:
-    """Texts as weighted sets: (sorted codes of distinct shingles, weights)."""
+class Shingles(dict):
+    """Texts as weighted sets: (sorted codes of distinct shingles, weights). word -> where its code and idf stand; the
+    memo of words is bounded."""
 
     def __init__(self, idf: dict[str, float]):
-        self.codes = WordCodes()
+        super().__init__()
         self.idf, self.rare = idf, idf[""]
+        self.codes, self.weights = np.empty(MEMO, np.uint64), np.empty(MEMO)
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        self.codes[at] = word_code(word)
+        self.weights[at] = self.idf.get(word, self.rare)
+        return at
+
+    def _places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and weights of a run of words that fits the memo."""
+        if len(self) + len(words) > MEMO:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.codes[at], self.weights[at]
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.lower().split()
         if not words:
             return np.empty(0, np.uint64), np.empty(0)
         n = min(WORDS, len(words))
-        shingles = grams(self.codes.of(words), n)
-        get, rare = self.idf.get, self.rare
-        total = np.cumsum(np.fromiter([0.0, *[get(w, rare) for w in words]], np.float64, len(words) + 1))
+        word_codes, weights = (np.concatenate(x) for x in zip(*(self._places(words[i : i + MEMO]) for i in range(0, len(words), MEMO))))
+        total = np.concatenate([[0.0], np.cumsum(weights)])
         mean = (total[n:] - total[:-n]) / n
-        codes, first, count = np.unique(shingles, return_index=True, return_counts=True)
+        codes, first, count = np.unique(grams(word_codes, n), return_index=True, return_counts=True)
         return codes, count * np.round(mean[first], 6)
 
 
@@ -108,24 +126,33 @@ class Sampler:
 
     def __init__(self):
         q = _gamma2_quantiles(1 << 16)
-        self.r, self.inverse, self.log_c = q.astype(np.float32), (1 / q).astype(np.float32), np.log(q).astype(np.float32)
+        self.r, self.log_c = q.astype(np.float32), np.log(q).astype(np.float32)
         self.seeds = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * ODD) | np.uint64(1)
 
     def samples(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        log_w, low = np.log(weights).astype(np.float32), np.uint64(0xFFFF)
+        log_w, n = np.log(weights).astype(np.float32), len(codes)
         out = np.empty(SAMPLES, np.uint64)
+        step = max(1, 1 + CELLS // n)  # samples at a time, as many as stay in the processor's cache
         with np.errstate(over="ignore"):
-            for k, seed in enumerate(self.seeds):
-                h = codes * seed
+            for at in range(0, SAMPLES, step):
+                h = codes * self.seeds[at : at + step, None]
                 h ^= h >> np.uint64(32)
                 h *= ODD
-                i = (h >> np.uint64(48)).astype(np.intp)
-                b = ((h >> np.uint64(16)) & low).astype(np.float32) * np.float32(1 / 65536)
-                t = np.floor(log_w * self.inverse[i] + b)
-                a = self.log_c[((h >> np.uint64(32)) & low).astype(np.intp)] - self.r[i] * (t - b + 1)
-                s = int(np.argmin(a))
-                out[k] = codes[s] + np.uint64(int(t[s]) & 0xFFFFFFFF) * ODD
-            return mixed(out)
+                parts = h.view(np.uint16).reshape(-1, n, 4)
+                r, a = self.r[parts[:, :, 3]], self.log_c[parts[:, :, 2]]
+                b = parts[:, :, 1].astype(np.float32)
+                b *= np.float32(1 / 65536)
+                t = log_w / r
+                t += b
+                np.floor(t, out=t)
+                np.subtract(t, b, out=b)
+                b += 1
+                b *= r
+                a -= b
+                s = a.argmin(1)
+                level = t[np.arange(len(s)), s].astype(np.int64) & 0xFFFFFFFF
+                out[at : at + step] = codes[s] + level.astype(np.uint64) * ODD
+        return mixed(out)
 
     def bands(self, samples: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -133,8 +160,8 @@ class Sampler:
             return mixed((x * self.seeds[:ROWS]).sum(1, dtype=np.uint64)).view(np.int64)
 
 
-def band_rows(docs: DataFrame, idf: dict[str, float], key: str, text: str) -> DataFrame:
-    """(id, band, code): the bands of every text that has words."""
+def band_codes(docs: DataFrame, idf: dict[str, float], key: str, text: str) -> DataFrame:
+    """(id, codes): the codes of the BANDS bands of every text that has words."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +174,10 @@ def band_rows(docs: DataFrame, idf: dict[str, float], key: str, text: str) -> Da
                     ids.append(i)
                     codes.append(sampler.bands(sampler.samples(*found)))
             if ids:
-                bands = np.tile(np.arange(BANDS, dtype=np.int32), len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), BANDS)), pa.array(bands), pa.array(np.concatenate(codes))], names=["id", "band", "code"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(codes)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["id", "codes"])
 
-    return docs.select(F.col(key).alias("id"), whole_text(F.col(text)).alias("text")).mapInArrow(run, "id long, band int, code long")
+    return docs.select(F.col(key).alias("id"), whole_text(F.col(text)).alias("text")).mapInArrow(run, "id long, codes array<long>")
 
 
 def links_of(pairs: DataFrame, docs: DataFrame, idf: dict[str, float]) -> DataFrame:
@@ -158,14 +185,22 @@ def links_of(pairs: DataFrame, docs: DataFrame, idf: dict[str, float]) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(shared.value)
-        last, held = None, None  # rows come sorted by a
+        shingles, held, size = Shingles(shared.value), {}, 0
+
+        def of(i: int, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            """The set of a document; a task meets the documents of a group again and again."""
+            nonlocal size
+            if (found := held.get(i)) is None:
+                if size > HELD:
+                    held.clear()
+                    size = 0
+                found = held[i] = shingles.of(text.as_py())
+                size += len(found[0]) + 10
+            return found
+
         for batch in batches:
-            keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), strings(batch.column("text_a")), strings(batch.column("text_b"))):
-                if a != last:
-                    last, held = a, shingles.of(x)
-                keep.append(similarity(held, shingles.of(y)) >= SIMILAR)
+            a, b, x, y = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
+            keep = [similarity(of(i, x[k]), of(j, y[k])) >= SIMILAR for k, (i, j) in enumerate(zip(a.to_pylist(), b.to_pylist()))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -179,7 +214,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     copies = slim.groupBy("sum").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     copied = stored(slim.join(copies.where("n > 1"), "sum").where("id <> first").select("id", "first"), "copies")
     idf = document_frequencies(docs)
-    rows = band_rows(docs, idf, "id", "text").join(copied.select("id"), "id", "left_anti")
+    bands = stored(band_codes(docs, idf, "id", "text"), "bands").join(copied.select("id"), "id", "left_anti")
+    rows = bands.select("id", F.posexplode("codes").alias("band", "code"))
     sizes = rows.groupBy("band", "code").agg(F.count(F.lit(1)).alias("m"), F.min_by("id", F.xxhash64("band", "id")).alias("leader")).where("m > 1")
     members = stored(rows.join(sizes, ["band", "code"]), "buckets")
     small = members.where(F.col("m") <= SMALL)
@@ -189,10 +225,14 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     found = components(links)
     large = members.where(F.col("m") > SMALL).select("band", "code", "id").join(found.select(F.col("node").alias("id"), "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
     in_class = large.groupBy("band", "code", "class").agg(F.count(F.lit(1)).alias("n"))
-    largest = in_class.groupBy("band", "code").agg(F.max_by("class", F.struct("n", "class")).alias("largest"))
-    large = stored(large.join(largest, ["band", "code"]), "classes")
-    outside = large.where(F.col("class") != F.col("largest")).select("band", "code", F.col("id").alias("x"), F.col("class").alias("of_x"))
-    rest = outside.join(large.select("band", "code", F.col("id").alias("y"), F.col("class").alias("of_y")), ["band", "code"]).where("of_x <> of_y")
+    largest = in_class.groupBy("band", "code").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    large = large.join(largest, ["band", "code"])
+    large = stored(large.join(bands, "id"), "outside")
+    outside = large.where(F.col("class") != F.col("largest")).select("band", "code", F.col("id").alias("x"), F.col("class").alias("of_x"), F.col("codes").alias("codes_x"))
+    within = large.select("band", "code", F.col("id").alias("y"), F.col("class").alias("of_y"), F.col("codes").alias("codes_y"))
+    #: two documents meet in the first band that they share, and not in its others again
+    first_shared = F.array_position(F.zip_with("codes_x", "codes_y", lambda x, y: x == y), True) - 1
+    rest = outside.join(within, ["band", "code"]).where((F.col("of_x") != F.col("of_y")) & (first_shared == F.col("band")))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = stored(links_of(rest, docs, idf), "verified")
     if not more.isEmpty():
