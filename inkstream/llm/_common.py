@@ -26,7 +26,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: computed once, and it survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,12 +39,17 @@ HOT, PER_SHARD = 2000, 100_000
 find_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
+def anchors_of(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all five-word sequences, and where the anchor of each window stands among them."""
+    five = grams(codes, ANCHOR)
+    return five, np.lib.stride_tricks.sliding_window_view(five, n - ANCHOR + 1).argmin(1) + np.arange(len(codes) - n + 1)
+
+
 def stretches(codes: np.ndarray, n: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, windows) of each stretch of a document."""
     if len(codes) < n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    five = grams(codes, ANCHOR)
-    at = np.lib.stride_tricks.sliding_window_view(five, n - ANCHOR + 1).argmin(1) + np.arange(len(codes) - n + 1)
+    five, at = anchors_of(codes, n)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return five[at[first]], first, np.diff(np.append(first, len(at)))
 
@@ -74,19 +79,20 @@ def shipped(candidates: DataFrame, n: int) -> DataFrame:
             out: list[tuple] = []
             for own, text, cold, hot in zip(batch.column("id").to_pylist(), strings(batch.column("text")), batch.column("cold").to_pylist(), batch.column("hot").to_pylist()):
                 codes = words.of(find_words(text))
+                five, at = anchors_of(codes, n)
+                routes, long, short = five[at].tolist(), codes.tobytes(), (codes >> np.uint64(32)).astype("<u4").tobytes()
                 wanted = [(x >> 4, (x & 15) + n - 1, False) for x in cold] + [(w, n, True) for x in hot for w in range(x >> 4, (x >> 4) + (x & 15))]
                 for start, size, alone in wanted:
-                    part = codes[start : start + size]
-                    whole = part.tobytes()
-                    key = xxhash.xxh3_128_digest(whole)
+                    whole = long[8 * start : 8 * (start + size)]
+                    key = xxhash.xxh3_128_intdigest(whole)
                     if met.get(key, own) < own:
-                        out.append((own, start, own, size, None))
+                        out.append((own, start, own >> 1, size, None))
                         continue
                     if len(met) > MEMO:
                         met.clear()
                     met[key] = own
-                    route = xxhash.xxh3_64_intdigest(whole) if alone else int(grams(codes[start : start + n], ANCHOR).min())
-                    out.append((own, start, (route >> 1), size, (part >> np.uint64(32)).astype("<u4").tobytes()))
+                    route = key & 0xFFFFFFFFFFFFFFFF if alone else routes[start]
+                    out.append((own, start, route >> 1, size, short[4 * start : 4 * (start + size)]))
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int16(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["id", "start", "route", "words", "codes"])
@@ -152,7 +158,7 @@ def repeated_ranges(docs: DataFrame, n: int = MIN_WORDS) -> DataFrame:
     found = stored(found.groupBy("id").agg(*[F.collect_list(F.when(F.col("is_hot") == hot, F.col("stretch"))).alias(name) for name, hot in (("cold", False), ("hot", True))]), "candidates")
     total = found.agg(F.sum(F.size("cold") + 9 * F.size("hot"))).first()[0] or 0
     shards = max(1, -(-total // PER_SHARD))
-    sent = shipped(found.join(docs, "id"), n).withColumn("shard", F.pmod("route", F.lit(shards)).cast("int"))
+    sent = shipped(found.join(docs, "id"), n).withColumn("shard", F.pmod("route", F.lit(shards)).cast("int")).drop("route")
     ranges = sent.groupBy("shard").applyInPandas(lambda rows: search_shard(rows, n), "id long, start long, end long")
     return ranges.groupBy("id").agg(F.collect_set(F.shiftleft("start", 32) + F.col("end")).alias("ranges"))
 
