@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The written form of a manuscript word, and finished words per hour of narration.
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*(?:-[\p{L}\p{N}]+)*"
 COUNTED_WORD = r"[\p{L}\p{N}]+(?:['’.\-][\p{L}\p{N}]+)*"
 WORDS_PER_HOUR = 9300
+DASHES = r"[\s‐-―\-]+"
 
 
 def words(text: Column) -> Column:
@@ -22,3 +27,65 @@ def word_count(text: Column) -> Column:
 
 def minutes(words: Column) -> Column:
     return words / F.lit(WORDS_PER_HOUR) * 60
+
+
+def _normal(token: str) -> str:
+    if token.isascii():
+        bare = token.lower()
+    else:
+        bare = "".join(c for c in unicodedata.normalize("NFKD", token.replace("’", "'").replace("‘", "'")) if not unicodedata.category(c).startswith("M")).lower()
+    return "".join(c for c in bare if c.isalpha() or c.isnumeric() or c == "'").strip("'")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normalized_words(tokens: pd.Series) -> pd.Series:
+    """Words without case, marks and punctuation, for matching (Spark has no Unicode normalisation of its own)."""
+    known: dict[str, str] = {}
+
+    def of(token: str) -> str:
+        if token not in known:
+            if len(known) > 200_000:
+                known.clear()
+            known[token] = _normal(token)
+        return known[token]
+
+    return tokens.map(lambda x: [of(t) for t in x])
+
+
+def spoken_pieces(text: Column) -> Column:
+    """A text split at white space and dashes, lower-cased, without what is neither letter, digit nor apostrophe."""
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), DASHES), lambda x: F.trim(F.lit("'"), F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}']", "")))
+    return F.filter(pieces, lambda x: x != "")
+
+
+def ngrams(tokens: Column, n: int) -> Column:
+    """(position from 0, n words joined by a space) of each run of n tokens."""
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("position"), F.array_join(F.slice(tokens, i + 1, n), " ").alias("gram")))
+
+
+def similar(a: Column, b: Column) -> Column:
+    """Long enough words that differ by one letter (two from eight letters on)."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return (longest >= 5) & (F.levenshtein(a, b) <= F.when(longest >= 8, 2).otherwise(1))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
+def marker_label(expected: Column, heard: Column, kind: Column, most: int = 96) -> Column:
+    """expected → heard [kind], cut to `most` characters with an ellipsis."""
+    shown = lambda c: F.when(c.isNull() | (c == ""), "—").otherwise(c)
+    text = F.concat(shown(expected), F.lit(" → "), shown(heard), F.lit(" ["), kind, F.lit("]"))
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+
+
+def stable_id(*parts: Column) -> Column:
+    """32-bit FNV-1a of the parts joined by |, as eight hex digits, over UTF-8 bytes; a fold inside the JVM."""
+    hexed = F.hex(F.encode(F.concat_ws("|", *[p.cast("string") for p in parts]), "UTF-8"))
+    at = F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int") - 1)
+    octet = lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    fold = F.aggregate(at, F.lit(0x811C9DC5).cast("long"), lambda h, i: F.pmod(h.bitwiseXOR(octet(i)) * F.lit(0x01000193), F.lit(1 << 32)))
+    return F.lpad(F.lower(F.hex(fold)), 8, "0")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from inkstream.plans import manuscripts
+from inkstream.plans import live, manuscripts, pickups, signals, texts
 
-QUERIES = {**manuscripts.QUERIES}
-ORACLES = {**manuscripts.ORACLES}
+PLANS = (manuscripts, texts, pickups, signals, live)
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
