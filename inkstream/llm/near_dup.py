@@ -9,10 +9,12 @@ classes are the connected components of the links.
 Hot groups: exact copies are reduced to one representative before any pair is formed. A bucket of at most SMALL different
 texts gives all its pairs. A larger bucket first links each member to one leader; after that, only members outside the
 bucket's largest class are compared with the members of other classes, so a group of thousands of near copies costs
-about as many comparisons as it has members, and no link between classes is lost. The table of document frequencies is
+about as many comparisons as it has members, and no link between classes is lost. Where many members stay outside (a
+group of texts that are all a little less than SIMILAR), an exact bound decides first: what a document holds that no
+document of another class holds cannot be shared, so two weights a document rule out most pairs unread. The table of document frequencies is
 cut at VOCABULARY words by falling frequency (all rarer words share the weight of the last), which bounds the broadcast.
 
-Null texts are empty. Texts without words are in a class only with identical texts. A row with no id takes no part.
+Null texts are empty. Rows that repeat an id should hold one text. Texts without words are in a class only with identical texts. A row with no id takes no part.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ SMALL = 16
 CELLS = 8_192
 #: Shingles of documents that a verifying task remembers.
 HELD = 4_000_000
+#: What sums of weights may be off by.
+SLACK = 1e-6
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> dict[str, float]:
@@ -207,6 +211,31 @@ def links_of(pairs: DataFrame, docs: DataFrame, idf: dict[str, float]) -> DataFr
     return both.sortWithinPartitions("a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def shareable(members: DataFrame, docs: DataFrame, idf: dict[str, float], rounds: int = 2) -> DataFrame:
+    """(id, shared, total) of the members that may still be linked with a document of another class: the weight of their
+    shingles that another class has too, and of all. Members with less than SIMILAR of their weight shared are left out,
+    and in each further round their shingles no longer count as shared. members: (id, class)."""
+    table = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(table.value)
+        for batch in batches:
+            for k, (i, c) in enumerate(zip(batch.column("id").to_pylist(), batch.column("class").to_pylist())):
+                codes, weights = shingles.of(batch.column("text")[k].as_py())
+                n = len(codes)
+                columns = [pa.array(np.full(n, i)), pa.array(np.full(n, c)), pa.array(codes.view(np.int64)), pa.array(weights), pa.array(np.full(n, weights.sum()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "class", "shingle", "weight", "total"])
+
+    left = stored(docs.join(members.distinct(), "id").select("id", "class", "text").mapInArrow(run, "id long, class long, shingle long, weight double, total double"), "shingles")
+    found = None
+    for _ in range(rounds):
+        spread = left.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle")
+        shared = left.join(spread, "shingle", "left_semi").groupBy("id").agg(F.sum("weight").alias("shared"), F.max("total").alias("total"))
+        found = stored(shared.where(F.col("shared") >= SIMILAR * F.col("total") - SLACK), "shareable")
+        left = left.join(found.select("id"), "id", "left_semi")
+    return found
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, class): a row for each distinct id of df; the class is its smallest id, and the id itself where it has no duplicate."""
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), whole_text(F.col(text)).alias("text"))
@@ -227,12 +256,15 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     in_class = large.groupBy("band", "code", "class").agg(F.count(F.lit(1)).alias("n"))
     largest = in_class.groupBy("band", "code").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     large = large.join(largest, ["band", "code"])
-    large = stored(large.join(bands, "id"), "outside")
-    outside = large.where(F.col("class") != F.col("largest")).select("band", "code", F.col("id").alias("x"), F.col("class").alias("of_x"), F.col("codes").alias("codes_x"))
-    within = large.select("band", "code", F.col("id").alias("y"), F.col("class").alias("of_y"), F.col("codes").alias("codes_y"))
-    #: two documents meet in the first band that they share, and not in its others again
+    large = stored(large, "outside")
+    large = stored(large.join(shareable(large.select("id", "class"), docs, idf), "id").join(bands, "id"), "shareable")
+    outside = large.where(F.col("class") != F.col("largest")).select("band", "code", F.col("id").alias("x"), F.col("class").alias("of_x"), F.col("codes").alias("codes_x"), F.col("shared").alias("shared_x"), F.col("total").alias("total_x"))
+    within = large.select("band", "code", F.col("id").alias("y"), F.col("class").alias("of_y"), F.col("codes").alias("codes_y"), F.col("shared").alias("shared_y"), F.col("total").alias("total_y"))
+    # two documents meet in the first band that they share, and not in its others again
     first_shared = F.array_position(F.zip_with("codes_x", "codes_y", lambda x, y: x == y), True) - 1
-    rest = outside.join(within, ["band", "code"]).where((F.col("of_x") != F.col("of_y")) & (first_shared == F.col("band")))
+    least_union = F.col("total_x") - F.col("shared_x") + F.col("total_y") - F.col("shared_y") + F.greatest("shared_x", "shared_y")
+    possible = F.least("shared_x", "shared_y") >= SIMILAR * least_union - SLACK
+    rest = outside.join(within, ["band", "code"]).where((F.col("of_x") != F.col("of_y")) & possible & (first_shared == F.col("band")))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = stored(links_of(rest, docs, idf), "verified")
     if not more.isEmpty():
