@@ -7,7 +7,7 @@ banded, and documents that share a band are candidates; their exact weighted Jac
 classes are the connected components of the links.
 
 Hot groups: exact copies are reduced to one representative before any pair is formed. A bucket of at most SMALL different
-texts gives all its pairs. A larger bucket first links each member to one leader; after that, only members outside the
+texts gives all its pairs. A larger bucket first links each member to a leader, then to the member that shares most of its weight; after that, only members outside the
 bucket's largest class are compared with the members of other classes, so a group of thousands of near copies costs
 about as many comparisons as it has members, and no link between classes is lost. Where many members stay outside (a
 group of texts that are all a little less than SIMILAR), an exact bound decides first: what a document holds that no
@@ -252,12 +252,23 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     star = members.where((F.col("m") > SMALL) & (F.col("id") != F.col("leader"))).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     links = stored(links_of(every.union(star).distinct(), docs, idf), "verified")
     found = components(links)
-    large = members.where(F.col("m") > SMALL).select("band", "code", "id").join(found.select(F.col("node").alias("id"), "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
-    in_class = large.groupBy("band", "code", "class").agg(F.count(F.lit(1)).alias("n"))
-    largest = in_class.groupBy("band", "code").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    large = large.join(largest, ["band", "code"])
-    large = stored(large, "outside")
-    large = stored(large.join(shareable(large.select("id", "class"), docs, idf), "id").join(bands, "id"), "shareable")
+
+    def unsettled(found: DataFrame) -> DataFrame:
+        """Members of large buckets that hold several classes and may link them, with class, weights and codes."""
+        large = members.where(F.col("m") > SMALL).select("band", "code", "id").join(found.select(F.col("node").alias("id"), "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
+        in_class = large.groupBy("band", "code", "class").agg(F.count(F.lit(1)).alias("n"))
+        largest = in_class.groupBy("band", "code").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        large = stored(large.join(largest, ["band", "code"]), "outside")
+        return stored(large.join(shareable(large.select("id", "class"), docs, idf), "id").join(bands, "id"), "shareable")
+
+    # the member that has least of its own is the likeliest to be what the others were copied from
+    large = unsettled(found)
+    hubs = large.groupBy("band", "code").agg(F.max_by(F.struct("id", "class"), F.struct(F.col("shared") / F.col("total"), "id")).alias("hub"))
+    spokes = large.join(hubs, ["band", "code"]).where(F.col("class") != F.col("hub.class"))
+    spokes = spokes.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    links = stored(links.union(links_of(spokes, docs, idf)).distinct(), "verified")
+    found = components(links)
+    large = unsettled(found)
     outside = large.where(F.col("class") != F.col("largest")).select("band", "code", F.col("id").alias("x"), F.col("class").alias("of_x"), F.col("codes").alias("codes_x"), F.col("shared").alias("shared_x"), F.col("total").alias("total_x"))
     within = large.select("band", "code", F.col("id").alias("y"), F.col("class").alias("of_y"), F.col("codes").alias("codes_y"), F.col("shared").alias("shared_y"), F.col("total").alias("total_y"))
     # two documents meet in the first band that they share, and not in its others again
