@@ -54,7 +54,7 @@ def normalized_words(tokens: pd.Series) -> pd.Series:
 
 def spoken_pieces(text: Column) -> Column:
     """A text split at white space and dashes, lower-cased, without what is neither letter, digit nor apostrophe."""
-    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), DASHES), lambda x: F.trim(F.lit("'"), F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}']", "")))
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), DASHES), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}']", ""), F.lit("'")))
     return F.filter(pieces, lambda x: x != "")
 
 
