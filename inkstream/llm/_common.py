@@ -30,6 +30,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a stored table that no later step reads."""
+    files, spark = df.inputFiles(), df.sparkSession
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,6 +47,11 @@ def whole_text(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def raw_texts(column: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of texts."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 def strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
@@ -47,8 +60,8 @@ def strings(column: pa.Array) -> list[str]:
 MEMO = 400_000
 
 
-def word_code(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
+def word_code(word: str | bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass")) | 1
 
 
 class WordCodes(dict):
@@ -59,7 +72,7 @@ class WordCodes(dict):
         super().__init__()
         self.clean = clean
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
         kept = self.clean(word) if self.clean else word
@@ -67,7 +80,7 @@ class WordCodes(dict):
         self[word] = code
         return code
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -30,12 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm._common import MEMO, WordCodes, grams, stored, strings, table, whole_text
+from inkstream.llm._common import MEMO, WordCodes, discard, grams, raw_texts, stored, table, whole_text
 from inkstream.llm.fm_index import FmIndex
 
 MIN_WORDS, ANCHOR = 13, 5
 #: Documents that share an anchor from which on its windows are dealt one by one; stretches of a shard, about.
 HOT, PER_SHARD = 2000, 100_000
+#: What a word is. bytes.split() parts the UTF-8 bytes of a text at the same six characters, and is what the tasks use.
 find_words = re.compile(r"[^\x20\x09-\x0D]+").findall
 
 
@@ -62,7 +63,7 @@ def anchor_rows(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             ids, rows = batch.column("id").to_pylist(), []
             for at in range(0, len(ids), 256):
-                found = [stretches(words.of(find_words(x)), n) for x in strings(batch.column("text").slice(at, 256))]
+                found = [stretches(words.of(x.split()), n) for x in raw_texts(batch.column("text").slice(at, 256))]
                 anchors, first, count = (np.concatenate(x) for x in zip(*found))
                 owner = np.repeat(np.array(ids[at : at + 256], np.int64), [len(x[0]) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(owner), pa.array((first * 16 + count).astype(np.int32))], names=["anchor", "id", "stretch"])
@@ -77,8 +78,8 @@ def shipped(candidates: DataFrame, n: int) -> DataFrame:
         words, met = WordCodes(), {}
         for batch in batches:
             out: list[tuple] = []
-            for own, text, cold, hot in zip(batch.column("id").to_pylist(), strings(batch.column("text")), batch.column("cold").to_pylist(), batch.column("hot").to_pylist()):
-                codes = words.of(find_words(text))
+            for own, text, cold, hot in zip(batch.column("id").to_pylist(), raw_texts(batch.column("text")), batch.column("cold").to_pylist(), batch.column("hot").to_pylist()):
+                codes = words.of(text.split())
                 five, at = anchors_of(codes, n)
                 routes, long, short = five[at].tolist(), codes.tobytes(), (codes >> np.uint64(32)).astype("<u4").tobytes()
                 wanted = [(x >> 4, (x & 15) + n - 1, False) for x in cold] + [(w, n, True) for x in hot for w in range(x >> 4, (x >> 4) + (x & 15))]
@@ -156,6 +157,7 @@ def repeated_ranges(docs: DataFrame, n: int = MIN_WORDS) -> DataFrame:
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("anchor", (F.col("n") > HOT).alias("is_hot"))
     found = anchors.join(shared, "anchor").select("id", "stretch", "is_hot")
     found = stored(found.groupBy("id").agg(*[F.collect_list(F.when(F.col("is_hot") == hot, F.col("stretch"))).alias(name) for name, hot in (("cold", False), ("hot", True))]), "candidates")
+    discard(anchors)
     total = found.agg(F.sum(F.size("cold") + 9 * F.size("hot"))).first()[0] or 0
     shards = max(1, -(-total // PER_SHARD))
     sent = shipped(found.join(docs, "id"), n).withColumn("shard", F.pmod("route", F.lit(shards)).cast("int")).drop("route")
@@ -171,8 +173,8 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, gone, kept = [], [], []
-            for x, ranges in zip(strings(batch.column("text")), batch.column("ranges").to_pylist()):
-                words = find_words(x)
+            for x, ranges in zip(raw_texts(batch.column("text")), batch.column("ranges").to_pylist()):
+                words = x.split()
                 counts.append(len(words))
                 if ranges:
                     stay = np.ones(len(words), bool)
@@ -180,7 +182,7 @@ def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int
                         stay[r >> 32 : r & 0xFFFFFFFF] = False
                     words = [words[i] for i in np.flatnonzero(stay).tolist()]
                 gone.append(counts[-1] - len(words))
-                kept.append(" ".join(words))
+                kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[key, "n_words", "n_removed", "kept"])
 
     return joined.mapInArrow(run, f"`{key}` long, n_words long, n_removed long, kept string")
