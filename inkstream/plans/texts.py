@@ -17,9 +17,10 @@ _TOKENS = f"SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{_W}'
 
 def phrase_occurrences(spark: SparkSession, folder: str) -> DataFrame:
     """How often the opening three words of each benchmark item stand in the documents, and in how many."""
-    grams = table(spark, folder, "documents").select("doc_id", F.explode(ngrams(words(F.lower("text")), 3)).alias("g")).select("doc_id", "g.gram")
-    opening = ngrams(words(F.lower("text")), 3)
-    phrases = table(spark, folder, "benchmark").select("item_id", F.try_element_at(opening, F.lit(1))["gram"].alias("gram"))
+    docs = table(spark, folder, "documents").select("doc_id", words(F.lower("text")).alias("w"))  # a column of its own: parted once a text
+    grams = docs.select("doc_id", F.explode(ngrams(F.col("w"), 3)).alias("g")).select("doc_id", "g.gram")
+    items = table(spark, folder, "benchmark").select("item_id", words(F.lower("text")).alias("w"))
+    phrases = items.select("item_id", F.try_element_at(ngrams(F.col("w"), 3), F.lit(1))["gram"].alias("gram"))
     found = grams.join(phrases, "gram").groupBy("item_id", "gram")
     return found.agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("doc_id").alias("documents")).withColumnRenamed("gram", "phrase")
 
@@ -28,7 +29,8 @@ def occurrence_context(spark: SparkSession, folder: str) -> DataFrame:
     """Each place of those phrases, with four words on either side."""
     docs = table(spark, folder, "documents").select("doc_id", words(F.lower("text")).alias("w"))
     places = docs.select("doc_id", "w", F.explode(ngrams(F.col("w"), 3)).alias("g")).select("doc_id", "w", F.col("g.position").alias("position"), "g.gram")
-    phrases = table(spark, folder, "benchmark").select("item_id", F.try_element_at(ngrams(words(F.lower("text")), 3), F.lit(1))["gram"].alias("gram"))
+    items = table(spark, folder, "benchmark").select("item_id", words(F.lower("text")).alias("w"))
+    phrases = items.select("item_id", F.try_element_at(ngrams(F.col("w"), 3), F.lit(1))["gram"].alias("gram"))
     p = F.col("position")
     start = F.greatest(p - 4, F.lit(0))
     return places.join(phrases, "gram").select("item_id", "doc_id", "position", F.array_join(F.slice("w", start + 1, p + 7 - start), " ").alias("context"))
