@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkstream.functions.text import normalized_words, spoken_pieces, stable_id, words
+from inkstream.functions.units import match_units
 from inkstream.operators.idioms import gap_sessions
 from inkstream.sources.tables import DROPPED, FOLLOWED, LENGTH, MODULUS, REPLACED, STEP
 
@@ -95,12 +96,74 @@ def valid_words(heard: Column, duration: Column | None = None) -> Column:
     return F.transform(inside, lambda w: w.withField("end", F.least(w["end"], duration)).withField("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), w["confidence"]))))
 
 
-def align(chapters: DataFrame, key: str = "doc_id") -> DataFrame:
+def _token_runs(chapters: DataFrame) -> DataFrame:
+    said = normalized_words(F.transform("heard", lambda w: w["text"]))
+    return chapters.withColumn("runs", diff_runs(normalized_words("tokens"), said))
+
+
+def _unit_runs(chapters: DataFrame, classes: dict[str, str] | None) -> DataFrame:
+    """Runs by units, given as ranges of tokens; one that holds nothing stands before the next unit's first token."""
+    keyed = chapters.withColumn("a", match_units(F.col("tokens"), classes)).withColumn("b", match_units(F.transform("heard", lambda w: w["text"]), classes))
+    keyed = keyed.withColumn("runs", diff_runs(F.transform("a", lambda u: u["key"]), F.transform("b", lambda u: u["key"])))
+    bounds = lambda units, low, high, end: (
+        F.coalesce(F.get(units, low)["first"], end),
+        F.when(high > low, F.get(units, high - 1)["last"] + 1).otherwise(F.coalesce(F.get(units, low)["first"], end)),
+    )
+
+    def placed(r: Column) -> Column:
+        i0, i1 = bounds(F.col("a"), r["i0"], r["i1"], F.size("tokens"))
+        j0, j1 = bounds(F.col("b"), r["j0"], r["j1"], F.size("heard"))
+        return F.struct(i0.alias("i0"), i1.alias("i1"), j0.alias("j0"), j1.alias("j1"))
+
+    return keyed.withColumn("runs", F.transform("runs", placed)).drop("a", "b")
+
+
+def verified(takes: DataFrame, classes: dict[str, str] | None = None, least: float = 0.55, most: int = 6) -> DataFrame:
+    """status, expected_excerpt, heard_excerpt of each retake (text: what is written, heard: its words) beside its columns.
+
+    match: equal units. inconclusive: nothing written or heard (null too), or known confidences below `least` on average.
+    mismatch: what is left between the common beginning and end, up to `most` words of either side."""
+    said = F.filter(F.coalesce("heard", F.array().cast(takes.schema["heard"].dataType)), lambda w: F.trim(w["text"]) != "")
+    keyed = takes.withColumn("_said", F.transform(said, lambda w: w["text"])).withColumn("_sure", F.filter(F.transform(said, lambda w: w["confidence"]), lambda c: c.isNotNull() & ~F.isnan(c)))
+    keyed = keyed.withColumn("_page", words(F.col("text"))).withColumn("_a", match_units(F.col("_page"), classes)).withColumn("_b", match_units(F.col("_said"), classes))
+    a, b, n, m = F.col("_a"), F.col("_b"), F.size("_a"), F.size("_b")
+    both = F.least(n, m)
+
+    def common(limit: Column, at_a: Column | None, at_b: Column | None) -> Column:
+        at = F.when(limit > 0, F.sequence(F.lit(0), limit - 1)).otherwise(F.array().cast("array<int>"))
+        key = lambda units, end, i: F.get(units, i if end is None else end - 1 - i)["key"]
+        return F.coalesce(F.array_min(F.filter(at, lambda i: key(a, at_a, i) != key(b, at_b, i))), limit)
+
+    keyed = keyed.withColumn("_head", common(both, None, None))
+    keyed = keyed.withColumn("_tail", common(both - F.col("_head"), n, m))
+
+    def excerpt(units: Column, source: str, size: Column) -> Column:
+        left = size - F.col("_head") - F.col("_tail")
+        first, last = F.get(units, F.col("_head"))["first"], F.get(units, size - F.col("_tail") - 1)["last"]
+        return F.when(left > 0, F.array_join(F.slice(source, first + 1, F.least(last - first + 1, F.lit(most))), " ")).otherwise("")
+
+    doubtful = (F.size("_page") == 0) | (F.size("_said") == 0)
+    mean = F.aggregate("_sure", F.lit(0.0), lambda acc, c: acc + c) / F.size("_sure")
+    equal = (n == m) & (F.col("_head") == n)
+    status = F.when(doubtful, "inconclusive").when(equal, "match").when((F.size("_sure") > 0) & (mean < least), "inconclusive").otherwise("mismatch")
+    differs = status == "mismatch"
+    return keyed.select(*takes.columns, status.alias("status"), F.when(differs, excerpt(a, "_page", n)).alias("expected_excerpt"), F.when(differs, excerpt(b, "_said", m)).alias("heard_excerpt"))
+
+
+def retake_lines(pickups: DataFrame, keys: list[str], start: str = "t_start", end: str = "t_end") -> DataFrame:
+    """Open pickups of one recorded line (equal start and end to a millisecond) as one task: keys, start, end, flags, at."""
+    line = [F.round(F.col(c), 3).alias(c) for c in (start, end)]
+    tasks = pickups.where("status = 'open'").select(*keys, *line).groupBy(*keys, start, end).agg(F.count(F.lit(1)).alias("flags"))
+    return tasks.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(start, end)))
+
+
+def align(chapters: DataFrame, key: str = "doc_id", fold: bool = False, classes: dict[str, str] | None = None) -> DataFrame:
     """key, i0, i1, j0, j1, kind, expected, heard, t_start, t_end, confidence of each run that was read otherwise.
 
     chapters: key, tokens, heard. Times are those of the heard words, else the end of the word before to the start of
-    the one after. An empty transcript makes one skip of the whole chapter; equal sequences make no row."""
-    keyed = chapters.withColumn("runs", diff_runs(normalized_words("tokens"), normalized_words(F.transform("heard", lambda w: w["text"]))))
+    the one after. An empty transcript makes one skip of the whole chapter; equal sequences make no row. fold: numbers
+    match however they are spoken or written, and words of one class (see functions.units) match each other."""
+    keyed = _unit_runs(chapters, classes) if fold else _token_runs(chapters)
     runs = keyed.where(F.size("runs") > 0).select(key, "tokens", "heard", F.explode("runs").alias("r")).select(key, "tokens", F.col("heard").alias("said"), "r.*")
     part = lambda c, a, b: F.slice(c, F.col(a) + 1, F.col(b) - F.col(a))
     said = part("said", "j0", "j1")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkstream.functions.levels import SILENCE, dbfs
+from inkstream.functions.levels import SILENCE, dbfs, rms
 from inkstream.operators.idioms import index_percentile, islands
 
 #: The loudest a silent frame may be, what it may be above the tenth percentile (dB), and its least length.
@@ -132,3 +132,35 @@ def crossfaded(a: Column, b: Column, n: int) -> Column:
     k = F.least(F.lit(n), F.size(a), F.size(b))
     fade = F.transform(F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.try_element_at(a, F.size(a) - k + i + 1) * (1 - (i + 1) / (k + 1)) + F.try_element_at(b, i + 1) * ((i + 1) / (k + 1)))
     return F.concat(F.slice(a, 1, F.size(a) - k), fade, F.slice(b, k + 1, F.size(b) - k))
+
+
+def true_peak(x: np.ndarray, factor: int = 4, radius: int = 16) -> float:
+    """Largest amplitude between the samples too: each phase is one convolution with a windowed sinc, over its own weights,
+    so that the ends of a clip need no case of their own. No samples: 0."""
+    if len(x) < 2:
+        return float(np.abs(x).max(initial=0.0))
+    top, offsets = np.abs(x).max(), np.arange(radius, -radius, -1)
+    for phase in range(1, factor):
+        distance = phase / factor - offsets
+        taps = np.where(np.abs(distance) < radius, np.sinc(distance) * (0.5 + 0.5 * np.cos(np.pi * distance / radius)), 0.0)
+        inside = slice(radius, radius + len(x) - 1)
+        value, weight = np.convolve(x, taps)[inside], np.convolve(np.ones(len(x)), taps)[inside]
+        top = max(top, np.abs(np.where(np.abs(weight) > 1e-12, value / np.where(weight == 0, 1, weight), value)).max())
+    return float(top)
+
+
+@F.pandas_udf(T.DoubleType())
+def true_peaks(samples: pd.Series) -> pd.Series:
+    """The true peak of each clip (one channel); null: none."""
+    return samples.map(lambda x: None if x is None else true_peak(np.asarray(x, float)))
+
+
+def repair_check(before: Column, after: Column, most: float = 0.02, shift: float = 0.1) -> Column:
+    """(accepted, changed, level_shift): a repair may alter few samples and hardly the level; lengths must agree and all be sound."""
+    sound = (F.size(before) == F.size(after)) & (F.size(before) > 0)
+    sound &= ~F.exists(before, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & ~F.exists(after, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) > 1.0001))
+    moved = F.filter(F.zip_with(before, after, lambda a, b: F.abs(a - b)), lambda d: d > 1 / 65536)
+    changed = F.when(sound, F.size(moved) / F.size(before)).otherwise(0.0)
+    a, b = dbfs(rms(before)), dbfs(rms(after))
+    level = F.when(sound, F.when(a == b, 0.0).otherwise(F.abs(b - a))).otherwise(float("inf"))
+    return F.struct(F.coalesce(sound & (changed <= most) & (level <= shift), F.lit(False)).alias("accepted"), changed.alias("changed"), level.alias("level_shift"))

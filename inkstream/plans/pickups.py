@@ -117,7 +117,12 @@ def punch_shift(spark: SparkSession, folder: str) -> DataFrame:
     return books.shifted(words, edits, ["user_id"], "at")
 
 
-QUERIES = {f.__name__: f for f in (pickup_summary, repeated_words, book_progress, pickup_merge, packet_clips, merge_plan, carry_over, asof_seat, export_readiness, compare_reports, spec_lights, shared_assets, marker_files, catalogue_violations, punch_shift)}
+def retake_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Open pickups of a chapter that lie on the same days, as one task each, in order."""
+    return proof.retake_lines(pickups(spark, folder).select("chapter_id", "status", F.col("t_start").cast("double").alias("t_start"), F.col("t_end").cast("double").alias("t_end")), ["chapter_id"])
+
+
+QUERIES = {f.__name__: f for f in (pickup_summary, repeated_words, book_progress, pickup_merge, packet_clips, merge_plan, carry_over, asof_seat, export_readiness, compare_reports, spec_lights, shared_assets, marker_files, catalogue_violations, punch_shift, retake_lines)}
 
 
 def _sessions(gap: str, start: str, end: str) -> str:
@@ -172,6 +177,8 @@ ORACLES = {
         UNION ALL SELECT 'chapters', 'unique' FROM (SELECT chapter_id FROM c GROUP BY ALL HAVING count(*) > 1)
         UNION ALL SELECT 'pickups', 'parent' FROM p WHERE chapter_id NOT IN (SELECT chapter_id FROM c))
         SELECT "table", rule, count(*) AS n FROM v GROUP BY ALL""",
+    "retake_lines": f"""WITH {PICKUPS_SQL} SELECT chapter_id, round(CAST(t_start AS DOUBLE), 3) AS t_start, round(CAST(t_end AS DOUBLE), 3) AS t_end, count(*) AS flags,
+        CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY t_start, t_end) AS INT) AS at FROM p WHERE status = 'open' GROUP BY chapter_id, t_start, t_end""",
     "punch_shift": """WITH e AS (SELECT user_id, event_id, event_type, round(epoch_us(ts) / 1e6 - 1704067200.0) AS x FROM events),
         c AS (SELECT DISTINCT user_id, x AS t_start, x + 10 AS t_end FROM e WHERE event_type = 'error')
         SELECT w.user_id, w.event_id, w.x - 10.0 * (SELECT count(*) FROM c WHERE c.user_id = w.user_id AND c.t_end <= w.x) AS "at"

@@ -54,7 +54,21 @@ def clip_loudness(spark: SparkSession, folder: str) -> DataFrame:
     return powers.select("vec_id", F.round(signal.integrated_lufs(F.col("powers")), 6).alias("lufs"))
 
 
-QUERIES = {f.__name__: f for f in (clip_levels, frame_levels, silence_islands, noise_floor, room_tone, clip_loudness)}
+def clip_true_peaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Peak of every clip between its samples (no SQL: tests compare it with the definition)."""
+    clips = table(spark, folder, "embeddings").where("embedding is not null")
+    return clips.select("vec_id", F.round(dbfs(signal.true_peaks(F.col("embedding").cast("array<double>"))), 6).alias("true_peak_dbfs"))
+
+
+def repair_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a clip whose loudest samples were cut off at 0.25 still counts as a local repair."""
+    clips = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("before"))
+    cut = F.transform("before", lambda v: F.least(v, F.lit(0.25)))
+    checked = clips.withColumn("r", signal.repair_check(F.col("before"), cut))
+    return checked.select("vec_id", "r.accepted", F.round("r.changed", 6).alias("changed"))
+
+
+QUERIES = {f.__name__: f for f in (clip_levels, frame_levels, silence_islands, noise_floor, room_tone, clip_loudness, clip_true_peaks, repair_gate)}
 
 _DB = "CASE WHEN {0} <= 0 THEN CAST('-inf' AS DOUBLE) ELSE 20 * log10({0}) END"
 _F = f"""s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value / {SCALE} AS v FROM events),
@@ -83,6 +97,12 @@ ORACLES = {
     "clip_levels": f"""WITH c AS (SELECT vec_id, sqrt(list_aggregate(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), 'avg')) AS r,
             list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS p FROM embeddings), d AS (SELECT vec_id, {_DB.format('r')} AS l, {_DB.format('p')} AS t FROM c)
         SELECT vec_id, round(l, 6) AS rms_dbfs, round(t, 6) AS peak_dbfs, CASE WHEN l < -19 OR l > -17 OR t > -6 THEN 'red' WHEN l < -18.5 OR l > -17.5 OR t > -6.5 THEN 'yellow' ELSE 'green' END AS light FROM d""",
+    "repair_gate": """WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings),
+        s AS (SELECT vec_id, b, list_transform(b, lambda x: least(x, 0.25)) AS a FROM m),
+        r AS (SELECT vec_id, len(b) AS n, len(list_filter(b, lambda x: x - 0.25 > 1.0 / 65536)) / len(b) AS changed,
+                     list_sum(list_transform(b, lambda x: x * x)) AS sb, list_sum(list_transform(a, lambda x: x * x)) AS sa, list_max(list_transform(a, lambda x: abs(x))) AS top FROM s)
+        SELECT vec_id, coalesce(n > 0 AND top <= 1.0001 AND changed <= 0.02 AND abs(10 * log10(sa / sb)) <= 0.1, false) AS accepted,
+               CASE WHEN n > 0 AND top <= 1.0001 THEN round(changed, 6) ELSE 0 END AS changed FROM r""",
     "frame_levels": f"WITH {_F} SELECT user_id, frame, round({_DB.format('rms')}, 6) AS rms_dbfs, round(peak, 9) AS peak FROM f",
     "silence_islands": f"""WITH {_F}, {_runs(f"SELECT user_id, least(pow(10.0, -45.0 / 20), greatest(rms * pow(10.0, 12.0 / 20), 1e-6)) AS t FROM {_percentile(0.1, False)}")}
         SELECT user_id, a AS "first", z AS "last", frames, round({_DB.format('level')}, 6) AS level_db FROM runs""",

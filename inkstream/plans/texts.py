@@ -114,7 +114,20 @@ def quality_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return proof.scores(docs, table(spark, folder, "labels").where("quality = 1").select("doc_id"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (phrase_occurrences, occurrence_context, glossary_candidates, vocabulary, sentence_stats, seat_runs, turn_runs, lookalikes, chapters, dialogue, align_pickups, proof_summary, eval_scores, quality_agreement)}
+def folded_pickups(spark: SparkSession, folder: str) -> DataFrame:
+    """The same check when numbers match however they are spoken (recursive matching: no SQL)."""
+    return proof.align(proof.stand_in_transcript(table(spark, folder, "documents").where("text is not null")), fold=True)
+
+
+def retake_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each turn of a conversation against the turn before it, taken as its retake."""
+    turns = table(spark, folder, "conversations")
+    said = F.transform(words(F.col("text")), lambda w: F.struct(w.alias("text"), F.lit(None).cast("double").alias("confidence")))
+    before = F.lag(said).over(Window.partitionBy("conv_id").orderBy("turn"))
+    return proof.verified(turns.select("conv_id", "turn", "text", before.alias("heard"))).select("conv_id", "turn", "status", "expected_excerpt", "heard_excerpt")
+
+
+QUERIES = {f.__name__: f for f in (phrase_occurrences, occurrence_context, glossary_candidates, vocabulary, sentence_stats, seat_runs, turn_runs, lookalikes, chapters, dialogue, align_pickups, proof_summary, eval_scores, quality_agreement, folded_pickups, retake_checks)}
 
 _GRAMS = f"""t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_W}') AS w FROM documents),
     g AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3),

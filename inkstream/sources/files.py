@@ -4,9 +4,13 @@ row, and a file that cannot be read is a row with an error, never a failed job."
 from __future__ import annotations
 
 import io
+import posixpath
+import re
 import struct
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
+from urllib.parse import unquote, urlsplit
 from xml.etree import ElementTree
 
 import numpy as np
@@ -16,6 +20,9 @@ from pyspark.sql import functions as F
 
 #: What an archive may hold before it is unpacked.
 MAX_BYTES, MAX_ENTRIES = 200 << 20, 1000
+#: Elements that begin a line, and those that are not read aloud.
+BLOCKS = set("address article aside blockquote br dd div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header footer hr li main ol p pre section table tr ul".split())
+MUTED = set("script style nav svg template noscript".split())
 WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -31,12 +38,16 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("text"))
 
 
+def _checked(archive: zipfile.ZipFile) -> None:
+    entries = archive.infolist()
+    if len(entries) > MAX_ENTRIES or sum(e.file_size for e in entries) > MAX_BYTES:
+        raise ValueError("the archive is too large")
+
+
 def docx_text(content: bytes) -> str:
     """Paragraphs of a word-processor file without deleted text, joined by line feeds."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        entries = archive.infolist()
-        if len(entries) > MAX_ENTRIES or sum(e.file_size for e in entries) > MAX_BYTES:
-            raise ValueError("the archive is too large")
+        _checked(archive)
         body = ElementTree.fromstring(archive.read("word/document.xml"))
 
     def runs(node: ElementTree.Element) -> Iterator[str]:
@@ -50,15 +61,87 @@ def docx_text(content: bytes) -> str:
     return "\n".join("".join(runs(p)) for p in body.iter(f"{WORD_NS}p"))
 
 
+class _Blocks(HTMLParser):
+    """The text of a page body: white space as one blank, a line feed around blocks, nothing of what is not read aloud."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.muted, self.inside = 0, False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.inside |= tag == "body"
+        self.muted += tag in MUTED
+        self.parts.append("\n" if tag in BLOCKS else " " if tag in ("td", "th") else "")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.muted -= tag in MUTED and self.muted > 0
+        self.parts.append("\n" if tag in BLOCKS else "")
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.parts.append("\n" if tag in BLOCKS else "")
+
+    def handle_data(self, data: str) -> None:
+        if self.inside and not self.muted:
+            self.parts.append(re.sub(r"\s+", " ", data))
+
+    def text(self) -> str:
+        lines = (re.sub(r" +", " ", line).strip() for line in "".join(self.parts).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+def _entry(base: str, href: str) -> str:
+    """The archive entry that a link of `base` names; links out of the archive are refused."""
+    link = urlsplit(href)
+    found = posixpath.normpath(posixpath.join(posixpath.dirname(base), unquote(link.path)))
+    if link.scheme or link.netloc or link.path.startswith("/") or found.startswith(".."):
+        raise ValueError(f"not a link inside the archive: {href}")
+    return found
+
+
+def _named(node: ElementTree.Element, name: str) -> Iterator[ElementTree.Element]:
+    return (x for x in node.iter() if isinstance(x.tag, str) and x.tag.rsplit("}")[-1] == name)
+
+
+def epub_text(content: bytes) -> str:
+    """Sections of an e-book in the order of its spine, joined by an empty line."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        _checked(archive)
+        names = archive.namelist()
+        roots = [x.get("full-path") for x in _named(ElementTree.fromstring(archive.read("META-INF/container.xml")), "rootfile")] if "META-INF/container.xml" in names else []
+        package = next((n for n in [*roots, *(n for n in names if n.endswith(".opf"))] if n in names), None)
+        if package is None:
+            raise ValueError("no package document")
+        book = ElementTree.fromstring(archive.read(package))
+        items = {x.get("id"): x.get("href") for x in _named(book, "item")}
+        sections = []
+        for ref in _named(book, "itemref"):
+            href = items.get(ref.get("idref"))
+            if href and (name := _entry(package, href)) in names:
+                page = _Blocks()
+                page.feed(archive.read(name).decode("utf-8-sig", "replace"))
+                page.close()
+                sections.append(page.text())
+    return "\n\n".join(s for s in sections if s)
+
+
 def docx_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text, error of word-processor files."""
+    return _parsed(spark, path, docx_text)
+
+
+def epub_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, text, error of e-books."""
+    return _parsed(spark, path, epub_text)
+
 
+def _parsed(spark: SparkSession, path: str, parse: Callable[[bytes], str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows.append((name, docx_text(bytes(content)), None))
+                    rows.append((name, parse(bytes(content)), None))
                 except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError) as e:
                     rows.append((name, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "text", "error"])
