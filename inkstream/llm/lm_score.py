@@ -1,4 +1,5 @@
-"""Language-model scores by cross-entropy difference.
+"""Language-model scores by cross-entropy difference, of a bounded vocabulary. The registered query does not use these
+models but those of every word (`word_lm`).
 
 Two bigram models share one vocabulary: the target model counts the documents of the target, the background model counts
 all documents. Both have the same order, vocabulary and smoothing (interpolated absolute discounting over add-one
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkstream.llm._common import MEMO, strings, table, whole_text
+from inkstream.llm._common import MEMO, strings, whole_text
 
 VOCABULARY = 2048
 SHAPES = 48
@@ -190,10 +191,3 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *columns], names=[*kept, *added])
 
     return docs.select(*kept, whole_text(F.col(text)).alias("_text"), fold(key).alias("_fold")).mapInArrow(run, schema)
-
-
-def op2_cross_entropy(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score of every document; the target is what labels.quality marks 1."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = trained(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    return scored(docs, model)

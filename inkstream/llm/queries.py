@@ -6,10 +6,10 @@ from inkstream.llm import substring_dedup, topk, warc
 from inkstream.llm.bpe import op3_byte_bpe
 from inkstream.llm.decontaminate import op9_decontaminate
 from inkstream.llm.html_crf import op1_html_text
-from inkstream.llm.lm_score import op2_cross_entropy
 from inkstream.llm.near_dup import op8_near_dup
 from inkstream.llm.quality import op7_quality
 from inkstream.llm.secrets import op10_secret_scan
+from inkstream.llm.word_lm import op2_cross_entropy
 
 QUERIES = {
     "op1_html_text": op1_html_text,

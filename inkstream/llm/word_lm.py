@@ -1,0 +1,202 @@
+"""Cross-entropy difference by bigram models of every word.
+
+The target model counts the documents of the target, the background model all documents. Both are of every lower-cased
+word of the corpus and one symbol before the first and after the last word, interpolated absolute discounting over add-one
+unigrams, and differ in their data alone. A document's score is the mean over its tokens of (loss under the target model -
+loss under the background model): the lower, the more it is like the target. Documents are dealt to two folds by the hash
+of their key, and each is scored by the models of the other fold, which have not seen it.
+
+Counts are Spark tables of all words and all pairs, known by their 64-bit codes. With c(ab), c(a) the counts of a pair and a word,
+s(a) the number of words after a, u(b) = (c(b) + 1) / (N + V) and D the discount, the loss of b after a is
+
+    ln(N + V)  +  [c(a) > 0: ln c(a) - ln D s(a)]  +  [-ln(c(b) + 1)]  +  [c(ab) > 0: -ln(1 + (c(ab) - D) / (D s(a) u(b)))]
+
+so a document's loss is a part for each token, one for each word and one for each pair. The last two are 0 unless the word
+or pair stands in both folds; a table of those is joined with the documents' words and pairs, and summed by document. What
+is more frequent than one in HOT tokens (at most HOT words and HOT pairs by that) is sent to the executors, as its join
+would be uneven; the value is the same. Null and empty texts have one token (the end).
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from inkstream.llm._common import WordCodes, discard, grams, stored, strings, table, whole_text
+from inkstream.llm.lm_score import COUNTS, DISCOUNT, fold
+
+EDGE = np.uint64(1)
+PENDING = 400_000  # tokens or rows that one worker counts at a time; a bound on memory, not on the input
+HOT = 2**18
+SEEN = tuple(f"seen_{c}" for c in COUNTS)
+LOSSES = ("target_0", "target_1", "background_0", "background_1")  # by the fold of the document, from the counts of the other
+FOUR, TWO = np.uint64(3), np.uint64(2)
+
+
+def coded(text: str, codes: WordCodes) -> np.ndarray:
+    """The words of a text between two edges."""
+    words = text.split()
+    out = np.full(len(words) + 2, EDGE, np.uint64)
+    out[1:-1] = codes.of(words)
+    return out
+
+
+def pair_codes(words: np.ndarray) -> np.ndarray:
+    """Codes of pairs leave 2 when divided by 4, those of words are odd, those that stand for documents leave 0."""
+    return grams(words, 2) & ~FOUR | TWO
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def pair_counts(docs: DataFrame, text: str = "text", is_target: str = "is_target", half: str = "fold") -> DataFrame:
+    """a, b, and how often they follow each other in the target's and in all documents of either fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held, size = WordCodes(str.lower), [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b, p = (np.concatenate([f(x) for x, _, _ in held]) for f in (lambda x: x[:-1], lambda x: x[1:], pair_codes))
+            half, aimed = (np.repeat([h[i] for h in held], [len(h[0]) - 1 for h in held]) for i in (1, 2))
+            _, first, at = np.unique(p, return_index=True, return_inverse=True)
+            count = lambda k, mark: pa.array(np.bincount(at[mark & (half == k)], minlength=len(first)))
+            counts = [count(k, mark) for mark in (aimed, np.ones(len(p), bool)) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([signed(a[first]), signed(b[first]), *counts], names=["a", "b", *COUNTS])
+
+        for batch in batches:
+            for x, k, aimed in zip(strings(batch.column(text)), batch.column(half).to_pylist(), batch.column(is_target).to_pylist()):
+                held.append((coded(x, codes), k, bool(aimed)))
+                size += len(held[-1][0])
+                if size >= PENDING:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    counted = docs.select(whole_text(F.col(text)).alias(text), is_target, half).mapInArrow(run, "a long, b long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return counted.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def parted(pairs: DataFrame) -> DataFrame:
+    """The pairs that stand in both folds; and, with b null, each part's words with their counts and numbers of followers."""
+    names = ["a", "b", *COUNTS, *SEEN]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            part = pa.Table.from_batches(held)
+            a, b, *counts = (part.column(c).to_numpy() for c in ("a", "b", *COUNTS))
+            both = np.flatnonzero((counts[2] > 0) & (counts[3] > 0))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[both]) for x in (a, b, *counts)), *[pa.array(np.zeros(len(both), np.int64))] * 4], names=names)
+            word, at = np.unique(a, return_inverse=True)
+            total = lambda x: pa.array(np.bincount(at, x, len(word)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.nulls(len(word), pa.int64()), *map(total, counts), *(total(x > 0) for x in counts)], names=names)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PENDING:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
+
+    return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def other(c: str) -> str:
+    return c[:-1] + str(1 - int(c[-1]))
+
+
+def parts_of_words(words: DataFrame) -> DataFrame:
+    part = lambda c: F.when(F.col(c) > 0, F.log(F.col(c)) - F.log(DISCOUNT * F.col(f"seen_{c}")) - F.log(F.col(c) + 1.0)).otherwise(0.0)
+    return words.select(F.col("a").alias("code"), F.greatest("background_0", "background_1").alias("n"), *[part(other(c)).cast("float").alias(c) for c in LOSSES])
+
+
+def parts_of_pairs(pairs: DataFrame, words: DataFrame, totals: dict[str, int], size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            between = np.stack([batch.column(c).to_numpy() for c in ("a", "b")], 1).view(np.uint64).ravel()
+            code = pair_codes(between)[::2]  # of a and b of each row; those across rows are left out
+            yield pa.RecordBatch.from_arrays([signed(np.ascontiguousarray(code)), *batch.columns[2:]], names=["code", *batch.schema.names[2:]])
+
+    first = words.select("a", *SEEN)
+    second = words.select(F.col("a").alias("b"), *[F.col(c).alias(f"b_{c}") for c in COUNTS])
+
+    def part(c: str) -> Column:
+        unigram = (F.col(f"b_{c}") + 1.0) / (totals[c] + size)
+        return F.when(F.col(c) > 0, -F.log1p((F.col(c) - DISCOUNT) / (DISCOUNT * F.col(f"seen_{c}") * unigram))).otherwise(0.0)
+
+    found = pairs.select("a", "b", *COUNTS).join(first, "a").join(second, "b")
+    ready = found.select("a", "b", F.greatest("background_0", "background_1").alias("n"), *[part(other(c)).cast("float").alias(c) for c in LOSSES])
+    return ready.mapInArrow(run, "code long, n long, " + ", ".join(f"{c} float" for c in LOSSES))
+
+
+def cross_entropy(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, target_loss, background_loss (means per token) and score, their difference. targets: a row for each
+    key of the target; the key is unique in docs."""
+    spark, kind = docs.sparkSession, docs.schema[key].dataType
+    texts = docs.select(key, whole_text(F.col(text)).alias("_text"), fold(key).alias("_fold"))
+    aimed = targets.select(key).distinct().withColumn("_target", F.lit(True))
+    split = stored(parted(pair_counts(texts.join(aimed, key, "left"), "_text", "_target", "_fold")), "lm-pairs")
+    words = stored(split.where("b is null").groupBy("a").agg(*[F.sum(c).alias(c) for c in (*COUNTS, *SEEN)]), "lm-words")
+    totals = words.agg(F.count(F.lit(1)).alias("size"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]).first().asDict()
+    size = max(totals.pop("size"), 1)
+    shared = words.where("background_0 > 0 and background_1 > 0")
+    parts = stored(parts_of_words(shared).union(parts_of_pairs(split.where("b is not null"), shared, totals, size)), "lm-parts")
+    for done in (split, words):
+        discard(done)
+    del split, words, shared
+    spark._jvm.System.gc()  # lets Spark remove the shuffle files of the counts
+    often = F.col("n") > (totals["background_0"] + totals["background_1"]) / HOT
+    hot = parts.where(often).drop("n").toArrow()
+    order = np.argsort(hot.column("code").to_numpy())
+    sent = spark.sparkContext.broadcast((hot.column("code").to_numpy()[order], np.stack([hot.column(c).to_numpy()[order] for c in LOSSES])))
+    base = [math.log(totals[c] + size) for c in map(other, LOSSES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, (known, values) = WordCodes(str.lower), sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                yield taken(batch.slice(at, 1000), codes, known, values)
+
+    def taken(batch: pa.RecordBatch, codes: WordCodes, known: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        """A row for each document, and one for each of its words and pairs that are not hot."""
+        each = [coded(x, codes) for x in strings(batch.column("_text"))]
+        count = np.array([len(x) - 1 for x in each])
+        doc = np.repeat(np.arange(len(each)), count)
+        code, doc = np.concatenate([f(x) for f in (lambda x: x[1:], pair_codes) for x in each]).view(np.int64), np.concatenate([doc, doc])
+        at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
+        there = known[at] == code if len(known) else np.zeros(len(code), bool)
+        half = np.array(batch.column("_fold").to_pylist())
+        sums = []
+        for i in (0, 2):
+            found = values[i + half[doc[there]], at[there]] if len(known) else []
+            sums.append(np.bincount(doc[there], found, len(each)) + count * np.array(base)[i + half])
+        rest = doc[~there]
+        keys, none = batch.column(key), len(rest)
+        own = np.random.default_rng(int(code.sum() & 0xFFFFFFFF)).integers(-(2**61), 2**61, len(each)) * 4  # meets no part
+        padded = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(none, t)])
+        columns = [pa.concat_arrays([keys, keys.take(pa.array(rest))]), pa.array(np.concatenate([own, code[~there]])), padded(count, pa.int64()), *(padded(s, pa.float64()) for s in sums)]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "code", "n_tokens", "target_sum", "background_sum"])
+
+    fields = [docs.schema[key], *[T.StructField(c, T.LongType()) for c in ("code", "n_tokens")], *[T.StructField(f"{c}_sum", T.DoubleType()) for c in ("target", "background")]]
+    rows = texts.mapInArrow(run, T.StructType(fields)).join(parts.where(~often).drop("n"), "code", "left")
+    mine = lambda c: F.coalesce(F.col(f"{c}_sum"), F.when(fold(key) == 0, F.col(f"{c}_0")).otherwise(F.col(f"{c}_1")).cast("double"))
+    summed = rows.groupBy(F.col(key).cast(kind).alias(key)).agg(F.sum("n_tokens").alias("n_tokens"), *[F.sum(mine(c)).alias(c) for c in ("target", "background")])
+    loss = lambda c: (F.col(c) / F.col("n_tokens")).alias(f"{c}_loss")
+    return summed.select(key, "n_tokens", loss("target"), loss("background")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def op2_cross_entropy(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of every document; the target is what labels.quality marks 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cross_entropy(docs, table(spark, sf_dir, "labels").where("quality = 1"))
