@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstream.functions.text import minutes, word_count, words
+from inkstream.functions.text import minutes, similar, word_count, words
 
 #: What a heading line looks like, and the longest narration that one chapter should have.
 HEADING = r"(?i)^\s*(?:#{1,6}\s+\S.*|(?:chapter|part|book)\s+(?:\d+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\b.{0,80}|(?:prologue|epilogue|introduction|foreword|afterword|preface)\s*\.?)\s*$"
@@ -77,3 +77,14 @@ def pronunciations(lines_of_dictionary: DataFrame) -> DataFrame:
         "line", F.lower(F.regexp_extract("value", r"^(\S+?)(?:\(\d+\))?\s", 1)).alias("word"), F.trim(F.regexp_extract("value", r"^\S+\s+(.*)$", 1)).alias("phones")
     )
     return parts.where("word <> '' and phones <> ''").groupBy("word").agg(F.min_by("phones", "line").alias("phones"), F.count_distinct("phones").alias("variants"))
+
+
+def lookalike_pairs(names: DataFrame, word: str = "word") -> DataFrame:
+    """word, other: all pairs of distinct words that are similar. Each word goes under itself and its forms with one letter
+    left out, from six letters on also two (the shorter of two words that may be two edits apart has six at least)."""
+    shorter = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    one = shorter(F.col(word))
+    two = F.when(F.length(word) >= 6, F.flatten(F.transform(one, shorter))).otherwise(F.array().cast("array<string>"))
+    keyed = names.select(F.col(word).alias("word")).distinct().select("word", F.explode(F.array_distinct(F.concat(F.array(F.col("word")), one, two))).alias("form"))
+    a, b = keyed, keyed.withColumnRenamed("word", "other")
+    return a.join(b, "form").where("word < other").select("word", "other").distinct().where(similar(F.col("word"), F.col("other")))

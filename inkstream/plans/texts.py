@@ -69,7 +69,8 @@ def turn_runs(spark: SparkSession, folder: str) -> DataFrame:
 def lookalikes(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of words of the benchmark that a listener may mix up: a letter apart, two from eight letters on.
 
-    Words meet in blocks of equal first three letters and nearly equal length, each word once."""
+    Only a-z counts as a letter, and words meet in blocks of equal first three letters and nearly equal length, each word
+    once, as in the query's SQL: pairs that differ before that are lost. `all_lookalikes` has them all."""
     names = table(spark, folder, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)).alias("word")).distinct()
     keyed = names.withColumns({"head": F.substring("word", 1, 3), "n": F.length("word")})
     a, b = keyed.alias("a"), keyed.alias("b")
@@ -77,6 +78,12 @@ def lookalikes(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(b, near).where(similar(F.col("a.word"), F.col("b.word"))).select(F.col("a.word").alias("word"), F.col("b.word").alias("other"))
 
 
+def all_lookalikes(spark: SparkSession, folder: str) -> DataFrame:
+    """All such pairs of words of any letters: words within a number of edits have a form in common with that many letters left out."""
+    words_of = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{5,}"), 0)).alias("word")
+    return structure.lookalike_pairs(table(spark, folder, "benchmark").select(words_of).distinct())
+
+
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
     """Chapters of every document by its headings."""
     return structure.split_chapters(table(spark, folder, "documents"))
@@ -127,7 +134,7 @@ def retake_checks(spark: SparkSession, folder: str) -> DataFrame:
     return proof.verified(turns.select("conv_id", "turn", "text", before.alias("heard"))).select("conv_id", "turn", "status", "expected_excerpt", "heard_excerpt")
 
 
-QUERIES = {f.__name__: f for f in (phrase_occurrences, occurrence_context, glossary_candidates, vocabulary, sentence_stats, seat_runs, turn_runs, lookalikes, chapters, dialogue, align_pickups, proof_summary, eval_scores, quality_agreement, folded_pickups, retake_checks)}
+QUERIES = {f.__name__: f for f in (phrase_occurrences, occurrence_context, glossary_candidates, vocabulary, sentence_stats, seat_runs, turn_runs, lookalikes, all_lookalikes, chapters, dialogue, align_pickups, proof_summary, eval_scores, quality_agreement, folded_pickups, retake_checks)}
 
 _GRAMS = f"""t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_W}') AS w FROM documents),
     g AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3),
