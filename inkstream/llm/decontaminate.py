@@ -3,7 +3,7 @@
 A benchmark item is a weighted set of five-word shingles (words lower-cased, without the punctuation around them; the
 weight is the letters a shingle has, times how often it occurs). Each window of a document that is as long as an item,
 and holds a shingle of it, gets a 128-bit SimHash of its own weighted shingles; a window without any shingle of an item
-has similarity 0 with it, so this loses nothing. Items are indexed by BLOCKS equal blocks of their fingerprints: two
+has similarity 0 with it, so this loses nothing. A document of fewer words than the item is one window. Items are indexed by BLOCKS equal blocks of their fingerprints: two
 fingerprints within RADIUS bits agree in some block up to RADIUS // BLOCKS bits, and the index holds every block value
 with all its neighbours that near, so it returns all items within the radius. The exact weighted Jaccard similarity of
 window and item then decides: SIMILAR or more is contamination. Items of fewer than five words are one shingle.
@@ -144,7 +144,7 @@ class Index:
             starts: dict[int, set[int]] = defaultdict(set)  # length -> starts of windows to see
             for p in hit.tolist():
                 for length in self.holders[n][int(shingles[p])]:
-                    low, high = max(0, p - (length - n)), min(p, len(codes) - length)
+                    low, high = max(0, p - (length - n)), min(p, max(0, len(codes) - length))  # a shorter text is one window
                     if low <= high:
                         starts[length].update(range(low, high + 1))
             for length, where in starts.items():
@@ -152,7 +152,8 @@ class Index:
         return best
 
     def _windows(self, length: int, n: int, starts: np.ndarray, words: Words, shingles: np.ndarray, best: dict) -> None:
-        m = length - n + 1
+        size = min(length, len(words.codes))
+        m = size - n + 1
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > m) + 1):
             for part in (run[i : i + 4096] for i in range(0, len(run), 4096)):
                 first, last = int(part[0]), int(part[-1]) + m
@@ -166,7 +167,7 @@ class Index:
                         item, _, wanted = self.items[i]
                         found = similarity(weighted(mine[s - first : s - first + m], letters[s - first : s - first + m]), wanted)
                         if found >= SIMILAR and found > best.get(item, (0.0,))[0]:
-                            best[item] = (found, s, length)
+                            best[item] = (found, s, size)
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
