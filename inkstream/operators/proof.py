@@ -226,8 +226,8 @@ def with_ids(pickups: DataFrame, key: str) -> DataFrame:
 
 
 def carried_over(fresh: DataFrame, previous: DataFrame, keys: list[str], signature: list[str], at: str, values: list[str]) -> DataFrame:
-    """fresh with the values of the previous row of equal signature that is nearest in time; each previous row goes to the
-    fresh row nearest to it, so none is used twice."""
+    """fresh with the values of the previous row of equal signature and equal rank in time, so none is used twice. A row that
+    is new or gone shifts all after it; `preserved` goes by id and nearness."""
     left = fresh.withColumn("_f", F.monotonically_increasing_id())
     right = previous.select(*keys, *signature, F.col(at).alias("_at"), *[F.col(v).alias(f"_{v}") for v in values])
     on = [*keys, *signature]
@@ -238,6 +238,33 @@ def carried_over(fresh: DataFrame, previous: DataFrame, keys: list[str], signatu
     return met.select(*fresh.columns, *[F.col(f"_{v}").alias(v) for v in values], F.col("_gap").alias("moved_by"))
 
 
+def preserved(fresh: DataFrame, previous: DataFrame, keys: list[str], signature: list[str], at: str, values: list[str], id: str) -> DataFrame:
+    """fresh with the values of the previous row of equal id, else of the nearest in time that is of equal signature and not
+    yet used; rows choose in order of time, and moved_by says how far that row is. Ids are unique within the keys. What no id
+    settles of one chapter and signature is one group in memory."""
+    on = [*keys, *signature]
+    taken = [f"_{v}" for v in values]
+    at_of = lambda df: df.withColumn(at, F.col(at).cast("double"))
+    left, right = at_of(fresh), at_of(previous).select(*on, id, F.col(at).alias("_at"), *[F.col(v).alias(f"_{v}") for v in values])
+    same = left.join(right.drop(*signature), [*keys, id]).select(*left.columns, *taken, F.abs(F.col(at) - F.col("_at")).alias("_gap"))
+    rest, old = left.join(right, [*keys, id], "left_anti"), right.join(left, [*keys, id], "left_anti")
+    schema = T.StructType([*left.schema.fields, *[T.StructField(t, right.schema[t].dataType) for t in taken], T.StructField("_gap", T.DoubleType())])
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values([at, id]).reset_index(drop=True), b.sort_values(["_at", id]).reset_index(drop=True)
+        free, which = b["_at"].copy(), []
+        for t in a[at]:
+            gaps = (free - t).abs().dropna()
+            which.append(gaps.idxmin() if len(gaps) else -1)
+            if len(gaps):
+                free[which[-1]] = float("nan")
+        met = b.reindex(which).reset_index(drop=True)
+        return a.assign(**{t: met[t] for t in taken}, _gap=(met["_at"] - a[at]).abs())[schema.names]
+
+    met = same.unionByName(rest.groupBy(*on).cogroup(old.groupBy(*on)).applyInPandas(nearest, schema))
+    return met.select(*left.columns, *[F.col(t).alias(v) for t, v in zip(taken, values)], F.col("_gap").alias("moved_by"))
+
+
 def scores(found: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """true_positives, false_positives, false_negatives, precision, recall; 0 of 0 is 1."""
     both = found.select(*keys).distinct().withColumn("_f", F.lit(1)).join(labels.select(*keys).distinct().withColumn("_l", F.lit(1)), keys, "full_outer")
