@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from inkstream.llm import word_lm
+from inkstream.llm import chunks, lm_score
 
 
 def plain(text, counted, size):
@@ -23,15 +23,17 @@ def plain(text, counted, size):
     return sum(each) / len(each)
 
 
-@pytest.mark.parametrize("hot", (1, 50, 2**18))
-def test_losses_are_of_every_word(spark, monkeypatch, hot):
-    monkeypatch.setattr(word_lm, "HOT", hot)
+@pytest.mark.parametrize("bounds", ((100, 100), (3000, 70), (2_000_000, 2_000_000)))
+def test_losses_are_of_every_word(spark, monkeypatch, bounds):
+    monkeypatch.setattr(chunks, "CHUNK", bounds[0])
+    monkeypatch.setattr(chunks, "SHARD", bounds[1])
+    monkeypatch.setattr(lm_score, "MAX_SENT", bounds[0] - 100)
     texts = {i: " ".join(f"w{(i * j * 7) % 5000} The" for j in range(120 + i)) for i in range(60)} | {100: "", 101: None, 102: "The the THE", 103: "w7"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for targets in ("doc_id % 3 = 0", "false"):
-        rows = word_lm.cross_entropy(docs, docs.where(targets)).collect()
+        rows = lm_score.cross_entropy(docs, docs.where(targets)).collect()
         assert sorted(r.doc_id for r in rows) == sorted(texts)
-        folds = {r.doc_id: r.f for r in docs.select("doc_id", word_lm.fold("doc_id").alias("f")).collect()}
+        folds = {r.doc_id: r.f for r in docs.select("doc_id", lm_score.fold("doc_id").alias("f")).collect()}
         size = len({w for t in texts.values() for w in (t or "").lower().split()}) + 1
         assert size > 2048
         for r in rows:
@@ -46,10 +48,10 @@ def test_rare_words_of_one_shape_differ(spark):
     common = " ".join(f"c{i:04d} " * 3 for i in range(2100))
     rows = [(i, common + (" rareword" * 2)) for i in range(20)] + [(100, "rareword rareword"), (101, "restword restword")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r.target_loss for r in word_lm.cross_entropy(docs, docs.where("doc_id < 20")).collect()}
+    found = {r.doc_id: r.target_loss for r in lm_score.cross_entropy(docs, docs.where("doc_id < 20")).collect()}
     assert found[100] < found[101] - 1
 
 
 def test_without_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert word_lm.cross_entropy(docs, docs).count() == 0
+    assert lm_score.cross_entropy(docs, docs).count() == 0

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from inkstream.llm import bpe, html_crf, lm_score, quality, secrets, warc
+from inkstream.llm import bpe, html_crf, quality, secrets, warc
 from inkstream.llm.dom import leaves
 
 DOCS = "doc_id long, text string, ids string, spans string, score string"
@@ -169,49 +169,3 @@ def test_quality_without_labels_or_texts(spark):
     for labels in ([], [(1, 1, 0), (2, None, 0)]):
         model = quality.fitted(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
         assert {r.score for r in quality.scored(docs, model).collect()} == {0.5}
-
-
-def plain_losses(texts, words, counted):
-    """-ln p(b | a) from the definition, one pair at a time."""
-    coded = lm_score.Vocabulary(words)
-    joint, after, word = {}, {}, {}
-    for t in counted:
-        for p in coded.pairs(t).tolist():
-            a, b = divmod(p, lm_score.VOCABULARY)
-            joint[a, b], after[a], word[b] = joint.get((a, b), 0) + 1, after.get(a, 0) + 1, word.get(b, 0) + 1
-    total = sum(word.values()) + lm_score.VOCABULARY
-    seen = {a: sum(1 for x, _ in joint if x == a) for a in after}
-
-    def loss(text):
-        import math
-
-        pairs = [divmod(p, lm_score.VOCABULARY) for p in coded.pairs(text).tolist()]
-        each = []
-        for a, b in pairs:
-            unigram = (word.get(b, 0) + 1) / total
-            if a in after:
-                p = max(joint.get((a, b), 0) - 0.75, 0) / after[a] + 0.75 * seen[a] / after[a] * unigram
-            else:
-                p = unigram
-            each.append(-math.log(p))
-        return sum(each) / len(each)
-
-    return [loss(t) for t in texts]
-
-
-def test_losses_are_those_of_the_definition(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").limit(40).union(frame(spark, ["", None]).selectExpr("doc_id + 100000", "text"))
-    docs = spark.createDataFrame(docs.collect(), docs.schema)
-    targets = docs.where("doc_id % 3 = 0").select("doc_id")
-    rows = lm_score.scored(docs, lm_score.trained(docs, targets)).collect()
-    folds = {r.doc_id: r.f for r in docs.select("doc_id", lm_score.fold("doc_id").alias("f")).collect()}
-    texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    words = lm_score.vocabulary(docs)
-    for fold in (0, 1):
-        mine = [r for r in rows if folds[r.doc_id] == fold]
-        other = [i for i in texts if folds[i] != fold]
-        for name, counted in (("background_loss", other), ("target_loss", [i for i in other if i % 3 == 0])):
-            expected = plain_losses([texts[r.doc_id] for r in mine], words, [texts[i] for i in counted])
-            assert all(abs(r[name] - e) < 1e-4 for r, e in zip(mine, expected))
-    assert all(abs(r.score - (r.target_loss - r.background_loss)) < 1e-9 for r in rows)
-    assert lm_score.scored(docs.limit(0), lm_score.trained(docs.limit(0), targets.limit(0))).count() == 0
