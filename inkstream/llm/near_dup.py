@@ -1,117 +1,80 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 A document is a weighted set of five-word shingles (lower-cased words; all words, where there are fewer than five): the
-weight of a shingle is how often it occurs times the mean inverse document frequency of its words. ICWS draws SAMPLES
-samples of such a set; two documents agree in one with the probability of their weighted Jaccard similarity. Samples are
-banded, and documents that share a band are candidates; their exact weighted Jaccard similarity decides a link, and
-classes are the connected components of the links.
+weight of a shingle is how often it occurs times the inverse document frequencies of its words. Frequencies are those of
+every word over all documents: chunks of documents ask the shards of a table of counts (see chunks), and nothing is
+broadcast. An inverse frequency is ln(1 + N / n) in 1024ths, so weights are whole numbers and sums exact in any order.
+
+ICWS draws SAMPLES samples of a set; two documents agree in one with the probability of their weighted Jaccard similarity.
+Samples are banded, and documents that share a band are candidates; their exact weighted Jaccard similarity decides a
+link, and classes are the connected components of the links.
 
 Hot groups: exact copies are reduced to one representative before any pair is formed. A bucket of at most SMALL different
-texts gives all its pairs. A larger bucket first links each member to a leader, then to the member that shares most of its weight; after that, only members outside the
-bucket's largest class are compared with the members of other classes, so a group of thousands of near copies costs
-about as many comparisons as it has members, and no link between classes is lost. Where many members stay outside (a
-group of texts that are all a little less than SIMILAR), an exact bound decides first: what a document holds that no
-document of another class holds cannot be shared, so two weights a document rule out most pairs unread. The table of document frequencies is
-cut at VOCABULARY words by falling frequency (all rarer words share the weight of the last), which bounds the broadcast.
-
-Null texts are empty. Rows that repeat an id should hold one text. Texts without words are in a class only with identical texts. A row with no id takes no part.
+texts gives all its pairs. A larger bucket first links each member to a leader, so a group of thousands of near copies costs
+about as many comparisons as it has members. Members of a bucket that then are of several classes meet by prefixes: with
+shingles ordered by how many hold them (those of a single class first), two sets of similarity SIMILAR or more share one that
+stands in the first ninth of the lighter set's weight and in the first fifth of the heavier one's. That loses no link, and
+texts that are all a little less alike than SIMILAR share no such shingle: what each has of its own fills its first ninth.
+
+Null texts are empty; texts without words are in a class only with identical texts. A row without an id takes no part. Rows
+that repeat an id are one document, linked by any of its texts. Equal texts and ties: a class is named by its smallest id.
+An empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstream.llm._common import MEMO, ODD, grams, mixed, stored, strings, table, whole_text, word_code
+from inkstream.llm import chunks as C
+from inkstream.llm._common import ODD, discard, grams, mixed, stored, table, whole_text
 from inkstream.llm.components import components
 
 WORDS, SIMILAR = 5, 0.8
+#: The same as whole numbers: shared x PARTS >= total of both x WHOLES. The prefixes above follow from it.
+WHOLES, PARTS = 4, 5
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
-VOCABULARY = 50_000
 SMALL = 16
+#: Steps of an inverse document frequency to one.
+STEPS = 1024
 #: Shingles times samples that are worked on at once.
 CELLS = 8_192
 #: Shingles of documents that a verifying task remembers.
 HELD = 4_000_000
-#: What sums of weights may be off by.
-SLACK = 1e-6
 
+Weighted = tuple[np.ndarray, np.ndarray]  # codes in order, weights
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> dict[str, float]:
-    """Inverse document frequency of the most frequent lower-cased words over all documents; "" holds all other words'."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        n = 0
+def levels(documents: int, found: np.ndarray) -> np.ndarray:
+    """Inverse document frequencies, in STEPS to one."""
+    return np.rint(np.log1p(documents / np.maximum(found, 1)) * STEPS).astype(np.int64)
 
-        def out() -> pa.RecordBatch:
-            counts[""] = n
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for x in strings(batch.column(text)):
-                counts.update(set(x.lower().split()))
-                n += 1
-                if len(counts) >= MEMO:
-                    yield out()
-                    counts.clear()
-                    n = 0
-        yield out()
-
-    counted = docs.select(whole_text(F.col(text)).alias(text)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [(r["word"], r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY + 1).collect()]
-    total = max((n for w, n in top if not w), default=1)
-    idf = {w: math.log(1 + total / n) for w, n in top if w}
-    return idf | {"": math.log(1 + total / top[-1][1]) if len(top) > VOCABULARY else math.log(1 + total)}
-
-
-class Shingles(dict):
-    """Texts as weighted sets: (sorted codes of distinct shingles, weights). word -> where its code and idf stand; the
-    memo of words is bounded."""
-
-    def __init__(self, idf: dict[str, float]):
-        super().__init__()
-        self.idf, self.rare = idf, idf[""]
-        self.codes, self.weights = np.empty(MEMO, np.uint64), np.empty(MEMO)
-
-    def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        self.codes[at] = word_code(word)
-        self.weights[at] = self.idf.get(word, self.rare)
-        return at
-
-    def _places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and weights of a run of words that fits the memo."""
-        if len(self) + len(words) > MEMO:
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.codes[at], self.weights[at]
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = text.lower().split()
-        if not words:
-            return np.empty(0, np.uint64), np.empty(0)
-        n = min(WORDS, len(words))
-        word_codes, weights = (np.concatenate(x) for x in zip(*(self._places(words[i : i + MEMO]) for i in range(0, len(words), MEMO))))
-        total = np.concatenate([[0.0], np.cumsum(weights)])
-        mean = (total[n:] - total[:-n]) / n
-        codes, first, count = np.unique(grams(word_codes, n), return_index=True, return_counts=True)
-        return codes, count * np.round(mean[first], 6)
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity; 0 where neither has a shingle."""
+def shingle_set(codes: np.ndarray, level: np.ndarray) -> Weighted:
+    """The weighted set of a document's words, given by their codes and levels."""
+    n = min(WORDS, len(codes))
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(level)])
+    distinct, first, count = np.unique(grams(codes, n), return_index=True, return_counts=True)
+    return distinct, count * (total[n:] - total[:-n])[first]
+
+
+def shared_and_total(a: Weighted, b: Weighted) -> tuple[int, int]:
+    """Weights of what two sets share and of both together; their ratio is the similarity."""
     _, i, j = np.intersect1d(a[0], b[0], True, True)
-    shared = np.minimum(a[1][i], b[1][j]).sum()
-    total = a[1].sum() + b[1].sum() - shared
-    return float(shared / total) if total > 0 else 0.0
+    shared = int(np.minimum(a[1][i], b[1][j]).sum())
+    return shared, int(a[1].sum() + b[1].sum()) - shared
+
+
+def alike(a: Weighted, b: Weighted) -> bool:
+    shared, total = shared_and_total(a, b)
+    return total > 0 and shared * PARTS >= total * WHOLES
 
 
 def _gamma2_quantiles(n: int) -> np.ndarray:
@@ -164,122 +127,158 @@ class Sampler:
             return mixed((x * self.seeds[:ROWS]).sum(1, dtype=np.uint64)).view(np.int64)
 
 
-def band_codes(docs: DataFrame, idf: dict[str, float], key: str, text: str) -> DataFrame:
-    """(id, codes): the codes of the BANDS bands of every text that has words."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+def frequencies(chunks: DataFrame) -> DataFrame:
+    """For each chunk the number of documents that hold its words (see chunks.answered)."""
+    shards = C.shards_for(chunks.agg(F.sum("n_words")).first()[0] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, sampler = Shingles(shared.value), Sampler()
         for batch in batches:
-            ids, codes = [], []
-            for i, x in zip(batch.column("id").to_pylist(), strings(batch.column("text"))):
-                found = shingles.of(x)
-                if len(found[0]):
-                    ids.append(i)
-                    codes.append(sampler.bands(sampler.samples(*found)))
-            if ids:
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(codes)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["id", "codes"])
+            for row in batch.to_pylist():
+                chunk = C.Chunk(row)
+                size = len(chunk.words)
+                owner = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)
+                counts = np.bincount(np.unique(owner * size + chunk.places) % size, minlength=size)
+                yield from C.table_of(list(C.requests(chunk, chunk.words, [counts], shards))).to_batches()
+
+    def totals(shard: C.Shard) -> list[bytes]:
+        found = shard.totals[0, 0]
+        return [C.packed(found[shard.at[part]].astype(np.uint32)) for _, part in shard.parts()]
+
+    return C.answered(chunks.mapInArrow(run, C.REQUEST), 1, totals, 0)
+
+
+def sets_of(mine: pa.Table, found: pa.Table, documents: int, wanted: set[int] | None = None) -> Iterator[tuple[int, int, Weighted]]:
+    """(chunk, id, set) of the documents of a chunk that have words."""
+    for row in mine.to_pylist():
+        chunk = C.Chunk(row)
+        counted = np.concatenate([C.unpacked(blob, np.uint32, n) for n, blob in C.answers_of(found, 0)])
+        level, ends = levels(documents, counted), np.cumsum(chunk.lengths)
+        for i, low, high in zip(chunk.keys, (ends - chunk.lengths).tolist(), ends.tolist()):
+            if high - low > 2 and (wanted is None or i in wanted):
+                at = chunk.places[low + 1 : high - 1]
+                yield chunk.chunk, i, shingle_set(chunk.words[at], level[at])
 
-    return docs.select(F.col(key).alias("id"), whole_text(F.col(text)).alias("text")).mapInArrow(run, "id long, codes array<long>")
 
+def band_codes(chunks: DataFrame, answers: DataFrame, documents: int) -> DataFrame:
+    """(chunk, id, codes): the codes of the BANDS bands of every text that has words."""
 
-def links_of(pairs: DataFrame, docs: DataFrame, idf: dict[str, float]) -> DataFrame:
-    """(a, b) of the pairs whose exact weighted Jaccard similarity is SIMILAR or more. docs: (id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    def run(_: tuple, mine: pa.Table, found: pa.Table) -> pa.Table:
+        sampler, of, ids, codes = Sampler(), [], [], [np.empty(0, np.int64)]
+        for chunk, i, own in sets_of(mine, found, documents):
+            of.append(chunk)
+            ids.append(i)
+            codes.append(sampler.bands(sampler.samples(*own)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(codes)))
+        return pa.table([pa.array(of, pa.int64()), pa.array(ids, pa.int64()), lists], names=["chunk", "id", "codes"])
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "chunk long, id long, codes array<long>")
+
+
+def set_rows(chunks: DataFrame, answers: DataFrame, documents: int, members: DataFrame) -> DataFrame:
+    """(id, n, codes, weights): the sets of the members, packed. members: (chunk, id)."""
+    wanted = members.groupBy("chunk").agg(F.collect_set("id").alias("ids"))  # no more than a chunk's documents
+    right = answers.select("chunk", "shard", "kind", "n", "answer").withColumn("ids", F.lit(None).cast("array<long>"))
+    right = right.unionByName(wanted.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+
+    def run(_: tuple, mine: pa.Table, found: pa.Table) -> pa.Table:
+        ids = {i for x in found.column("ids").to_pylist() if x for i in x}
+        rows = [(i, len(own[0]), C.packed(np.diff(own[0], prepend=np.uint64(0))), C.packed(own[1].astype(np.uint64))) for _, i, own in sets_of(mine, found, documents, ids)] if ids else []
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["id", "n", "codes", "weights"])
+
+    return chunks.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(run, "id long, n long, codes binary, weights binary")
+
+
+def unpacked_set(n: int, codes: bytes, weights: bytes) -> Weighted:
+    return np.cumsum(C.unpacked(codes, np.uint64, n), dtype=np.uint64), C.unpacked(weights, np.uint64, n).astype(np.int64)
+
+
+def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose exact weighted Jaccard similarity is SIMILAR or more. sets: as set_rows gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held, size = Shingles(shared.value), {}, 0
+        held: dict[tuple, Weighted] = {}
+        size = 0
 
-        def of(i: int, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        def of(i: int, n: int, codes: pa.Scalar, weights: pa.Scalar) -> Weighted:
             """The set of a document; a task meets the documents of a group again and again."""
             nonlocal size
-            if (found := held.get(i)) is None:
+            key = (i, n, codes := codes.as_py())
+            if (found := held.get(key)) is None:
                 if size > HELD:
                     held.clear()
                     size = 0
-                found = held[i] = shingles.of(text.as_py())
-                size += len(found[0]) + 10
+                found = held[key] = unpacked_set(n, codes, weights.as_py())
+                size += n + 10
             return found
 
         for batch in batches:
-            a, b, x, y = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
-            keep = [similarity(of(i, x[k]), of(j, y[k])) >= SIMILAR for k, (i, j) in enumerate(zip(a.to_pylist(), b.to_pylist()))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, n_a, codes_a, weights_a, b, n_b, codes_b, weights_b = (batch.column(c) for c in ("a", "n_a", "codes_a", "weights_a", "b", "n_b", "codes_b", "weights_b"))
+            left, right = (list(zip(x.to_pylist(), n.to_pylist(), c, w)) for x, n, c, w in ((a, n_a, codes_a, weights_a), (b, n_b, codes_b, weights_b)))
+            yield batch.select(["a", "b"]).filter(pa.array([alike(of(*x), of(*y)) for x, y in zip(left, right)], pa.bool_()))
 
-    both = pairs.join(docs.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.sortWithinPartitions("a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    side = lambda s: sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "codes", "weights")])
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.sortWithinPartitions("a").select("a", "n_a", "codes_a", "weights_a", "b", "n_b", "codes_b", "weights_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def shareable(members: DataFrame, docs: DataFrame, idf: dict[str, float], rounds: int = 2) -> DataFrame:
-    """(id, shared, total) of the members that may still be linked with a document of another class: the weight of their
-    shingles that another class has too, and of all. Members with less than SIMILAR of their weight shared are left out,
-    and in each further round their shingles no longer count as shared. members: (id, class)."""
-    table = docs.sparkSession.sparkContext.broadcast(idf)
+def met_by_prefix(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of members of different classes, all those of similarity SIMILAR or more among them. members: (id, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(table.value)
         for batch in batches:
-            for k, (i, c) in enumerate(zip(batch.column("id").to_pylist(), batch.column("class").to_pylist())):
-                codes, weights = shingles.of(batch.column("text")[k].as_py())
+            for row in batch.to_pylist():
+                codes, weights = unpacked_set(row["n"], row["codes"], row["weights"])
                 n = len(codes)
-                columns = [pa.array(np.full(n, i)), pa.array(np.full(n, c)), pa.array(codes.view(np.int64)), pa.array(weights), pa.array(np.full(n, weights.sum()))]
+                columns = [pa.array(np.full(n, row["id"])), pa.array(np.full(n, row["class"])), pa.array(codes.view(np.int64)), pa.array(weights), pa.array(np.full(n, weights.sum()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "class", "shingle", "weight", "total"])
 
-    left = stored(docs.join(members.distinct(), "id").select("id", "class", "text").mapInArrow(run, "id long, class long, shingle long, weight double, total double"), "shingles")
-    found = None
-    for _ in range(rounds):
-        spread = left.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("shingle")
-        shared = left.join(spread, "shingle", "left_semi").groupBy("id").agg(F.sum("weight").alias("shared"), F.max("total").alias("total"))
-        found = stored(shared.where(F.col("shared") >= SIMILAR * F.col("total") - SLACK), "shareable")
-        left = left.join(found.select("id"), "id", "left_semi")
-    return found
+    rows = stored(sets.join(members.distinct(), "id").select("id", "class", "n", "codes", "weights").mapInArrow(run, "id long, class long, shingle long, weight long, total long"), "shingles")
+    held = rows.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    held = stored(held.select("shingle", "n"), "shingles")
+    ranked = rows.join(held, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    before = Window.partitionBy("id").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0))).where("n > 0")
+    ranked = stored(ranked.where(F.col("before") * PARTS <= F.col("total") * (PARTS - WHOLES)).select("id", "class", "shingle", "total", "before"), "prefixes")
+    light = ranked.where(F.col("before") * (PARTS + WHOLES) <= F.col("total") * (PARTS - WHOLES))
+    light = light.select("shingle", F.col("id").alias("x"), F.col("class").alias("of_x"), F.col("total").alias("total_x"))
+    met = ranked.join(light, "shingle").where((F.col("class") != F.col("of_x")) & (F.struct("total_x", "x") < F.struct("total", "id")) & (F.col("total_x") * PARTS >= F.col("total") * WHOLES))
+    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, class): a row for each distinct id of df; the class is its smallest id, and the id itself where it has no duplicate."""
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), whole_text(F.col(text)).alias("text"))
     slim = stored(docs.select("id", F.md5("text").alias("sum")), "sums")
-    copies = slim.groupBy("sum").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    copied = stored(slim.join(copies.where("n > 1"), "sum").where("id <> first").select("id", "first"), "copies")
-    idf = document_frequencies(docs)
-    bands = stored(band_codes(docs, idf, "id", "text"), "bands").join(copied.select("id"), "id", "left_anti")
-    rows = bands.select("id", F.posexplode("codes").alias("band", "code"))
+    copies = stored(slim.groupBy("sum").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sum", "first"), "copies")
+    copied = slim.join(copies, "sum").where("id <> first").select("id", "first").distinct()
+    several = slim.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    by_text = copied.join(several, "id", "left_semi").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
+    copied = stored(copied.join(several, "id", "left_anti"), "copies")
+    chunks = stored(C.chunked(docs, "id", "text"), "chunks")
+    documents = chunks.agg(F.sum(F.size("keys"))).first()[0] or 0
+    answers = stored(frequencies(chunks), "frequencies")
+    bands = stored(band_codes(chunks, answers, documents), "bands")
+    rows = bands.join(copied.select("id"), "id", "left_anti").select("chunk", "id", F.posexplode("codes").alias("band", "code"))
     sizes = rows.groupBy("band", "code").agg(F.count(F.lit(1)).alias("m"), F.min_by("id", F.xxhash64("band", "id")).alias("leader")).where("m > 1")
-    members = stored(rows.join(sizes, ["band", "code"]), "buckets")
+    members = stored(rows.join(stored(sizes, "sizes"), ["band", "code"]), "buckets")
+    sets = stored(set_rows(chunks, answers, documents, members.select("chunk", "id").distinct()), "sets")
+    for done in (chunks, answers, bands):
+        discard(done)
     small = members.where(F.col("m") <= SMALL)
     every = small.select("band", "code", F.col("id").alias("a")).join(small.select("band", "code", F.col("id").alias("b")), ["band", "code"]).where("a < b").select("a", "b")
     star = members.where((F.col("m") > SMALL) & (F.col("id") != F.col("leader"))).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-    links = stored(links_of(every.union(star).distinct(), docs, idf), "verified")
-    found = components(links)
-
-    def unsettled(found: DataFrame) -> DataFrame:
-        """Members of large buckets that hold several classes and may link them, with class, weights and codes."""
-        large = members.where(F.col("m") > SMALL).select("band", "code", "id").join(found.select(F.col("node").alias("id"), "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
-        in_class = large.groupBy("band", "code", "class").agg(F.count(F.lit(1)).alias("n"))
-        largest = in_class.groupBy("band", "code").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        large = stored(large.join(largest, ["band", "code"]), "outside")
-        return stored(large.join(shareable(large.select("id", "class"), docs, idf), "id").join(bands, "id"), "shareable")
-
-    # the member that has least of its own is the likeliest to be what the others were copied from
-    large = unsettled(found)
-    hubs = large.groupBy("band", "code").agg(F.max_by(F.struct("id", "class"), F.struct(F.col("shared") / F.col("total"), "id")).alias("hub"))
-    spokes = large.join(hubs, ["band", "code"]).where(F.col("class") != F.col("hub.class"))
-    spokes = spokes.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-    links = stored(links.union(links_of(spokes, docs, idf)).distinct(), "verified")
+    links = stored(links_of(every.union(star).distinct(), sets).union(by_text), "verified")
     found = components(links)
-    large = unsettled(found)
-    outside = large.where(F.col("class") != F.col("largest")).select("band", "code", F.col("id").alias("x"), F.col("class").alias("of_x"), F.col("codes").alias("codes_x"), F.col("shared").alias("shared_x"), F.col("total").alias("total_x"))
-    within = large.select("band", "code", F.col("id").alias("y"), F.col("class").alias("of_y"), F.col("codes").alias("codes_y"), F.col("shared").alias("shared_y"), F.col("total").alias("total_y"))
-    # two documents meet in the first band that they share, and not in its others again
-    first_shared = F.array_position(F.zip_with("codes_x", "codes_y", lambda x, y: x == y), True) - 1
-    least_union = F.col("total_x") - F.col("shared_x") + F.col("total_y") - F.col("shared_y") + F.greatest("shared_x", "shared_y")
-    possible = F.least("shared_x", "shared_y") >= SIMILAR * least_union - SLACK
-    rest = outside.join(within, ["band", "code"]).where((F.col("of_x") != F.col("of_y")) & possible & (first_shared == F.col("band")))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stored(links_of(rest, docs, idf), "verified")
-    if not more.isEmpty():
-        found = components(links.union(more))
+    large = members.where(F.col("m") > SMALL).select("band", "code", "id").join(found.select(F.col("node").alias("id"), "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    several = large.groupBy("band", "code").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "code")
+    unsettled = stored(large.join(several, ["band", "code"], "left_semi").select("id", "class").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        more = stored(links_of(met_by_prefix(unsettled, sets), sets), "verified")
+        if not more.isEmpty():
+            found = components(links.union(more))
+    for done in (members, sets, links, unsettled):
+        discard(done)
     first = slim.select("id").distinct().join(copied, "id", "left").withColumn("rep", F.coalesce("first", "id"))
     return first.join(found.select(F.col("node").alias("rep"), "class"), "rep", "left").select("id", F.coalesce("class", "rep").alias("class"))
 
@@ -290,6 +289,12 @@ def op8_near_dup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class, the document of smallest id."""
+    """Pipeline stage: of each class, the document of smallest id; of rows that repeat this id, one. All documents without a
+    word, null ones too, are copies of each other only if their texts are equal (null is empty)."""
     rest = classes(docs).where("id <> class").select(F.col("id").alias("doc_id"))
-    return docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(rest, "doc_id", "left_anti")
+    repeated = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)

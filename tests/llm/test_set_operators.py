@@ -1,11 +1,13 @@
 """Top-k, near duplicates, decontamination, substring removal and the pipeline against brute force on small inputs."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from inkstream.llm import decontaminate, near_dup, substring_dedup, topk
+from inkstream.llm import chunks, decontaminate, near_dup, substring_dedup, topk
 from inkstream.llm._common import WordCodes
 from inkstream.llm.components import components
 from inkstream.llm.fm_index import FmIndex, suffix_order
@@ -97,10 +99,18 @@ def grown(r, text, edits):
     return " ".join(words)
 
 
-def plain_classes(docs, idf):
-    sets, shingles = {}, near_dup.Shingles(idf)
-    for i, t in docs:
-        sets[i] = shingles.of(t or "")
+def plain_classes(docs):
+    """From the definition: the exact frequency of every word, dictionaries of shingles, all pairs."""
+    texts = {i: t or "" for i, t in docs}
+    words = {i: t.lower().split() for i, t in texts.items()}
+    held = Counter(w for x in words.values() for w in set(x))
+    level = {w: round(math.log1p(len(texts) / n) * 1024) for w, n in held.items()}
+    sets = {}
+    for i, x in words.items():
+        n = min(5, len(x))
+        sets[i] = Counter()
+        for k in range(len(x) - n + 1 if n else 0):
+            sets[i][tuple(x[k : k + n])] += sum(level[w] for w in x[k : k + n])
     parent = {i: i for i in sets}
 
     def find(x):
@@ -108,18 +118,21 @@ def plain_classes(docs, idf):
             x = parent[x]
         return x
 
-    texts = dict(docs)
     for i in sets:
         for j in sets:
-            if i < j and ((texts[i] or "") == (texts[j] or "") or near_dup.similarity(sets[i], sets[j]) >= 0.8):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
+            if i < j:
+                shared = sum((sets[i] & sets[j]).values())
+                if texts[i] == texts[j] or shared and shared * 5 >= 4 * sum((sets[i] | sets[j]).values()):
+                    a, b = find(i), find(j)
+                    parent[max(a, b)] = min(a, b)
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("small", [2, 16])
-def test_near_duplicate_classes(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, bounds", [(2, 300), (2, 2_000_000), (16, 1000)])
+def test_near_duplicate_classes(spark, monkeypatch, small, bounds):
     monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(chunks, "CHUNK", bounds)
+    monkeypatch.setattr(chunks, "SHARD", bounds)
     r = random.Random(11)
     docs = [(0, None), (1, ""), (2, " "), (3, "one"), (4, "One"), (5, "a b c"), (6, "a b c"), (7, "a b d")]
     for base in range(6):
@@ -133,20 +146,45 @@ def test_near_duplicate_classes(spark, monkeypatch, small):
         chain = grown(r, chain, 3)
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, id int, class int")
     found = {x["id"]: x["class"] for x in near_dup.classes(df).collect()}
-    assert found == plain_classes(docs, near_dup.document_frequencies(df))
+    assert found == plain_classes(docs)
     assert near_dup.classes(df.limit(0)).count() == 0
 
 
+def test_texts_a_little_less_alike_than_the_limit_make_few_pairs(spark, monkeypatch):
+    """60 variants of one text, all pairs just below the limit: nothing is linked and hardly a pair is compared."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(200)]
+    docs = [(i, " ".join(base[:168] + [f"own{i}x{k}" for k in range(22)])) for i in range(60)] + [(60 + i, " ".join(base + [f"own{i}"])) for i in range(6)]
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    compared = []
+    monkeypatch.setattr(near_dup, "links_of", lambda pairs, sets, real=near_dup.links_of: (compared.append(pairs.count()), real(pairs, sets))[1])
+    found = {x["id"]: x["class"] for x in near_dup.classes(df).collect()}
+    assert found == plain_classes(docs)
+    assert sum(compared) < 600  # all pairs are 2145
+
+
+def test_ids_that_repeat_are_one_document(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (2, text), (3, "x y z"), (3, text), (4, "x y z"), (5, "other words"), (5, "other words"), (None, text)]
+    found = {x["id"]: x["class"] for x in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    kept = near_dup.keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted((x.doc_id or 0) for x in kept.collect()) == [0, 1, 5]
+
+
 def test_icws_agrees_as_often_as_sets_are_similar():
     r = np.random.default_rng(4)
     sampler, agreed, expected = near_dup.Sampler(), [], []
     for trial in range(60):
         codes = np.unique(r.integers(1, 2**63, 300).astype(np.uint64))
-        w = r.uniform(1, 9, len(codes))
-        v = w * r.choice([1, 1, 1, 2, 0.5], len(codes))
+        w = r.integers(1000, 9000, len(codes)) * 2
+        v = (w * r.choice([1, 1, 1, 2, 0.5], len(codes))).astype(np.int64)
         a, b = (codes[:280], w[:280]), (codes[20:], v[20:])
         agreed.append((sampler.samples(*a) == sampler.samples(*b)).mean())
-        expected.append(near_dup.similarity(a, b))
+        shared, total = near_dup.shared_and_total(a, b)
+        expected.append(shared / total)
     assert abs(np.mean(agreed) - np.mean(expected)) < 0.03
 
 
