@@ -1,4 +1,6 @@
-"""A compressed FM-index over sequences of numbers: the Burrows-Wheeler transform in a wavelet matrix of packed bits."""
+"""A compressed FM-index over sequences of numbers: the Burrows-Wheeler transform in a wavelet matrix of packed bits, about
+one and a half bits for each bit of a symbol, and the document of each suffix in as few bytes as name one. Neither the text
+nor the suffix array is kept."""
 
 from __future__ import annotations
 
@@ -72,26 +74,38 @@ def _crosses(ends: np.ndarray, span: int) -> np.ndarray:
 
 
 class FmIndex:
-    """symbols: sequences of numbers from 1 to size - 1, each followed by 0."""
+    """symbols: sequences of numbers from 1 to size - 1, each followed by 0. documents: whose each symbol is, from 0."""
 
-    def __init__(self, symbols: np.ndarray, size: int):
-        self.order = suffix_order(symbols)
-        self.tree = WaveletMatrix(symbols[self.order - 1], size)
+    def __init__(self, symbols: np.ndarray, size: int, documents: np.ndarray):
+        order = suffix_order(symbols)
+        self.documents = documents[order].astype(np.min_scalar_type(int(documents.max())))
+        self.tree = WaveletMatrix(symbols[order - 1], size)
         count = np.bincount(symbols, minlength=size)
         every = np.arange(size)
         self.first = np.concatenate([[0], np.cumsum(count)[:-1]]) - self.tree.place(every, np.zeros(size, np.int64))
         self.n = len(symbols)
 
-    def search(self, symbols: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search for the `length` symbols before each of `ends`: [low, high) among the ordered suffixes. A match
-        that gets down to one occurrence is not extended; its interval is then that of a shorter match."""
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+    def statistics(self, symbols: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a streamed text at each of `ends`, by backward search: (length, low, high), where length is
+        that of the longest match (up to `most`) that ends there and stands in the index more than once, and [low, high) its
+        interval among the ordered suffixes. A match never runs over a 0."""
+        length, low, high = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         going = np.arange(len(ends))
-        for step in range(1, length + 1):
-            symbol = symbols[ends[going] - step]
-            low[going] = self.first[symbol] + self.tree.place(symbol, low[going])
-            high[going] = self.first[symbol] + self.tree.place(symbol, high[going])
-            going = going[high[going] - low[going] > 1]
+        for step in range(1, most + 1):
+            at = ends[going] - step
+            symbol = np.where(at >= 0, symbols[at], 0)
+            a, z = (self.first[symbol] + self.tree.place(symbol, x[going]) for x in (low, high))
+            more = (z - a > 1) & (symbol > 0)
+            going = going[more]
+            low[going], high[going], length[going] = a[more], z[more], step
             if not len(going):
                 break
-        return low, high
+        return length, low, high
+
+    def least_documents(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least document of each interval; intervals are equal or disjoint."""
+        lows, which = np.unique(low, return_inverse=True)
+        highs = np.zeros(len(lows), np.int64)
+        highs[which] = high
+        padded = np.append(self.documents, self.documents.dtype.type(np.iinfo(self.documents.dtype).max))
+        return np.minimum.reduceat(padded, np.stack([lows, highs], 1).ravel())[::2][which] if len(lows) else lows

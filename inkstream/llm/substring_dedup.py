@@ -10,12 +10,13 @@ stretch. Equal windows have equal anchors, so:
    one by one, by their own hash, so that no anchor fills a shard. A task that has met the same stretch in a smaller
    document settles it at once, so of equal stretches few are shipped;
 3. each shard puts its different stretches into a compressed FM-index and streams them through backward search over its
-   wavelet matrix; the interval of a window that reaches MIN_WORDS holds the documents that have it, and the smallest
-   decides;
+   wavelet matrix, for matching statistics at the end of each window; the interval of a match of MIN_WORDS holds the
+   documents that have it, and the smallest decides. Words are compared themselves, hashes only say which may be equal;
 4. the ranges return to their documents.
 
 Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return, unchanged. Null and
-empty texts have none. Rows that repeat an id are one document each, of equal id, and remove nothing from each other.
+empty texts have none. Rows that repeat an id are one document each, of equal id, and remove nothing from each other; a row
+without an id loses and removes nothing. An empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -72,33 +73,44 @@ def anchor_rows(docs: DataFrame, n: int) -> DataFrame:
 
 
 def shipped(candidates: DataFrame, n: int) -> DataFrame:
-    """(id, start, route, words, codes) of each stretch; codes are null where a smaller document of the task had it."""
+    """(id, start, route, words, text) of each stretch; text, its words as they are, is null where a smaller document of the
+    task had the same (by a 128-bit digest of the words). Documents come in the order of their ids, whatever the files' is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, met = WordCodes(), {}
+        codes, met = WordCodes(), {}
         for batch in batches:
             out: list[tuple] = []
             for own, text, cold, hot in zip(batch.column("id").to_pylist(), raw_texts(batch.column("text")), batch.column("cold").to_pylist(), batch.column("hot").to_pylist()):
-                codes = words.of(text.split())
-                five, at = anchors_of(codes, n)
-                routes, long, short = five[at].tolist(), codes.tobytes(), (codes >> np.uint64(32)).astype("<u4").tobytes()
+                words = text.split()
+                five, at = anchors_of(codes.of(words), n)
+                routes = five[at].tolist()
+                whole = b" ".join(words)
+                edges = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
                 wanted = [(x >> 4, (x & 15) + n - 1, False) for x in cold] + [(w, n, True) for x in hot for w in range(x >> 4, (x >> 4) + (x & 15))]
                 for start, size, alone in wanted:
-                    whole = long[8 * start : 8 * (start + size)]
-                    key = xxhash.xxh3_128_intdigest(whole)
+                    part = whole[edges[start] : edges[start + size] - 1]
+                    key = xxhash.xxh3_128_intdigest(part)
+                    route = key & 0xFFFFFFFFFFFFFFFF if alone else routes[start]
                     if met.get(key, own) < own:
-                        out.append((own, start, own >> 1, size, None))
+                        out.append((own, start, route >> 1, size, None))
                         continue
                     if len(met) > MEMO:
                         met.clear()
                     met[key] = own
-                    route = key & 0xFFFFFFFFFFFFFFFF if alone else routes[start]
-                    out.append((own, start, route >> 1, size, short[4 * start : 4 * (start + size)]))
+                    out.append((own, start, route >> 1, size, part))
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int16(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["id", "start", "route", "words", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["id", "start", "route", "words", "text"])
+
+    return candidates.sortWithinPartitions("id").select("id", "text", "cold", "hot").mapInArrow(run, "id long, start int, route long, words short, text binary")
+
+
+class Symbols(dict):
+    """word -> its number in a shard, from 1."""
 
-    return candidates.select("id", "text", "cold", "hot").mapInArrow(run, "id long, start int, route long, words short, codes binary")
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 1
+        return number
 
 
 def runs(removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,46 +119,40 @@ def runs(removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search_shard(rows: pd.DataFrame, n: int = MIN_WORDS) -> pd.DataFrame:
-    """(id, start, end): the word ranges that this shard's stretches have removed."""
-    settled = rows[rows["codes"].isna()]
-    rows = rows[rows["codes"].notna()].sort_values("id", kind="stable")
+    """(id, start, end): the word ranges that this shard's stretches have removed. Words are compared as they are."""
+    settled = rows[rows["text"].isna()]
+    rows = rows[rows["text"].notna()].sort_values("id", kind="stable")
     out = [(settled["id"].to_numpy(), settled["start"].to_numpy(), settled["start"].to_numpy() + settled["words"].to_numpy())]
     if len(rows):
-        first = rows.groupby("codes", sort=False)["id"].transform("first")
+        first = rows.groupby("text", sort=False)["id"].transform("first")
         later = rows["id"] > first  # the whole stretch stands in a smaller document
         gone = rows[later]
         out.append((gone["id"].to_numpy(), gone["start"].to_numpy(), gone["start"].to_numpy() + gone["words"].to_numpy()))
         rows = rows[~later]
-        different = rows.drop_duplicates("codes")
+        different = rows.drop_duplicates("text")
         size = different["words"].to_numpy(np.int64)
         ends = np.cumsum(size + 1) - 1  # of each sequence: where its 0 stands
         text = np.zeros(int(ends[-1]) + 1, np.int64)
         spot = np.ones(len(text), bool)
         spot[ends] = False
-        known, text[spot] = np.unique(np.frombuffer(b"".join(different["codes"]), "<u4"), return_inverse=True)
-        text[spot] += 1
-        index = FmIndex(text, len(known) + 1)
-        owner = np.repeat(different["id"].to_numpy(), size + 1)
+        numbers = Symbols()
+        text[spot] = np.fromiter(map(numbers.__getitem__, b" ".join(different["text"]).split()), np.int64, int(size.sum()))
+        owners, owner = np.unique(different["id"].to_numpy(), return_inverse=True)
+        owner = np.repeat(owner, size + 1)
+        index = FmIndex(text, len(numbers) + 1, owner)
         windows = size - n + 1
         starts = np.repeat(ends - size, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        low, high = index.search(text, starts + n, n)
-        several = np.flatnonzero(high - low > 1)
-        lows, which = np.unique(low[several], return_inverse=True)  # intervals of one length are equal or disjoint
-        earlier = np.zeros(len(starts), bool)
-        if len(lows):
-            highs = np.zeros(len(lows), np.int64)
-            highs[which] = high[several]
-            bounds = np.stack([lows, highs], 1).ravel()
-            least = np.minimum.reduceat(np.append(owner[index.order], np.iinfo(np.int64).max), bounds)[::2]
-            earlier[several] = least[which] < owner[starts[several]]
+        length, low, high = index.statistics(text, starts + n, n)
+        long = np.flatnonzero(length == n)
+        earlier = starts[long[index.least_documents(low[long], high[long]) < owner[starts[long]]]]
         covered = np.zeros(len(text) + 1, np.int64)
-        np.add.at(covered, starts[earlier], 1)
-        np.add.at(covered, starts[earlier] + n, -1)
+        np.add.at(covered, earlier, 1)
+        np.add.at(covered, earlier + n, -1)
         begin, end = runs(np.cumsum(covered)[:-1] > 0)  # the 0s part the sequences
         of = np.searchsorted(ends, begin)
         base = ends - size
-        found = pd.DataFrame({"codes": different["codes"].to_numpy()[of], "a": begin - base[of], "b": end - base[of]})
-        hits = rows.merge(found, on="codes")
+        found = pd.DataFrame({"text": different["text"].to_numpy()[of], "a": begin - base[of], "b": end - base[of]})
+        hits = rows.merge(found, on="text")
         out.append((hits["id"].to_numpy(), (hits["start"] + hits["a"]).to_numpy(), (hits["start"] + hits["b"]).to_numpy()))
     return pd.DataFrame({name: np.concatenate(x).astype(np.int64) for name, x in zip(("id", "start", "end"), zip(*out))})
 
@@ -154,15 +160,21 @@ def search_shard(rows: pd.DataFrame, n: int = MIN_WORDS) -> pd.DataFrame:
 def repeated_ranges(docs: DataFrame, n: int = MIN_WORDS) -> DataFrame:
     """(id, ranges): the word ranges, as start x 2^32 + end, that windows of n words of smaller documents cover. docs: (id, text)."""
     anchors = stored(anchor_rows(docs, n), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("anchor", (F.col("n") > HOT).alias("is_hot"))
+    shared = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    shared = stored(shared.select("anchor", (F.col("n") > HOT).alias("is_hot")), "shared")  # as a table of its own, so that Spark may split a hot anchor
     found = anchors.join(shared, "anchor").select("id", "stretch", "is_hot")
     found = stored(found.groupBy("id").agg(*[F.collect_list(F.when(F.col("is_hot") == hot, F.col("stretch"))).alias(name) for name, hot in (("cold", False), ("hot", True))]), "candidates")
-    discard(anchors)
+    for done in (anchors, shared):
+        discard(done)
     total = found.agg(F.sum(F.size("cold") + 9 * F.size("hot"))).first()[0] or 0
     shards = max(1, -(-total // PER_SHARD))
+    docs.sparkSession._jvm.System.gc()  # lets Spark remove the shuffle files of the anchors
     sent = shipped(found.join(docs, "id"), n).withColumn("shard", F.pmod("route", F.lit(shards)).cast("int")).drop("route")
     ranges = sent.groupBy("shard").applyInPandas(lambda rows: search_shard(rows, n), "id long, start long, end long")
-    return ranges.groupBy("id").agg(F.collect_set(F.shiftleft("start", 32) + F.col("end")).alias("ranges"))
+    ranges = stored(ranges.groupBy("id").agg(F.collect_set(F.shiftleft("start", 32) + F.col("end")).alias("ranges")), "ranges")
+    discard(found)
+    docs.sparkSession._jvm.System.gc()
+    return ranges
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = MIN_WORDS) -> DataFrame:

@@ -24,16 +24,22 @@ def test_suffix_order_and_backward_search():
         text = np.array([x for p in parts for x in [*p, 0]])
         marks = np.where(text == 0, np.cumsum(text == 0) - 1000, text)
         assert suffix_order(text).tolist() == sorted(range(len(text)), key=lambda i: marks[i:].tolist())
-        index, n = FmIndex(text, 4), 3
-        ends = [i for i in range(n, len(text) + 1) if 0 not in text[i - n : i].tolist()]
-        if ends:
-            low, high = index.search(text, np.array(ends), n)
-            for end, a, b in zip(ends, low, high):
-                there = [i for i in range(len(text) - n + 1) if text[i : i + n].tolist() == text[end - n : end].tolist()]
-                if len(there) > 1:
-                    assert sorted(index.order[a:b].tolist()) == there
-                else:
-                    assert b - a == 1
+        owner = np.cumsum(text == 0) - (text == 0)
+        index, most = FmIndex(text, 4, owner), 5
+        ends = np.arange(1, len(text) + 1)
+        found = list(zip(ends.tolist(), *(x.tolist() for x in index.statistics(text, ends, most))))
+        for end, length, low, high in found:
+            def places(k):
+                part = text[end - k : end].tolist()
+                return [i for i in range(len(text) - k + 1) if text[i : i + k].tolist() == part] if k <= end and 0 not in part else []
+
+            assert length == max([k for k in range(1, most + 1) if len(places(k)) > 1], default=0)
+            if length:
+                assert sorted(index.documents[low:high].tolist()) == sorted(owner[places(length)].tolist())
+        same = [(low, high) for _, length, low, high in found if length == 3]
+        if same:
+            least = index.least_documents(*map(np.array, zip(*same)))
+            assert least.tolist() == [index.documents[a:z].min() for a, z in same]
 
 
 def plain_removal(docs, n):
@@ -60,11 +66,20 @@ def test_substring_removal(spark, monkeypatch, hot):
         parts = [prose(r, r.randint(0, 40)) if r.random() < 0.5 else r.choice(shared) for _ in range(r.randint(1, 5))]
         docs.append((i, r.choice([" ", "\n", " \t"]).join(w for p in parts for w in p)))
     docs += [(i + 100, t) for i, t in docs[10:20]] + [docs[20], docs[21], docs[21]]
-    rows = substring_dedup.deduplicated(spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, ranges string")).collect()
-    assert sorted(tuple(x) for x in rows) == plain_removal(docs, 13)
+    for order in (docs, docs[::-1]):
+        rows = substring_dedup.deduplicated(spark.createDataFrame([(i, t, "k") for i, t in order], "doc_id long, text string, ranges string")).collect()
+        assert sorted(tuple(x) for x in rows) == plain_removal(docs, 13)
     assert substring_dedup.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_words_of_equal_hash_halves_are_not_equal(spark):
+    """Two words whose hashes agree in the upper 32 bits, before twelve equal words."""
+    rest = " ".join(f"common{k}" for k in range(12))
+    docs = [(1, f"k19697 {rest}"), (2, f"k34370 {rest}"), (3, f"k19697 {rest}")]
+    rows = substring_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {1: 0, 2: 0, 3: 13}
+
+
 def plain_top(rows, k):
     out = []
     rows = sorted({(i, tuple(int(np.floor(256 * float(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)})
