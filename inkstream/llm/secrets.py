@@ -1,11 +1,15 @@
 """Secret scans: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
-The lexer turns a text into (name, value) pairs as they stand in code, JSON, YAML, INI, shell and command lines. A value is
-a chain of literals and names; names are replaced by the constants last assigned to them, so a literal is followed to
-wherever it is used. A literal that reaches a name which sounds like a secret is scored by that name and by its own
-shape. Spans are code points, end exclusive; `value` is where the secret itself starts inside its span.
-
-Every row is scanned by itself: no shuffle, whole texts. Null and empty texts have no spans.
+The lexer turns a text into (name, value) pairs: assignments and key-value lines of code, JSON, YAML (block scalars too), INI
+and shell, several names at once, default values of shell parameters, elements and key/value attributes of XML, and calls
+that set something (`setPassword("...")`, `put("token", "...")`). A value is a chain of literals and names; a name stands
+for what it was last assigned in its function or around it, so a literal is followed to wherever it is used. A value that
+reaches a name which sounds like a secret is scored by that name and by its own shape. Spans are code points, end
+exclusive; `value` is where the secret itself starts inside its span.
+
+Values refer to the values they are made of and carry sums over their characters, so a text of any number of parts is
+lexed in about linear time and none is left out. Every row is scanned by itself: no shuffle, whole texts. Null and empty
+texts have no spans; rows that repeat an id are scanned each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,15 +44,33 @@ SENSITIVE = {
 #: Words of a name that say it holds no secret itself: its place, size, kind or time.
 HARMLESS = {"path", "file", "url", "uri", "length", "len", "size", "count", "type", "name", "id", "field", "label", "public", "expiry", "ttl", "timeout", "hint", "policy", "column"}
 PLACEHOLDER = re.compile(r"(?i)\A(.)\1*\Z|changeme|change_me|example|placeholder|your[_-]|dummy|redacted|<[^<>]*>|\$\{|\{\{|xxx|\*\*\*|\A(none|null|true|false|undefined)\Z", re.S)
-#: A value of more parts than these is a text and no credential; it is not followed.
-MAX_PARTS = 256
 #: Least score of a literal.
-SCORE = 1.0
-
-NAME = re.compile(r"""(?<![\w$])(?<![\w$][.\-])(?P<q>["']?)(?P<name>[A-Za-z_$][\w$]*(?:[.\-][\w$]+)*(?:\[["'][^"'\]\n]{1,80}["']\])?)(?P=q)[ \t]*(?:=>|:=|\+=|=(?!=)|:(?![/:]))[ \t]*""", re.A)
-QUOTED = re.compile(r'''[rbuf]{0,2}("""|\'\'\'|["'`])((?:\\.|(?!\1)[^\\\n])*)\1''', re.A)
+SCORE = 1.4
+#: First words of calls that set what they name, and of those whose first argument is the name.
+SETTERS = {"set", "with", "use", "add", "put", "init", "configure", "define", "assign", "update"}
+NAMERS = SETTERS | {"setenv", "putenv", "header", "property", "option", "param", "env", "environ", "setitem", "export"}
+
+_NAME = r"[A-Za-z_$][\w$]*(?:[.\-][\w$]+)*"
+EVENT = re.compile(
+    rf"""^(?P<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+\w+
+    |\b(?:function|func|fun|fn|sub)\b[^\n{{}};=]{{0,200}}(?P<body>\{{)
+    |\$\{{(?P<default>\w+):?[-=](?P<otherwise>[^{{}}\n]*)\}}
+    |(?P<brace>[{{}}])
+    |<(?P<element>[\w.:\-]+)(?:\s[^<>]*)?>(?P<content>[^<>\n]+)</(?P=element)\s*>
+    |\b(?i:key|name)\s*=\s*(?P<kq>["'])(?P<kv_name>[^"'\n]{{1,80}})(?P=kq)\s+(?i:value)\s*=\s*(?P<vq>["'])(?P<kv_value>[^"'\n]*)(?P=vq)
+    |(?<![\w$.])(?P<names>[A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*){{1,30}})[ \t]*=(?![=>])[ \t]*
+    |(?<![\w$])(?<![\w$][.\-])(?P<q>["']?)(?P<name>{_NAME}(?:\[["'][^"'\]\n]{{1,80}}["']\])?)(?P=q)[ \t]*
+        (?:(?P<op>=>|:=|\+=|=(?!=)|:(?![/:]))[ \t]*|(?P<call>\()(?=\s*["'`]))""",
+    re.A | re.M | re.X,
+)
+QUOTED = re.compile(r"""[rbuf]{0,2}(?:(?P<three>\"{3}|'{3})(?P<long>(?:\\.|(?!(?P=three))[^\\])*)(?P=three)|(?P<one>["'`])(?P<short>(?:\\.|(?!(?P=one))[^\\\n])*)(?P=one))""", re.A | re.S)
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
-JOIN = re.compile(r"[ \t]*(?:\+|\.\.|~)[ \t]*")
+#: The same inside a bare word that has been read before: from one sign of assignment to the next.
+INNER = re.compile(r"""[^\s"'`,;(){}\[\]<>=:]+(?:=+(?![^\s"'`,;(){}\[\]<>]))?""")
+DEFAULT = re.compile(r"\$\{\w+:?[-=]([^{}\n]*)\}")
+BLOCK = re.compile(r"[|>][+\-0-9]*[ \t]*\n")
+LINE = re.compile(r"([ \t]*)([^\n]*)(?:\n|\Z)")
+JOIN = re.compile(r"[ \t]*(?:\+|\.\.|~)[ \t]*(?:\\?\n[ \t]*)?")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*\Z", re.A)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -60,10 +82,34 @@ class Span(NamedTuple):
     value: int
 
 
-class Literal(NamedTuple):
-    start: int
-    end: int
-    quoted: bool
+class Value:
+    """A literal, or a chain of values; with what scoring needs to know of all its characters. Lengths and counts are of the
+    chain as it would be joined, brought down together where they get beyond any use."""
+
+    __slots__ = ("span", "parts", "length", "counts", "spaced", "quoted", "dull", "shown")
+
+    def __init__(self, span: tuple[int, int] | None = None, text: str = "", quoted: bool = False, parts: tuple[Value, ...] = ()):
+        self.span, self.parts, self.shown = span, parts, False
+        self.length, self.counts = len(text) + sum(p.length for p in parts), Counter(text)
+        for p in parts:
+            self.counts.update(p.counts)
+        if self.length > 2**40:
+            self.counts = Counter({c: max(1, n >> 20) for c, n in self.counts.items()})
+            self.length = sum(self.counts.values())
+        self.quoted = quoted or any(p.quoted for p in parts)
+        self.spaced = any(map(str.isspace, text)) or any(p.spaced for p in parts)
+        self.dull = bool(PLACEHOLDER.search(text)) if span else all(p.dull for p in parts)  # one part that stands for nothing does not make the rest dull
+
+    def literals(self) -> Iterator[tuple[int, int]]:
+        """Spans of the literals it is made of that have not been given yet."""
+        open_ = [self]
+        while open_:
+            v = open_.pop()
+            if not v.shown:
+                v.shown = True
+                if v.span:
+                    yield v.span
+                open_ += v.parts
 
 
 def base_spans(text: str) -> list[Span]:
@@ -84,61 +130,174 @@ def name_score(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(w, 0.0) for w in set(words)))
 
 
-def value_score(value: str, quoted: bool) -> float:
+def value_score(value: Value) -> float:
     """From 0 (a word, a placeholder) to 1 (long and mixed)."""
-    if len(value) < LEAST["assign"] or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
+    if value.length < LEAST["assign"] or value.dull or value.spaced or len(value.counts) < 2:
         return 0.0
-    counts = Counter(value)
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    classes = sum(any(test(c) for c in counts) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    if not quoted and classes < 2:
+    bits = -sum(n / value.length * math.log2(n / value.length) for n in value.counts.values())
+    classes = sum(any(test(c) for c in value.counts) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    if not value.quoted and classes < 2:
         return 0.0
-    return min(1.0, bits / 4) * (0.6 + 0.2 * min(classes - 1, 2)) + 0.1 * quoted
-
-
-def pairs(text: str) -> Iterator[tuple[str, list[Literal]]]:
-    """(name, the literals that reach it) by assignment, in the order of the text."""
-    constants: dict[str, list[Literal]] = {}
-    at = 0
-    while m := NAME.search(text, at):
-        at, literals = m.end(), []
-        while True:
-            if q := QUOTED.match(text, at):
-                literals.append(Literal(*q.span(2), True))
-                at = q.end()
-            elif b := BARE.match(text, at):
-                word = b.group().rstrip(".:")
-                if word in constants:
-                    literals += constants[word]
-                elif not IDENTIFIER.match(word) or any(c.isdigit() for c in word):
-                    literals.append(Literal(at, at + len(word), False))
-                if "=" in word[1:-1] or ":" in word[1:-1]:  # an assignment may stand inside: --set=key=value
-                    at = max(m.end(), at)
-                    break
-                at = b.end()
-            else:
+    return min(1.0, bits / 4) * (0.6 + 0.2 * min(classes - 1, 2)) + 0.1 * value.quoted
+
+
+class Scopes:
+    """What names stand for: the text itself, and in it functions, which end with their indentation or their brace."""
+
+    def __init__(self):
+        self.open: list[tuple[dict[str, Value], int, int]] = [({}, -1, -1)]  # names, indentation, depth of braces; -1: neither
+        self.depth = 0
+        self.bare_end = 0  # of the last bare word
+
+    def find(self, name: str) -> Value | None:
+        return next((names[name] for names, _, _ in reversed(self.open) if name in names), None)
+
+    def put(self, name: str, value: Value) -> None:
+        self.open[-1][0][name] = value
+
+    def line(self, indent: int) -> None:
+        while self.open[-1][1] >= indent:
+            self.open.pop()
+
+    def braces(self, brace: str, is_body: bool = False) -> None:
+        if brace == "{":
+            self.depth += 1
+            if is_body:
+                self.open.append(({}, -1, self.depth))
+        else:
+            if self.open[-1][2] == self.depth:
+                self.open.pop()
+            self.depth = max(0, self.depth - 1)
+
+
+def parsed_value(text: str, at: int, scopes: Scopes, block: bool = False) -> tuple[Value | None, int]:
+    """The value that begins there, and where it ends. block: a YAML block scalar may begin here."""
+    parts: list[Value] = []
+    if block and (m := BLOCK.match(text, at)):
+        at, least = m.end(), None
+        while at < len(text):
+            m = LINE.match(text, at)
+            if m[2] and (least is None and not m[1] or least is not None and len(m[1]) < least):
                 break
-            j = JOIN.match(text, at)
-            if not j:
+            if m[2]:
+                least = len(m[1]) if least is None else least
+                parts.append(Value(m.span(2), m[2], True))
+            at = m.end()
+        return (Value(parts=tuple(parts)) if parts else None), at
+    inside = 0
+    while at < len(text):
+        if text[at] == "(" and not parts:
+            at, inside = at + 1, inside + 1
+            continue
+        if inside:
+            while at < len(text) and text[at].isspace():
+                at += 1
+        quoted = QUOTED.match(text, at)
+        if quoted:
+            which = "long" if quoted["three"] else "short"
+            parts.append(Value(quoted.span(which), quoted[which], True))
+            at = quoted.end()
+        elif d := DEFAULT.match(text, at):
+            parts.append(Value(d.span(1), d[1]))
+            break  # its own name is an event too
+        elif b := (INNER if at < scopes.bare_end else BARE).match(text, at):
+            word = b.group().rstrip(".:")
+            scopes.bare_end = max(scopes.bare_end, b.end())
+            if (known := scopes.find(word)) is not None:
+                parts.append(known)
+            elif not IDENTIFIER.match(word) or any(c.isdigit() for c in word):
+                parts.append(Value((at, at + len(word)), word))
+            if "=" in word[1:-1] or ":" in word[1:-1]:  # an assignment may stand inside: --set=key=value
                 break
+            at = b.end()
+        else:
+            break
+        if j := JOIN.match(text, at):
             at = j.end()
-        name = m.group("name")
-        constants[name] = literals = list(dict.fromkeys(literals)) if len(literals) <= MAX_PARTS else []
-        yield name, literals
+        elif not (quoted and QUOTED.match(text, at + len(text[at : at + 200]) - len(text[at : at + 200].lstrip(" \t\n" if inside else " \t")))):
+            break
+        else:
+            at += len(text[at : at + 200]) - len(text[at : at + 200].lstrip(" \t\n" if inside else " \t"))
+    if not parts:
+        return None, at
+    return (parts[0] if len(parts) == 1 else Value(parts=tuple(parts))), at
+
+
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, the value that it gets), in the order of the text."""
+    scopes, at, seen = Scopes(), 0, 0
+    while m := EVENT.search(text, at):
+        start, at = m.start(), m.end()
+        line = text.rfind("\n", seen, start) + 1
+        if line:
+            indent = len(text[line : line + 200]) - len(text[line : line + 200].lstrip(" \t"))
+            scopes.line(indent)
+        seen = start
+        found: list[tuple[str, Value | None]] = []
+        if m["indent"] is not None:
+            scopes.open.append(({}, len(m["indent"]), -1))
+        elif m["body"] or m["brace"]:
+            scopes.braces(m["body"] or m["brace"], bool(m["body"]))
+        elif m["default"]:
+            found.append((m["default"], Value(m.span("otherwise"), m["otherwise"])))
+        elif m["element"]:
+            raw = m["content"]
+            low = m.start("content") + len(raw) - len(raw.lstrip())
+            found.append((m["element"], Value((low, low + len(raw.strip())), raw.strip(), True)))
+        elif m["kv_name"]:
+            found.append((m["kv_name"], Value(m.span("kv_value"), m["kv_value"], True)))
+        elif m["names"]:
+            for name in m["names"].split(","):
+                value, end = parsed_value(text, at, scopes)
+                found.append((name.strip(), value))
+                if value is None:
+                    break
+                at = end
+                if comma := re.compile(r"[ \t]*,[ \t]*").match(text, at):
+                    at = comma.end()
+        elif m["call"]:
+            words = [w.lower() for w in WORDS.findall(m["name"].rsplit(".")[-1])]
+            first, end = parsed_value(text, _past_space(text, at), scopes)
+            comma = re.compile(r"\s*,\s*(?=[\"'`])").match(text, end)
+            if first is not None and words:
+                if comma and words[0] in NAMERS and first.span:
+                    second, end = parsed_value(text, comma.end(), scopes)
+                    found.append((text[slice(*first.span)], second))
+                elif not comma and (words[0] in SETTERS or words[0] in SENSITIVE):
+                    found.append((m["name"].rsplit(".")[-1], first))
+                else:
+                    end = at
+            at = max(at, end) if found else at
+        else:
+            value, end = parsed_value(text, at, scopes, m["op"] == ":")
+            if value is not None and value.span and not value.quoted and "=" in text[slice(*value.span)][1:-1]:
+                end = at
+            if m["op"] == "+=" and value is not None and (before := scopes.find(m["name"])) is not None:
+                value = Value(parts=(before, value))
+            found.append((m["name"], value))
+            at = max(at, end)
+        for name, value in found:
+            if value is None:
+                value = Value(parts=())
+            scopes.put(name, value)
+            yield name, value
+
+
+def _past_space(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
 
 
 def literal_spans(text: str) -> list[Span]:
-    if "=" not in text and ":" not in text:
+    if not any(c in text for c in "=:<("):
         return []
-    found = {}
-    for name, literals in pairs(text):
-        weight = name_score(name) if literals else 0.0
-        if weight < 0.5:
-            continue
-        value = "".join(text[x.start : x.end] for x in literals)
-        if weight + value_score(value, any(x.quoted for x in literals)) >= SCORE + 0.4:
-            found |= {Span("literal", x.start, x.end, x.start): None for x in literals if x.end > x.start}
-    return list(found)
+    found = []
+    for name, value in pairs(text):
+        weight = name_score(name) if value.length else 0.0
+        if weight >= 0.5 and weight + value_score(value) >= SCORE:
+            found += [Span("literal", a, z, a) for a, z in value.literals() if z > a]
+    return list(dict.fromkeys(found))
 
 
 def spans(text: str) -> list[Span]:
