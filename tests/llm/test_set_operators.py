@@ -241,6 +241,7 @@ def plain_matches(docs, items):
 @pytest.mark.parametrize("most", [32 << 20, 700])
 def test_decontamination(spark, monkeypatch, most):
     monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", most)
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 10 if most == 700 else 8192)
     r = random.Random(8)
     items = [(k, " ".join(prose(r, r.randint(14, 40), 3000))) for k in range(12)] + [(20, "four words only here"), (21, None), (22, "..."), (23, "solo")]
     docs = [(0, None), (1, ""), (2, "..."), (3, "Four, words (only) HERE!"), (4, "word " * 500)]
@@ -255,15 +256,38 @@ def test_decontamination(spark, monkeypatch, most):
     assert decontaminate.matches(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_index_returns_all_within_the_radius():
+def test_index_returns_all_within_the_radius_and_few_others():
     r = np.random.default_rng(3)
-    text = " ".join(f"w{i}" for i in range(30))
-    index = decontaminate.Index([(1, text)])
-    for _ in range(300):
-        flips = r.choice(128, int(r.integers(0, 70)), replace=False)
-        bits = np.unpackbits(index.prints[0])
-        bits[flips] ^= 1
-        assert (0 in index.near(np.packbits(bits), 30)) == (len(flips) <= decontaminate.RADIUS)
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(400)]
+    index = decontaminate.Index(texts)
+    for _ in range(200):
+        flips = r.choice(decontaminate.BITS, int(r.integers(0, 90)), replace=False)
+        bits = index.bits[:1].copy()
+        bits[0, flips] ^= True
+        assert ((0, 0) in index.near(bits, 30)) == (len(flips) <= decontaminate.RADIUS)
+        assert index.near(bits, 31) == []
+    rows, _ = index.candidates(r.random((300, decontaminate.BITS)) > 0.5)
+    assert len(rows) / (300 * 400) < 0.012
+
+
+def test_windows_at_the_limit_are_found():
+    """Of windows that are 0.8 to 0.85 similar to their item, nearly all; of more similar ones all."""
+    r = random.Random(4)
+    texts = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randint(20, 60)))) for i in range(400)]
+    index, lexicon = decontaminate.Index(texts), WordCodes(decontaminate.bare)
+    near, other = [0, 0], [0, 0]
+    for i, text in texts:
+        words = text.split()
+        changed = [f"z{k}" for k in range(r.randint(0, len(words) // 9))]
+        window = " ".join([*changed, *words[len(changed) :]])
+        size = len(words)
+        own, mine = (decontaminate.Words(t, lexicon) for t in (text, window))
+        exact = decontaminate.similarity(*(decontaminate.weighted(decontaminate.grams(w.codes, 5), w.letters(0, size, 5)) for w in (own, mine)))
+        if exact >= 0.8:
+            kind = near if exact < 0.85 else other
+            kind[0] += 1
+            kind[1] += i in index.find(window, lexicon)
+    assert other[0] == other[1] and near[0] > 30 and near[1] / near[0] > 0.95
 
 
 def test_pipeline_keeps_clean_documents(spark):
