@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from typing import NamedTuple
 
 #: Fixed values of HTML: elements by their role.
@@ -18,65 +19,106 @@ HIDDEN = frozenset("head noscript template iframe svg math select datalist butto
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 IN_P = BLOCKS - {"html", "body", "li", "dt", "dd", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"}
 
+INLINE = frozenset("a b i em strong span".split())
+
 TOKEN = re.compile(
     r"""<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]++)|(<)"""
 )
 NAMED = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
-class Element(NamedTuple):
-    tag: str
-    names: str  # class, id and role, as one string
+class Element:
+    """An open element: its tag, its class, id and role as one string, the element around it, and its nearest tag that is not inline."""
+
+    __slots__ = ("tag", "names", "parent", "depth", "block")
+
+    def __init__(self, tag: str, names: str, parent: Element | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = tag if tag not in INLINE else parent.block if parent else ""
+
+    def path(self) -> list[Element]:
+        """From the outermost element to this one."""
+        out, e = [], self
+        while e is not None:
+            out.append(e)
+            e = e.parent
+        return out[::-1]
 
 
 class Leaf(NamedTuple):
-    path: tuple[Element, ...]
+    inside: Element | None
     text: str
     linked: int  # code points inside links
 
 
+class _Stack:
+    """The open elements, and where the open elements of each tag stand, so that no end tag has to look through them all."""
+
+    def __init__(self):
+        self.open: list[Element] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.hidden = self.links = 0
+
+    def last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at[tag] else -1
+
+    def push(self, tag: str, names: str) -> None:
+        self.at[tag].append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.hidden += tag in HIDDEN
+        self.links += tag == "a"
+        self.open.append(Element(tag, names, self.open[-1] if self.open else None))
+
+    def pop(self, to: int) -> None:
+        while len(self.open) > to:
+            tag = self.open.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            self.hidden -= tag in HIDDEN
+            self.links -= tag == "a"
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+
 def leaves(page: str) -> list[Leaf]:
-    """The page's blocks of visible text in order: character references decoded, white space turned into one space."""
+    """The page's blocks of visible text in order: character references decoded, white space turned into one space. Time is
+    linear in the page, however deep its elements are."""
     found: list[Leaf] = []
-    stack: list[Element] = []
-    parts: list[str] = []
-    linked = hidden = links = 0
-    at, size = 0, len(page)
+    stack, parts = _Stack(), []
+    linked, at, size = 0, 0, len(page)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Leaf(tuple(stack), text, min(linked, len(text))))
+                found.append(Leaf(stack.open[-1] if stack.open else None, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def pop(to: int) -> None:
-        nonlocal hidden, links
-        for e in stack[to:]:
-            hidden -= e.tag in HIDDEN
-            links -= e.tag == "a"
-        del stack[to:]
-
     while at < size:
         m = TOKEN.match(page, at)
         at = m.end()
         if m.lastindex in (7, 8):
-            if not hidden:
+            if not stack.hidden:
                 text = html.unescape(m.group())
                 parts.append(text)
-                linked += len(text) if links else 0
+                linked += len(text) if stack.links else 0
             continue
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:  # an end tag
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
+            where = stack.last(tag)
             if tag in BLOCKS:
                 flush()
-            if where >= 0 and (tag in BLOCKS or not any(e.tag in BLOCKS for e in stack[where + 1 :])):
-                pop(where)
+            if where >= 0 and (tag in BLOCKS or stack.last_block() <= where):
+                stack.pop(where)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}", re.I).search(page, at)
@@ -85,31 +127,19 @@ def leaves(page: str) -> list[Leaf]:
         if tag in BLOCKS:
             flush()
         if tag in CLOSES:
-            shut, within = CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in shut:
-                    pop(i)
-                    break
-                if stack[i].tag in within:
-                    break
-        elif tag in IN_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == "p":
-                    pop(i)
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
+            shut, within = (max(map(stack.last, tags)) for tags in CLOSES[tag])
+            if shut > within:
+                stack.pop(shut)
+        elif tag in IN_P and stack.last("p") >= 0 and stack.last("p") == stack.last_block():
+            stack.pop(stack.last("p"))
         if tag == "br":
             parts.append(" ")
         if tag in VOID or (m[3] or m[6] or "").endswith("/") and tag not in BLOCKS:
             continue
-        if tag in HIDDEN and tag != "head" and not hidden:
+        if tag in HIDDEN and tag != "head" and not stack.hidden:
             parts.append(" ")
-        if tag == "body":
-            pop(next((i for i, e in enumerate(stack) if e.tag == "head"), len(stack)))
-        hidden += tag in HIDDEN
-        links += tag == "a"
-        names = " ".join(x for n in NAMED.findall(m[3] or m[6] or "") for x in n if x).lower()
-        stack.append(Element(tag, names))
+        if tag == "body" and stack.at["head"]:
+            stack.pop(stack.at["head"][0])
+        stack.push(tag, " ".join(x for n in NAMED.findall(m[3] or m[6] or "") for x in n if x).lower())
     flush()
     return found

@@ -6,13 +6,15 @@ conditional likelihood (forward-backward, Adam) on labelled pages, and a page is
 are made up (labelled_pages), their number is a parameter, and the model is fitted on the driver in a few seconds.
 
 Every page is extracted by itself, without a shuffle. Null and empty pages, and pages without article blocks, have the
-empty text. Broken markup never fails: unclosed elements are closed by what follows them.
+empty text. Broken markup never fails: unclosed elements are closed by what follows them. Rows that repeat an id are
+extracted each, an empty table gives no rows, and a column of the result's name gives way to it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +27,28 @@ from inkstream.llm.dom import Element, Leaf, leaves
 from inkstream.llm.labelled_pages import PageMaker
 
 TRAINING_PAGES = 800
+SCALE = 2**40
 WORD = re.compile(r"[a-z]+")
 BUCKETS = (1, 2, 4, 8, 16, 32, 64)
 
 
-def path_features(path: tuple[Element, ...]) -> set[str]:
-    out = set()
-    for e in path:
-        if e.tag not in ("html", "body"):
-            out.add("in:" + e.tag)
-        out.update("is:" + w for w in WORD.findall(e.names))
-    blocks = [e.tag for e in path if e.tag not in ("a", "b", "i", "em", "strong", "span")]
-    out.add("leaf:" + (blocks[-1] if blocks else ""))
-    outer = {e.tag for e in path}
-    for inside in ("aside", "nav", "footer", "form", "header"):
-        if inside in outer and ("article" in outer or "main" in outer):
-            out.add("article+" + inside)
-    return out
+PARTS = ("aside", "nav", "footer", "form", "header")
+
+
+def element_features(e: Element) -> list[str]:
+    return ["in:" + e.tag] * (e.tag not in ("html", "body")) + ["is:" + w for w in WORD.findall(e.names)]
+
+
+def place_features(e: Element | None, is_open: Callable[[str], bool]) -> list[str]:
+    """Features of where a leaf stands: its block, and parts of a page inside the article."""
+    inside = is_open("article") or is_open("main")
+    return ["leaf:" + (e.block if e else "")] + ["article+" + part for part in PARTS if inside and is_open(part)]
+
+
+def path_features(e: Element | None) -> set[str]:
+    path = e.path() if e else []
+    tags = {x.tag for x in path}
+    return {f for x in path for f in element_features(x)} | set(place_features(e, tags.__contains__))
 
 
 def text_features(leaf: Leaf, i: int, n: int) -> list[str]:
@@ -119,20 +126,44 @@ class Crf:
         return labels[::-1]
 
 
+class PathScores:
+    """Sums of the weights of path_features for leaves in page order: the features of open elements are counted as these open
+    and close, so a page costs its elements and not their depths. Sums are of whole numbers, and so exact."""
+
+    def __init__(self, weights: dict[str, int]):
+        self.weights, self.open, self.total = weights, [], 0
+        self.counts: Counter[str] = Counter()
+        self.tags: Counter[str] = Counter()
+
+    def _count(self, e: Element, step: int) -> None:
+        self.tags[e.tag] += step
+        for f in element_features(e):
+            before = self.counts[f]
+            self.counts[f] = before + step
+            if before == 0 or before + step == 0:
+                self.total += step * self.weights.get(f, 0)
+
+    def of(self, e: Element | None) -> int:
+        new, known = [], e
+        while known is not None and not (known.depth < len(self.open) and self.open[known.depth] is known):
+            new.append(known)
+            known = known.parent
+        while len(self.open) > (known.depth + 1 if known else 0):
+            self._count(self.open.pop(), -1)
+        for x in reversed(new):
+            self.open.append(x)
+            self._count(x, 1)
+        return self.total + sum(self.weights.get(f, 0) for f in place_features(e, lambda tag: self.tags[tag] > 0))
+
+
 class Extractor:
     def __init__(self, crf: Crf):
         self.crf = crf
-        self.paths: dict[tuple[Element, ...], float] = {}
+        self.weights = {f: round(w * SCALE) for f, w in crf.weights.items()}
 
     def labels(self, blocks: list[Leaf]) -> list[int]:
-        weight, gains = self.crf.weights.get, []
-        if len(self.paths) > 50_000:
-            self.paths.clear()
-        for i, b in enumerate(blocks):
-            if (score := self.paths.get(b.path)) is None:
-                score = self.paths[b.path] = sum(weight(f, 0.0) for f in path_features(b.path))
-            gains.append(score + sum(weight(f, 0.0) for f in text_features(b, i, len(blocks))))
-        return self.crf.viterbi(gains)
+        scores, weight = PathScores(self.weights), self.weights.get
+        return self.crf.viterbi([(scores.of(b.inside) + sum(weight(f, 0) for f in text_features(b, i, len(blocks)))) / SCALE for i, b in enumerate(blocks)])
 
     def text(self, page: str) -> str:
         blocks = leaves(page)
@@ -155,7 +186,7 @@ def trained(pages: int = TRAINING_PAGES, seed: int = 0) -> Crf:
     for i in range(pages):
         _, blocks, labels = labelled(seed + i)
         if blocks:
-            data.append(([path_features(b.path) | set(text_features(b, k, len(blocks))) for k, b in enumerate(blocks)], labels))
+            data.append(([path_features(b.inside) | set(text_features(b, k, len(blocks))) for k, b in enumerate(blocks)], labels))
     return Crf(data)
 
 
