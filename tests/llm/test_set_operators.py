@@ -82,14 +82,29 @@ def test_words_of_equal_hash_halves_are_not_equal(spark):
 
 def plain_top(rows, k):
     out = []
-    rows = sorted({(i, tuple(int(np.floor(256 * float(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)})
-    for q, qv in rows:
+    rows = sorted((i, tuple(int(np.floor(256 * float(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v))
+    for q, qv in sorted(set(rows)):
         if q % 50 == 0:
             scores = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in rows if i != q)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     return out
 
 
+def test_alike_vectors_leave_blocks_unread():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(64, 16)) * 200
+    rows = np.floor(np.repeat(centres, 64, 0) + r.normal(size=(4096, 16)) * 4).astype(np.int64)
+    ids = r.permutation(4096)
+    order = topk._order(rows, ids)
+    blocks = topk.Blocks(ids[order], np.ones(4096, np.int64), rows[order].astype(float))
+    scored = []
+    for q in range(0, 4096, 97):
+        found, n = blocks.search(int(ids[q]), rows[q].astype(float), 5)
+        scored.append(n)
+        assert [(-s, i) for i, s, _ in found] == sorted((-int(rows[q] @ v), int(i)) for i, v in zip(ids, rows) if i != ids[q])[:5]
+    assert np.mean(scored) < 0.35 * len(blocks.forward)
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e6])
 def test_exact_top_k(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "ROWS_PER_SHARD", 64)
@@ -98,7 +113,7 @@ def test_exact_top_k(spark, monkeypatch, scale):
     r = np.random.default_rng(2)
     centres = r.normal(size=(6, 8))
     rows = [(int(i), [float(np.float32(x)) for x in (centres[i % 6] + r.normal(size=8) * 0.1) * scale]) for i in range(400)]
-    rows += [(50, rows[50][1]), (401, rows[7][1]), (402, rows[7][1]), (450, None), (500, [None] * 8), (550, [float("nan")] * 8), (600, [float("inf")] + [0.0] * 7), (None, rows[3][1]), (650, [0.0] * 8)]
+    rows += [(50, rows[50][1]), (401, rows[7][1]), (402, rows[7][1]), (402, rows[7][1]), (7, rows[7][1]), (7, rows[7][1]), (450, None), (500, [None] * 8), (550, [float("nan")] * 8), (600, [float("inf")] + [0.0] * 7), (None, rows[3][1]), (650, [0.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("vec_id", "cast(embedding as array<float>) embedding", "1 as score")
     found = [tuple(x) for x in topk.exact_top_k(df, df.vec_id % 50 == 0, 5).collect()]
     assert sorted(found) == plain_top(rows, 5)
