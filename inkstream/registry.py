@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from inkstream.plans import live, manuscripts, pickups, signals, texts
+from inkstream.plans import decisions, live, manuscripts, pickups, signals, texts
 
-PLANS = (manuscripts, texts, pickups, signals, live)
+PLANS = (manuscripts, texts, pickups, decisions, signals, live)
 QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
