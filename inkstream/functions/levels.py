@@ -27,9 +27,9 @@ def peak(samples: Column) -> Column:
 
 
 def range_status(value: Column, low: Column, high: Column, edge: float = DB_EDGE) -> Column:
-    """pass inside [low, high], warn within `edge` inside of a limit, fail outside or NaN; a null limit sets no limit."""
+    """pass inside [low, high], warn up to `edge` inside of a limit (at it too), fail outside or NaN; a null limit sets no limit."""
     outside = F.coalesce(value < low, F.lit(False)) | F.coalesce(value > high, F.lit(False))
-    close = F.coalesce(value < low + edge, F.lit(False)) | F.coalesce(value > high - edge, F.lit(False))
+    close = F.coalesce(value - low <= edge, F.lit(False)) | F.coalesce(high - value <= edge, F.lit(False))
     status = F.when(value.isNull() | F.isnan(value) | outside, FAIL).when(close, WARN).otherwise(PASS)
     return F.when(low.isNull() & high.isNull(), UNSPECIFIED).otherwise(status)
 

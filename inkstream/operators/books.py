@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstream.functions.text import WORDS_PER_HOUR, marker_label
+from inkstream.functions.text import WORDS_PER_HOUR, marker_label, spoken_pieces
 from inkstream.functions.timecode import minutes_seconds, subtitle_time
 
 KINDS = ("skip", "insert", "sub", "pause")
@@ -22,10 +22,24 @@ def pickup_summary(pickups: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def repeated(pickups: DataFrame, word: str, chapter: str) -> DataFrame:
-    """Words of more than one open pickup: word, count, chapters."""
-    counted = pickups.where("status = 'open'").groupBy(word).agg(F.count(F.lit(1)).alias("count"), F.count_distinct(chapter).alias("chapters"))
-    return counted.where("count > 1")
+def repeated(pickups: DataFrame, chapter: str) -> DataFrame:
+    """word, count, chapters: what more than one open pickup is about, by its spoken pieces; of what is written, else of what is
+    heard. word is the least way it is written."""
+    source = F.when(F.trim("expected") != "", F.trim("expected")).otherwise(F.trim("heard"))
+    keyed = pickups.where("status = 'open'").select(F.array_join(spoken_pieces(source), " ").alias("pieces"), source.alias("word"), chapter).where("pieces <> ''")
+    counted = keyed.groupBy("pieces").agg(F.min("word").alias("word"), F.count(F.lit(1)).alias("count"), F.count_distinct(chapter).alias("chapters"))
+    return counted.where("count > 1").drop("pieces")
+
+
+def worklist(pickups: DataFrame, chapters: DataFrame, key: str, number: str) -> DataFrame:
+    """Open pickups of all chapters in the order they are worked off: at, key, and the pickup's columns."""
+    rows = pickups.where("status = 'open'").join(chapters.select(key, number), key)
+    return rows.withColumn("at", F.row_number().over(Window.partitionBy(number).orderBy("t_start", "id")))
+
+
+def unchecked(chapters: DataFrame, checked: DataFrame, key: str, has_audio: str) -> DataFrame:
+    """Chapters that have a recording and no check."""
+    return chapters.where(F.col(has_audio)).join(checked.select(key).distinct(), key, "left_anti")
 
 
 def book_progress(chapters: DataFrame, book: str) -> DataFrame:
@@ -89,20 +103,60 @@ def export_readiness(chapters: DataFrame, book: str, has_audio: str) -> DataFram
 
 
 def compared(before: DataFrame, after: DataFrame, key: str, checks: list[str]) -> DataFrame:
-    """key, check, before, after, outcome: a row for each check of two reports of a file."""
-    long = lambda df, name: df.unpivot(key, checks, "check", name)
-    grade = lambda c: F.when(F.col(c) == "fail", 2).when(F.col(c) == "warn", 1).otherwise(0)
-    both = long(before, "before").join(long(after, "after"), [key, "check"], "full_outer")
-    turned = grade("after") - grade("before")
-    return both.withColumn("outcome", F.when(turned < 0, "fixed").when(turned > 0, "worse").when(grade("after") > 0, "outstanding").otherwise("held"))
-
-
-def clips(pickups: DataFrame, keys: list[str], pad: float = 2.0) -> DataFrame:
-    """Padded pickups as clips; those that overlap are one clip."""
-    from inkstream.operators.idioms import gap_sessions
-
-    padded = pickups.withColumns({"a": F.greatest(F.lit(0.0), F.col("t_start") - pad), "z": F.col("t_end") + pad})
-    return gap_sessions(padded, keys, "a", "z", 0.0).groupBy(*keys, "session").agg(F.min("a").alias("clip_start"), F.max("z").alias("clip_end"), F.count(F.lit(1)).alias("pickups"))
+    """key, check, before, after, outcome: a row for each check of two reports of a file, each report a column `check` with
+    its status and one `check`_value with what was measured.
+
+    outstanding: it fails or warns now; unjudged: there is no limit; fixed: it failed or warned before; adjusted: its value
+    moved; held: it did not."""
+    def long(df: DataFrame, name: str) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias(name), F.col(f"{c}_value").alias(f"{name}_value")) for c in checks])
+        return df.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+
+    both = long(after, "after").join(long(before, "before"), [key, "check"], "left")
+    bad = lambda c: F.coalesce(F.col(c).isin("fail", "warn"), F.lit(False))
+    moved = F.coalesce(F.col("before_value") != F.col("after_value"), F.lit(False))
+    return both.withColumn("outcome", F.when(bad("after"), "outstanding").when(F.col("after") == "unspecified", "unjudged").when(bad("before"), "fixed").when(moved, "adjusted").otherwise("held"))
+
+
+#: How much an outcome weighs where files of one check differ.
+SEVERITY = {"outstanding": 4, "fixed": 3, "adjusted": 2, "held": 1, "unjudged": 0}
+
+
+def fix_summary(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, check, outcome (the worst of all files), files (that have it), of_files (that can be compared), low, high (of the
+    values after, of those files)."""
+    weight = F.create_map(*[x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v))])[F.col("outcome")]
+    graded = changes.withColumn("_w", weight)
+    top = F.max("_w").over(Window.partitionBy(*keys, "check"))
+    comparable = F.when((F.col("_top") == SEVERITY["outstanding"]) | F.col("before").isNotNull(), 1)
+    speaks = F.col("_w") == F.col("_top")
+    return graded.withColumn("_top", top).groupBy(*keys, "check").agg(
+        F.max_by("outcome", "_w").alias("outcome"), F.count_if(speaks).alias("files"), F.count(comparable).alias("of_files"),
+        F.min(F.when(speaks, F.col("after_value"))).alias("low"), F.max(F.when(speaks, F.col("after_value"))).alias("high"),
+    )
+
+
+def clips(pickups: DataFrame, keys: list[str], pad: float = 2.0, most: float = 30.0, duration: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """keys, number, name, clip_start, clip_end, pickups: padded pickups as clips. One that overlaps the clip before joins it if
+    the clip then still is at most `most` seconds; this depends on the order, so a chapter's intervals (no more than its
+    pickups) are folded in order. Ends are held to the duration, if there is one."""
+    span = [F.greatest(F.lit(0.0), F.col("t_start") - pad), F.greatest("t_start", "t_end") + pad]
+    span[1] = span[1] if duration is None else F.least(span[1], duration)
+    row = F.struct(F.col("t_start").alias("_s"), F.col("t_end").alias("_e"), *ties, span[0].alias("a"), span[1].alias("z"))
+    ordered = pickups.where(span[1] > span[0]).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    clip = lambda a, z, n: F.struct(a.alias("a"), z.alias("z"), n.alias("n"))
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joins = F.coalesce((r["a"] <= last["z"]) & (r["z"] - last["a"] <= most), F.lit(False))
+        more = F.array(clip(last["a"], F.greatest(last["z"], r["z"]), last["n"] + 1))
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), more)).otherwise(F.concat(done, F.array(clip(r["a"], r["z"], F.lit(1)))))
+
+    folded = ordered.select(*keys, F.aggregate("rows", F.array().cast("array<struct<a:double,z:double,n:int>>"), step).alias("c"))
+    found = folded.select(*keys, F.posexplode("c").alias("at", "c"))
+    whole = F.floor("c.a").cast("int")
+    name = F.format_string("%03d_%02d-%02d-%02d", F.col("at") + 1, F.floor(whole / 3600).cast("int"), F.floor(whole / 60).cast("int") % 60, whole % 60)
+    return found.select(*keys, (F.col("at") + 1).alias("number"), name.alias("name"), F.round("c.a", 3).alias("clip_start"), F.round("c.z", 3).alias("clip_end"), F.col("c.n").alias("pickups"))
 
 
 def chapter_runs(rows: DataFrame, key: str, number: str) -> DataFrame:
@@ -112,26 +166,109 @@ def chapter_runs(rows: DataFrame, key: str, number: str) -> DataFrame:
     return runs.groupBy(key, "_run").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("_run")
 
 
+def eligible(pickups: DataFrame, keys: list[str], ignored: bool = False) -> DataFrame:
+    """Pickups that markers are made of, numbered in order of start, then id: none without a finite time, ignored ones if asked for."""
+    finite = (F.abs("t_start") < F.lit(float("inf"))) & (F.abs("t_end") < F.lit(float("inf"))) & (F.lit(ignored) | (F.col("status") != "ignored"))
+    return pickups.where(finite).withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("t_start", "id")))
+
+
+def csv_field(c: Column) -> Column:
+    """On one line, quoted if it holds a comma or a quote."""
+    flat = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\r?\n", " ")
+    return F.when(flat.rlike('[",]'), F.concat(F.lit('"'), F.replace(flat, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(flat)
+
+
+def one_line(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+
+#: Fixed values of the formats: what stands above the rows of each kind of file.
+MARKER_HEADERS = {"labels": None, "regions": "#,Name,Start,End,Length,Color", "markers": "Name\tStart\tDuration\tTime Format\tType\tDescription", "subtitles": None, "pickups": "#,Start (s),End (s),Start (timecode),Kind,Seat,Status,Expected,Heard,Confidence,Note"}
+
+
 def marker_lines(pickups: DataFrame, keys: list[str]) -> DataFrame:
-    """Each eligible pickup in four marker formats: label track, region row, marker row and subtitle cue.
-
-    pickups: keys, t_start, t_end, kind, status, expected, heard. Ignored ones and those without a finite time are left out."""
-    finite = (F.col("status") != "ignored") & (F.abs("t_start") < F.lit(float("inf"))) & (F.abs("t_end") < F.lit(float("inf")))
-    w = Window.partitionBy(*keys).orderBy("t_start", "t_end", "kind", "expected", "heard")
-    label, n = marker_label(F.col("expected"), F.col("heard"), F.col("kind")), F.row_number().over(w)
-    cue_end = F.greatest("t_end", F.col("t_start") + 0.5)
-    quoted = F.when(F.col("label").rlike('[",\n]'), F.concat(F.lit('"'), F.replace("label", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("label"))
-    rows = pickups.where(finite).withColumns({"label": label, "number": n})
+    """Each eligible pickup in five formats: label track, region row, marker row, subtitle cue, table row.
+
+    pickups: keys, id, t_start, t_end, kind, status, expected, heard, seat, confidence, note."""
+    zero, start, end = F.lit(0.0), F.col("t_start"), F.col("t_end")
+    length, three = F.greatest(zero, end - start), lambda c: F.format_string("%.3f", F.greatest(zero, c))
+    rows = eligible(pickups, keys).withColumn("label", marker_label(F.col("expected"), F.col("heard"), F.col("kind")))
+    number = F.col("number").cast("string")
+    clock = F.regexp_replace(subtitle_time(F.greatest(zero, start)), ",", ".")
     return rows.select(
         *keys,
         "number",
-        F.format_string("%.3f\t%.3f\t%s", "t_start", "t_end", "label").alias("label_track"),
-        F.concat(F.format_string("R%d,", "number"), quoted, F.format_string(",%.3f,%.3f,%.3f,", F.col("t_start"), F.col("t_end"), F.greatest(F.lit(0.0), F.col("t_end") - F.col("t_start")))).alias("region_row"),
-        F.concat_ws("\t", F.col("label"), minutes_seconds(F.col("t_start")), minutes_seconds(F.col("t_end") - F.col("t_start"))).alias("marker_row"),
-        F.concat_ws("\n", F.col("number").cast("string"), F.concat(subtitle_time(F.col("t_start")), F.lit(" --> "), subtitle_time(cue_end)), F.col("label")).alias("subtitle"),
+        F.concat_ws("\t", three(start), three(end), F.col("label")).alias("label_track"),
+        F.concat_ws(",", F.concat(F.lit("R"), number), csv_field(F.col("label")), three(start), three(end), three(length), F.lit("")).alias("region_row"),
+        F.concat_ws("\t", F.col("label"), minutes_seconds(F.greatest(zero, start)), minutes_seconds(length), F.lit("decimal"), F.lit("Cue"), one_line(F.col("note"))).alias("marker_row"),
+        F.concat_ws("\n", number, F.concat(subtitle_time(start), F.lit(" --> "), subtitle_time(F.greatest(end, start + 0.5))), F.col("label")).alias("subtitle"),
+        F.concat_ws(",", number, three(start), three(end), clock, *[csv_field(F.col(c)) for c in ("kind", "seat", "status", "expected", "heard")], F.coalesce(F.format_string("%.2f", "confidence"), F.lit("")), csv_field(one_line(F.col("note")))).alias("table_row"),
     )
 
 
+def marker_files(lines: DataFrame, keys: list[str], base: Column) -> DataFrame:
+    """keys, file, content of the five files of each chapter. lines: as marker_lines gives them, no more than a chapter's pickups."""
+    safe = F.regexp_replace(base, "(?i)[^a-z0-9_-]+", "_")
+    kinds = {"labels": ("label_track", "txt"), "regions": ("region_row", "csv"), "markers": ("marker_row", "csv"), "subtitles": ("subtitle", "srt"), "pickups": ("table_row", "csv")}
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("number", c))), lambda r: r[c])
+    whole = lines.groupBy(*keys).agg(*[ordered(c).alias(k) for k, (c, _) in kinds.items()])
+
+    def content(kind: str) -> Column:
+        head, between = MARKER_HEADERS[kind], "\n\n" if kind == "subtitles" else "\n"
+        return F.concat(F.lit(f"{head}\n" if head else ""), F.array_join(kind, between), F.lit("\n"))
+
+    files = F.array(*[F.struct(F.concat(safe, F.lit(f"_{k}.{end}")).alias("file"), content(k).alias("content")) for k, (_, end) in kinds.items()])
+    return whole.select(*keys, F.explode(files).alias("f")).select(*keys, "f.*")
+
+
+def proof_report(pickups: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the counts that head a chapter's report: open, resolved, ignored, word changes, long pauses."""
+    n = lambda c: F.count_if(c)
+    status, pause = F.col("status"), F.col("kind") == "pause"
+    return pickups.groupBy(*keys).agg(n(status == "open").alias("open"), n(status == "done").alias("resolved"), n(status == "ignored").alias("ignored"), n(~pause).alias("word_changes"), n(pause).alias("long_pauses"))
+
+
+def report_rows(pickups: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, number, row: each pickup as a row of a report's table, in order."""
+    cell = lambda c: F.replace(one_line(F.when((c.isNull()) | (c == ""), "—").otherwise(c)), F.lit("|"), F.lit("\\|"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("t_start", "id"))
+    percent = F.concat(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))) * 100 + 0.5).cast("string"), F.lit("%"))
+    rows = pickups.withColumn("number", number)
+    cells = [F.col("number").cast("string"), minutes_seconds(F.col("t_start")), *[cell(F.col(c)) for c in ("kind", "status", "expected", "heard")], percent, cell(F.col("note"))]
+    return rows.select(*keys, "number", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("row"))
+
+
+def export_plan(chapters: DataFrame, book: str, number: str, audio: str, extension: str = "mp3", opening: bool = True, closing: bool = True, sample: bool = True) -> DataFrame:
+    """book, file, kind, number, source: what a delivery pack holds, in order of names. The sample is of the first chapter."""
+    two = F.lpad(F.col(number).cast("string"), F.greatest(F.lit(2), F.length(F.col(number).cast("string"))), F.lit("0"))
+    rows = chapters.select(book, F.concat(two, F.lit("_chapter_"), two, F.lit(f".{extension}")).alias("file"), F.lit("chapter").alias("kind"), F.col(number).alias("number"), F.col(audio).alias("source"))
+    books = chapters.groupBy(book).agg(F.min_by(number, number).alias("number"), F.min_by(audio, number).alias("source"))
+    for wanted, name, kind in ((opening, "00_opening_credits", "opening_credits"), (closing, "98_closing_credits", "closing_credits"), (sample, "99_retail_sample", "retail_sample")):
+        if wanted:
+            own = (F.col("number"), F.col("source")) if kind == "retail_sample" else (F.lit(None).cast("int"), F.lit(None).cast("string"))
+            rows = rows.unionByName(books.select(book, F.lit(f"{name}.{extension}").alias("file"), F.lit(kind).alias("kind"), own[0].alias("number"), own[1].alias("source")))
+    return rows
+
+
+def reveal_target(files: DataFrame, book: str, name: str, order: str) -> DataFrame:
+    """book, target: the first sound file of a pack, else its first file."""
+    top = ~F.contains(F.col(name), F.lit("/")) & (F.col(name) != "")
+    sound = F.col(name).rlike(r"(?i)\.(mp3|wav|flac|m4a|aiff?)$")
+    return files.where(top).groupBy(book).agg(F.coalesce(F.min_by(F.when(sound, F.col(name)), F.when(sound, F.col(order))), F.min_by(name, order)).alias("target"))
+
+
+def share_paths(paths: DataFrame, referenced: DataFrame, light: bool, path: str = "path") -> DataFrame:
+    """The paths that go into a shared pack, once each: nothing local or half written; a light pack has no exports, and raw takes
+    only where a chapter refers to them."""
+    clean = paths.select(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "").alias(path)).where(~F.col(path).rlike(r"(^|/)\.|\.(tmp|part|lock)$")).distinct()
+    if not light:
+        return clean
+    raw = F.col(path).startswith("raw/")
+    used = referenced.select(F.col(path)).distinct()
+    slim = clean.where(~F.col(path).startswith("export/"))
+    return slim.where(~raw).union(slim.where(raw).join(used, path, "left_semi"))
+
+
 def shifted(words: DataFrame, edits: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Words of a take after its punches: those inside a replaced range go, later ones move by the sum of the changes before.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkstream.functions.text import normalized_words, spoken_pieces, stable_id, words
+from inkstream.functions.text import _Normals, spoken_pieces, stable_id, words
 from inkstream.functions.units import match_units
 from inkstream.operators.idioms import gap_sessions
 from inkstream.sources.tables import DROPPED, FOLLOWED, LENGTH, MODULUS, REPLACED, STEP
@@ -73,6 +73,14 @@ def diff_runs(written: pd.Series, heard: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(RUN.names, r)) for r in differing_runs(list(a), list(b))] for a, b in zip(written, heard)])
 
 
+@F.pandas_udf(T.ArrayType(RUN))
+def word_runs(written: pd.Series, heard: pd.Series) -> pd.Series:
+    """The same for words as they are written and heard, which are normalised on the way."""
+    known = _Normals()
+    of = lambda x: list(map(known.__getitem__, x))
+    return pd.Series([[dict(zip(RUN.names, r)) for r in differing_runs(of(a), of(b))] for a, b in zip(written, heard)])
+
+
 def stand_in_transcript(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, tokens, heard: array of (text, start, end, confidence), read with deterministic slips."""
     tokens = words(F.col(text))
@@ -97,8 +105,7 @@ def valid_words(heard: Column, duration: Column | None = None) -> Column:
 
 
 def _token_runs(chapters: DataFrame) -> DataFrame:
-    said = normalized_words(F.transform("heard", lambda w: w["text"]))
-    return chapters.withColumn("runs", diff_runs(normalized_words("tokens"), said))
+    return chapters.withColumn("runs", word_runs("tokens", F.transform("heard", lambda w: w["text"])))
 
 
 def _unit_runs(chapters: DataFrame, classes: dict[str, str] | None) -> DataFrame:
@@ -161,25 +168,32 @@ def align(chapters: DataFrame, key: str = "doc_id", fold: bool = False, classes:
     """key, i0, i1, j0, j1, kind, expected, heard, t_start, t_end, confidence of each run that was read otherwise.
 
     chapters: key, tokens, heard. Times are those of the heard words, else the end of the word before to the start of
-    the one after. An empty transcript makes one skip of the whole chapter; equal sequences make no row. fold: numbers
-    match however they are spoken or written, and words of one class (see functions.units) match each other."""
-    keyed = _unit_runs(chapters, classes) if fold else _token_runs(chapters)
-    runs = keyed.where(F.size("runs") > 0).select(key, "tokens", "heard", F.explode("runs").alias("r")).select(key, "tokens", F.col("heard").alias("said"), "r.*")
-    part = lambda c, a, b: F.slice(c, F.col(a) + 1, F.col(b) - F.col(a))
-    said = part("said", "j0", "j1")
-    edge = lambda i, field: F.try_element_at("said", i)[field]
-    some = F.col("j1") > F.col("j0")
-    before = F.when(F.col("j0") > 0, edge(F.greatest(F.col("j0"), F.lit(1)), "end")).otherwise(0.0)
-    after = F.coalesce(edge(F.col("j0") + 1, "start"), F.try_element_at("said", F.lit(-1))["end"], F.lit(0.0))
-    return runs.select(
-        key, "i0", "i1", "j0", "j1",
-        F.when(F.col("i1") == F.col("i0"), "insert").when(~some, "skip").otherwise("sub").alias("kind"),
-        F.array_join(part("tokens", "i0", "i1"), " ").alias("expected"),
-        F.array_join(F.transform(said, lambda w: w["text"]), " ").alias("heard"),
-        F.when(some, edge(F.col("j0") + 1, "start")).otherwise(before).alias("t_start"),
-        F.when(some, edge(F.greatest(F.col("j1"), F.lit(1)), "end")).otherwise(F.greatest(before, after)).alias("t_end"),
-        F.when(some, F.aggregate(said, F.lit(0.0), lambda acc, w: acc + F.coalesce(w["confidence"], F.lit(0.0))) / (F.col("j1") - F.col("j0"))).alias("confidence"),
-    )
+    the one after. An empty transcript makes one skip of the whole chapter; equal sequences make no row. Confidence is the mean
+    over the words heard, one that is missing counted as 0; it is null where the engine gave none at all. fold: numbers match
+    however they are spoken or written, and words of one class (see functions.units) match each other."""
+    keyed = (_unit_runs(chapters, classes) if fold else _token_runs(chapters)).where(F.size("runs") > 0)
+    part = lambda c, a, b: F.slice(c, a + 1, b - a)
+    edge = lambda i, field: F.try_element_at("heard", i)[field]
+
+    def shown(r: Column) -> Column:
+        """A run with all that is said of it, so that only small rows leave the chapter's arrays."""
+        i0, i1, j0, j1 = (r[c] for c in ("i0", "i1", "j0", "j1"))
+        said, some = part("heard", j0, j1), j1 > j0
+        before = F.when(j0 > 0, edge(F.greatest(j0, F.lit(1)), "end")).otherwise(0.0)
+        after = F.coalesce(edge(j0 + 1, "start"), F.try_element_at("heard", F.lit(-1))["end"], F.lit(0.0))
+        sure = F.aggregate(said, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.nanvl(w["confidence"], F.lit(0.0)), F.lit(0.0))) / (j1 - j0)
+        known = F.exists(said, lambda w: w["confidence"].isNotNull() & ~F.isnan(w["confidence"]))
+        return F.struct(
+            i0.alias("i0"), i1.alias("i1"), j0.alias("j0"), j1.alias("j1"),
+            F.when(i1 == i0, "insert").when(~some, "skip").otherwise("sub").alias("kind"),
+            F.array_join(part("tokens", i0, i1), " ").alias("expected"),
+            F.array_join(F.transform(said, lambda w: w["text"]), " ").alias("heard"),
+            F.when(some, edge(j0 + 1, "start")).otherwise(before).alias("t_start"),
+            F.when(some, edge(F.greatest(j1, F.lit(1)), "end")).otherwise(F.greatest(before, after)).alias("t_end"),
+            F.when(some & known, sure).alias("confidence"),
+        )
+
+    return keyed.select(key, F.explode(F.transform("runs", shown)).alias("r")).select(key, "r.*")
 
 
 def same_letters(expected: Column, heard: Column) -> Column:
@@ -201,15 +215,23 @@ def confident(pickups: DataFrame, floor: float) -> DataFrame:
 
 
 def merged(pickups: DataFrame, keys: list[str], window: float, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Pickups that follow each other within the window become one; pauses stay as they are."""
-    grouped = gap_sessions(pickups.where("kind <> 'pause'"), keys, "t_start", "t_end", window, ties=ties)
-    return grouped.groupBy(*keys, "session").agg(
-        F.min("t_start").alias("t_start"),
-        F.max("t_end").alias("t_end"),
-        F.count(F.lit(1)).alias("pickups"),
-        F.when(F.count_distinct("kind") == 1, F.min("kind")).otherwise("sub").alias("kind"),
-        F.min("confidence").alias("confidence"),
-    )
+    """Pickups that follow each other within the window become one: keys, pickup_id, t_start, t_end, kind, expected, heard,
+    confidence, pickups (how many). Texts are joined in order and the kind is that of the texts; a pause stays as it is, and
+    nothing is joined across one. pickup_id is the one of what came out (of its number among the chapter's)."""
+    order = ["t_start", *ties]
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    is_pause = F.col("kind") == "pause"
+    parted = pickups.withColumns({"_pause": is_pause, "_part": F.sum(is_pause.cast("int")).over(so_far)})
+    grouped = gap_sessions(parted, [*keys, "_part", "_pause"], "t_start", "t_end", window, ties=ties)
+    place = F.struct(*order)
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct(*order, c)))), lambda x: x[c]), " ")
+    whole = grouped.groupBy(*keys, "_part", "_pause", "session").agg(
+        F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end"), F.count(F.lit(1)).alias("pickups"), joined("expected").alias("expected"), joined("heard").alias("heard"),
+        F.min("kind").alias("_kind"), F.min("confidence").alias("confidence"), F.min(place).alias("_place"),
+    )
+    kind = F.when(F.col("_pause"), "pause").when((F.col("pickups") == 1) | (F.concat("expected", "heard") == ""), F.col("_kind")).when(F.col("heard") == "", "skip").when(F.col("expected") == "", "insert").otherwise("sub")
+    numbered = whole.withColumns({"kind": kind, "_n": F.row_number().over(Window.partitionBy(*keys).orderBy("_place")) - 1})
+    return with_ids(numbered, keys[-1], F.col("_n")).select(*keys, "pickup_id", "t_start", "t_end", "kind", "expected", "heard", "confidence", "pickups")
 
 
 def pauses(chapters: DataFrame, limit: float = LONG_PAUSE, key: str = "doc_id") -> DataFrame:
@@ -219,23 +241,13 @@ def pauses(chapters: DataFrame, limit: float = LONG_PAUSE, key: str = "doc_id")
     return each.select(key, "word_index", F.col("end").alias("t_start"), after.alias("t_end")).where(F.col("t_end") - F.col("t_start") > limit)
 
 
-def with_ids(pickups: DataFrame, key: str) -> DataFrame:
-    """A stable id of what a pickup says and when, the same from run to run."""
+def with_ids(pickups: DataFrame, key: str, ordinal: Column | None = None) -> DataFrame:
+    """A stable id of what a pickup says, when, and as which of its chapter, the same from run to run."""
     at = lambda c: F.format_string("%.4f", F.col(c))
-    return pickups.withColumn("pickup_id", stable_id(F.col(key), F.col("kind"), F.col("expected"), F.col("heard"), at("t_start"), at("t_end")))
-
-
-def carried_over(fresh: DataFrame, previous: DataFrame, keys: list[str], signature: list[str], at: str, values: list[str]) -> DataFrame:
-    """fresh with the values of the previous row of equal signature and equal rank in time, so none is used twice. A row that
-    is new or gone shifts all after it; `preserved` goes by id and nearness."""
-    left = fresh.withColumn("_f", F.monotonically_increasing_id())
-    right = previous.select(*keys, *signature, F.col(at).alias("_at"), *[F.col(v).alias(f"_{v}") for v in values])
-    on = [*keys, *signature]
-    gap = F.abs(F.col(at) - F.col("_at"))
-    # rows are ranked within their signature on both sides: the n-th in time meets the n-th, without a join of all pairs
-    rank = lambda df, c: df.withColumn("_n", F.row_number().over(Window.partitionBy(*on).orderBy(c)))
-    met = rank(left, at).join(rank(right, "_at"), [*on, "_n"], "left").withColumn("_gap", gap)
-    return met.select(*fresh.columns, *[F.col(f"_{v}").alias(v) for v in values], F.col("_gap").alias("moved_by"))
+    n = F.row_number().over(Window.partitionBy(key).orderBy("t_start", "i0")) - 1 if ordinal is None else ordinal
+    numbered = pickups.withColumn("_ordinal", n)
+    named = F.concat(F.lit("pickup-"), stable_id(F.col(key), F.col("kind"), F.col("expected"), F.col("heard"), at("t_start"), at("t_end"), F.col("_ordinal")))
+    return numbered.withColumn("pickup_id", named).drop("_ordinal")
 
 
 def preserved(fresh: DataFrame, previous: DataFrame, keys: list[str], signature: list[str], at: str, values: list[str], id: str) -> DataFrame:
@@ -245,26 +257,33 @@ def preserved(fresh: DataFrame, previous: DataFrame, keys: list[str], signature:
     on = [*keys, *signature]
     taken = [f"_{v}" for v in values]
     at_of = lambda df: df.withColumn(at, F.col(at).cast("double"))
-    left, right = at_of(fresh), at_of(previous).select(*on, id, F.col(at).alias("_at"), *[F.col(v).alias(f"_{v}") for v in values])
+    left, right = at_of(fresh), at_of(previous).select(*[F.col(c).alias(c) for c in (*on, id)], F.col(at).alias("_at"), *[F.col(v).alias(f"_{v}") for v in values])
     same = left.join(right.drop(*signature), [*keys, id]).select(*left.columns, *taken, F.abs(F.col(at) - F.col("_at")).alias("_gap"))
     rest, old = left.join(right, [*keys, id], "left_anti"), right.join(left, [*keys, id], "left_anti")
-    schema = T.StructType([*left.schema.fields, *[T.StructField(t, right.schema[t].dataType) for t in taken], T.StructField("_gap", T.DoubleType())])
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values([at, id]).reset_index(drop=True), b.sort_values(["_at", id]).reset_index(drop=True)
-        free, which = b["_at"].copy(), []
-        for t in a[at]:
-            gaps = (free - t).abs().dropna()
-            which.append(gaps.idxmin() if len(gaps) else -1)
-            if len(gaps):
-                free[which[-1]] = float("nan")
-        met = b.reindex(which).reset_index(drop=True)
-        return a.assign(**{t: met[t] for t in taken}, _gap=(met["_at"] - a[at]).abs())[schema.names]
-
-    met = same.unionByName(rest.groupBy(*on).cogroup(old.groupBy(*on)).applyInPandas(nearest, schema))
+    rows = lambda df, *first: F.array_sort(F.collect_list(F.struct(*first, *[c for c in df.columns if c not in (*first, *on)])))
+    groups = rest.groupBy(*on).agg(rows(rest, at, id).alias("_new")).join(old.groupBy(*on).agg(rows(old, "_at", id).alias("_old")), on, "left")
+    picked = groups.withColumn("_pick", _nearest_unused(F.transform("_new", lambda r: r[at]), F.transform("_old", lambda r: r["_at"])))
+    each = picked.select(*on, "_old", F.explode(F.arrays_zip("_new", "_pick")).alias("_r")).withColumn("_o", F.get("_old", F.col("_r._pick")))
+    chosen = each.select(*[F.col(c) if c in on else F.col(f"_r._new.{c}").alias(c) for c in left.columns], *[F.col(f"_o.{t}").alias(t) for t in taken], F.abs(F.col(f"_r._new.{at}") - F.col("_o._at")).alias("_gap"))
+    met = same.unionByName(chosen)
     return met.select(*left.columns, *[F.col(t).alias(v) for t, v in zip(taken, values)], F.col("_gap").alias("moved_by"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _nearest_unused(fresh: pd.Series, old: pd.Series) -> pd.Series:
+    """Of each fresh time in order, the place of the nearest old time that none before it has taken, the earlier of two; -1: none."""
+
+    def of(times, others) -> list[int]:
+        free, out = {} if others is None else dict(enumerate(others)), []
+        for t in times:
+            best = min(free, key=lambda i: (abs(free[i] - t), i), default=-1)
+            free.pop(best, None)
+            out.append(best)
+        return out
+
+    return pd.Series([of(a, b) for a, b in zip(fresh, old)])
+
+
 def scores(found: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """true_positives, false_positives, false_negatives, precision, recall; 0 of 0 is 1."""
     both = found.select(*keys).distinct().withColumn("_f", F.lit(1)).join(labels.select(*keys).distinct().withColumn("_l", F.lit(1)), keys, "full_outer")

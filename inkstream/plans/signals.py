@@ -96,7 +96,7 @@ _FLOOR = f"""WITH {_F}, lo AS (SELECT user_id, max(rms) AS top FROM f GROUP BY u
 ORACLES = {
     "clip_levels": f"""WITH c AS (SELECT vec_id, sqrt(list_aggregate(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)), 'avg')) AS r,
             list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS p FROM embeddings), d AS (SELECT vec_id, {_DB.format('r')} AS l, {_DB.format('p')} AS t FROM c)
-        SELECT vec_id, round(l, 6) AS rms_dbfs, round(t, 6) AS peak_dbfs, CASE WHEN l < -19 OR l > -17 OR t > -6 THEN 'red' WHEN l < -18.5 OR l > -17.5 OR t > -6.5 THEN 'yellow' ELSE 'green' END AS light FROM d""",
+        SELECT vec_id, round(l, 6) AS rms_dbfs, round(t, 6) AS peak_dbfs, CASE WHEN l < -19 OR l > -17 OR t > -6 THEN 'red' WHEN l + 19 <= 0.5 OR -17 - l <= 0.5 OR -6 - t <= 0.5 THEN 'yellow' ELSE 'green' END AS light FROM d""",
     "repair_gate": """WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings),
         s AS (SELECT vec_id, b, list_transform(b, lambda x: least(x, 0.25)) AS a FROM m),
         r AS (SELECT vec_id, len(b) AS n, len(list_filter(b, lambda x: x - 0.25 > 1.0 / 65536)) / len(b) AS changed,

@@ -29,6 +29,27 @@ def pickups(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def told_pickups(spark: SparkSession, folder: str) -> DataFrame:
+    """Pickups with what is written and heard, an id, a seat and a note; each seventh line is a pause, some are ignored."""
+    rows = pickups(spark, folder)
+    pause = F.col("line") == 7
+    text = lambda p, n: F.concat(F.lit(p), (F.col("word_id") % n).cast("string"))
+    return rows.select(
+        "chapter_id",
+        "line",
+        F.concat_ws(":", F.col("chapter_id").cast("string"), F.col("line").cast("string"), F.col("word_id").cast("string"), F.col("t_end").cast("int").cast("string")).alias("id"),
+        F.when(pause, "pause").otherwise(F.col("kind")).alias("kind"),
+        F.when(F.col("word_id") % 11 == 0, "ignored").otherwise(F.col("status")).alias("status"),
+        "t_start",
+        "t_end",
+        F.when(pause, "Pause > 4s").when(F.col("kind") == "insert", "").otherwise(text("Word-", 50)).alias("expected"),
+        F.when(pause | (F.col("kind") == "skip"), "").otherwise(text("said, ", 7)).alias("heard"),
+        "confidence",
+        F.when(F.col("line") % 2 == 0, "N1").otherwise("N2").alias("seat"),
+        F.when(F.col("word_id") % 3 == 0, 'see "a|b",\n  twice').alias("note"),
+    )
+
+
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as chapters of a book (customer)."""
     return table(spark, folder, "orders").select(
@@ -48,5 +69,9 @@ PICKUPS_SQL = f"""p AS (SELECT l_orderkey AS chapter_id, l_linenumber AS line, l
     CAST(date_diff('day', DATE '{EPOCH}', CAST(l_shipdate AS DATE)) AS DOUBLE) AS t_start,
     CAST(date_diff('day', DATE '{EPOCH}', CAST(l_shipdate AS DATE)) AS DOUBLE) + l_quantity AS t_end,
     l_discount AS confidence FROM lineitem)"""
+TOLD_SQL = f"""{PICKUPS_SQL}, sp AS (SELECT chapter_id, line, concat_ws(':', chapter_id, line, word_id, CAST(t_end AS INT)) AS id, CASE WHEN line = 7 THEN 'pause' ELSE kind END AS kind,
+    CASE WHEN word_id % 11 = 0 THEN 'ignored' ELSE status END AS status, t_start, t_end, CASE WHEN line = 7 THEN 'Pause > 4s' WHEN kind = 'insert' THEN '' ELSE 'Word-' || (word_id % 50) END AS expected,
+    CASE WHEN line = 7 OR kind = 'skip' THEN '' ELSE 'said, ' || (word_id % 7) END AS heard, confidence, CASE WHEN line % 2 = 0 THEN 'N1' ELSE 'N2' END AS seat,
+    CASE WHEN word_id % 3 = 0 THEN 'see "a|b",' || chr(10) || '  twice' END AS note FROM p)"""
 CHAPTERS_SQL = """c AS (SELECT o_custkey AS book_id, o_orderkey AS chapter_id, o_orderstatus AS status, o_totalprice AS words,
     o_orderdate AS updated_at, o_orderpriority AS title FROM orders)"""
