@@ -7,13 +7,17 @@ after that (times, confidence, suppression, pauses, merging) is DataFrame work o
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkstream.functions.text import _Normals, spoken_pieces, stable_id, words
-from inkstream.functions.units import match_units
+from inkstream.functions.text import WORD, _Normals, spoken_pieces, stable_id, words
+from inkstream.functions.units import match_units, units
 from inkstream.operators.idioms import gap_sessions
 from inkstream.sources.tables import DROPPED, FOLLOWED, LENGTH, MODULUS, REPLACED, STEP
 
@@ -234,11 +238,159 @@ def merged(pickups: DataFrame, keys: list[str], window: float, ties: tuple[str,
     return with_ids(numbered, keys[-1], F.col("_n")).select(*keys, "pickup_id", "t_start", "t_end", "kind", "expected", "heard", "confidence", "pickups")
 
 
-def pauses(chapters: DataFrame, limit: float = LONG_PAUSE, key: str = "doc_id") -> DataFrame:
-    """key, word_index, t_start, t_end of each gap between two heard words that is longer than the limit."""
-    each = chapters.select(key, F.posexplode("heard").alias("word_index", "w")).select(key, "word_index", "w.start", "w.end")
-    after = F.lead("start").over(Window.partitionBy(key).orderBy("word_index"))
-    return each.select(key, "word_index", F.col("end").alias("t_start"), after.alias("t_end")).where(F.col("t_end") - F.col("t_start") > limit)
+PAUSE_PLACE = T.StructType([T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType()), T.StructField("between", T.StringType())])
+
+
+def matched_words(tokens: list[str], heard: list[str], classes: dict[str, str] | None = None) -> tuple[list, list, list[tuple[int, int, int, int]]]:
+    """Units of both sides and the runs of units that differ."""
+    a, b = units(tokens, classes), units(heard, classes)
+    return a, b, differing_runs([k for k, _, _ in a], [k for k, _, _ in b])
+
+
+def equal_units(a: list, b: list, runs: list[tuple[int, int, int, int]]) -> Iterator[tuple[tuple, tuple]]:
+    i = j = 0
+    for i0, i1, j0, j1 in [*runs, (len(a), len(a), len(b), len(b))]:
+        yield from zip(a[i:i0], b[j:j0])
+        i, j = i1, j1
+
+
+def pause_places(classes: dict[str, str] | None) -> Callable[..., Column]:
+    """(text, heard words, the word that each silence follows) -> the aligned words beside it and what is written between their
+    tokens; null where they are not in order or more than TOKEN_GAP tokens apart (a word pickup tells of that)."""
+
+    @F.pandas_udf(T.ArrayType(PAUSE_PLACE))
+    def of(texts: pd.Series, heard: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([_places(t or "", list(h), list(k), classes) for t, h, k in zip(texts, heard, at)])
+
+    return of
+
+
+def _places(text: str, heard: list[str], at: list[int], classes: dict[str, str] | None) -> list[dict | None]:
+    spans = [m.span() for m in regex.finditer(WORD, text)]
+    a, b, runs = matched_words([text[i:j] for i, j in spans], heard, classes)
+    token = {w: (first, last) for (_, first, last), (_, low, high) in equal_units(a, b, runs) for w in range(low, high + 1)}
+    known = sorted(token)
+    found: list[dict | None] = []
+    for k in at:
+        n = bisect_right(known, k)
+        before, after = known[n - 1] if n else None, known[n] if n < len(known) else None
+        gap = token[after][0] - token[before][1] if before is not None and after is not None else 0
+        found.append(dict(zip(PAUSE_PLACE.names, (before, after, text[spans[token[before][1]][1] : spans[token[after][0]][0]]))) if 0 < gap <= TOKEN_GAP else None)
+    return found
+
+
+def pauses(chapters: DataFrame, limit: float = LONG_PAUSE, key: str = "doc_id", classes: dict[str, str] | None = None) -> DataFrame:
+    """key, word_index, t_start, t_end, confidence of each pause over the limit within a sentence.
+
+    chapters: key, text, heard and, if it was measured, silences (array of start and end). Measured silences that lie between
+    the first and the last word win over gaps between words, as a recogniser spreads words evenly. No end of a sentence or line
+    may stand between the words beside a pause."""
+    silent = "silences" in chapters.columns
+    n = F.size("heard")
+    word = lambda i, f: F.get("heard", i)[f]
+    every = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+    place = lambda at, a, z: F.struct(at.alias("at"), a.alias("a"), z.alias("z"))
+    gaps = F.filter(F.transform(every, lambda i: place(i, word(i, "end"), word(i + 1, "start"))), lambda p: p["z"] - p["a"] > limit)
+    if silent:
+        long = F.filter("silences", lambda s: (s["end"] - s["start"] > limit) & (s["end"] > word(F.lit(0), "start")) & (s["start"] < word(n - 1, "end")))
+        after = lambda s: F.coalesce(F.array_max(F.filter(every, lambda i: word(i, "start") <= s["start"])), F.lit(-1))
+        measured = F.filter(F.transform(long, lambda s: place(after(s), s["start"], s["end"])), lambda p: p["at"] >= 0)
+        gaps = F.when(F.size("silences") > 0, measured).otherwise(gaps)
+    few = chapters.withColumn("_gaps", gaps).where((F.size("_gaps") > 0) & (n > 1))
+    seen = few.withColumn("_places", pause_places(classes)(F.coalesce("text", F.lit("")), F.transform("heard", lambda w: w["text"]), F.transform("_gaps", lambda g: g["at"])))
+    sure = lambda p, side: F.coalesce(F.get("heard", p[side])["confidence"], F.lit(0.0))
+    rows = F.zip_with("_gaps", "_places", lambda g, p: F.struct(g["at"].alias("word_index"), F.greatest(F.lit(0.0), g["a"]).alias("t_start"), g["z"].alias("t_end"), F.least(sure(p, "before"), sure(p, "after")).alias("confidence"), p["between"].alias("between")))
+    each = seen.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+    return each.where(F.col("between").isNotNull() & ~F.col("between").rlike("[.!?。！？\n]")).select(key, "word_index", "t_start", F.greatest("t_start", "t_end").alias("t_end"), "confidence")
+
+
+def checked(chapters: DataFrame, key: str = "doc_id", classes: dict[str, str] | None = None, floor: float = 0.0, suppressed: list[str] | None = None, limit: float = LONG_PAUSE, window: float = MERGE_WINDOWS["normal"]) -> DataFrame:
+    """The whole check of a chapter: usable words, their times held to the duration, units matched, runs that differ in spacing
+    alone or that the engine was not sure of or that hold listed words alone left out, pauses, and near pickups as one.
+
+    chapters: key, text, heard, duration (may be null) and, if measured, silences. Result as `merged` gives it."""
+    fit = chapters.withColumn("tokens", words(F.col("text")))
+    fit = fit.withColumn("heard", F.when(F.col("duration").isNull(), valid_words(F.col("heard"))).otherwise(valid_words(F.col("heard"), F.col("duration"))))
+    found = align(fit, key, True, classes).where(~((F.col("kind") == "sub") & same_letters(F.col("expected"), F.col("heard"))))
+    found = confident(unsuppressed(found, suppressed or []), floor)
+    columns = (key, "kind", "expected", "heard", "t_start", "t_end", "confidence")
+    long = pauses(fit, limit, key, classes).select(key, F.lit("pause").alias("kind"), F.lit(f"Pause > {limit:g}s").alias("expected"), F.lit("").alias("heard"), "t_start", "t_end", "confidence", F.col("word_index").alias("j0"))
+    return merged(found.select(*columns, "j0").unionByName(long), [key], window, ("j0", "kind"))
+
+
+TOKEN_SPAN = T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])
+
+
+def _token_spans(tokens: list[str], heard: list[str], classes: dict[str, str] | None) -> list[dict]:
+    """For each token the heard words [low, high) that stand for it, empty where none do. Equal units stand for each other; where
+    they differ, one for several, several for one, and as many for as many."""
+    a, b, runs = matched_words(tokens, heard, classes)
+    spans: list[tuple[int, int] | None] = [None] * len(tokens)
+
+    def give(unit: tuple, said: list[tuple]) -> None:
+        for t in range(unit[1], unit[2] + 1):
+            if said:
+                low, high = said[0][1], said[-1][2] + 1
+                spans[t] = (low, high) if spans[t] is None or spans[t][0] == spans[t][1] else (min(low, spans[t][0]), max(high, spans[t][1]))
+
+    for unit, said in equal_units(a, b, runs):
+        give(unit, [said])
+    for i0, i1, j0, j1 in runs:
+        one_for_all = i1 - i0 == 1 or j1 - j0 == 1
+        for k in range(i0, i1):
+            give(a[k], b[j0:j1] if one_for_all else b[j0 + k - i0 : j0 + k - i0 + 1] if i1 - i0 == j1 - j0 else [])
+    return [dict(zip(("low", "high"), s or (0, 0))) for s in spans]
+
+
+def token_alignment(chapters: DataFrame, key: str = "doc_id", classes: dict[str, str] | None = None) -> DataFrame:
+    """key, token_index, written, heard, start, end, state (matched, different, missing) of every token of a chapter.
+    chapters: key, tokens, heard."""
+
+    @F.pandas_udf(T.ArrayType(TOKEN_SPAN))
+    def spans(tokens: pd.Series, heard: pd.Series) -> pd.Series:
+        return pd.Series([_token_spans(list(a), list(b), classes) for a, b in zip(tokens, heard)])
+
+    spanned = chapters.withColumn("_spans", spans("tokens", F.transform("heard", lambda w: w["text"])))
+
+    def row(t: Column, s: Column) -> Column:
+        said, some = F.slice("heard", s["low"] + 1, s["high"] - s["low"]), s["high"] > s["low"]
+        text = F.array_join(F.transform(said, lambda w: w["text"]), " ")
+        return F.struct(t.alias("written"), text.alias("heard"), F.when(some, F.get("heard", s["low"])["start"]).alias("start"), F.when(some, F.get("heard", s["high"] - 1)["end"]).alias("end"))
+
+    each = spanned.select(key, F.posexplode(F.zip_with("tokens", "_spans", row)).alias("token_index", "r")).select(key, "token_index", "r.*")
+    alike = F.array_join(spoken_pieces(F.col("written")), "") == F.array_join(spoken_pieces(F.col("heard")), "")
+    return each.withColumn("state", F.when(F.col("heard") == "", "missing").when(alike, "matched").otherwise("different"))
+
+
+def coverage(alignment: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, timed, tokens, covered: the share of a chapter's tokens that have a time."""
+    timed = F.count_if(F.col("start").isNotNull())
+    return alignment.groupBy(key).agg(timed.alias("timed"), F.count(F.lit(1)).alias("tokens"), F.round(timed / F.count(F.lit(1)), 6).alias("covered"))
+
+
+def readings(places: DataFrame, alignment: DataFrame, keys: list[str], key: str = "doc_id") -> DataFrame:
+    """keys (of a phrase), reading, count, first: how a phrase was heard where it stands, the most frequent first.
+
+    places: keys, key, token_index, n_tokens. A place whose chapter was not checked has the reading #no-audio, one where nothing was
+    heard #silent; case and punctuation make no other reading."""
+    spread = places.withColumn("_at", F.explode(F.sequence(F.col("token_index"), F.col("token_index") + F.col("n_tokens") - 1)))
+    met = spread.join(alignment.select(F.col(key).alias("_key"), F.col("token_index").alias("_t"), F.col("heard").alias("_h")), (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_t")), "left")
+    place = met.groupBy(*keys, key, "token_index").agg(F.count("_t").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("_h") != "", F.struct("_at", "_h")))).alias("_said"))
+    said = F.transform("_said", lambda x: x["_h"])
+    once = F.filter(F.transform(said, lambda x, i: F.when((i == 0) | (x != F.get(said, i - 1)), x)), lambda x: x.isNotNull())
+    spoken = F.array_join(F.flatten(F.transform(once, spoken_pieces)), " ")
+    reading = F.when(F.col("_n") == 0, "#no-audio").when(spoken == "", "#silent").otherwise(spoken)
+    grouped = place.withColumn("reading", reading).groupBy(*keys, "reading").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(key, "token_index")).alias("first"))
+    return grouped.select(*keys, "reading", "count", F.col(f"first.{key}").alias("first_key"), F.col("first.token_index").alias("first_token"))
+
+
+def redo_ranges(alignment: DataFrame, picked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Each picked range of tokens (key, first, last) with its time: t_start, t_end, and timing, which is ready if both its ends are
+    timed, partial if some token is, unavailable if none is."""
+    rows = picked.join(alignment.select(F.col(key).alias("_key"), "token_index", "start", "end"), (F.col(key) == F.col("_key")) & F.col("token_index").between(F.col("first"), F.col("last")), "left")
+    edge = lambda at: F.bool_or((F.col("token_index") == F.col(at)) & F.col("start").isNotNull())
+    seen = rows.groupBy(key, "first", "last").agg(F.min("start").alias("t_start"), F.max("end").alias("t_end"), F.count("start").alias("_n"), edge("first").alias("_a"), edge("last").alias("_z"))
+    return seen.select(key, "first", "last", "t_start", "t_end", F.when(F.col("_n") == 0, "unavailable").when(F.col("_a") & F.col("_z"), "ready").otherwise("partial").alias("timing"))
 
 
 def with_ids(pickups: DataFrame, key: str, ordinal: Column | None = None) -> DataFrame:
