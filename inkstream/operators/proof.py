@@ -85,8 +85,8 @@ def word_runs(written: pd.Series, heard: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(RUN.names, r)) for r in differing_runs(of(a), of(b))] for a, b in zip(written, heard)])
 
 
-def stand_in_transcript(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, tokens, heard: array of (text, start, end, confidence), read with deterministic slips."""
+def stand_in_transcript(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+    """key, tokens, heard: array of (text, start, end, confidence), read with deterministic slips; and the text, if asked for."""
     tokens = words(F.col(text))
     slip = lambda i: F.pmod(F.col(key) * 31 + i, F.lit(MODULUS))
     spoken = lambda t, i, late: F.struct(t.alias("text"), (i * STEP + late).alias("start"), (i * STEP + late + LENGTH).alias("end"), F.lit(0.9).alias("confidence"))
@@ -96,7 +96,7 @@ def stand_in_transcript(docs: DataFrame, key: str = "doc_id", text: str = "text"
         .when(slip(i) == FOLLOWED, F.array(spoken(t, i, 0.0), spoken(F.lit("added"), i, 0.05)))
         .otherwise(F.array(spoken(t, i, 0.0)))
     )
-    return docs.select(key, tokens.alias("tokens")).withColumn("heard", F.flatten(F.transform("tokens", one)))
+    return docs.select(key, *[text] * keep_text, tokens.alias("tokens")).withColumn("heard", F.flatten(F.transform("tokens", one)))
 
 
 def valid_words(heard: Column, duration: Column | None = None) -> Column:
@@ -296,7 +296,7 @@ def pauses(chapters: DataFrame, limit: float = LONG_PAUSE, key: str = "doc_id",
         after = lambda s: F.coalesce(F.array_max(F.filter(every, lambda i: word(i, "start") <= s["start"])), F.lit(-1))
         measured = F.filter(F.transform(long, lambda s: place(after(s), s["start"], s["end"])), lambda p: p["at"] >= 0)
         gaps = F.when(F.size("silences") > 0, measured).otherwise(gaps)
-    few = chapters.withColumn("_gaps", gaps).where((F.size("_gaps") > 0) & (n > 1))
+    few = chapters.withColumn("_gaps", gaps)  # no filter here: pushed below, it would take the words apart again for each gap
     seen = few.withColumn("_places", pause_places(classes)(F.coalesce("text", F.lit("")), F.transform("heard", lambda w: w["text"]), F.transform("_gaps", lambda g: g["at"])))
     sure = lambda p, side: F.coalesce(F.get("heard", p[side])["confidence"], F.lit(0.0))
     rows = F.zip_with("_gaps", "_places", lambda g, p: F.struct(g["at"].alias("word_index"), F.greatest(F.lit(0.0), g["a"]).alias("t_start"), g["z"].alias("t_end"), F.least(sure(p, "before"), sure(p, "after")).alias("confidence"), p["between"].alias("between")))

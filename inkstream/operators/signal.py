@@ -164,3 +164,98 @@ def repair_check(before: Column, after: Column, most: float = 0.02, shift: float
     a, b = dbfs(rms(before)), dbfs(rms(after))
     level = F.when(sound, F.when(a == b, 0.0).otherwise(F.abs(b - a))).otherwise(float("inf"))
     return F.struct(F.coalesce(sound & (changed <= most) & (level <= shift), F.lit(False)).alias("accepted"), changed.alias("changed"), level.alias("level_shift"))
+
+
+#: What speech is over the floor, what speech is if none is, and the least quiet segment, in dB and frames.
+SPEECH_OVER_FLOOR, LOUDEST_BAND, LEAST_QUIET = 10.0, 6.0, 10
+
+
+def speech(framed: DataFrame, floors: DataFrame, keys: list[str], least: int = LEAST_QUIET) -> DataFrame:
+    """keys, frames, speech_frames, quiet_segments: frames over the floor (or, without one, over the tenth percentile) by 10 dB
+    speak; if none does, those within 6 dB of the loudest. A quiet segment is a run of `least` frames or more that do not."""
+    decibels = framed.withColumn("db", dbfs(F.col("rms")))
+    p10 = index_percentile(decibels, keys, "db", 0.1, last=True, out="p10")
+    limit = floors.join(p10, keys).select(*keys, (F.when(F.col("floor_db") > SILENCE, F.col("floor_db")).otherwise(F.col("p10")) + SPEECH_OVER_FLOOR).alias("limit"))
+    w = Window.partitionBy(*keys)
+    marked = decibels.join(limit, keys).withColumns({"_over": F.col("db") > F.col("limit"), "_top": F.max("db").over(w)})
+    marked = marked.withColumn("speaks", F.when(F.bool_or("_over").over(w), F.col("_over")).otherwise(F.col("db") >= F.col("_top") - LOUDEST_BAND))
+    runs = islands(marked, keys, ["frame"], "speaks").groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("n"), F.first("speaks").alias("speaks"))
+    return runs.groupBy(*keys).agg(F.sum("n").alias("frames"), F.sum(F.when(F.col("speaks"), F.col("n")).otherwise(0)).alias("speech_frames"), F.count_if(~F.col("speaks") & (F.col("n") >= least)).alias("quiet_segments"))
+
+
+def uneven_quiet(framed: DataFrame, floors: DataFrame, keys: list[str], limit: float, least: int = LEAST_QUIET) -> DataFrame:
+    """keys, uneven: whether somewhere inside the speech a run of frames is neither speech (15 dB under the ninetieth percentile) nor
+    near the floor (12 dB over it, and over the limit)."""
+    decibels = framed.withColumn("db", dbfs(F.col("rms")))
+    p90 = index_percentile(decibels.where(F.col("db") > SILENCE), keys, "db", 0.9, out="p90")
+    known = decibels.join(p90, keys, "left").join(floors, keys).withColumn("ceiling", F.coalesce(F.col("p90") - 15, F.lit(SILENCE)))
+    w, loud = Window.partitionBy(*keys), F.col("db") > F.col("ceiling")
+    known = known.withColumns({"_a": F.min(F.when(loud, F.col("frame"))).over(w), "_z": F.max(F.when(loud, F.col("frame"))).over(w)})
+    odd = (F.col("frame") > F.col("_a")) & (F.col("frame") < F.col("_z")) & (F.col("db") > limit) & (F.col("db") > F.col("floor_db") + 12) & ~loud
+    runs = islands(known.withColumn("odd", F.coalesce(odd, F.lit(False))), keys, ["frame"], "odd").groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("n"), F.first("odd").alias("odd"), F.max("floor_db").alias("floor_db"))
+    return runs.groupBy(*keys).agg(F.bool_or(F.col("odd") & (F.col("n") >= least) & (F.col("floor_db") > SILENCE)).alias("uneven"))
+
+
+def room_floor(samples: DataFrame, keys: list[str], position: str, value: str, size: int) -> DataFrame:
+    """keys, floor_db of a recorded silence: the twentieth percentile of the levels of its frames about their own means, of those
+    that are not digital silence; of all samples, if none is."""
+    x = F.col(value).cast("double")
+    framed = samples.groupBy(*keys, F.floor(F.col(position) / size).alias("frame")).agg(F.stddev_pop(x).alias("level"), F.count(F.lit(1)).alias("n"))
+    audible = index_percentile(framed.where((F.col("n") == size) & (F.col("level") > 1e-9)), keys, "level", 0.2, last=True, out="level")
+    whole = samples.groupBy(*keys).agg(F.sqrt(F.avg(x * x)).alias("all"))
+    return whole.join(audible, keys, "left").select(*keys, dbfs(F.coalesce("level", "all")).alias("floor_db"))
+
+
+def room_test(floor: Column, seconds: Column, speech_db: Column, target: float = -20.0, most: float = -60.0) -> Column:
+    """(predicted, status): where a room's noise lies once the voice is raised to its level, from 10 to 20 seconds of silence."""
+    boost = F.greatest(F.lit(0.0), F.lit(target) - F.coalesce(speech_db, F.lit(target)))
+    predicted = F.when(floor > SILENCE, floor + boost).otherwise(SILENCE)
+    status = F.when((seconds < 10) | (seconds > 20) | (floor == SILENCE), "warn").when(predicted > most, "fail").when(most - predicted <= 0.5, "warn").otherwise("pass")
+    return F.struct(predicted.alias("predicted"), status.alias("status"))
+
+
+def varies(packets: Column) -> Column:
+    """Whether packets' sizes say that a bit rate varies: three or more of which the ninetieth and the tenth percentile (by index)
+    are more than one apart; null of fewer."""
+    ordered, n = F.array_sort(packets), F.size(packets)
+    at = lambda p: F.get(ordered, F.least(F.floor(n * p).cast("int"), n - 1))
+    return F.when(n >= 3, at(0.9) - at(0.1) > 1)
+
+
+def mono(samples: Column, channels: int) -> Column:
+    """The mean of the channels of interleaved samples; a last incomplete frame is left out."""
+    frames_of = F.floor(F.size(samples) / channels).cast("int")
+    mean = lambda i: sum((F.get(samples, i * channels + c).cast("double") for c in range(channels)), F.lit(0.0)) / channels
+    return F.when(frames_of > 0, F.transform(F.sequence(F.lit(0), frames_of - 1), mean)).otherwise(F.array().cast("array<double>"))
+
+
+def spliced(take: Column, punch: Column, start: int, end: int, fade: int) -> Column:
+    """A take with the samples from start to end replaced, both seams faded over `fade` samples (less, where there are fewer)."""
+    return crossfaded(crossfaded(F.slice(take, 1, start), punch, fade), F.slice(take, end + 1, F.size(take)), fade)
+
+
+def gain(samples: Column, db: Column | float) -> Column:
+    factor = F.pow(F.lit(10.0), (db if isinstance(db, Column) else F.lit(db)) / 20)
+    return F.transform(samples, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double") * factor)))
+
+
+PRESET_FIELDS = "preset string, rms_low double, rms_high double, peak_most double, floor_most double, rate int, seconds_most double"
+
+
+def judged(reports: DataFrame, presets: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, preset, rms, peak, floor, rate, length (pass, warn, fail or unspecified) and light of each report under each preset; a
+    limit that is null sets none. reports: keys, rms_db, peak_db, floor_db, sample_rate, seconds. presets are a handful of rows."""
+    from inkstream.functions.levels import FAIL, PASS, UNSPECIFIED, WARN, range_status, traffic_light, upper_status
+
+    both = reports.join(F.broadcast(presets))
+    quiet = upper_status(F.col("floor_db"), F.col("floor_most"))
+    exact = lambda value, limit, holds: F.when(F.col(limit).isNull(), UNSPECIFIED).when(holds, PASS).otherwise(FAIL)
+    checks = {
+        "rms": range_status(F.col("rms_db"), F.col("rms_low"), F.col("rms_high")),
+        "peak": upper_status(F.col("peak_db"), F.col("peak_most")),
+        "floor": F.when(F.col("floor_most").isNotNull() & (F.col("floor_db") == SILENCE), WARN).otherwise(quiet),
+        "rate": exact("sample_rate", "rate", F.col("sample_rate") == F.col("rate")),
+        "length": exact("seconds", "seconds_most", F.col("seconds") <= F.col("seconds_most")),
+    }
+    named = both.select(*keys, "preset", *[c.alias(n) for n, c in checks.items()])
+    return named.withColumn("light", traffic_light(F.array(*checks)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstream.functions.text import minutes, similar, word_count, words
+from inkstream.functions.text import WORD, minutes, ngrams, similar, word_count, words
 
 #: What a heading line looks like, and the longest narration that one chapter should have.
 HEADING = r"(?i)^\s*(?:#{1,6}\s+\S.*|(?:chapter|part|book)\s+(?:\d+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\b.{0,80}|(?:prologue|epilogue|introduction|foreword|afterword|preface)\s*\.?)\s*$"
@@ -88,3 +90,86 @@ def lookalike_pairs(names: DataFrame, word: str = "word") -> DataFrame:
     keyed = names.select(F.col(word).alias("word")).distinct().select("word", F.explode(F.array_distinct(F.concat(F.array(F.col("word")), one, two))).alias("form"))
     a, b = keyed, keyed.withColumnRenamed("word", "other")
     return a.join(b, "form").where("word < other").select("word", "other").distinct().where(similar(F.col("word"), F.col("other")))
+
+
+#: Words whose full stop ends no sentence, and the words of a block of a transcript.
+ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "rev", "gen", "lt", "sgt", "capt", "col", "jr", "sr", "st", "vs", "etc", "inc", "ltd", "co", "no", "fig", "dept", "est", "ft")
+BLOCK_WORDS = 90
+#: Short words of a class, which readers put for each other.
+SHORT_WORDS = [("the", "a", "an", "this", "that"), ("in", "on", "at", "by", "of", "to", "for", "from", "with"), ("he", "she", "it", "they", "we", "you", "i"), ("is", "was", "are", "were", "be", "has", "had", "have")]
+TOKEN_AND_GAP = rf"({WORD})([^\p{{L}}\p{{N}}]*)"
+
+
+def sentence_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, sentence, first, last (tokens, from 0): a sentence ends at a line end, at ! or ?, and at a full stop that does not
+    belong to an abbreviation."""
+    both = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    parts = both.select(key, F.transform(F.regexp_extract_all("_t", F.lit(TOKEN_AND_GAP), 1), F.lower).alias("w"), F.regexp_extract_all("_t", F.lit(TOKEN_AND_GAP), F.lit(len_groups(WORD) + 2)).alias("g")).where(F.size("w") > 0)
+    at = F.sequence(F.lit(0), F.size("w") - 1)
+    ends = lambda i: F.get("g", i).rlike("[\n!?。！？]") | (F.contains(F.get("g", i), F.lit(".")) & ~F.get("w", i).isin(*ABBREVIATIONS)) | (i == F.size("w") - 1)
+    lasts = parts.select(key, F.filter(at, ends).alias("e"))
+    rows = F.transform("e", lambda z, i: F.struct(F.when(i == 0, 0).otherwise(F.get("e", i - 1) + 1).alias("first"), z.alias("last")))
+    return lasts.select(key, F.posexplode(rows).alias("sentence", "r")).select(key, "sentence", "r.first", "r.last")
+
+
+def len_groups(pattern: str) -> int:
+    """Capturing groups of a pattern."""
+    return re.compile(re.sub(r"\\p\{\w+\}", "x", pattern)).groups
+
+
+def line_ranges(ranges: DataFrame, tokens: DataFrame, key: str, more: int = 0) -> DataFrame:
+    """tokens (key, token) with first and last of the sentence that holds it, widened by `more` sentences on either side."""
+    own = tokens.join(ranges.select(F.col(key).alias("_k"), F.col("sentence").alias("_s"), F.col("first").alias("_a"), F.col("last").alias("_z")), (F.col(key) == F.col("_k")) & F.col("token").between(F.col("_a"), F.col("_z")))
+    wide = own.join(ranges.select(F.col(key).alias("_j"), "sentence", "first", "last"), (F.col(key) == F.col("_j")) & F.col("sentence").between(F.col("_s") - more, F.col("_s") + more))
+    return wide.groupBy(key, "token").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def without_heading_marks(text: Column) -> Column:
+    """A text whose heading marks are blanks, so that every place in it stays where it is."""
+    marks = lambda line: F.regexp_extract(line, r"^(\s{0,3}#{1,6})(?:\s|$)", 1)
+    blank = lambda line: F.concat(F.repeat(F.lit(" "), F.length(marks(line))), F.substring(line, F.length(marks(line)) + 1, F.length(line)))
+    return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), blank), "\n")
+
+
+def transcript_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = BLOCK_WORDS) -> DataFrame:
+    """key, block, text: the words of a text in blocks of `size`."""
+    w = docs.select(key, F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")), " ").alias("w")).where("w[0] <> ''")
+    starts = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int"))
+    return w.select(key, F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("w", i * size + 1, size), " "))).alias("block", "text"))
+
+
+def phrase_places(docs: DataFrame, phrases: DataFrame, key: str, phrase: str, anchor: int = 3) -> DataFrame:
+    """phrase, key, position, size of each place where all words of a phrase stand. docs: key, w (its words, lower-cased);
+    phrases: phrase, w.
+
+    Places of a phrase's first words are found by a join of small rows (no row carries its document's words); only documents
+    with such a place are looked at again, for the rest of the phrase."""
+    first = F.least(F.size("w"), F.lit(anchor))
+    keyed = phrases.where(F.size("w") > 0).select(phrase, F.col("w").alias("_p"), first.alias("_n"), F.array_join(F.slice("w", 1, first), " ").alias("gram"))
+    sizes = range(1, anchor + 1)
+    grams = docs.select(key, F.explode(F.flatten(F.array(*map(_sized, sizes)))).alias("g")).select(key, "g.*")
+    hits = grams.join(keyed.select(phrase, F.col("_n").alias("n"), "gram"), ["n", "gram"]).select(phrase, key, "position")
+    near = hits.join(keyed.select(phrase, "_p"), phrase).groupBy(key).agg(F.collect_list(F.struct(phrase, "position", "_p")).alias("_hits"))
+    looked = docs.join(near, key)
+    whole = F.filter("_hits", lambda h: F.slice("w", h["position"] + 1, F.size(h["_p"])) == h["_p"])
+    rows = F.transform(whole, lambda h: F.struct(h[phrase].alias(phrase), h["position"].alias("position"), F.size(h["_p"]).alias("size"), F.array_join(F.slice("w", F.greatest(h["position"] - 4, F.lit(0)) + 1, h["position"] + F.size(h["_p"]) + 4 - F.greatest(h["position"] - 4, F.lit(0))), " ").alias("context")))
+    return looked.select(key, F.explode(rows).alias("r")).select(F.col(f"r.{phrase}").alias(phrase), key, "r.position", "r.size", "r.context")
+
+
+def _sized(n: int) -> Column:
+    return F.transform(ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g["position"].alias("position"), g["gram"].alias("gram")))
+
+
+def slip_kind(written: Column, heard: Column) -> Column:
+    """How a heard word differs from the written one (both lower-cased): same, inflection, onset (clipped by up to two letters),
+    piece, short-swap (both are short words of one class), near (a letter or two) or other."""
+    stem = lambda a, b: (a == F.concat(b, F.lit("s"))) | (a == F.concat(b, F.lit("es"))) | (a == F.concat(b, F.lit("ed"))) | (a == F.concat(b, F.lit("d"))) | (a == F.concat(b, F.lit("ing")))
+    cut = F.length(written) - F.length(heard)
+    swap = F.lit(False)
+    for g in SHORT_WORDS:
+        swap = swap | (written.isin(*g) & heard.isin(*g))
+    return (
+        F.when(written == heard, "same").when(swap, "short-swap").when(stem(written, heard) | stem(heard, written), "inflection")
+        .when((cut > 0) & (cut <= 2) & (F.length(heard) >= 3) & F.endswith(written, heard), "onset").when((F.length(heard) >= 3) & F.contains(written, heard), "piece")
+        .when(similar(written, heard), "near").otherwise("other")
+    )

@@ -68,6 +68,56 @@ def repair_gate(spark: SparkSession, folder: str) -> DataFrame:
     return checked.select("vec_id", "r.accepted", F.round("r.changed", 6).alias("changed"))
 
 
+def _floors(spark: SparkSession, folder: str) -> DataFrame:
+    return signal.noise_floor(_frames(spark, folder), ["user_id"], 2, 4)
+
+
+def speech_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames of each signal that speak, and its quiet segments of two frames or more."""
+    return signal.speech(_frames(spark, folder), _floors(spark, folder), ["user_id"], 2)
+
+
+def uneven_quiets(spark: SparkSession, folder: str) -> DataFrame:
+    return signal.uneven_quiet(_frames(spark, folder), _floors(spark, folder), ["user_id"], -40.0, 1)
+
+
+def room_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """What each signal would do as a silence that was recorded before a session."""
+    floors = signal.room_floor(samples(spark, folder), ["user_id"], "position", "v", FRAME)
+    lengths = samples(spark, folder).groupBy("user_id").agg((F.count(F.lit(1)) / 4).alias("seconds"))
+    voice = -20.0 - F.col("user_id") % 7
+    return floors.join(lengths, "user_id").withColumn("r", signal.room_test(F.col("floor_db"), F.col("seconds"), voice.cast("double"))).select("user_id", F.round("floor_db", 6).alias("floor_db"), F.round("r.predicted", 6).alias("predicted"), "r.status")
+
+
+def packet_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the quantities of an order, as packet sizes, vary."""
+    rows = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("sizes"))
+    return rows.select("l_orderkey", signal.varies(F.col("sizes")).alias("varies"))
+
+
+def _clip(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+
+def edited_clips(spark: SparkSession, folder: str) -> DataFrame:
+    """Levels of every clip mixed to one channel, resampled, spliced with its reverse, and raised by 6 dB."""
+    x = F.col("x")
+    made = {"mono": signal.mono(x, 2), "resampled": signal.resampled(x, 64, 40), "spliced": signal.spliced(x, F.reverse(x), 20, 40, 4), "raised": signal.gain(x, 6.0)}
+    rows = _clip(spark, folder).select("vec_id", *[c.alias(n) for n, c in made.items()])
+    return rows.select("vec_id", *[F.size(n).alias(f"{n}_n") for n in made], *[F.round(rms(F.col(n)), 9).alias(f"{n}_rms") for n in made])
+
+
+PRESETS = [("strict", -19.0, -17.0, -6.0, -30.0, 100, 0.5), ("loose", -30.0, None, -1.0, None, None, 2.0), ("empty", None, None, None, None, None, None)]
+
+
+def delivery_lights(spark: SparkSession, folder: str) -> DataFrame:
+    """Checks of every clip under three presets."""
+    x = F.col("x")
+    floor = dbfs(F.array_min(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: rms(F.slice(x, i * 8 + 1, 8)))))
+    reports = _clip(spark, folder).select("vec_id", dbfs(rms(x)).alias("rms_db"), dbfs(peak(x)).alias("peak_db"), floor.alias("floor_db"), F.when(F.col("vec_id") % 2 == 0, 100).otherwise(50).alias("sample_rate"), (F.size(x) / 100).alias("seconds"))
+    return signal.judged(reports, spark.createDataFrame(PRESETS, signal.PRESET_FIELDS), ["vec_id"])
+
+
 QUERIES = {f.__name__: f for f in (clip_levels, frame_levels, silence_islands, noise_floor, room_tone, clip_loudness, clip_true_peaks, repair_gate)}
 
 _DB = "CASE WHEN {0} <= 0 THEN CAST('-inf' AS DOUBLE) ELSE 20 * log10({0}) END"
@@ -111,3 +161,38 @@ ORACLES = {
         e AS (SELECT user_id, min(frame) AS a, max(frame) AS z, min(frame) FILTER (WHERE speaks) AS x, max(frame) FILTER (WHERE speaks) AS y FROM k GROUP BY user_id)
         SELECT user_id, coalesce(x - a, z - a + 1) AS head_frames, coalesce(z - y, z - a + 1) AS tail_frames FROM e""",
 }
+_TIMED = f"""db AS (SELECT user_id, frame, {_DB.format('rms')} AS db FROM f)"""
+_PRESET_SQL = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in p) + ")" for p in PRESETS)
+ORACLES |= {
+    "speech_shares": f"""{_FLOOR}, {_TIMED}, q10 AS (SELECT user_id, {_DB.format('rms')} AS p10 FROM {_percentile(0.1, True)}), li AS (SELECT user_id, CASE WHEN floor_db > CAST('-inf' AS DOUBLE) THEN floor_db ELSE p10 END + 10 AS l FROM fb JOIN q10 USING (user_id)),
+        ov AS (SELECT *, db > l AS o, max(db) OVER (PARTITION BY user_id) AS top FROM db JOIN li USING (user_id)), spk AS (SELECT user_id, frame, CASE WHEN bool_or(o) OVER (PARTITION BY user_id) THEN o ELSE db >= top - 6 END AS s FROM ov),
+        tn AS (SELECT *, CASE WHEN s = lag(s) OVER (PARTITION BY user_id ORDER BY frame) THEN 0 ELSE 1 END AS t FROM spk), isl AS (SELECT *, sum(t) OVER (PARTITION BY user_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS k FROM tn),
+        rn AS (SELECT user_id, count(*) AS n, any_value(s) AS s FROM isl GROUP BY user_id, k) SELECT user_id, CAST(sum(n) AS BIGINT) AS frames, CAST(sum(CASE WHEN s THEN n ELSE 0 END) AS BIGINT) AS speech_frames, count(*) FILTER (WHERE NOT s AND n >= 2) AS quiet_segments FROM rn GROUP BY user_id""",
+    "uneven_quiets": f"""{_FLOOR}, {_TIMED}, rk AS (SELECT user_id, db, row_number() OVER (PARTITION BY user_id ORDER BY db) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM db WHERE db > CAST('-inf' AS DOUBLE)),
+        p90 AS (SELECT user_id, db - 15 AS ceiling FROM rk WHERE i = least(floor(n * 0.9), n - 1)), kn AS (SELECT db.*, floor_db, coalesce(ceiling, CAST('-inf' AS DOUBLE)) AS ceiling FROM db LEFT JOIN p90 USING (user_id) JOIN fb USING (user_id)),
+        ed AS (SELECT *, min(frame) FILTER (WHERE db > ceiling) OVER (PARTITION BY user_id) AS a, max(frame) FILTER (WHERE db > ceiling) OVER (PARTITION BY user_id) AS z FROM kn)
+        SELECT user_id, bool_or(coalesce(frame > a AND frame < z AND db > -40 AND db > floor_db + 12 AND db <= ceiling, false) AND floor_db > CAST('-inf' AS DOUBLE)) AS uneven FROM ed GROUP BY user_id""",
+    "room_tests": f"""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value / {SCALE} AS v FROM events), fr AS (SELECT user_id, stddev_pop(v) AS l FROM s GROUP BY user_id, pos // {FRAME} HAVING count(*) = {FRAME}),
+        rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY l) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM fr WHERE l > 1e-9), pk AS (SELECT user_id, l FROM rk WHERE i = least(floor((n - 1) * 0.2), n - 1)),
+        al AS (SELECT user_id, sqrt(avg(v * v)) AS a, count(*) / 4 AS seconds FROM s GROUP BY user_id), fl AS (SELECT user_id, seconds, {_DB.format('coalesce(l, a)')} AS floor_db FROM al LEFT JOIN pk USING (user_id)),
+        pr AS (SELECT *, CASE WHEN floor_db > CAST('-inf' AS DOUBLE) THEN floor_db + user_id % 7 ELSE floor_db END AS predicted FROM fl)
+        SELECT user_id, round(floor_db, 6) AS floor_db, round(predicted, 6) AS predicted, CASE WHEN seconds < 10 OR seconds > 20 OR floor_db = CAST('-inf' AS DOUBLE) THEN 'warn' WHEN predicted > -60 THEN 'fail' WHEN -60 - predicted <= 0.5 THEN 'warn' ELSE 'pass' END AS status FROM pr""",
+    "packet_rates": """WITH s AS (SELECT l_orderkey, list_sort(list(l_quantity)) AS s FROM lineitem GROUP BY l_orderkey)
+        SELECT l_orderkey, CASE WHEN len(s) >= 3 THEN s[least(CAST(floor(len(s) * 0.9) AS INT), len(s) - 1) + 1] - s[least(CAST(floor(len(s) * 0.1) AS INT), len(s) - 1) + 1] > 1 END AS varies FROM s""",
+    "edited_clips": """WITH c AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL),
+        m AS (SELECT vec_id, list_transform(range(len(x) // 2), lambda i: (x[2 * i + 1] + x[2 * i + 2]) / 2) AS mono,
+            list_transform(range(40), lambda i: x[CAST(floor(i * 1.6) AS INT) + 1] + (x[least(CAST(floor(i * 1.6) AS INT) + 2, 64)] - x[CAST(floor(i * 1.6) AS INT) + 1]) * (i * 1.6 - floor(i * 1.6))) AS resampled,
+            list_concat(x[1:16], list_transform(range(4), lambda i: x[16 + i + 1] * (1 - (i + 1) / 5) + list_reverse(x)[i + 1] * ((i + 1) / 5)), list_reverse(x)[5:60],
+                        list_transform(range(4), lambda i: list_reverse(x)[60 + i + 1] * (1 - (i + 1) / 5) + x[40 + i + 1] * ((i + 1) / 5)), x[45:64]) AS spliced,
+            list_transform(x, lambda v: greatest(-1, least(1, v * pow(10, 6.0 / 20)))) AS raised FROM c)
+        SELECT vec_id, """ + ", ".join(f"CAST(len({n}) AS INT) AS {n}_n, round(sqrt(list_avg(list_transform({n}, lambda v: v * v))), 9) AS {n}_rms" for n in ("mono", "resampled", "spliced", "raised")) + " FROM m",
+    "delivery_lights": f"""WITH c AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL),
+        r AS (SELECT vec_id, sqrt(list_avg(list_transform(x, lambda v: v * v))) AS a, list_max(list_transform(x, lambda v: abs(v))) AS b, list_min(list_transform(range(8), lambda i: sqrt(list_avg(list_transform(x[i * 8 + 1:i * 8 + 8], lambda v: v * v))))) AS d, len(x) / 100 AS seconds FROM c),
+        g AS (SELECT vec_id, {_DB.format('a')} AS rms_db, {_DB.format('b')} AS peak_db, {_DB.format('d')} AS floor_db, CASE WHEN vec_id % 2 = 0 THEN 100 ELSE 50 END AS sr, seconds FROM r), p(preset, lo, hi, pk, fl, rate, sec) AS (VALUES {_PRESET_SQL}),
+        k AS (SELECT vec_id, preset, CASE WHEN lo IS NULL AND hi IS NULL THEN 'unspecified' WHEN coalesce(rms_db < lo, false) OR coalesce(rms_db > hi, false) THEN 'fail' WHEN coalesce(rms_db - lo <= 0.5, false) OR coalesce(hi - rms_db <= 0.5, false) THEN 'warn' ELSE 'pass' END AS rms,
+            CASE WHEN pk IS NULL THEN 'unspecified' WHEN peak_db > pk THEN 'fail' WHEN pk - peak_db <= 0.5 THEN 'warn' ELSE 'pass' END AS peak,
+            CASE WHEN fl IS NULL THEN 'unspecified' WHEN floor_db = CAST('-inf' AS DOUBLE) THEN 'warn' WHEN floor_db > fl THEN 'fail' WHEN fl - floor_db <= 0.5 THEN 'warn' ELSE 'pass' END AS floor,
+            CASE WHEN rate IS NULL THEN 'unspecified' WHEN sr = rate THEN 'pass' ELSE 'fail' END AS rate, CASE WHEN sec IS NULL THEN 'unspecified' WHEN seconds <= sec THEN 'pass' ELSE 'fail' END AS length FROM g, p)
+        SELECT *, CASE WHEN 'fail' IN (rms, peak, floor, rate, length) THEN 'red' WHEN 'warn' IN (rms, peak, floor, rate, length) THEN 'yellow' ELSE 'green' END AS light FROM k""",
+}
+QUERIES |= {f.__name__: f for f in (speech_shares, uneven_quiets, room_tests, packet_rates, edited_clips, delivery_lights)}

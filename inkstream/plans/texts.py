@@ -5,35 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkstream.functions.text import WORD, ngrams, normalized_words, similar, word_count, words
+from inkstream.functions.text import COUNTED_WORD, WORD, normalized_word, word_count, words
 from inkstream.operators import proof, structure
 from inkstream.operators.books import chapter_runs
 from inkstream.operators.idioms import islands
-from inkstream.sources.tables import table
+from inkstream.sources.tables import DROPPED, MODULUS, REPLACED, table
 
 _W = WORD.replace("'", "''")
 _TOKENS = f"SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents"
 
 
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", words(F.lower("text")).alias("w"))
+    return structure.phrase_places(docs, table(spark, folder, "benchmark").select("item_id", words(F.lower("text")).alias("w")), "doc_id", "item_id")
+
+
 def phrase_occurrences(spark: SparkSession, folder: str) -> DataFrame:
-    """How often the opening three words of each benchmark item stand in the documents, and in how many."""
-    docs = table(spark, folder, "documents").select("doc_id", words(F.lower("text")).alias("w"))  # a column of its own: parted once a text
-    grams = docs.select("doc_id", F.explode(ngrams(F.col("w"), 3)).alias("g")).select("doc_id", "g.gram")
-    items = table(spark, folder, "benchmark").select("item_id", words(F.lower("text")).alias("w"))
-    phrases = items.select("item_id", F.try_element_at(ngrams(F.col("w"), 3), F.lit(1))["gram"].alias("gram"))
-    found = grams.join(phrases, "gram").groupBy("item_id", "gram")
-    return found.agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("doc_id").alias("documents")).withColumnRenamed("gram", "phrase")
+    """How often each benchmark item stands in the documents as a whole, and in how many."""
+    return _places(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("doc_id").alias("documents"))
 
 
 def occurrence_context(spark: SparkSession, folder: str) -> DataFrame:
-    """Each place of those phrases, with four words on either side."""
-    docs = table(spark, folder, "documents").select("doc_id", words(F.lower("text")).alias("w"))
-    places = docs.select("doc_id", "w", F.explode(ngrams(F.col("w"), 3)).alias("g")).select("doc_id", "w", F.col("g.position").alias("position"), "g.gram")
-    items = table(spark, folder, "benchmark").select("item_id", words(F.lower("text")).alias("w"))
-    phrases = items.select("item_id", F.try_element_at(ngrams(F.col("w"), 3), F.lit(1))["gram"].alias("gram"))
-    p = F.col("position")
-    start = F.greatest(p - 4, F.lit(0))
-    return places.join(phrases, "gram").select("item_id", "doc_id", "position", F.array_join(F.slice("w", start + 1, p + 7 - start), " ").alias("context"))
+    """Each place of those items, with four words on either side."""
+    return _places(spark, folder).select("item_id", "doc_id", "position", "context")
+
+
+def occurrence_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """How the first word of each benchmark item was heard wherever it stands (every fifth document was not checked; what was
+    heard follows the stand-in's slips), and whether in one way."""
+    docs = table(spark, folder, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    slip = F.pmod(F.col("doc_id") * 31 + F.col("token_index"), F.lit(MODULUS))
+    tokens = docs.select("doc_id", F.posexplode("w").alias("token_index", "written"))
+    alignment = tokens.where("doc_id % 5 <> 0").withColumn("heard", F.when(slip == DROPPED, "").when(slip == REPLACED, "slipped").otherwise(F.col("written")))
+    names = table(spark, folder, "benchmark").select(F.get(words(F.lower("text")), 0).alias("word")).where("word is not null").distinct()
+    places = tokens.withColumn("word", F.lower("written")).join(names, "word").select("word", "doc_id", "token_index", F.lit(1).alias("n_tokens"))
+    found = proof.readings(places, alignment, ["word"])
+    spoken = F.count_if(F.col("reading") != "#no-audio").over(Window.partitionBy("word"))
+    return found.select("word", "reading", "count", (spoken <= 1).alias("consistent"))
 
 
 def glossary_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,9 +50,10 @@ def glossary_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens and distinct spoken forms (no case, no marks) of each source."""
-    docs = table(spark, folder, "documents").select("source", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    return docs.select("source", F.explode(normalized_words("w")).alias("form")).groupBy("source").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("form").alias("forms"))
+    """Tokens and distinct spoken forms (no case, no marks) of each source; only distinct written forms are normalised."""
+    docs = table(spark, folder, "documents").select("source", F.explode(words(F.col("text"))).alias("t"))
+    forms = docs.groupBy("source", "t").agg(F.count(F.lit(1)).alias("n")).select("source", "n", normalized_word("t").alias("form"))
+    return forms.groupBy("source", "form").agg(F.sum("n").alias("n")).groupBy("source").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("forms"))
 
 
 def sentence_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,21 +76,41 @@ def turn_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lookalikes(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of words of the benchmark that a listener may mix up: a letter apart, two from eight letters on.
+    """All pairs of words of the benchmark that a listener may mix up: a letter apart, two from eight letters on. Words of any
+    letters; those within a number of edits have a form in common with that many letters left out."""
+    words_of = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{5,}"), 0)).alias("word")
+    return structure.lookalike_pairs(table(spark, folder, "benchmark").select(words_of).distinct())
 
-    Only a-z counts as a letter, and words meet in blocks of equal first three letters and nearly equal length, each word
-    once, as in the query's SQL: pairs that differ before that are lost. `all_lookalikes` has them all."""
-    names = table(spark, folder, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)).alias("word")).distinct()
-    keyed = names.withColumns({"head": F.substring("word", 1, 3), "n": F.length("word")})
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = (F.col("a.head") == F.col("b.head")) & (F.abs(F.col("a.n") - F.col("b.n")) <= 2) & (F.col("a.word") < F.col("b.word"))
-    return a.join(b, near).where(similar(F.col("a.word"), F.col("b.word"))).select(F.col("a.word").alias("word"), F.col("b.word").alias("other"))
 
+def sentence_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each sentence of every document."""
+    return structure.sentence_ranges(table(spark, folder, "documents"))
+
+
+def line_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentence of every hundredth token of a document, with one sentence on either side."""
+    docs = table(spark, folder, "documents")
+    at = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.size(words(F.col("text"))), F.lit(100))).alias("token"))
+    return structure.line_ranges(structure.sentence_ranges(docs), at, "doc_id", 1)
 
-def all_lookalikes(spark: SparkSession, folder: str) -> DataFrame:
-    """All such pairs of words of any letters: words within a number of edits have a form in common with that many letters left out."""
-    words_of = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{5,}"), 0)).alias("word")
-    return structure.lookalike_pairs(table(spark, folder, "benchmark").select(words_of).distinct())
+
+def plain_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest of each text without heading marks, and its length, which is the same."""
+    text = structure.without_heading_marks(F.col("text"))
+    return table(spark, folder, "documents").select("doc_id", F.md5(text).alias("digest"), F.length(text).alias("length"))
+
+
+def transcript_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of 90 words: how many letters each has."""
+    return structure.transcript_blocks(table(spark, folder, "documents")).select("doc_id", "block", F.length("text").alias("length"))
+
+
+def slip_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of difference between neighbouring words of the documents, counted."""
+    docs = table(spark, folder, "documents").select(words(F.lower("text")).alias("w")).where(F.size("w") > 1)
+    pairs = docs.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))).alias("p")).select("p.a", "p.b")
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("kind", structure.slip_kind(F.col("a"), F.col("b"))).groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
 
 
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,8 +129,28 @@ def align_pickups(spark: SparkSession, folder: str) -> DataFrame:
     return proof.with_ids(proof.align(proof.stand_in_transcript(table(spark, folder, "documents").where("text is not null"))), "doc_id")
 
 
+def _read(spark: SparkSession, folder: str) -> DataFrame:
+    """The stand-in readings, each third document with five seconds of silence before its tenth word."""
+    docs = table(spark, folder, "documents").where("text is not null")
+    late = lambda w: F.when(F.col("doc_id") % 3 == 0, F.when(w["start"] >= 4, 5.0).otherwise(0.0)).otherwise(0.0)
+    heard = F.transform("heard", lambda w: w.withField("start", w["start"] + late(w)).withField("end", w["end"] + late(w)))
+    return proof.stand_in_transcript(docs, "doc_id", "text", True).withColumns({"heard": heard, "duration": F.lit(None).cast("double")})
+
+
+def chapter_check(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole check of every document (recursive matching: no SQL)."""
+    return proof.checked(_read(spark, folder), suppressed=["added"])
+
+
+def token_states(spark: SparkSession, folder: str) -> DataFrame:
+    """How many tokens of each document were matched, read otherwise or missed (recursive matching: no SQL)."""
+    rows = proof.token_alignment(proof.stand_in_transcript(table(spark, folder, "documents").where("text is not null")))
+    count = lambda s: F.count_if(F.col("state") == s).alias(s)
+    return rows.groupBy("doc_id").agg(*map(count, ("matched", "different", "missing")))
+
+
 def proof_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Pickups by kind after suppression and merging, per document."""
+    """Pickups by kind after suppression and merging."""
     found = proof.unsuppressed(proof.align(proof.stand_in_transcript(table(spark, folder, "documents"))), ["added"])
     return proof.merged(found, ["doc_id"], proof.MERGE_WINDOWS["normal"], ("i0",)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t_end") - F.col("t_start")), 3).alias("seconds"))
 
@@ -134,16 +183,56 @@ def retake_checks(spark: SparkSession, folder: str) -> DataFrame:
     return proof.verified(turns.select("conv_id", "turn", "text", before.alias("heard"))).select("conv_id", "turn", "status", "expected_excerpt", "heard_excerpt")
 
 
-QUERIES = {f.__name__: f for f in (phrase_occurrences, occurrence_context, glossary_candidates, vocabulary, sentence_stats, seat_runs, turn_runs, lookalikes, all_lookalikes, chapters, dialogue, align_pickups, proof_summary, eval_scores, quality_agreement, folded_pickups, retake_checks)}
-
-_GRAMS = f"""t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_W}') AS w FROM documents),
-    g AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3),
-    o AS (SELECT item_id, regexp_extract_all(lower(text), '{_W}') AS w FROM benchmark),
-    ph AS (SELECT item_id, w[1] || ' ' || w[2] || ' ' || w[3] AS phrase FROM o WHERE len(w) >= 3),
-    hit AS (SELECT item_id, phrase, doc_id, i, w FROM g JOIN ph ON w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] = phrase)"""
+QUERIES = {
+    f.__name__: f
+    for f in (
+        phrase_occurrences, occurrence_context, occurrence_readings, glossary_candidates, vocabulary, sentence_stats, sentence_ranges, line_ranges, plain_texts, transcript_blocks, slip_kinds, seat_runs, turn_runs, lookalikes,
+        chapters, dialogue, align_pickups, chapter_check, token_states, proof_summary, eval_scores, quality_agreement, folded_pickups, retake_checks,
+    )
+}
+
+_PLACES = f"""t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_W}') AS w FROM documents),
+    o AS (SELECT item_id, regexp_extract_all(lower(text), '{_W}') AS p FROM benchmark),
+    g AS (SELECT doc_id, unnest(w) AS x, unnest(list_concat(w[2:], [NULL])) AS y, unnest(list_concat(w[3:], [NULL, NULL])) AS z, unnest(range(1, len(w) + 1)) AS i FROM t),
+    c AS (SELECT item_id, doc_id, i FROM g JOIN o ON x = p[1] AND (len(p) < 2 OR y = p[2]) AND (len(p) < 3 OR z = p[3])),
+    hit AS (SELECT item_id, doc_id, i, w, p FROM c JOIN t USING (doc_id) JOIN o USING (item_id) WHERE w[i:i + len(p) - 1] = p)"""
+_GAP = structure.TOKEN_AND_GAP.replace("'", "''")
+_COUNTED = COUNTED_WORD.replace("'", "''")
+_SENTENCES = f"""tg AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{_GAP}', 1), lambda x: lower(x)) AS w, regexp_extract_all(coalesce(text, ''), '{_GAP}', 2) AS g FROM documents),
+    en AS (SELECT doc_id, list_filter(range(len(w)), lambda i: regexp_matches(g[i + 1], '[\\n!?。！？]') OR (contains(g[i + 1], '.') AND NOT list_contains([{', '.join(f"'{x}'" for x in structure.ABBREVIATIONS)}], w[i + 1])) OR i = len(w) - 1) AS e FROM tg WHERE len(w) > 0),
+    se AS (SELECT doc_id, unnest(range(len(e))) AS k, unnest(list_concat([-1], e)[:len(e)]) AS p, unnest(e) AS z FROM en),
+    sr AS (SELECT doc_id, CAST(k AS INT) AS sentence, CAST(p + 1 AS INT) AS "first", CAST(z AS INT) AS "last" FROM se)"""
+_HEAD = structure.HEADING.replace("'", "''")
+_SWAP = " OR ".join("(a IN ({0}) AND b IN ({0}))".format(", ".join(f"'{x}'" for x in g)) for g in structure.SHORT_WORDS)
+_STEM = " OR ".join(f"a = b || '{x}' OR b = a || '{x}'" for x in ("s", "es", "ed", "d", "ing"))
 ORACLES = {
-    "phrase_occurrences": f"WITH {_GRAMS} SELECT item_id, phrase, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM hit GROUP BY ALL",
-    "occurrence_context": f"WITH {_GRAMS} SELECT item_id, doc_id, CAST(i - 1 AS INT) AS position, array_to_string(w[greatest(i - 4, 1):i + 6], ' ') AS context FROM hit",
+    "phrase_occurrences": f"WITH {_PLACES} SELECT item_id, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM hit GROUP BY ALL",
+    "occurrence_context": f"WITH {_PLACES} SELECT item_id, doc_id, CAST(i - 1 AS INT) AS position, array_to_string(w[greatest(i - 4, 1):i + len(p) + 3], ' ') AS context FROM hit",
+    "occurrence_readings": f"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM t),
+        n AS (SELECT DISTINCT regexp_extract_all(lower(text), '{_W}')[1] AS word FROM benchmark),
+        h AS (SELECT n.word, doc_id, t, (doc_id * 31 + i) % {MODULUS} AS slip FROM x JOIN n ON lower(t) = n.word),
+        r AS (SELECT word, CASE WHEN doc_id % 5 = 0 THEN '#no-audio' WHEN slip = {DROPPED} THEN '#silent' WHEN slip = {REPLACED} THEN 'slipped' ELSE
+              array_to_string(list_filter(list_transform(regexp_split_to_array(replace(t, '’', ''''), '[\\s‐-―\\-]+'), lambda p: trim(regexp_replace(lower(strip_accents(p)), '[^\\p{{L}}\\p{{N}}'']', '', 'g'), '''')), lambda p: p <> ''), ' ') END AS reading FROM h),
+        c AS (SELECT word, reading, count(*) AS "count" FROM r GROUP BY ALL) SELECT *, count(*) FILTER (WHERE reading <> '#no-audio') OVER (PARTITION BY word) <= 1 AS consistent FROM c""",
+    "sentence_stats": f"""WITH s AS (SELECT lang, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?。！？…])[\\s"”’)]+|\\n+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents),
+        n AS (SELECT lang, len(regexp_extract_all(s, '{_COUNTED}')) AS n FROM s) SELECT lang, count(*) AS sentences, CAST(sum(n) AS BIGINT) AS words, max(n) AS longest FROM n WHERE n > 0 GROUP BY lang""",
+    "sentence_ranges": f"WITH {_SENTENCES} SELECT * FROM sr",
+    "line_ranges": f"""WITH {_SENTENCES}, tk AS (SELECT doc_id, unnest(range(0, len(w) + 1, 100)) AS token FROM tg), ow AS (SELECT tk.*, sentence FROM tk JOIN sr ON tk.doc_id = sr.doc_id AND token BETWEEN "first" AND "last")
+        SELECT ow.doc_id, CAST(token AS INT) AS token, min("first") AS "first", max("last") AS "last" FROM ow JOIN sr ON ow.doc_id = sr.doc_id AND sr.sentence BETWEEN ow.sentence - 1 AND ow.sentence + 1 GROUP BY ALL""",
+    "plain_texts": """WITH l AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: repeat(' ', length(regexp_extract(x, '^(\\s{0,3}#{1,6})(?:\\s|$)', 1))) || x[length(regexp_extract(x, '^(\\s{0,3}#{1,6})(?:\\s|$)', 1)) + 1:]) AS l FROM documents)
+        SELECT doc_id, md5(array_to_string(l, chr(10))) AS digest, CAST(length(array_to_string(l, chr(10))) AS INT) AS length FROM l""",
+    "transcript_blocks": """WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' ') AS w FROM documents), b AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w WHERE w[1] <> '')
+        SELECT doc_id, CAST(i // 90 AS INT) AS block, CAST(sum(length(x)) + count(*) - 1 AS INT) AS length FROM b GROUP BY ALL""",
+    "slip_kinds": f"""WITH t AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '{_W}') AS w FROM documents), x AS (SELECT unnest(w) AS a, unnest(list_concat(w[2:], [NULL])) AS b FROM t), p AS (SELECT a, b, count(*) AS n FROM x WHERE b IS NOT NULL GROUP BY ALL),
+        k AS (SELECT n, CASE WHEN a = b THEN 'same' WHEN {_SWAP} THEN 'short-swap' WHEN {_STEM} THEN 'inflection' WHEN length(a) - length(b) BETWEEN 1 AND 2 AND length(b) >= 3 AND suffix(a, b) THEN 'onset' WHEN length(b) >= 3 AND contains(a, b) THEN 'piece'
+              WHEN greatest(length(a), length(b)) >= 5 AND levenshtein(translate(a, 'àáâãäåæçèéêëìíîïñòóôöøùúûüýÿœß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#%&'), translate(b, 'àáâãäåæçèéêëìíîïñòóôöøùúûüýÿœß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#%&')) <= CASE WHEN greatest(length(a), length(b)) >= 8 THEN 2 ELSE 1 END THEN 'near' ELSE 'other' END AS kind FROM p) SELECT kind, CAST(sum(n) AS BIGINT) AS n, count(*) AS pairs FROM k GROUP BY kind""",
+    "chapters": f"""WITH l AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n') AS l FROM documents), r AS (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS line FROM l),
+        h AS (SELECT *, regexp_matches(t, '{_HEAD}') AS heading, trim(t) = '' AS blank FROM r),
+        b AS (SELECT *, heading AND NOT coalesce(first_value(CASE WHEN NOT blank THEN heading END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), true) AS starts FROM h),
+        c AS (SELECT *, CAST(sum(CAST(starts AS INT)) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS INT) AS chapter FROM b),
+        g AS (SELECT doc_id, chapter, max(CASE WHEN starts THEN trim(regexp_replace(t, '^\\s*#+\\s*', '')) END) AS title, CAST(sum(CASE WHEN starts THEN 0 ELSE len(regexp_extract_all(t, '{_COUNTED}')) END) AS BIGINT) AS words, CAST(min(line) AS INT) AS first_line, CAST(max(line) AS INT) AS last_line FROM c GROUP BY doc_id, chapter)
+        SELECT *, round(words / 9300 * 60, 6) AS minutes, round(words / 9300 * 60, 6) > 120 AS over_120 FROM g WHERE chapter > 0 OR words > 0 OR (first_line = 0 AND title IS NULL)""",
+    "dialogue": """SELECT conv_id, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '"([^"\\n]+)"|“([^”\\n]+)”'))) AS BIGINT) AS passages FROM conversations GROUP BY conv_id""",
     "glossary_candidates": f"""WITH t AS (SELECT unnest(w) AS t FROM ({_TOKENS})),
         v AS (SELECT lower(t) AS word, t, count(*) AS n, regexp_matches(t, '^\\p{{Lu}}') AS upper FROM t GROUP BY ALL),
         k AS (SELECT word, CAST(sum(n) AS BIGINT) AS frequency, CAST(coalesce(sum(n) FILTER (WHERE upper), 0) AS BIGINT) AS capitalised, count(*) AS variants FROM v GROUP BY word),
@@ -159,9 +248,9 @@ ORACLES = {
     "turn_runs": """WITH r AS (SELECT DISTINCT conv_id || ':' || role AS name, turn FROM conversations),
         i AS (SELECT *, turn - row_number() OVER (PARTITION BY name ORDER BY turn) AS run FROM r)
         SELECT name, min(turn) AS "first", max(turn) AS "last" FROM i GROUP BY name, run""",
-    "lookalikes": """WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM benchmark)
-        SELECT a.word, b.word AS other FROM n a JOIN n b ON a.word[1:3] = b.word[1:3] AND a.word < b.word
-        WHERE levenshtein(a.word, b.word) <= CASE WHEN greatest(length(a.word), length(b.word)) >= 8 THEN 2 ELSE 1 END""",
+    "lookalikes": """WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}{5,}')) AS word FROM benchmark)
+        SELECT a.word, b.word AS other FROM n a JOIN n b ON a.word < b.word AND abs(length(a.word) - length(b.word)) <= 2
+        WHERE levenshtein(translate(a.word, 'àáâãäåæçèéêëìíîïñòóôöøùúûüýÿœß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#%&'), translate(b.word, 'àáâãäåæçèéêëìíîïñòóôöøùúûüýÿœß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#%&')) <= CASE WHEN greatest(length(a.word), length(b.word)) >= 8 THEN 2 ELSE 1 END""",
     "quality_agreement": f"""WITH f AS (SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '{_W}')) >= 100),
         l AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
         j AS (SELECT f.doc_id AS f, l.doc_id AS l FROM f FULL JOIN l ON f.doc_id = l.doc_id),
