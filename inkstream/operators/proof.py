@@ -101,7 +101,7 @@ def stand_in_transcript(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 def valid_words(heard: Column, duration: Column | None = None) -> Column:
     """Words with text and sensible times, clamped to the duration; a missing confidence stays null."""
-    fit = F.filter(heard, lambda w: (F.size(spoken_pieces(w["text"])) > 0) & ~F.isnan(w["start"]) & ~F.isnan(w["end"]) & (w["start"] >= 0) & (w["end"] >= w["start"]))
+    fit = F.filter(heard, lambda w: w["text"].rlike(r"[\p{L}\p{N}]") & ~F.isnan(w["start"]) & ~F.isnan(w["end"]) & (w["start"] >= 0) & (w["end"] >= w["start"]))
     if duration is None:
         return fit
     inside = F.filter(fit, lambda w: w["start"] <= duration)

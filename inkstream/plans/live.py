@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstream.functions.text import words
+from inkstream.operators import live
 from inkstream.operators.proof import stand_in_transcript
-from inkstream.sources.tables import table
+from inkstream.sources.tables import PICKUPS_SQL, pickups, table
 from inkstream.streaming import follow, windows
 
 
@@ -42,6 +43,67 @@ def live_follow(spark: SparkSession, folder: str) -> DataFrame:
     return follow.followed(heard, script).groupBy("session").agg(F.max("cursor").alias("cursor"), *[F.count_if(F.col("event") == e).alias(e) for e in ("match", "skip", "back", "miss", "late", "echo", "halted")])
 
 
+def _seconds(spark: SparkSession, folder: str) -> DataFrame:
+    at = F.unix_micros(F.to_timestamp("ts")) / 1e6 - F.lit(1704067200.0)
+    return _events(spark, folder).select("user_id", "event_id", "event_type", "value", F.round(at, 3).alias("at"))
+
+
+def input_qualities(spark: SparkSession, folder: str) -> DataFrame:
+    """Peak, ambient level and label of each user's values, taken as levels."""
+    rows = _seconds(spark, folder).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "event_id", "value"))), lambda r: r["value"] / 200).alias("levels"))
+    return rows.withColumn("q", live.input_quality(F.col("levels"))).select("user_id", F.round("q.peak", 6).alias("peak"), F.round("q.ambient", 6).alias("ambient"), "q.label")
+
+
+def reading_pace(spark: SparkSession, folder: str) -> DataFrame:
+    """Pace of each user after all events, in seconds an event, and the lead after half an hour."""
+    step = F.col("at") - F.lag("at").over(Window.partitionBy("user_id").orderBy("at", "event_id"))
+    rows = _seconds(spark, folder).withColumn("step", step).where("step is not null")
+    paces = rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "event_id", "step"))), lambda r: r["step"]).alias("steps")).withColumn("pace", live.pace(F.col("steps")))
+    return paces.select("user_id", F.round("pace", 3).alias("pace"), F.round(live.lead(F.col("pace"), F.lit(1800.0)), 6).alias("lead"))
+
+
+def held_back_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that are sure at the end of their hour: not in its last 5 minutes; on the clock of the hour."""
+    rows = _seconds(spark, folder).select("event_id", F.floor(F.col("at") / 3600).alias("hour"), F.col("at").alias("start"), (F.col("at") + 0.5).alias("end"))
+    kept = live.held_back(rows, (F.col("hour") + 1) * 3600, 300.0)
+    return live.rebased(kept.withColumn("shift", F.col("hour") * -3600), "shift").select("event_id", "hour", F.round("start", 3).alias("start"))
+
+
+def last_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """The last event of each user and kind."""
+    return live.upserted(_seconds(spark, folder).withColumn("id", F.concat_ws(":", "user_id", "event_type")), "id", ["at", "event_id"]).select("id", "event_id")
+
+
+def dimmed_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of a user, dimmed once three before were dismissed (of odd ids)."""
+    rows = _seconds(spark, folder).where("event_type = 'error'").withColumn("dismissed", F.col("event_id") % 2 == 1)
+    return live.dimmed(rows, ["user_id"], "event_id", "dismissed").select("event_id", "user_id", "dim")
+
+
+def restart_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each user's reading starts again (a purchase ends a sentence), from the middle of the events."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    rows = _seconds(spark, folder).withColumn("sentence", F.coalesce(F.sum((F.col("event_type") == "purchase").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    middle = rows.groupBy("user_id").agg(F.floor((F.min("event_id") + F.max("event_id")) / 2).alias("cursor"))
+    return live.restart_points(rows, ["user_id"], "sentence", "event_id", middle)
+
+
+def _spoken(spark: SparkSession, folder: str) -> DataFrame:
+    return pickups(spark, folder).select("chapter_id", F.col("kind").alias("seat"), F.col("t_start").alias("start"), F.col("t_end").alias("end"))
+
+
+def seat_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """What each seat (kind) speaks at a stretch in a chapter."""
+    return live.segments(_spoken(spark, folder), ["chapter_id"], "seat")
+
+
+def pickup_seats(spark: SparkSession, folder: str) -> DataFrame:
+    """Who speaks at the middle of each pickup: the first of overlapping seats, else the nearest."""
+    asked = pickups(spark, folder).select("chapter_id", "line", "word_id", ((F.col("t_start") + F.col("t_end")) / 2 - 20).alias("at"))
+    spoken = _spoken(spark, folder).groupBy("chapter_id", "start").agg(F.max("end").alias("end"), F.min("seat").alias("seat"))
+    return live.seats_at(asked, spoken, ["chapter_id"], "at", "seat")
+
+
 QUERIES = {f.__name__: f for f in (hop_windows, sliding_windows, reading_sessions, without_echoes, live_follow)}
 ORACLES = {
     "hop_windows": "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
@@ -53,3 +115,26 @@ ORACLES = {
     "without_echoes": """SELECT event_id, user_id, event_type FROM (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) / 1e6 AS apart FROM events)
         WHERE apart IS NULL OR apart > 3600""",
 }
+_AT = "at0 AS (SELECT user_id, event_id, event_type, value, round(epoch_us(ts) / 1e6 - 1704067200.0, 3) AS x FROM events)"
+QUERIES |= {f.__name__: f for f in (input_qualities, reading_pace, held_back_words, last_versions, dimmed_flags, restart_points, seat_segments, pickup_seats)}
+ORACLES |= {
+    "input_qualities": f"""WITH {_AT}, l AS (SELECT user_id, list(value / 200 ORDER BY x, event_id) AS l FROM at0 GROUP BY user_id), s AS (SELECT user_id, list_max(l) AS peak, list_sort(l[greatest(len(l) - 64, 0) + 1:]) AS s FROM l),
+        a AS (SELECT user_id, peak, s[CAST(floor((len(s) - 1) * 0.25) AS INT) + 1] AS ambient FROM s)
+        SELECT user_id, round(peak, 6) AS peak, round(ambient, 6) AS ambient, CASE WHEN peak >= 0.99 THEN 'clipping' WHEN ambient > 0.05 THEN 'noisy' WHEN peak < 0.1 THEN 'low' WHEN peak > 0.9 THEN 'hot' ELSE 'good' END AS label FROM a""",
+    "reading_pace": f"""WITH {_AT}, d AS (SELECT user_id, event_id, x, x - lag(x) OVER (PARTITION BY user_id ORDER BY x, event_id) AS step FROM at0),
+        p AS (SELECT user_id, list_reduce(list(step ORDER BY x, event_id), lambda a, v: a * 0.7 + v * 0.3, CAST(0.4 AS DOUBLE)) AS pace FROM d WHERE step IS NOT NULL GROUP BY user_id)
+        SELECT user_id, round(pace, 3) AS pace, round(least(1.0, greatest(0.0, 1800.0 / pace * 0.85)), 6) AS lead FROM p""",
+    "held_back_words": f"""WITH {_AT}, h AS (SELECT event_id, CAST(floor(x / 3600) AS BIGINT) AS hour, x FROM at0) SELECT event_id, hour, round(x - hour * 3600, 3) AS start FROM h WHERE x + 0.5 <= (hour + 1) * 3600 - 300""",
+    "last_versions": f"""WITH {_AT}, r AS (SELECT user_id || ':' || event_type AS id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY x DESC, event_id DESC) AS n FROM at0) SELECT id, event_id FROM r WHERE n = 1""",
+    "dimmed_flags": f"""WITH {_AT} SELECT event_id, user_id, coalesce(sum(CAST(event_id % 2 = 1 AS INT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS dim FROM at0 WHERE event_type = 'error'""",
+    "restart_points": f"""WITH {_AT}, s AS (SELECT user_id, event_id, coalesce(sum(CAST(event_type = 'purchase' AS INT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM at0),
+        m AS (SELECT user_id, floor((min(event_id) + max(event_id)) / 2) AS c FROM s GROUP BY user_id), k AS (SELECT s.*, max(s) OVER (PARTITION BY user_id) AS top FROM s JOIN m USING (user_id) WHERE event_id <= c)
+        SELECT user_id, min(event_id) AS restart FROM k WHERE s = top GROUP BY user_id""",
+    "seat_segments": f"""WITH {PICKUPS_SQL}, t AS (SELECT chapter_id, kind, t_start, t_end, CASE WHEN kind = lag(kind) OVER w THEN 0 ELSE 1 END AS t, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY chapter_id ORDER BY t_start, t_end, kind)),
+        r AS (SELECT *, sum(t) OVER (PARTITION BY chapter_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM t), m AS (SELECT *, max(t_end) OVER (PARTITION BY chapter_id, run ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+        c AS (SELECT *, sum(CASE WHEN reach IS NULL OR t_start > reach + 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY chapter_id, run ORDER BY n ROWS UNBOUNDED PRECEDING) AS part FROM m)
+        SELECT chapter_id, min(kind) AS seat, min(t_start) AS "start", max(t_end) AS "end" FROM c GROUP BY chapter_id, run, part""",
+    "pickup_seats": f"""WITH {PICKUPS_SQL}, g AS (SELECT chapter_id, t_start AS a, max(t_end) AS z, min(kind) AS seat FROM p GROUP BY chapter_id, t_start), s AS (SELECT *, a = max(a) OVER (PARTITION BY chapter_id) AS l FROM g),
+        q AS (SELECT chapter_id, line, word_id, (t_start + t_end) / 2 - 20 AS x, row_number() OVER () AS n FROM p), j AS (SELECT q.*, s.a, s.seat, x >= a AND (x < z OR (l AND x <= z)) AS h FROM q JOIN s ON q.chapter_id = s.chapter_id),
+        k AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY NOT h, CASE WHEN h THEN a ELSE abs(a - x) END, a) AS k FROM j) SELECT chapter_id, line, word_id, x AS "at", seat FROM k WHERE k = 1""",
+}

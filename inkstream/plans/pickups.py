@@ -296,7 +296,7 @@ ORACLES = {
     "spec_lights": f"""WITH {PICKUPS_SQL}, {_checks('b', 'true')} SELECT chapter_id, CASE WHEN 'fail' IN (length, "count", doubt) THEN 'red' WHEN 'warn' IN (length, "count", doubt) THEN 'yellow' ELSE 'green' END AS light FROM b""",
     "shared_assets": f"""WITH {PICKUPS_SQL} SELECT p_partkey, p_name, p_partkey NOT IN (SELECT word_id FROM p WHERE status = 'done') AS alone FROM part WHERE p_partkey IN (SELECT word_id FROM p WHERE status = 'open')""",
     "marker_lines": f"""WITH {TOLD_SQL}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY t_start, id) AS INT) AS number, CASE WHEN expected = '' THEN '—' ELSE expected END || ' → ' || CASE WHEN heard = '' THEN '—' ELSE heard END || ' [' || kind || ']' AS label,
-            t_end - t_start AS len, trim(regexp_replace(coalesce(note, ''), '\s+', ' ', 'g')) AS flat, greatest(t_end, t_start + 0.5) AS cue FROM sp WHERE status <> 'ignored')
+            t_end - t_start AS len, trim(regexp_replace(coalesce(note, ''), '\\s+', ' ', 'g')) AS flat, greatest(t_end, t_start + 0.5) AS cue FROM sp WHERE status <> 'ignored')
         SELECT chapter_id, number, printf('%.3f', t_start) || chr(9) || printf('%.3f', t_end) || chr(9) || label AS label_track,
             'R' || number || ',' || {_csv('label')} || ',' || printf('%.3f,%.3f,%.3f,', t_start, t_end, len) AS region_row,
             label || chr(9) || {_minutes('t_start')} || chr(9) || {_minutes('len')} || chr(9) || 'decimal' || chr(9) || 'Cue' || chr(9) || flat AS marker_row,
@@ -306,7 +306,7 @@ ORACLES = {
         count(*) FILTER (WHERE kind <> 'pause') AS word_changes, count(*) FILTER (WHERE kind = 'pause') AS long_pauses FROM sp GROUP BY chapter_id""",
     "report_rows": f"""WITH {TOLD_SQL}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY t_start, id) AS INT) AS number FROM sp)
         SELECT chapter_id, number, '| ' || number || ' | ' || {_minutes('t_start')} || ' | ' || kind || ' | ' || status || ' | ' || CASE WHEN expected = '' THEN '—' ELSE expected END || ' | ' || CASE WHEN heard = '' THEN '—' ELSE heard END
-            || ' | ' || CAST(floor(confidence * 100 + 0.5) AS INT) || '% | ' || replace(coalesce(trim(regexp_replace(note, '\s+', ' ', 'g')), '—'), '|', '\|') || ' |' AS row FROM n""",
+            || ' | ' || CAST(floor(confidence * 100 + 0.5) AS INT) || '% | ' || replace(coalesce(trim(regexp_replace(note, '\\s+', ' ', 'g')), '—'), '|', '\\|') || ' |' AS row FROM n""",
     "export_plan": f"""WITH {CHAPTERS_SQL}, {_AUDIO_SQL}, x AS (SELECT book_id, printf('%02d_chapter_%02d.mp3', number, number) AS file, 'chapter' AS kind, number, audio AS source FROM au),
         f AS (SELECT book_id, min(number) AS number, arg_min(coalesce(audio, ''), number) AS source FROM au GROUP BY book_id)
         SELECT * FROM x UNION ALL SELECT book_id, '00_opening_credits.mp3', 'opening_credits', NULL, NULL FROM f UNION ALL SELECT book_id, '98_closing_credits.mp3', 'closing_credits', NULL, NULL FROM f
