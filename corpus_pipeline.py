@@ -2,14 +2,18 @@
 
 A stage is (name, function); the function takes (spark, docs, sf_dir) and returns the documents for the next stage, with
 the same columns (the last stage: ids and their digest). Each stage's result is written as Parquet to the folder that the
-cluster shares and read back, so a lost executor costs no more than the stage that runs.
+cluster shares and read back, so a lost executor costs no more than the stage that runs; it goes once the next is written.
+
+Null texts are empty texts: quality scores them, secrets make them empty, all documents of equal text are one class, of which the
+one of smallest id stays, once where its row is repeated. A row without an id is never a copy. Columns of the documents that bear
+names of the stages' own are carried along. No documents give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstream.llm._common import stored, table
+from inkstream.llm._common import discard, stored, table
 from inkstream.llm.bpe import encode_stage
 from inkstream.llm.decontaminate import keep_uncontaminated
 from inkstream.llm.near_dup import keep_first
@@ -29,7 +33,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstream.functions.levels import dbfs, format_db, range_status, rms
-from inkstream.functions.text import stable_id
+from inkstream.functions.text import spoken_pieces, stable_id
 from inkstream.functions.timecode import minutes_seconds, subtitle_time
 from inkstream.operators import proof, signal, structure
 from inkstream.sources import files
@@ -38,11 +38,11 @@ def test_differing_runs_are_shortest_scripts():
 
 
 CASES = [
-    ("She left the letter on the table.", "She left the letter in the table", [("sub", "on", "in")]),
-    ("He waited. The train never came. He walked home.", "He waited He walked home", [("skip", "The train never came", "")]),
-    ("The door opened.", "The heavy door opened", [("insert", "", "heavy")]),
-    ("Café déjà.", "cafe deja", []),
-    ("One two", "", [("skip", "One two", "")]),
+    ("My uncle kept bees behind the mill.", "My uncle kept bees beside the mill", [("sub", "behind", "beside")]),
+    ("Rain fell. Both ships were late. Nobody minded.", "Rain fell Nobody minded", [("skip", "Both ships were late", "")]),
+    ("A candle burned.", "A tall candle burned", [("insert", "", "tall")]),
+    ("Élan für Zoë.", "elan fur zoe", []),
+    ("Red green", "", [("skip", "Red green", "")]),
 ]
 
 
@@ -76,10 +76,37 @@ def test_levels_and_timecodes(spark):
     ).first()
     assert abs(row.a + 20) < 1e-9 and row.b == -math.inf and row.c == "−3.3 dBFS" and row.d == "pass"
     assert row.e == "1:01:01.500" and row.f == "00:01:01,063"
-    h = 0x811C9DC5
-    for byte in b"a|b":
-        h = (h ^ byte) * 0x01000193 % 2**32
-    assert row.g == f"{h:08x}"
+    assert row.g == fnv("a|b")
+
+
+def fnv(text):
+    h, units = 0x811C9DC5, text.encode("utf-16-le")
+    for i in range(0, len(units), 2):
+        h = (h ^ int.from_bytes(units[i : i + 2], "little")) * 0x01000193 % 2**32
+    return f"{h:08x}"
+
+
+def test_ids_are_over_utf_16_units(spark):
+    texts = ["", "é", "日本", "a🙂b", "x" * 300]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", stable_id(F.col("t"), F.lit(1)).alias("id")).collect()
+    assert {r.t: r.id for r in rows} == {t: fnv(f"{t}|1") for t in texts}
+
+
+def test_pauses_stay_and_nothing_is_merged_across_them(spark):
+    rows = [(1, "sub", "a", "b", 0.0, 1.0, 0.9), (1, "pause", "Pause", "", 5.0, 9.0, 0.5), (1, "skip", "c", "", 9.1, 9.2, 0.8), (1, "insert", "", "d", 9.3, 9.4, 0.7)]
+    pickups = spark.createDataFrame(rows, "doc_id long, kind string, expected string, heard string, t_start double, t_end double, confidence double")
+    found = [(r.kind, r.expected, r.heard, r.t_start, r.t_end, r.pickups) for r in proof.merged(pickups, ["doc_id"], 10.0).orderBy("t_start").collect()]
+    assert found == [("sub", "a", "b", 0.0, 1.0, 1), ("pause", "Pause", "", 5.0, 9.0, 1), ("sub", "c", "d", 9.1, 9.4, 2)]
+
+
+def test_edges_warn_at_the_edge(spark):
+    row = spark.range(1).select(*[range_status(F.lit(x), F.lit(-23.0), F.lit(-18.0)).alias(n) for n, x in (("a", -22.5), ("b", -22.4), ("c", -18.5), ("d", -23.1))]).first()
+    assert tuple(row) == ("warn", "pass", "warn", "fail")
+
+
+def test_spoken_pieces_have_no_marks(spark):
+    row = spark.createDataFrame([("Café-Noël ’tis",)], "t string").select(spoken_pieces(F.col("t")).alias("p")).first()
+    assert row.p == ["cafe", "noel", "tis"]
 
 
 def test_loudness_of_a_sine(spark):
