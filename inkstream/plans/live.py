@@ -36,11 +36,12 @@ def without_echoes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def live_follow(spark: SparkSession, folder: str) -> DataFrame:
-    """A live reading of every document, followed word by word."""
+    """A live reading of every document, followed word by word; a session is a row, and nothing is shuffled."""
     docs = table(spark, folder, "documents").where("text is not null")
-    heard = stand_in_transcript(docs).select(F.col("doc_id").cast("string").alias("session"), F.posexplode("heard").alias("seq", "w")).select("session", F.col("seq").cast("long").alias("seq"), "w.text", "w.start", "w.end")
-    script = docs.select(F.col("doc_id").cast("string").alias("session"), words(F.lower("text")).alias("words"))
-    return follow.followed(heard, script).groupBy("session").agg(F.max("cursor").alias("cursor"), *[F.count_if(F.col("event") == e).alias(e) for e in ("match", "skip", "back", "miss", "late", "echo", "halted")])
+    rows = stand_in_transcript(docs, "doc_id", "text", True).where(F.size("heard") > 0).withColumn("script", words(F.lower("text")))
+    placed = rows.select(F.col("doc_id").cast("string").alias("session"), follow.places("heard", "script").alias("p"))
+    count = lambda e: F.size(F.filter("p", lambda x: x["event"] == e)).cast("long").alias(e)
+    return placed.select("session", F.array_max(F.transform("p", lambda x: x["cursor"])).alias("cursor"), *map(count, ("match", "skip", "back", "miss", "late", "echo", "halted")))
 
 
 def _seconds(spark: SparkSession, folder: str) -> DataFrame:

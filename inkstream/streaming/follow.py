@@ -13,6 +13,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Seconds within which an equal word is an echo, words that may be skipped, words looked ahead and back, and misses that halt.
 ECHO, NEAR, AHEAD, BACK, HALT = 0.65, 3, 8, 48, 3
@@ -111,6 +112,20 @@ def followed(heard: DataFrame, expected: DataFrame) -> DataFrame:
     return heard.groupBy("session").cogroup(expected.select("session", "words").groupBy("session")).applyInPandas(run, PLACES)
 
 
+PLACE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("index", T.IntegerType()), T.StructField("cursor", T.IntegerType()), T.StructField("event", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(PLACE))
+def places(heard: pd.Series, words: pd.Series) -> pd.Series:
+    """The same for a whole session in one row: heard (array of text, start, end, in order) and the expected words. No shuffle."""
+
+    def of(said, script) -> list[dict]:
+        rows = [(i, w["text"] or "", w["start"], w["end"]) for i, w in enumerate(said)]
+        return [p._asdict() for p in follow(list(script), State(), rows)[1]]
+
+    return pd.Series([of(a, b) for a, b in zip(heard, words)])
+
+
 def follow_stream(heard: DataFrame, expected: DataFrame) -> DataFrame:
     """The same over a stream of heard words: a stream-static join brings the script, state carries the rest."""
     script = expected.select("session", F.to_json("words").alias("script"))

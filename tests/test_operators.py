@@ -14,7 +14,7 @@ from inkstream.functions.text import spoken_pieces, stable_id
 from inkstream.functions.timecode import minutes_seconds, subtitle_time
 from inkstream.operators import proof, signal, structure
 from inkstream.sources import files
-from inkstream.streaming.follow import State, follow, follow_stream
+from inkstream.streaming.follow import State, follow, follow_stream, followed, places
 
 
 def common(a, b):
@@ -176,3 +176,14 @@ def test_following_a_stream(spark, tmp_path):
     query = follow_stream(stream, script).writeStream.format("memory").queryName("places").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("places").count() == len(words) and spark.table("places").agg(F.max("cursor")).first()[0] == 7
+
+
+def test_following_whole_sessions_is_following_rows(spark):
+    said = {"a": "the fox leaped jumped over over the lazy dog", "b": "zzz qqq vvv the", "c": "the jumped over"}
+    rows = [(k, *w) for k, text in said.items() for w in hear(text)]
+    script = spark.createDataFrame([(k, SCRIPT) for k in said], "session string, words array<string>")
+    heard = spark.createDataFrame(rows, "session string, seq long, text string, start double, end double")
+    whole = spark.createDataFrame([(k, [w[1:] for w in hear(text)], SCRIPT) for k, text in said.items()], "session string, heard array<struct<text string, start double, end double>>, words array<string>")
+    by_rows = sorted(tuple(r) for r in followed(heard, script).collect())
+    by_session = whole.select("session", F.explode(places("heard", "words")).alias("p")).select("session", "p.*")
+    assert by_rows == sorted(tuple(r) for r in by_session.collect())
