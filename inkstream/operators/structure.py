@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,7 +102,7 @@ def sentence_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """key, sentence, first, last (tokens, from 0): a sentence ends at a line end, at ! or ?, and at a full stop that does not
     belong to an abbreviation."""
     both = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    parts = both.select(key, F.transform(F.regexp_extract_all("_t", F.lit(TOKEN_AND_GAP), 1), F.lower).alias("w"), F.regexp_extract_all("_t", F.lit(TOKEN_AND_GAP), F.lit(len_groups(WORD) + 2)).alias("g")).where(F.size("w") > 0)
+    parts = both.select(key, F.transform(F.regexp_extract_all("_t", F.lit(TOKEN_AND_GAP), 1), F.lower).alias("w"), F.regexp_extract_all("_t", F.lit(TOKEN_AND_GAP), F.lit(2)).alias("g")).where(F.size("w") > 0)
     at = F.sequence(F.lit(0), F.size("w") - 1)
     ends = lambda i: F.get("g", i).rlike("[\n!?。！？]") | (F.contains(F.get("g", i), F.lit(".")) & ~F.get("w", i).isin(*ABBREVIATIONS)) | (i == F.size("w") - 1)
     lasts = parts.select(key, F.filter(at, ends).alias("e"))
@@ -112,11 +110,6 @@ def sentence_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return lasts.select(key, F.posexplode(rows).alias("sentence", "r")).select(key, "sentence", "r.first", "r.last")
 
 
-def len_groups(pattern: str) -> int:
-    """Capturing groups of a pattern."""
-    return re.compile(re.sub(r"\\p\{\w+\}", "x", pattern)).groups
-
-
 def line_ranges(ranges: DataFrame, tokens: DataFrame, key: str, more: int = 0) -> DataFrame:
     """tokens (key, token) with first and last of the sentence that holds it, widened by `more` sentences on either side."""
     own = tokens.join(ranges.select(F.col(key).alias("_k"), F.col("sentence").alias("_s"), F.col("first").alias("_a"), F.col("last").alias("_z")), (F.col(key) == F.col("_k")) & F.col("token").between(F.col("_a"), F.col("_z")))
