@@ -10,11 +10,13 @@ Samples are banded, and documents that share a band are candidates; their exact
 link, and classes are the connected components of the links.
 
 Hot groups: exact copies are reduced to one representative before any pair is formed. A bucket of at most SMALL different
-texts gives all its pairs. A larger bucket first links each member to a leader, so a group of thousands of near copies costs
-about as many comparisons as it has members. Members of a bucket that then are of several classes meet by prefixes: with
+texts gives all its pairs. A larger bucket first links each member to a leader, then (twice) to the member that has least of its own, so a group
+of thousands of near copies costs a few times as many comparisons as it has members. Members of a bucket that then are still
+of several classes meet by prefixes: with
 shingles ordered by how many hold them (those of a single class first), two sets of similarity SIMILAR or more share one that
 stands in the first ninth of the lighter set's weight and in the first fifth of the heavier one's. That loses no link, and
-texts that are all a little less alike than SIMILAR share no such shingle: what each has of its own fills its first ninth.
+pairs that cannot be that similar for what each has of its own (shingles of no other class) are not compared: texts that are
+all a little less alike than SIMILAR make hardly a pair.
 
 Null texts are empty; texts without words are in a class only with identical texts. A row without an id takes no part. Rows
 that repeat an id are one document, linked by any of its texts. Equal texts and ties: a class is named by its smallest id.
@@ -222,8 +224,9 @@ def links_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.sortWithinPartitions("a").select("a", "n_a", "codes_a", "weights_a", "b", "n_b", "codes_b", "weights_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def met_by_prefix(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of members of different classes, all those of similarity SIMILAR or more among them. members: (id, class)."""
+def shingle_rows(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, class, shingle, weight, total, n) of the members' sets, stored; n is how many members hold the shingle if those of
+    several classes do, else 0. members: (id, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,14 +238,33 @@ def met_by_prefix(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     rows = stored(sets.join(members.distinct(), "id").select("id", "class", "n", "codes", "weights").mapInArrow(run, "id long, class long, shingle long, weight long, total long"), "shingles")
     held = rows.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    held = stored(held.select("shingle", "n"), "shingles")
-    ranked = rows.join(held, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    held = stored(held.select("shingle", "n"), "held")
+    return stored(rows.join(held, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(0))), "shingles")
+
+
+def met_by_hub(unsettled: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket with the one that has least of its own, the likeliest to be what the others were copied from."""
+    shared = rows.groupBy("id").agg((F.sum(F.when(F.col("n") > 0, F.col("weight")).otherwise(0)) / F.max("total")).alias("shared"))
+    large = unsettled.join(shared, "id")
+    hubs = large.groupBy("band", "code").agg(F.max_by(F.struct("id", "class"), F.struct("shared", "id")).alias("hub"))
+    spokes = unsettled.join(stored(hubs, "hubs"), ["band", "code"]).where(F.col("class") != F.col("hub.class"))
+    return spokes.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
+def met_by_prefix(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of members of different classes, all those of similarity SIMILAR or more among them."""
+    own = F.sum(F.when(F.col("n") == 0, F.col("weight")).otherwise(0)).over(Window.partitionBy("id"))
     before = Window.partitionBy("id").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0))).where("n > 0")
-    ranked = stored(ranked.where(F.col("before") * PARTS <= F.col("total") * (PARTS - WHOLES)).select("id", "class", "shingle", "total", "before"), "prefixes")
+    ranked = rows.withColumns({"before": F.coalesce(F.sum("weight").over(before), F.lit(0)), "own": own}).where("n > 0")
+    ranked = stored(ranked.where(F.col("before") * PARTS <= F.col("total") * (PARTS - WHOLES)).select("id", "class", "shingle", "total", "before", "own"), "prefixes")
     light = ranked.where(F.col("before") * (PARTS + WHOLES) <= F.col("total") * (PARTS - WHOLES))
-    light = light.select("shingle", F.col("id").alias("x"), F.col("class").alias("of_x"), F.col("total").alias("total_x"))
-    met = ranked.join(light, "shingle").where((F.col("class") != F.col("of_x")) & (F.struct("total_x", "x") < F.struct("total", "id")) & (F.col("total_x") * PARTS >= F.col("total") * WHOLES))
+    light = light.select("shingle", F.col("id").alias("x"), F.col("class").alias("of_x"), F.col("total").alias("total_x"), F.col("own").alias("own_x"), F.col("before").alias("before_x"))
+    shared, shared_x = F.col("total") - F.col("own"), F.col("total_x") - F.col("own_x")
+    # neither shares what is its own, so this is the least that both hold together
+    possible = F.least(shared, shared_x) * PARTS >= (F.col("own") + F.col("own_x") + F.greatest(shared, shared_x)) * WHOLES
+    # what stands before the first shingle that both have is shared by neither; a pair meets at that one for certain
+    first = F.least(F.col("total") - F.col("before"), F.col("total_x") - F.col("before_x")) * (PARTS + WHOLES) >= (F.col("total") + F.col("total_x")) * WHOLES
+    met = ranked.join(light, "shingle").where(first & (F.col("class") != F.col("of_x")) & (F.struct("total_x", "x") < F.struct("total", "id")) & (F.col("total_x") * PARTS >= F.col("total") * WHOLES) & possible)
     return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
@@ -270,14 +292,19 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     star = members.where((F.col("m") > SMALL) & (F.col("id") != F.col("leader"))).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     links = stored(links_of(every.union(star).distinct(), sets).union(by_text), "verified")
     found = components(links)
-    large = members.where(F.col("m") > SMALL).select("band", "code", "id").join(found.select(F.col("node").alias("id"), "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
-    several = large.groupBy("band", "code").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "code")
-    unsettled = stored(large.join(several, ["band", "code"], "left_semi").select("id", "class").distinct(), "unsettled")
-    if not unsettled.isEmpty():
-        more = stored(links_of(met_by_prefix(unsettled, sets), sets), "verified")
+    for by_hub in (True, True, False):
+        large = members.where(F.col("m") > SMALL).select("band", "code", "id").join(found.select(F.col("node").alias("id"), "class"), "id", "left").withColumn("class", F.coalesce("class", "id"))
+        mixed_ones = stored(large.groupBy("band", "code").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "code"), "unsettled")
+        unsettled = stored(large.join(mixed_ones, ["band", "code"], "left_semi"), "unsettled")
+        if unsettled.isEmpty():
+            break
+        rows = shingle_rows(unsettled.select("id", "class"), sets)
+        more = stored(links_of(met_by_hub(unsettled, rows) if by_hub else met_by_prefix(rows), sets), "verified")
+        discard(rows)
         if not more.isEmpty():
-            found = components(links.union(more))
-    for done in (members, sets, links, unsettled):
+            links = stored(links.union(more), "verified")
+            found = components(links)
+    for done in (members, sets, links):
         discard(done)
     first = slim.select("id").distinct().join(copied, "id", "left").withColumn("rep", F.coalesce("first", "id"))
     return first.join(found.select(F.col("node").alias("rep"), "class"), "rep", "left").select("id", F.coalesce("class", "rep").alias("class"))
