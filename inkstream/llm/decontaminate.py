@@ -7,10 +7,10 @@ of their weight (no other can be that similar) get a BITS-bit SimHash of their o
 
 Items are indexed by BLOCKS equal blocks of their fingerprints. Two fingerprints within RADIUS bits agree in some block up to
 RADIUS // BLOCKS bits: the index holds every block value with its neighbours up to NEAR bits, a window looks up its own values
-with theirs, and so gets all items within the radius, and of others less than one in a hundred. The exact weighted Jaccard
-similarity of window and item then decides: SIMILAR or more is contamination. What similarity 0.8 means for fingerprints is a
-distance of 15 % of the bits; the radius is 20 % (2.5 standard deviations more), so that under one in a hundred windows
-right at the limit is missed, and none that is much more similar. Items of fewer than five words are one shingle.
+with theirs, and so gets all items within the radius, and of unlike ones less than one in a hundred. What similarity 0.8 means for
+fingerprints is a distance of 15 % of the bits, and the radius is 20 %, 2.5 standard deviations more; of items beyond the
+radius those that agree in some block come too, which leaves hardly one of a million out. The exact weighted Jaccard
+similarity of window and item then decides: SIMILAR or more is contamination. Items of fewer than five words are one shingle.
 
 The items are a reference set: their index is broadcast while it has at most MAX_ITEMS items (30 kB each) and MAX_ITEM_BYTES of
 text, and beyond that the items are dealt into parts, one pass over the documents each. Every document is scanned where it
@@ -181,7 +181,9 @@ class Index:
                 sums = np.zeros((len(mine) + 1, BITS), np.int32 if total[-1] < 2**31 else np.int64)
                 np.cumsum(planes(mine) * letters[:, None], axis=0, out=sums[1:])
                 for few in (part[i : i + 64] for i in range(0, len(part), 64)):
-                    for k, i in sorted(self.near(sums[few - first + m] - sums[few - first] > 0, length)):
+                    rows, items = self.candidates(sums[few - first + m] - sums[few - first] > 0)
+                    same = self.lengths[items] == length
+                    for k, i in zip(rows[same].tolist(), items[same].tolist()):
                         s = int(few[k])
                         item, _, wanted = self.items[i]
                         found = similarity(weighted(mine[s - first : s - first + m], letters[s - first : s - first + m]), wanted)
