@@ -169,7 +169,7 @@ def repeated_ranges(docs: DataFrame, n: int = MIN_WORDS) -> DataFrame:
     total = found.agg(F.sum(F.size("cold") + 9 * F.size("hot"))).first()[0] or 0
     shards = max(1, -(-total // PER_SHARD))
     docs.sparkSession._jvm.System.gc()  # lets Spark remove the shuffle files of the anchors
-    sent = shipped(found.join(docs, "id"), n).withColumn("shard", F.pmod("route", F.lit(shards)).cast("int")).drop("route")
+    sent = shipped(found.join(docs, "id"), n).withColumn("shard", F.pmod(F.when(F.col("text").isNull(), F.xxhash64("id")).otherwise(F.col("route")), F.lit(shards)).cast("int")).drop("route")
     ranges = sent.groupBy("shard").applyInPandas(lambda rows: search_shard(rows, n), "id long, start long, end long")
     ranges = stored(ranges.groupBy("id").agg(F.collect_set(F.shiftleft("start", 32) + F.col("end")).alias("ranges")), "ranges")
     discard(found)
