@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from inkstream.llm._common import ODD, WordCodes, mixed, strings, whole_text
 
 #: Words of a chunk and entries of a shard, about: bounds on the memory of a task, not on the input.
-CHUNK, SHARD = 2_000_000, 2_000_000
+CHUNK, SHARD = 1_500_000, 1_000_000
 #: The word before the first and after the last of a document.
 EDGE = np.uint64(1)
 
