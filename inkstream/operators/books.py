@@ -280,3 +280,43 @@ def shifted(words: DataFrame, edits: DataFrame, keys: list[str], at: str) -> Dat
     so_far = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     moved = both.withColumns({"_cut": F.max("_until").over(so_far), "_by": F.sum("_delta").over(so_far)}).where("_side = 2")
     return moved.where(F.col("_cut").isNull() | (F.col(at) >= F.col("_cut"))).withColumn(at, F.col(at) + F.col("_by")).select(*words.columns)
+
+
+def runs_text(numbers: Column) -> Column:
+    """Numbers as a guide prints them: 1–3, 5."""
+    ordered = F.array_sort(F.array_distinct(numbers))
+    starts = F.filter(ordered, lambda n, i: (i == 0) | (n != F.get(ordered, i - 1) + 1))
+    ends = F.filter(ordered, lambda n, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1) != n + 1))
+    one = lambda a, z: F.when(a == z, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("–"), z.cast("string")))
+    return F.array_join(F.zip_with(starts, ends, one), ", ")
+
+
+def guide_lines(rows: DataFrame) -> DataFrame:
+    """section (decided or undecided), number, line of a pronunciation guide: names with a respelling first, the most frequent first
+    in either section. rows: spelling, respell, count, chapters (array of numbers)."""
+    cell = lambda c: F.replace(one_line(c), F.lit("|"), F.lit("\\|"))
+    known = F.trim(F.coalesce("respell", F.lit(""))) != ""
+    section = F.when(known, "decided").otherwise("undecided")
+    number = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("count"), "spelling"))
+    cells = [cell(F.col("spelling")), F.when(known, cell(F.col("respell"))).otherwise("—"), F.col("count").cast("string"), F.when(F.size("chapters") == 0, "—").otherwise(runs_text(F.col("chapters")))]
+    return rows.withColumn("section", section).select("section", number.alias("number"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def spec_report(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, report: one line for each check of a file with its value before and after, in the order of their names, and the checks
+    that still warn or fail. changes: as `compared` gives them."""
+    shown = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit("—"))
+    line = F.concat(F.col("check"), F.lit(": "), shown(F.col("before_value")), F.lit(" → "), shown(F.col("after_value")), F.lit(" ("), F.col("outcome"), F.lit(")"))
+    lines = changes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("check", line.alias("line")))).alias("l"), F.array_sort(F.collect_list(F.when(F.col("outcome") == "outstanding", F.col("check")))).alias("o"))
+    rest = F.when(F.size("o") == 0, "nothing outstanding").otherwise(F.concat(F.lit("outstanding: "), F.array_join("o", ", ")))
+    return lines.select(*keys, F.concat_ws("\n", F.array_join(F.transform("l", lambda x: x["line"]), "\n"), rest).alias("report"))
+
+
+def dashboard(chapters: DataFrame, book: str) -> DataFrame:
+    """book, chapters, words, minutes (of chapters without a measured length: 155 words each), recorded, proofed, open. chapters: words,
+    seconds (may be null), has_audio, open (null before a check)."""
+    minutes = F.when(F.col("seconds") > 0, F.col("seconds") / 60).otherwise(F.greatest(F.lit(0.0), F.col("words")) / 155)
+    return chapters.groupBy(book).agg(
+        F.count(F.lit(1)).alias("chapters"), F.round(F.sum(F.greatest(F.lit(0.0), F.col("words"))), 2).alias("words"), F.round(F.sum(minutes), 1).alias("minutes"),
+        F.count_if(F.col("has_audio")).alias("recorded"), F.count_if(F.col("has_audio") & F.coalesce(F.col("open") == 0, F.lit(False))).alias("proofed"), F.coalesce(F.sum("open"), F.lit(0)).alias("open"),
+    )

@@ -189,6 +189,24 @@ def retake_lines(spark: SparkSession, folder: str) -> DataFrame:
     return proof.retake_lines(pickups(spark, folder).select("chapter_id", "status", F.col("t_start").cast("double").alias("t_start"), F.col("t_end").cast("double").alias("t_end")), ["chapter_id"])
 
 
+def voice_guide(spark: SparkSession, folder: str) -> DataFrame:
+    """A guide of words to be said, and the lines they stand in: those of even number are decided."""
+    rows = pickups(spark, folder).where("word_id % 7 <> line").select((F.col("word_id") % 50).alias("n"), "line")
+    names = rows.groupBy("n").agg(F.count(F.lit(1)).alias("count"), F.collect_set("line").alias("chapters"))
+    spelling = F.concat(F.lit("Na|me "), F.col("n").cast("string"))
+    return books.guide_lines(names.select(spelling.alias("spelling"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("NAY  "), F.col("n").cast("string"))).alias("respell"), "count", "chapters"))
+
+
+def spec_reports(spark: SparkSession, folder: str) -> DataFrame:
+    return books.spec_report(_changes(spark, folder), ["chapter_id"])
+
+
+def book_dashboard(spark: SparkSession, folder: str) -> DataFrame:
+    opened = pickups(spark, folder).groupBy("chapter_id").agg(F.count_if(F.col("status") == "open").alias("open"))
+    rows = chapters(spark, folder).join(opened, "chapter_id", "left")
+    return books.dashboard(rows.select("book_id", "words", F.when(F.col("chapter_id") % 2 == 0, F.col("chapter_id") * 3.0).alias("seconds"), (F.col("status") != "O").alias("has_audio"), "open"), "book_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -225,7 +243,7 @@ def _checks(name: str, where: str) -> str:
 def _changes_sql() -> str:
     long = lambda t: " UNION ALL ".join(f"""SELECT chapter_id, '{c}' AS "check", "{c}" AS s, {v} AS v FROM {t}""" for c, v in (("length", "lv"), ("count", "cv"), ("doubt", "dv")))
     return f"""{_checks('b', 'true')}, {_checks('a', "status = 'open'")}, lb AS ({long('b')}), la AS ({long('a')}),
-        ch AS (SELECT la.chapter_id, la."check" AS "check", lb.s AS before, la.s AS after, la.v AS av, CASE WHEN la.s IN ('fail', 'warn') THEN 'outstanding' WHEN la.s = 'unspecified' THEN 'unjudged' WHEN lb.s IN ('fail', 'warn') THEN 'fixed'
+        ch AS (SELECT la.chapter_id, la."check" AS "check", lb.s AS before, la.s AS after, la.v AS av, lb.v AS bv, CASE WHEN la.s IN ('fail', 'warn') THEN 'outstanding' WHEN la.s = 'unspecified' THEN 'unjudged' WHEN lb.s IN ('fail', 'warn') THEN 'fixed'
                    WHEN lb.v <> la.v THEN 'adjusted' ELSE 'held' END AS outcome FROM la LEFT JOIN lb ON la.chapter_id = lb.chapter_id AND la."check" = lb."check")"""
 
 
@@ -321,3 +339,16 @@ ORACLES["marker_files"] = f"WITH l AS ({ORACLES['marker_lines']}) " + " UNION AL
     f"""SELECT chapter_id, 'Chapter_' || chapter_id || '_{name}' AS file, {f"replace('{head}', '|', chr(9)) || chr(10) || " if head else ""}string_agg({column}, {between} ORDER BY number) || chr(10) AS content FROM l GROUP BY chapter_id"""
     for name, column, head, between in _FILES
 )
+QUERIES |= {f.__name__: f for f in (voice_guide, spec_reports, book_dashboard)}
+ORACLES |= {
+    "voice_guide": f"""WITH {PICKUPS_SQL}, r AS (SELECT word_id % 50 AS n, line FROM p WHERE word_id % 7 <> line), k AS (SELECT n, count(*) AS c FROM r GROUP BY n), d AS (SELECT DISTINCT n, line FROM r),
+        i AS (SELECT n, line, line - row_number() OVER (PARTITION BY n ORDER BY line) AS g FROM d), s AS (SELECT n, min(line) AS a, max(line) AS z FROM i GROUP BY n, g),
+        t AS (SELECT n, string_agg(CASE WHEN a = z THEN CAST(a AS VARCHAR) ELSE a || '–' || z END, ', ' ORDER BY a) AS t FROM s GROUP BY n)
+        SELECT CASE WHEN n % 2 = 0 THEN 'decided' ELSE 'undecided' END AS section, CAST(row_number() OVER (PARTITION BY n % 2 ORDER BY c DESC, 'Na|me ' || n) AS INT) AS number,
+               '| Na\\|me ' || n || ' | ' || CASE WHEN n % 2 = 0 THEN 'NAY ' || n ELSE '—' END || ' | ' || c || ' | ' || t || ' |' AS line FROM k JOIN t USING (n)""",
+    "spec_reports": f"""WITH {PICKUPS_SQL}, {_changes_sql()} SELECT chapter_id, string_agg("check" || ': ' || coalesce(printf('%.2f', bv), '—') || ' → ' || coalesce(printf('%.2f', av), '—') || ' (' || outcome || ')', chr(10) ORDER BY "check") || chr(10)
+        || coalesce('outstanding: ' || string_agg("check", ', ' ORDER BY "check") FILTER (WHERE outcome = 'outstanding'), 'nothing outstanding') AS report FROM ch GROUP BY chapter_id""",
+    "book_dashboard": f"""WITH {PICKUPS_SQL}, {CHAPTERS_SQL}, n AS (SELECT chapter_id, count(*) FILTER (WHERE status = 'open') AS n FROM p GROUP BY chapter_id)
+        SELECT book_id, count(*) AS chapters, round(sum(greatest(0, words)), 2) AS words, round(sum(CASE WHEN chapter_id % 2 = 0 AND chapter_id > 0 THEN chapter_id * 3.0 / 60 ELSE greatest(0, words) / 155 END), 1) AS minutes,
+               count(*) FILTER (WHERE status <> 'O') AS recorded, count(*) FILTER (WHERE status <> 'O' AND n = 0) AS proofed, CAST(coalesce(sum(n), 0) AS BIGINT) AS "open" FROM c LEFT JOIN n USING (chapter_id) GROUP BY book_id""",
+}
