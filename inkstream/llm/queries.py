@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkstream.llm import fim, substring_dedup, topk, warc
+from inkstream.llm import fim, phrases, substring_dedup, topk, warc
 from inkstream.llm.bpe import op3_byte_bpe
 from inkstream.llm.decontaminate import op9_decontaminate
 from inkstream.llm.html_crf import op1_html_text
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
     "op12_piece_bpe": op12_piece_bpe,
+    "op13_collocations": phrases.op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op11_fill_in_middle": fim.ORACLE}
+ORACLES: dict[str, str] = {"op4_warc": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_substring_dedup": substring_dedup.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op13_collocations": phrases.ORACLE}
