@@ -1,7 +1,7 @@
 """Main-text extraction by a linear-chain conditional random field over the leaf blocks of a page.
 
 Each leaf block is a node with two labels, article or not. Its features are the tags and the class, id and role words of
-its ancestors and simple facts about its text; weights of features and of label transitions are learnt by maximum
+its ancestors, simple facts about its text, and the lengths and links of its neighbours; weights of features and of label transitions are learnt by maximum
 conditional likelihood (forward-backward, Adam) on labelled pages, and a page is decoded by Viterbi. The labelled pages
 are made up (labelled_pages), their number is a parameter, and the model is fitted on the driver in a few seconds.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +29,21 @@ from inkstream.llm.labelled_pages import PageMaker
 TRAINING_PAGES = 800
 SCALE = 2**40
 WORD = re.compile(r"[a-z]+")
+STOP = re.compile(r"[.!?…](?=\s|$)")
 BUCKETS = (1, 2, 4, 8, 16, 32, 64)
 
 
 PARTS = ("aside", "nav", "footer", "form", "header")
 
 
-def element_features(e: Element) -> list[str]:
-    return ["in:" + e.tag] * (e.tag not in ("html", "body")) + ["is:" + w for w in WORD.findall(e.names)]
+#: The name of all class, id and role words that hardly any training page has.
+RARE, LEAST_PAGES = "is:?", 3
+
+
+def element_features(e: Element, known: Container[str]) -> list[str]:
+    """Features of one ancestor; `bare` is a container without any name. Words that are not known are one feature."""
+    tag = e.tag if e.names or e.tag not in ("div", "section", "table") else "bare " + e.tag
+    return ["in:" + tag] * (e.tag not in ("html", "body")) + [f if (f := "is:" + w) in known else RARE for w in WORD.findall(e.names)]
 
 
 def place_features(e: Element | None, is_open: Callable[[str], bool]) -> list[str]:
@@ -45,24 +52,43 @@ def place_features(e: Element | None, is_open: Callable[[str], bool]) -> list[st
     return ["leaf:" + (e.block if e else "")] + ["article+" + part for part in PARTS if inside and is_open(part)]
 
 
-def path_features(e: Element | None) -> set[str]:
+def path_features(e: Element | None, known: Container[str]) -> set[str]:
     path = e.path() if e else []
     tags = {x.tag for x in path}
-    return {f for x in path for f in element_features(x)} | set(place_features(e, tags.__contains__))
+    return {f for x in path for f in element_features(x, known)} | set(place_features(e, tags.__contains__))
+
+
+def shape(leaf: Leaf) -> tuple[int, int]:
+    """Length and share of linked text, in steps."""
+    words = leaf.text.count(" ") + 1
+    return sum(words >= b for b in BUCKETS), round(4 * leaf.linked / len(leaf.text))
 
 
-def text_features(leaf: Leaf, i: int, n: int) -> list[str]:
-    text, words = leaf.text, leaf.text.count(" ") + 1
-    out = [f"words:{sum(words >= b for b in BUCKETS)}", f"linked:{round(4 * leaf.linked / len(text))}", "bias"]
+def text_features(blocks: list[Leaf], i: int) -> list[str]:
+    """Features of a leaf's own text, and of the lengths and links of its neighbours."""
+    text = blocks[i].text
+    words, linked = shape(blocks[i])
+    stops = len(STOP.findall(text))
+    out = [f"words:{words}", f"linked:{linked}", f"stops:{sum(stops >= b for b in BUCKETS)}", "bias"]
+    for side, k in (("before", i - 1), ("after", i + 1)):
+        if 0 <= k < len(blocks):
+            near = shape(blocks[k])
+            out += [f"{side} words:{near[0]}", f"{side} linked:{near[1]}"]
     if text[-1] in ".!?…\"”":
         out.append("ends")
+        if not linked and words > 3:
+            out.append("prose")
     if "©" in text or "copyright" in text.lower():
         out.append("copyright")
+        if i == len(blocks) - 1 and i:
+            out.append("last copyright")
     if " | " in text or " · " in text or " » " in text:
         out.append("separators")
+    if len(blocks) == 1:
+        return [*out, "only prose" if out[-1] == "prose" else "only"]
     if i == 0:
         out.append("first")
-    if i == n - 1:
+    if i == len(blocks) - 1:
         out.append("last")
     return out
 
@@ -70,7 +96,7 @@ def text_features(leaf: Leaf, i: int, n: int) -> list[str]:
 class Crf:
     """Two labels, so one weight for each feature (of label 1 against label 0), and four for transitions."""
 
-    def __init__(self, pages: list[tuple[list[set[str]], list[int]]], steps: int = 200, rate: float = 0.1, ridge: float = 2e-4):
+    def __init__(self, pages: list[tuple[list[set[str]], list[int]]], steps: int = 300, rate: float = 0.1, ridge: float = 1e-5):
         names = sorted({f for page, _ in pages for block in page for f in block})
         index = {f: i for i, f in enumerate(names)}
         longest, count = max(len(y) for _, y in pages), len(pages)
@@ -137,7 +163,7 @@ class PathScores:
 
     def _count(self, e: Element, step: int) -> None:
         self.tags[e.tag] += step
-        for f in element_features(e):
+        for f in element_features(e, self.weights):
             before = self.counts[f]
             self.counts[f] = before + step
             if before == 0 or before + step == 0:
@@ -163,7 +189,7 @@ class Extractor:
 
     def labels(self, blocks: list[Leaf]) -> list[int]:
         scores, weight = PathScores(self.weights), self.weights.get
-        return self.crf.viterbi([(scores.of(b.inside) + sum(weight(f, 0) for f in text_features(b, i, len(blocks)))) / SCALE for i, b in enumerate(blocks)])
+        return self.crf.viterbi([(scores.of(b.inside) + sum(weight(f, 0) for f in text_features(blocks, i))) / SCALE for i, b in enumerate(blocks)])
 
     def text(self, page: str) -> str:
         blocks = leaves(page)
@@ -182,11 +208,10 @@ def labelled(seed: int) -> tuple[str, list[Leaf], list[int]]:
 
 
 def trained(pages: int = TRAINING_PAGES, seed: int = 0) -> Crf:
-    data = []
-    for i in range(pages):
-        _, blocks, labels = labelled(seed + i)
-        if blocks:
-            data.append(([path_features(b.inside) | set(text_features(b, k, len(blocks))) for k, b in enumerate(blocks)], labels))
+    made = [(blocks, labels) for i in range(pages) for _, blocks, labels in [labelled(seed + i)] if blocks]
+    seen = Counter("is:" + w for blocks, _ in made for w in {w for b in blocks for e in (b.inside.path() if b.inside else ()) for w in WORD.findall(e.names)})
+    known = {w for w, n in seen.items() if n >= LEAST_PAGES}
+    data = [([path_features(b.inside, known) | set(text_features(blocks, k)) for k, b in enumerate(blocks)], labels) for blocks, labels in made]
     return Crf(data)
 
 

@@ -12,6 +12,8 @@ SYLLABLES = "an ar be ca de el en er fo ga he in ka la lo ma me ne no on or pa r
 
 #: How the parts of pages are marked up: openings of the element that holds them.
 ARTICLE = ["<article>", '<article class="post">', '<main><article>', '<main>', '<div id="content"><article>', '<div class="post-body">', '<div class="entry-content">', '<div class="article-text">', '<section class="story">', '<div id="main-content">', '<div class="content">', '<div role="main">', '<article class="entry hentry">', '<div itemprop="articleBody" class="article-body">', "<section>", '<div class="page"><div class="text">']
+#: Articles whose mark-up does not say so; {} is a made-up name.
+BARE = ["<div>", "<div>", "<div><div>", "<div><div><div>", '<div class="{}">', '<div id="{}">', '<div class="{} {}">', '<div class="{}"><div class="{}">', '<div class="post">', "<table><tr><td>", "<center>", "<div><section>", "<font>", "<span>", ""]
 MENU = ["<nav>", '<nav class="menu">', '<div class="nav">', '<div id="navigation">', '<ul class="menu">', '<div class="breadcrumbs">', '<div role="navigation">', '<ul id="nav">', '<div class="navbar">', '<nav class="pagination">', '<div class="topbar">', '<div class="main-menu">']
 HEADER = ["<header>", '<header class="site-header">', '<div id="header">', '<div class="masthead">', '<div class="banner">', '<div class="page-header">', '<div role="banner">', '<div class="top logo">']
 FOOTER = ["<footer>", '<footer class="site-footer">', '<div id="footer">', '<div class="footer">', '<div class="colophon">', '<div role="contentinfo">', '<div class="copyright">', '<div class="legal">']
@@ -24,7 +26,7 @@ SHARE = ['<div class="share">', '<ul class="social">', '<div class="tags">', '<d
 
 
 def _close(opening: str) -> str:
-    tags = [x.split()[0].strip("<>") for x in opening.split(">") if x]
+    tags = [x.split()[0].strip("<>") for x in opening.split(">") if x.strip()]
     return "".join(f"</{t}>" for t in reversed(tags))
 
 
@@ -45,17 +47,17 @@ class PageMaker:
         odd = r.random()  # texts are not all well written, in the article or elsewhere
         if odd < 0.05:
             text = " | ".join(text.split())
-        elif odd < 0.08:
-            text = " ".join(w + r.choice(["***", "$$$", "###", "&amp;&amp;&amp;"]) for w in text.split())
-        elif odd < 0.11:
+        elif odd < 0.09:
+            text = " ".join(w + r.choice(["***", "$$$", "###", "%%%", "&amp;&amp;&amp;"]) for w in text.split()[: r.choice([2, 3, 9, 99])])
+        elif odd < 0.12:
             text = text.upper().replace(" ", "!! ")
-        elif odd < 0.13:
+        elif odd < 0.14:
             text = " ".join([self.words(1)] * r.randint(5, 40))
-        elif odd < 0.16:
+        elif odd < 0.17:
             text = r.choice(["Copyright", "(c)", "&copy; 2019", "Licensed under"]) + " " + text
-        elif odd < 0.19:
+        elif odd < 0.20:
             text = self.words(r.randint(1, 3))
-        elif odd < 0.21:
+        elif odd < 0.22:
             text += " " + " &middot; ".join([self.words(2)] * 2)
         return text
 
@@ -94,6 +96,19 @@ class PageMaker:
                 out.append((self.part(r.choice([FORM, SHARE])), 0))
         return out
 
+    def named(self, opening: str) -> str:
+        return opening.format(*(self.words(1) for _ in range(opening.count("{}"))))
+
+    def broken_lines(self) -> list[tuple[str, int]]:
+        """An article whose paragraphs are parted by line breaks alone."""
+        r = self.r
+        out = [(f"<h{r.randint(1, 3)}>{self.sentence(2, 10)}</h3>", 1)] * (r.random() < 0.5)
+        for _ in range(r.choice([1, 1, 2, 3])):
+            out.append((r.choice(["<br>", "<br><br>", "<br/>\n<br/>"]).join(self.prose() for _ in range(r.randint(1, 8))), 1))
+            if r.random() < 0.4:
+                out.append((f"<h{r.randint(2, 4)}>{self.sentence(1, 7)}</h2>", 1))
+        return out
+
     def part(self, openings: list[str]) -> str:
         """A part that is no article, of links, prose or both."""
         r, opening = self.r, self.r.choice(openings)
@@ -118,20 +133,25 @@ class PageMaker:
         r = self.r
         before = [x for x, chance in ((HEADER, 0.5), (MENU, 0.8), (NOTICE, 0.3), (ADVERT, 0.4), (FORM, 0.2), (SIDEBAR, 0.25), (MENU, 0.2)) if r.random() < chance]
         after = [x for x, chance in ((SHARE, 0.2), (COMMENTS, 0.4), (ADVERT, 0.3), (SIDEBAR, 0.35), (FORM, 0.25), (NOTICE, 0.15), (MENU, 0.15)) if r.random() < chance]
+        alone = r.random() < 0.15  # a page that is nothing but its article
+        if alone:
+            before, after = [], []
         r.shuffle(before)
         r.shuffle(after)
-        opening = r.choice(ARTICLE)
+        bare = r.random() < 0.45
+        opening = self.named(r.choice(BARE)) if bare else r.choice(ARTICLE)
+        article = self.broken_lines if bare and r.random() < 0.25 else self.article
         pieces = [(f'<!DOCTYPE html><html><head><title>{self.sentence()}</title><style>p{{}}</style><script>var t="</p>";</script></head><body>', 0)]
         pieces += [(self.part(x), 0) for x in before]
         if r.random() < 0.1:  # paragraphs that stand in the body itself
-            pieces += [x for x in self.article() if x[1]]
+            pieces += [x for x in article() if x[1]]
         else:
             nested = r.random() < 0.25
-            pieces += [(opening, 0), *self.article()]
+            pieces += [(opening, 0), *article()]
             if nested and after:
                 pieces.append((self.part(after.pop()), 0))
             pieces.append((_close(opening), 0))
         pieces += [(self.part(x), 0) for x in after]
-        if r.random() < 0.9:
+        if not alone and r.random() < 0.9:
             pieces.append((self.part(FOOTER), 0))
         return pieces + [("</body></html>", 0)] * (r.random() < 0.9)
