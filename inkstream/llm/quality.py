@@ -107,13 +107,14 @@ class Ranking:
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string")) % 5 == 0
+    """Null keys are not held out."""
+    return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Ranking:
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("top")).where("y = top").select(key, "y")
     known = known.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
-    rows = with_features(docs.select(key, text).join(F.broadcast(known), key), text, "x").select("x", "y").collect()
+    rows = with_features(docs.select(key, text).join(F.broadcast(known), key), text, "x").groupBy(key).agg(F.min("x").alias("x"), F.min("y").alias("y")).collect()
     return Ranking(np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows]))
 
 

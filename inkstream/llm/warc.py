@@ -10,7 +10,8 @@ on the way. Where a member is broken or cut off, what is known of its record is
 at the next member.
 
 A payload equal to an earlier one (by SHA-1 and length) is written as a revisit record that has only the header and names
-the record it refers to. A null payload is the empty payload; a null key is record "None". Rows that repeat the first row's
+the record it refers to. A null payload is the empty payload; a null key is record "None", a response, and is null again in op4_warc, as is any
+id that is no number. Rows that repeat the first row's
 key are responses too, other rows of one payload revisit the smallest key; rows that repeat a key with other payloads are
 records of their own. Equal payloads may be any share of all rows: the first of each is found by a pre-aggregated minimum, no
 group of equal payloads is ever collected, and Spark may split its join. An empty table makes no archive. Columns other than
@@ -204,7 +205,7 @@ def read_archives(archives: DataFrame, content: str = "content", payloads: bool
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, intact of every page, read back from the archives."""
     archives = stored(write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html"), "warc")
-    number = lambda c: F.regexp_extract(c, r"<urn:record:(-?\d+)>", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, r"<urn:record:(-?\d+)>", 1).try_cast("long")
     return read_archives(archives, payloads=False).select(
         number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"), "intact"
     )

@@ -109,6 +109,25 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0), "page_id", "url", "html")).count() == 0
 
 
+def test_a_null_page_id_is_a_response(spark, tmp_path):
+    rows = [(None, "u", "same"), (2, "u", "same"), (5, "u", "same"), (None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted(((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes, r.intact) for r in warc.op4_warc(spark, str(tmp_path)).collect()), key=str)
+    assert found == [(0, "response", None, 0, True), (0, "response", None, 4, True), (2, "response", None, 4, True), (5, "revisit", 2, 4, True)]
+
+
+def test_quality_of_null_and_repeated_ids(spark, tmp_path, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(None, "Some words."), (None, None), (4, "very long " * 200_000)], docs.schema)
+    docs.union(docs.where("doc_id < 50")).union(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    found = quality.op7_quality(spark, str(tmp_path)).collect()
+    assert len(found) == docs.count() + docs.where("doc_id < 50").count() + 3
+    assert [r.held_out for r in found if r.doc_id is None] == [False, False] and all(0 <= r.score <= 1 for r in found)
+    plain = {r.doc_id: r.score for r in quality.op7_quality(spark, small).collect()}
+    assert all(abs(r.score - plain[r.doc_id]) < 1e-6 for r in found if r.doc_id not in (None, 4))
+
+
 def test_warc_reader_survives_damage():
     good = warc.member({"WARC-Type": "response", "WARC-Payload-Digest": "sha1:" + warc.sha1_base32(b"abc")}, b"abc")
     lie = warc.member({"WARC-Type": "response", "WARC-Payload-Digest": "sha1:" + warc.sha1_base32(b"abd")}, b"abc")
