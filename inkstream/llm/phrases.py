@@ -39,7 +39,7 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes(10 if c in ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 TOKENS = re.compile(rb"[^ \n]+|\n").findall
 
-CHUNK_SCHEMA = "chunk long, n long, n_words long, langs array<string>, counts array<long>, words array<string>, lang_of binary, lengths binary, positions binary"
+CHUNK_SCHEMA = "chunk long, n long, n_words long, langs array<string>, counts array<long>, words array<string>, hashes binary, lang_of binary, lengths binary, positions binary"
 WORD_REQUEST = "chunk long, shard int, n long, words array<string>, counts binary"
 REQUEST = "chunk long, shard int, n long, first binary, last binary, counts binary"
 ANSWER = "chunk long, level int, shard int, n long, found binary"
@@ -58,6 +58,10 @@ class Index(dict):
         return at
 
 
+def key_of(lang: str, word: bytes) -> bytes:
+    return lang.encode("utf-8", "surrogatepass") + b"\n" + word
+
+
 def parted(text: bytes) -> Iterator[list[bytes]]:
     """Words and ends of pieces, some STEP bytes at a time."""
     plain, at = text.translate(PLAIN), 0
@@ -79,15 +83,22 @@ def chunked(docs: DataFrame, lang: str, text: str) -> DataFrame:
             nonlocal made, names, indexes, parts, held
             made += 1
             codes = np.concatenate(parts)
+            hashes = np.array([xxhash.xxh3_64_intdigest(key_of(x, w)) for x, w in names[1:]], np.uint64)
+            by_hash = np.argsort(hashes)  # so words stand in the order of shards, however many there will be
+            number = np.zeros(len(names), np.int64)
+            number[by_hash + 1] = np.arange(1, len(names))
+            codes = number[codes]
+            names = [names[i + 1] for i in by_hash.tolist()]
             order = np.argsort(codes, kind="stable")
-            lengths = np.bincount(codes, minlength=len(names))
+            lengths = np.bincount(codes, minlength=len(names) + 1)
             positions = order[lengths[0] :].astype(np.uint32)
             langs = sorted(indexes)
             place = {x: i for i, x in enumerate(langs)}
-            lang_of = np.array([place[x] for x, _ in names[1:]], np.uint32)
+            lang_of = np.array([place[x] for x, _ in names], np.uint32)
             counts = np.bincount(lang_of, lengths[1:], len(langs)).astype(np.int64)
-            columns = [[made], [len(codes)], [len(lang_of)], [langs], [counts], [[w.decode() for _, w in names[1:]]], [packed(lang_of)], [packed(lengths[1:].astype(np.uint32))], [packed(np.diff(positions, prepend=np.uint32(0)))]]
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string())] + [pa.binary()] * 3
+            delta = lambda x: packed(np.diff(x, prepend=x.dtype.type(0)))
+            columns = [[made], [len(codes)], [len(lang_of)], [langs], [counts], [[w.decode() for _, w in names]], [delta(hashes[by_hash])], [packed(lang_of)], [packed(lengths[1:].astype(np.uint32))], [delta(positions)]]
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string())] + [pa.binary()] * 4
             names, indexes, parts, held = [("", b"\n")], {}, [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
 
@@ -115,23 +126,25 @@ class Lists:
     def owners(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.lengths)), self.lengths)
 
-    def entries(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, position) of the lists that are kept, in the order of positions."""
+    def placed(self, kept: np.ndarray, n: int) -> np.ndarray:
+        """The kept phrase whose last word stands at each of n positions, or -1: the lists in one, in the order of positions."""
         owner = self.owners()
         chosen = kept[owner]
-        owner, positions = owner[chosen], self.positions[chosen]
-        order = np.argsort(positions)
-        return owner[order], positions[order]
-
-    def extended(self, kept: np.ndarray, words: Lists, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, Lists]:
-        """Merge-joins the kept lists with the postings of frequent words one position on: (phrase, word) of each phrase that is
-        one word longer, and its list."""
-        phrase, at = self.entries(kept)
-        word, stands = words.entries(frequent)
-        met, i, j = np.intersect1d(at + 1, stands, assume_unique=True, return_indices=True)
-        keys, which, lengths = np.unique(phrase[i] * len(words.lengths) + word[j], return_inverse=True, return_counts=True)
-        first, last = np.divmod(keys, len(words.lengths))
-        return first, last, Lists(lengths, met[np.argsort(which, kind="stable")])
+        out = np.full(n, -1, np.int64)
+        out[self.positions[chosen]] = owner[chosen]
+        return out
+
+    def extended(self, kept: np.ndarray, words: Lists, frequent: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, Lists]:
+        """Merges the kept lists with the postings of frequent words one position on: (phrase, word) of each phrase that is one
+        word longer, and its list."""
+        phrase, word = self.placed(kept, n)[:-1], words.placed(frequent, n)[1:]
+        met = np.flatnonzero((phrase >= 0) & (word >= 0))
+        keys = phrase[met] * len(words.lengths) + word[met]
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        first, last = np.divmod(keys[starts], len(words.lengths))
+        return first, last, Lists(np.diff(starts, append=len(keys)), met[order] + 1)
 
 
 class Level:
@@ -181,19 +194,16 @@ class Chunk:
         self.lang_of = unpacked(get("lang_of"), np.uint32, size)
         lengths = unpacked(get("lengths"), np.uint32, size).astype(np.int64)
         positions = np.cumsum(unpacked(get("positions"), np.uint32, int(lengths.sum())), dtype=np.uint32).astype(np.int64)
-        self.keys = [f"{self.langs[i]}\n{w}" for i, w in zip(self.lang_of.tolist(), self.words.to_pylist())]
-        hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in self.keys], np.uint64)
-        shard = ranged(hashes, shards[0])
-        self.levels = [Level(Lists(lengths, positions), np.argsort(shard, kind="stable"), shard)]
+        hashes = np.cumsum(unpacked(get("hashes"), np.uint64, size), dtype=np.uint64)
+        self.levels = [Level(Lists(lengths, positions), np.arange(size), ranged(hashes, shards[0]))]
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []  # (phrase, word) of each longer phrase
 
     def grown(self, found: pa.Table) -> None:
         """Reads what is known of the last level and makes the next."""
         words, last = self.levels[0], self.levels[-1].told(found, len(self.levels))
-        first, word, lists = last.lists.extended(last.frequent, words.lists, words.frequent)
-        a, b = last.id[first], words.id[word]
-        shard = ranged(pair_codes(a.astype(np.uint64), b.astype(np.uint64)), self.shards[1])
-        self.levels.append(Level(lists, np.lexsort((b, a, shard)), shard))
+        first, word, lists = last.lists.extended(last.frequent, words.lists, words.frequent, self.n)
+        codes = pair_codes(last.id[first].astype(np.uint64), words.id[word].astype(np.uint64))
+        self.levels.append(Level(lists, np.argsort(codes), ranged(codes, self.shards[1])))
         self.parts.append((first, word))
 
     def requests(self) -> Iterator[dict]:
@@ -206,17 +216,14 @@ class Chunk:
             if self.parts:
                 first, word = self.parts[-1]
                 a, b = self.levels[-2].id[first[mine]].astype(np.uint64), self.levels[0].id[word[mine]].astype(np.uint64)
-                yield out | {"first": packed(np.diff(a, prepend=np.uint64(0))), "last": packed(b)}
+                yield out | {"first": packed(a), "last": packed(b)}
             else:
-                yield out | {"words": [self.keys[i] for i in mine.tolist()]}
+                yield out | {"words": [key_of(self.langs[self.lang_of[i]], self.words[i].as_py().encode()).decode() for i in mine.tolist()]}
 
     def candidates(self, share: int) -> Iterator[tuple]:
         """(lang, phrase, a, l, r, score, drops) of each frequent phrase of two words or more that this chunk owns; for each
         phrase in it that it drops, a row with that phrase, drops true and no numbers."""
-        at = [np.full(self.n, -1, np.int64) for _ in self.levels]  # the phrase of each length that ends at a position
-        for level, where in zip(self.levels, at):
-            owner, positions = level.lists.entries(level.frequent)
-            where[positions] = owner
+        at = [level.lists.placed(level.frequent, self.n) for level in self.levels]  # the phrase of each length that ends at a position
         totals = [level.total for level in self.levels]
         word_at = at[0]
         for size, level in enumerate(self.levels[1:], 2):
@@ -269,8 +276,7 @@ def answered(requests: DataFrame, level: int, least: int) -> DataFrame:
             at = rows.column("words").combine_chunks().flatten()
             at = pc.dictionary_encode(at).indices.to_numpy()
         else:
-            first = np.concatenate([np.cumsum(unpacked(c.as_py(), np.uint64, k), dtype=np.uint64) for c, k in zip(rows.column("first"), n)])
-            last = np.concatenate([unpacked(c.as_py(), np.uint64, k) for c, k in zip(rows.column("last"), n)])
+            first, last = (np.concatenate([unpacked(c.as_py(), np.uint64, k) for c, k in zip(rows.column(name), n)]) for name in ("first", "last"))
             order = np.lexsort((last, first))
             new = np.ones(len(order), bool)
             new[1:] = (np.diff(first[order]) != 0) | (np.diff(last[order]) != 0)
@@ -337,8 +343,10 @@ def op13_collocations(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
     WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
     p AS (SELECT d, lang, unnest(regexp_split_to_array(text, '[.,;:!?
--]')) AS piece, generate_subscripts(regexp_split_to_array(text, '[.,;:!?
--]'), 1) AS p FROM d),
+-
+]')) AS piece, generate_subscripts(regexp_split_to_array(text, '[.,;:!?
+-
+]'), 1) AS p FROM d),
     s AS (SELECT d, lang, p, regexp_extract_all(piece, '[^ 	]+') AS words FROM p),
     t AS (SELECT d, lang, p, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM s),
     x AS (SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM t WINDOW o AS (PARTITION BY d, p ORDER BY i)),
