@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkstream.functions.text import words
 from inkstream.operators import live
 from inkstream.operators.proof import stand_in_transcript
-from inkstream.sources.tables import PICKUPS_SQL, pickups, table
-from inkstream.streaming import follow, windows
+from inkstream.sources.tables import PICKUPS_SQL, STEP, pickups, table
+from inkstream.streaming import follow, recheck, windows
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,13 +34,22 @@ def without_echoes(spark: SparkSession, folder: str) -> DataFrame:
     return windows.without_echoes(_events(spark, folder), ["user_id", "event_type"], "ts", "event_id", 3600.0).select("event_id", "user_id", "event_type")
 
 
+def _readings(spark: SparkSession, folder: str) -> DataFrame:
+    """A stand-in reading of every document: a session is a row, dealt over the cores."""
+    docs = follow.spread(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"))
+    return stand_in_transcript(docs, "doc_id", "text").where(F.size("heard") > 0).withColumnRenamed("doc_id", "session")
+
+
 def live_follow(spark: SparkSession, folder: str) -> DataFrame:
-    """A live reading of every document, followed word by word; a session is a row, and nothing is shuffled."""
-    docs = table(spark, folder, "documents").where("text is not null")
-    rows = stand_in_transcript(docs, "doc_id", "text", True).where(F.size("heard") > 0).withColumn("script", words(F.lower("text")))
-    placed = rows.select(F.col("doc_id").cast("string").alias("session"), follow.places("heard", "script").alias("p"))
-    count = lambda e: F.size(F.filter("p", lambda x: x["event"] == e)).cast("long").alias(e)
-    return placed.select("session", F.array_max(F.transform("p", lambda x: x["cursor"])).alias("cursor"), *map(count, ("match", "skip", "back", "miss", "late", "echo", "halted")))
+    """A live reading of every document, followed in windows of three words: where it ends, and how often each event came."""
+    return follow.counted(_readings(spark, folder), "tokens", "heard")
+
+
+def live_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """The slips that a second look at each phrase of eight words tells."""
+    return recheck.flags(recheck.windows(_readings(spark, folder), "tokens", "heard", STEP)).select(
+        "session", "window", "expected_index", "expected", "heard", F.round("start", 3).alias("start"), "confidence", "kind"
+    )
 
 
 def _seconds(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +113,7 @@ def pickup_seats(spark: SparkSession, folder: str) -> DataFrame:
     return live.seats_at(asked, spoken, ["chapter_id"], "at", "seat")
 
 
-QUERIES = {f.__name__: f for f in (hop_windows, sliding_windows, reading_sessions, without_echoes, live_follow)}
+QUERIES = {f.__name__: f for f in (hop_windows, sliding_windows, reading_sessions, without_echoes, live_follow, live_flags)}
 ORACLES = {
     "hop_windows": "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "sliding_windows": """SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '2000-01-01') - k * INTERVAL 30 MINUTE AS start, count(*) AS n, round(sum(value), 4) AS total

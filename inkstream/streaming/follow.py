@@ -1,143 +1,337 @@
-"""Following a live reading: a keyed, stateful operator over the words that a recogniser hears.
+"""Following a live reading: a keyed, stateful operator over the windows of words that a recogniser hears.
 
-`follow` is one transition: (state, words) -> (state, places). It is a pure function of a session's expected words, so the
-batch form (one group of a session's words, in order) and the streaming form (state kept between micro-batches) share it.
-State is a cursor, the end of the last word, a few recent words and a count of misses: under a kilobyte a session.
+`Reading.read` is one transition: (state, window) -> (state, places). It is a pure function of a session's script, so the batch
+form (a session's windows in order) and the streaming form (state kept between micro-batches) share it. A word that is not
+the next on the page is offered to a list of recoveries, in order; the first that knows a place for it decides. Some of them
+only work forward, and those are stopped where they would pass over a line that was not read. State is a cursor, the end of
+the last word, a dozen heard words, one word that waits to be confirmed and one run of misses: under two kilobytes a session.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
-#: Seconds within which an equal word is an echo, words that may be skipped, words looked ahead and back, and misses that halt.
-ECHO, NEAR, AHEAD, BACK, HALT = 0.65, 3, 8, 48, 3
+from inkstream.functions.text import _Normals
+from inkstream.functions.wordclass import alike, is_content, is_swap
+from inkstream.streaming.recheck import Heard, usable
+
+#: Seconds within which an equal word is an echo, heard words that are remembered; words looked ahead by each
+#: recovery, and back; seconds between the words of a restart; letters of a telling word.
+ECHO, REMEMBERED, NEAR, AHEAD, FAR, BACK, RESTART_GAP, TELLING = 0.65, 12, 3, 8, 64, 48, 1.25, 5
+#: What a narrator says between a false start and its repair.
+CUES = frozenset("again oops restart sorry start".split())
+
+
+class Bars(NamedTuple):
+    """How sure a word must be: to be passed over or to tell a jump, and to count in a run of misses; the run that halts."""
+
+    sure: float = 0.9
+    telling: float = 0.8
+    missed: float = 0.6
+    small: float = 0.95
+    run: int = 3
+
+
+class Run(NamedTuple):
+    """Misses in a row: how many, and where the first was on the page and in time."""
+
+    count: int
+    index: int
+    heard: str
+    start: float
 
 
 class State(NamedTuple):
     cursor: int = 0
-    last_end: float = -1.0
-    last_word: str = ""
-    before_last: str = ""
-    misses: int = 0
+    last_end: float = 0.0
+    heard: tuple[tuple[str, float], ...] = ()
+    waiting: tuple[str, int] | None = None  # a word, and the place that it would have
+    run: Run | None = None
     halted: bool = False
+    excused: int = -1  # where the narrator chose to carry on
+
+    def dump(self) -> str:
+        return json.dumps(self)
+
+    @classmethod
+    def load(cls, text: str) -> State:
+        cursor, end, heard, waiting, run, halted, excused = json.loads(text)
+        return cls(cursor, end, tuple((w, e) for w, e in heard), tuple(waiting) if waiting else None, Run(*run) if run else None, halted, excused)
+
+    def resumed(self) -> State:
+        """After a halt: the page moves again, and does not halt at the same word."""
+        return self._replace(halted=False, excused=self.cursor)
 
 
 class Place(NamedTuple):
-    seq: int
+    seq: int  # of the word among all of the session
     index: int  # of the expected word, or -1
     cursor: int  # after it
-    event: str  # match, skip, back, miss, late, echo or halted
-
-
-def alike(a: str, b: str) -> bool:
-    """Equal, or long enough and a letter apart (two from eight letters on)."""
-    if a == b:
-        return True
-    longest = max(len(a), len(b))
-    most = 2 if longest >= 8 else 1
-    if longest < 5 or abs(len(a) - len(b)) > most:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-        if min(row) > most:
+    event: str  # match, restart, cue, skip, swap, wait, passed, miss, late, echo, flag, jump or lost (both halt) or halted
+
+
+class Reading:
+    """A session's script: expected words in normal form, and the line (or shown row) of each. proofing: slips are looked for, so
+    the page is held to, with the two strictest recoveries; the first sure slip of a window that has an anchor is a flag."""
+
+    def __init__(self, words: list[str], lines: list[int] | None = None, bars: Bars = Bars(), halting: bool = True, proofing: bool = False):
+        self.words, self.lines, self.bars, self.halting, self.proofing = words, lines or [0] * len(words), bars, halting, proofing
+        self.recoveries = (Reading.together, Reading.alone) if proofing else self.RECOVERIES
+
+    def fits(self, at: int, word: str) -> bool:
+        return 0 <= at < len(self.words) and alike(word, self.words[at])
+
+    def _only(self, places: Iterator[int]) -> int:
+        """The one place there is, or -1."""
+        first = next(places, -1)
+        return first if next(places, -1) < 0 else -1
+
+    # Recoveries: (state, word, the next word of the window, confidence) -> (places of this word and perhaps the next, event)
+
+    def restart(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
+        """The last three or two words stand together at just one place a little behind, and say enough to be no chance."""
+        for n in (3, 2):
+            tail = s.heard[-n:]
+            said = [w for w, _ in tail]
+            if len(tail) < n or tail[-1][1] - tail[0][1] > RESTART_GAP or CUES.intersection(said):
+                continue
+            places = (at for at in range(max(0, s.cursor - BACK), s.cursor - n) if all(self.fits(at + k, w) for k, w in enumerate(said)))
+            at = self._only(places)
+            begins = at == 0 or at > 0 and self.lines[at - 1] != self.lines[at]
+            if at >= 0 and (n == 3 or begins or any(len(w) >= TELLING and is_content(w) for w in said)):
+                return [at + n - 1], "restart"
+        return None
+
+    def cue(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
+        return ([], "cue") if word in CUES else None
+
+    def near(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
+        """Up to three words were lost; a small word must be the very next."""
+        at = self._only(k for k in range(s.cursor + 1, s.cursor + 1 + NEAR) if self.fits(k, word))
+        return ([at], "skip") if at >= 0 and (at == s.cursor + 1 or is_content(word) or len(word) >= TELLING) else None
+
+    def swap(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
+        return ([s.cursor], "swap") if is_swap(self.words[s.cursor], word) else None
+
+    def far(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
+        """This word and the next stand together at one place of the next 64; at a window's end, a telling word alone."""
+        if not then and not (is_content(word) and len(word) >= TELLING and self.bars.sure >= 0.55):
+            return None
+        at = self._only(k for k in range(s.cursor + 1, s.cursor + 1 + FAR) if self.fits(k, word) and (not then or self.fits(k + 1, then)))
+        return ([at, at + 1] if then else [at], "skip") if at >= 0 else None
+
+    def together(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
+        """This word and the next, letter by letter, at the first such place a little ahead."""
+        ahead = self.words[s.cursor + 1 : s.cursor + 1 + AHEAD]
+        at = next((k for k, pair in enumerate(zip(ahead, ahead[1:])) if pair == (word, then)), -1) if then else -1
+        return ([s.cursor + 1 + at, s.cursor + 2 + at], "skip") if at >= 0 else None
+
+    def alone(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
+        """This word a little ahead: if it says enough, or confirms the one that waits; else it waits itself."""
+        ahead = self.words[s.cursor + 1 : s.cursor + 1 + AHEAD]
+        if word not in ahead:
+            return None
+        at = s.cursor + 1 + ahead.index(word)
+        telling = not self.proofing and sure >= max(self.bars.sure, self.bars.telling) and len(word) >= TELLING and is_content(word) and ahead.count(word) == 1
+        confirms = s.waiting and (at == s.waiting[1] + 1 or s.waiting == (word, at))
+        return ([at], "skip") if telling or confirms else ([at], "wait")
+
+    RECOVERIES = (restart, cue, near, swap, far, together, alone)
+    FORWARD = (near, far, together, alone)
+
+    def leaps(self, start: int, target: int) -> bool:
+        """Whether a step forward leaves more than the last word of a line unread, or a whole line."""
+        line, crossed = self.lines[start], sum(a != b for a, b in zip(self.lines[start:target], self.lines[start + 1 : target + 1]))
+        if self.lines[target] == line:
             return False
-    return row[-1] <= most
-
-
-def follow(expected: list[str], state: State, words: list[tuple[int, str, float, float]]) -> tuple[State, list[Place]]:
-    """words: (seq, text, start, end). A word is tried at the cursor, then a few words on, then further on if it and the
-    word before it stand there together, then back (a repair) if the last two stand in just one place."""
-    s, places = state, []
-    for seq, text, _, end in words:
-        word = text.lower().strip(".,;:!?\"“”")
-        if s.halted:
-            places.append(Place(seq, -1, s.cursor, "halted"))
-        elif end <= s.last_end:
-            places.append(Place(seq, -1, s.cursor, "late"))
-        elif word == s.last_word and end - s.last_end < ECHO and not (s.cursor < len(expected) and alike(expected[s.cursor], word)):
-            places.append(Place(seq, -1, s.cursor, "echo"))
-        else:
-            at, event = _placed(expected, s, word)
-            s = s._replace(last_end=end, before_last=s.last_word, last_word=word)
-            if at < 0:
-                s = s._replace(misses=s.misses + 1, halted=s.misses + 1 >= HALT)
-                places.append(Place(seq, -1, s.cursor, "miss"))
+        left = next((k for k in range(start, len(self.lines)) if self.lines[k] != line), len(self.lines)) - start
+        return crossed > 1 or left > 1
+
+    def _recovered(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str, Callable | None]:
+        for recovery in self.recoveries:
+            if found := recovery(self, s, word, then, sure):
+                return *found, recovery
+        return [], "miss", None
+
+    def _missed(self, s: State, h: Heard) -> tuple[State, str]:
+        """A word that no recovery could place: it may end a run that halts, or be passed over as a slip if it is sure."""
+        expected, small = self.words[s.cursor], h.confidence >= self.bars.small and is_swap(self.words[s.cursor], h.word)
+        content = is_content(h.word) and is_content(expected)
+        if self.halting and h.confidence >= self.bars.missed and (small or content):
+            run = s.run._replace(count=s.run.count + 1) if s.run else Run(1, s.cursor, h.text, h.start)
+            if run.count >= self.bars.run and run.index != s.excused:
+                return s._replace(cursor=run.index, run=None, halted=True), "lost"
+            s = s._replace(run=run)
+        if h.confidence >= self.bars.sure and (content or self.proofing and small):
+            return s._replace(cursor=s.cursor + 1), "passed"
+        return s, "miss"
+
+    def read(self, s: State, window: list[Heard], seq: int = 0) -> tuple[State, list[Place]]:
+        """One window of heard words, in normal form and in order of time, the first numbered seq. What comes after a halt is not
+        read."""
+        places, i, n, words = [], 0, len(window), self.words
+        while i < n:
+            h, at = window[i], seq + i
+            i += 1
+            if s.halted:
+                places.append(Place(at, -1, s.cursor, "halted"))
+                continue
+            if h.end <= s.last_end:
+                places.append(Place(at, -1, s.cursor, "late"))
+                continue
+            echo = any(w == h.word and abs(e - h.end) <= ECHO for w, e in s.heard) and not (s.waiting and s.waiting[0] == h.word)
+            if echo:
+                s = s._replace(last_end=h.end)
+                places.append(Place(at, -1, s.cursor, "echo"))
+                continue
+            cursor, heard = s.cursor, (*s.heard[-REMEMBERED + 1 :], (h.word, h.end))
+            if cursor < len(words) and words[cursor] and alike(h.word, words[cursor]):
+                s = State(cursor + 1, h.end, heard, None, None, False, s.excused)
+                places.append(Place(at, cursor, cursor + 1, "match"))
+                continue
+            s = s._replace(last_end=h.end, heard=heard)
+            if cursor >= len(words) or not words[cursor]:
+                places.append(Place(at, -1, cursor, "miss"))
+                continue
+            then = window[i].word if i < n else ""
+            where, event, recovery = self._recovered(s, h.word, then, h.confidence)
+            if event == "wait":
+                s = s._replace(waiting=(h.word, where[0]))
+                places.append(Place(at, -1, cursor, event))
+            elif event == "cue":
+                s = s._replace(waiting=None, run=None)
+                places.append(Place(at, -1, cursor, event))
+            elif event == "miss":
+                s, event = self._missed(s._replace(waiting=None), h)
+                if event == "passed" and self.proofing and not any(p.event == "flag" for p in places):
+                    anchored = any(p.index >= 0 for p in places) or i + 1 < n and all(self.fits(cursor + 1 + k, window[i + k].word) for k in (0, 1))
+                    event = "flag" if anchored else event
+                places.append(Place(at, cursor if event in ("passed", "flag") else -1, s.cursor, event))
             else:
-                s = s._replace(cursor=at + 1, misses=0)
-                places.append(Place(seq, at, at + 1, event))
-    return s, places
+                origin = s.run.index if s.run else cursor
+                if self.halting and recovery in self.FORWARD and self.leaps(origin, where[0]):
+                    s = s._replace(cursor=origin, waiting=None, run=None, halted=True)
+                    places.append(Place(at, -1, origin, "jump"))
+                    continue
+                for k, index in enumerate(where):
+                    if k:  # the next word was taken with this one
+                        h, i = window[i], i + 1
+                        s = s._replace(last_end=max(s.last_end, h.end), heard=(*s.heard[-REMEMBERED + 1 :], (h.word, h.end)))
+                    places.append(Place(seq + i - 1, index, index + 1, event))
+                s = s._replace(cursor=where[-1] + 1, waiting=None, run=None)
+        return s, places
 
 
-def _placed(expected: list[str], s: State, word: str) -> tuple[int, str]:
-    here = s.cursor
-    for at in range(here, min(here + NEAR, len(expected))):
-        if alike(expected[at], word):
-            return at, "match" if at == here else "skip"
-    for at in range(here + NEAR, min(here + AHEAD, len(expected))):
-        if alike(expected[at], word) and (len(word) >= 7 or s.last_word and alike(expected[at - 1], s.last_word)):
-            return at, "skip"
-    back = [at for at in range(max(1, here - BACK), here) if s.last_word and expected[at] == word and expected[at - 1] == s.last_word]
-    return (back[0], "back") if len(back) == 1 and (s.before_last or s.misses) else (-1, "miss")
+PLACES = "session string, seq long, index int, cursor int, event string"
 
 
-PLACES = "session string, seq long, index int, cursor int, event string"
+def _words(texts: list, starts: list, ends: list, sure: list, normal: _Normals) -> list[Heard]:
+    return [Heard(t, normal[t or ""], a, b, min(1.0, max(0.0, c or 0.0))) for t, a, b, c in zip(texts, starts, ends, sure) if a is not None and b is not None and a == a and b == b]
 
 
-def _rows(session: str, places: list[Place]) -> pd.DataFrame:
-    return pd.DataFrame([(session, *p) for p in places], columns=["session", *Place._fields])
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over the cores, where their files have fewer splits than that; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def _heard(rows: pd.DataFrame) -> list[tuple[int, str, float, float]]:
-    rows = rows.sort_values("seq")
-    return list(zip(rows["seq"].tolist(), rows["text"].fillna("").tolist(), rows["start"].tolist(), rows["end"].tolist()))
+def counted(rows: DataFrame, words: str, heard: str, window: int = 3, bars: Bars = Bars(), halting: bool = True) -> DataFrame:
+    """rows without words and heard, and: cursor at the end, and how often each event came. A row is a whole session: its expected
+    words, and what was heard (array of text, start, end, confidence), read in windows of so many words. A reader who is halted
+    carries on at the next window. No shuffle, and only counts leave the workers."""
+    kept = [c for c in rows.columns if c not in (words, heard)]
+    part = lambda name: F.transform(heard, lambda w: w[name]).alias(f"_{name}")
+    sent = rows.select(*kept, F.col(words).alias("_words"), *map(part, ("text", "start", "end", "confidence")))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept] + ["cursor long"] + [f"{e} long" for e in EVENTS])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normal = _Normals()
+        for batch in batches:
+            found = []
+            for at in range(batch.num_rows):  # one session at a time: a long one is not held beside others
+                script, *said = (batch.column(c)[at].as_py() or [] for c in ("_words", "_text", "_start", "_end", "_confidence"))
+                reading, s, count = Reading([normal[w or ""] for w in script], None, bars, halting), State(), dict.fromkeys(EVENTS, 0)
+                every = _words(*said, normal)
+                for i in range(0, len(every), window):
+                    s, places = reading.read(s.resumed() if s.halted else s, usable(every[i : i + window]), i)
+                    for p in places:
+                        count[p.event] += 1
+                found.append((s.cursor, *count.values()))
+            columns = [pa.array(c, pa.int64()) for c in zip(*found)]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *columns], names=[*kept, "cursor", *EVENTS])
 
-def followed(heard: DataFrame, expected: DataFrame) -> DataFrame:
-    """session, seq, index, cursor, event of every heard word. heard: session, seq, text, start, end;
-    expected: session, words (array, lower case). A session's words are one reader's; no session grows with the input."""
+    return sent.mapInArrow(run, schema)
 
-    def run(key: tuple, said: pd.DataFrame, script: pd.DataFrame) -> pd.DataFrame:
-        words = list(script["words"].iloc[0]) if len(script) else []
-        return _rows(key[0], follow(words, State(), _heard(said))[1])
 
-    return heard.groupBy("session").cogroup(expected.select("session", "words").groupBy("session")).applyInPandas(run, PLACES)
+EVENTS = ("match", "restart", "cue", "skip", "swap", "wait", "passed", "miss", "late", "echo", "flag", "jump", "lost", "halted")
+
+
+def _read_windows(reading: Reading, s: State, rows: pd.DataFrame, normal: _Normals) -> tuple[State, list[Place]]:
+    """The windows of a session in order; a window whose `resume` is true first lets a halted page move."""
+    out: list[Place] = []
+    for _, said in rows.sort_values(["window", "seq"]).groupby("window", sort=True):
+        if s.halted and said["resume"].fillna(False).astype(bool).any():
+            s = s.resumed()
+        known = usable(_words(*(said[c].tolist() for c in ("text", "start", "end", "confidence")), normal))
+        s, places = reading.read(s, known, int(said["seq"].iloc[0]))
+        out += places
+    return s, out
+
+
+def _rows(session: str, places: list[Place]) -> pd.DataFrame:
+    return pd.DataFrame([(session, *p) for p in places], columns=["session", *Place._fields])
 
 
-PLACE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("index", T.IntegerType()), T.StructField("cursor", T.IntegerType()), T.StructField("event", T.StringType())])
+def followed(heard: DataFrame, expected: DataFrame, bars: Bars = Bars(), halting: bool = True) -> DataFrame:
+    """session, seq, index, cursor, event of every word that counts. heard: session, window, seq, text, start, end, confidence,
+    resume; expected: session, words, lines (arrays). A session's words are one reader's; no session grows with the input."""
 
+    def run(key: tuple, said: pd.DataFrame, script: pd.DataFrame) -> pd.DataFrame:
+        normal = _Normals()
+        words, lines = (list(script[c].iloc[0]) if len(script) and script[c].iloc[0] is not None else [] for c in ("words", "lines"))
+        reading = Reading([normal[w or ""] for w in words], [int(x) for x in lines], bars, halting)
+        return _rows(key[0], _read_windows(reading, State(), said, normal)[1])
 
-@F.pandas_udf(T.ArrayType(PLACE))
-def places(heard: pd.Series, words: pd.Series) -> pd.Series:
-    """The same for a whole session in one row: heard (array of text, start, end, in order) and the expected words. No shuffle."""
+    return heard.groupBy("session").cogroup(expected.select("session", "words", "lines").groupBy("session")).applyInPandas(run, PLACES)
 
-    def of(said, script) -> list[dict]:
-        rows = [(i, w["text"] or "", w["start"], w["end"]) for i, w in enumerate(said)]
-        return [p._asdict() for p in follow(list(script), State(), rows)[1]]
 
-    return pd.Series([of(a, b) for a, b in zip(heard, words)])
+class Follower(StatefulProcessor):
+    """The same over a stream. A session's script is put into its state once, at the start of the query, and does not travel
+    with the words."""
 
+    def __init__(self, bars: Bars, halting: bool):
+        self.bars, self.halting = bars, halting
 
-def follow_stream(heard: DataFrame, expected: DataFrame) -> DataFrame:
-    """The same over a stream of heard words: a stream-static join brings the script, state carries the rest."""
-    script = expected.select("session", F.to_json("words").alias("script"))
+    def init(self, handle) -> None:
+        self.script = handle.getValueState("script", "words array<string>, lines array<int>")
+        self.state = handle.getValueState("reading", "value string")
+        self.normal = _Normals()
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        import json
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        words, lines = initialState["words"].iloc[0], initialState["lines"].iloc[0]
+        self.script.update(([self.normal[w or ""] for w in words], [int(x) for x in lines] if lines is not None else []))
 
-        state = State(*held.get) if held.exists else State()
-        said = pd.concat(list(batches))
-        state, places = follow(json.loads(said["script"].iloc[0]), state, _heard(said))
-        held.update(tuple(state))
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        words, lines = self.script.get() if self.script.exists() else ([], [])
+        state = State.load(self.state.get()[0]) if self.state.exists() else State()
+        state, places = _read_windows(Reading(list(words), [int(x) for x in lines], self.bars, self.halting), state, pd.concat(list(rows)), self.normal)
+        self.state.update((state.dump(),))
         yield _rows(key[0], places)
 
-    fields = "cursor int, last_end double, last_word string, before_last string, misses int, halted boolean"
-    return heard.join(script, "session").groupBy("session").applyInPandasWithState(run, PLACES, fields, "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def follow_stream(heard: DataFrame, expected: DataFrame, bars: Bars = Bars(), halting: bool = True) -> DataFrame:
+    """`followed` over a stream of windows; a window arrives whole, in one micro-batch. The session needs the RocksDB provider of
+    state stores."""
+    scripts = expected.select("session", "words", "lines").groupBy("session")
+    return heard.groupBy("session").transformWithStateInPandas(Follower(bars, halting), PLACES, "append", "None", scripts)

@@ -14,7 +14,6 @@ from inkstream.functions.text import spoken_pieces, stable_id
 from inkstream.functions.timecode import minutes_seconds, subtitle_time
 from inkstream.operators import proof, signal, structure
 from inkstream.sources import files
-from inkstream.streaming.follow import State, follow, follow_stream, followed, places
 
 
 def common(a, b):
@@ -132,58 +131,3 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(files.wav_bytes(np.array([0.0, 0.5, -1.0, np.nan]), 4))
     frames = files.wav_frames(spark, str(tmp_path / "*.wav"), 0.5).orderBy("frame").collect()
     assert [len(f.samples) for f in frames] == [2, 2] and abs(frames[0].samples[1] - 0.5) < 1e-4
-
-
-SCRIPT = "the fox jumped over the lazy dog and slept beside the river".split()
-
-
-def hear(words, at=0.0):
-    return [(i, w, at + 0.4 * i, at + 0.4 * i + 0.3) for i, w in enumerate(words.split())]
-
-
-@pytest.mark.parametrize(
-    "said, cursor, events",
-    [
-        ("the fox jumped", 3, ["match"] * 3),
-        ("the jumped over", 4, ["match", "skip", "match"]),
-        ("zzz qqq vvv the", 0, ["miss"] * 3 + ["halted"]),
-        ("the fox jumped over the lazy over the lazy dog", 7, None),
-    ],
-)
-def test_following(said, cursor, events):
-    state, places = follow(SCRIPT, State(), hear(said))
-    assert state.cursor == cursor and (events is None or [p.event for p in places] == events)
-
-
-def test_following_does_not_depend_on_how_words_arrive():
-    words = hear("the fox leaped jumped over over the lazy dog")
-    whole, all_places = follow(SCRIPT, State(), words)
-    state, places = State(), []
-    for w in words:
-        state, more = follow(SCRIPT, state, [w])
-        places += more
-    assert state == whole and places == all_places
-    assert follow(SCRIPT, whole, words[:2])[1][0].event == "late"
-
-
-def test_following_a_stream(spark, tmp_path):
-    schema = "session string, seq long, text string, start double, end double"
-    words = hear("the fox jumped over the lazy dog")
-    for k in range(2):
-        spark.createDataFrame([("s", *w) for w in words[4 * k : 4 * k + 4]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    script = spark.createDataFrame([("s", SCRIPT)], "session string, words array<string>")
-    query = follow_stream(stream, script).writeStream.format("memory").queryName("places").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert spark.table("places").count() == len(words) and spark.table("places").agg(F.max("cursor")).first()[0] == 7
-
-
-def test_following_whole_sessions_is_following_rows(spark):
-    said = {"a": "the fox leaped jumped over over the lazy dog", "b": "zzz qqq vvv the", "c": "the jumped over"}
-    rows = [(k, *w) for k, text in said.items() for w in hear(text)]
-    script = spark.createDataFrame([(k, SCRIPT) for k in said], "session string, words array<string>")
-    heard = spark.createDataFrame(rows, "session string, seq long, text string, start double, end double")
-    whole = spark.createDataFrame([(k, [w[1:] for w in hear(text)], SCRIPT) for k, text in said.items()], "session string, heard array<struct<text string, start double, end double>>, words array<string>")
-    by_rows = sorted(tuple(r) for r in followed(heard, script).collect())
-    by_session = whole.select("session", F.explode(places("heard", "words")).alias("p")).select("session", "p.*")
-    assert by_rows == sorted(tuple(r) for r in by_session.collect())
