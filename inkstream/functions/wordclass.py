@@ -102,17 +102,18 @@ def near(a: str, b: str) -> bool:
     """Equal, or long enough and a letter apart (two from eight letters on)."""
     if a == b:
         return a != ""
-    longest = max(len(a), len(b))
-    most = 2 if longest >= 8 else 1
-    return bool(a and b) and longest >= 5 and abs(len(a) - len(b)) <= most and distance(a, b) <= most
+    m, n = len(a), len(b)
+    most = 2 if m >= 8 or n >= 8 else 1
+    return -most <= m - n <= most and (m >= 5 or n >= 5) and m > 0 < n and distance(a, b) <= most
 
 
 def alike(heard: str, expected: str) -> bool:
     return heard == expected != "" or same_word(heard, expected) or near(heard, expected)
 
 
-def likeness(a: str, b: str) -> float:
-    if not a or not b:
+def likeness(a: str, b: str, least: float = 0.0) -> float:
+    """From 0 to 1; what cannot reach `least`, by the lengths alone, is 0."""
+    if not a or not b or a != b and 1 - abs(len(a) - len(b)) / max(len(a), len(b)) < least and not same_word(a, b):
         return 0.0
     return 1.0 if same_word(a, b) else 1 - distance(a, b) / max(len(a), len(b))
 

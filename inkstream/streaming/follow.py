@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from inkstream.functions.text import _Normals
-from inkstream.functions.wordclass import alike, is_content, is_swap
+from inkstream.functions.wordclass import dialect_key, is_content, is_swap, near, number_value
 from inkstream.streaming.recheck import Heard, usable
 
 #: Seconds within which an equal word is an echo, heard words that are remembered; words looked ahead by each
@@ -84,10 +84,15 @@ class Reading:
 
     def __init__(self, words: list[str], lines: list[int] | None = None, bars: Bars = Bars(), halting: bool = True, proofing: bool = False):
         self.words, self.lines, self.bars, self.halting, self.proofing = words, lines or [0] * len(words), bars, halting, proofing
+        self.keys, self.values = list(map(dialect_key, words)), list(map(number_value, words))
         self.recoveries = (Reading.together, Reading.alone) if proofing else self.RECOVERIES
 
     def fits(self, at: int, word: str) -> bool:
-        return 0 <= at < len(self.words) and alike(word, self.words[at])
+        """As `wordclass.alike`, with what is known of the page."""
+        if not 0 <= at < len(self.words) or not word or not (w := self.words[at]):
+            return False
+        value = self.values[at]
+        return word == w or self.keys[at] == dialect_key(word) or value is not None and value == number_value(word) or near(word, w)
 
     def _only(self, places: Iterator[int]) -> int:
         """The one place there is, or -1."""
@@ -155,6 +160,15 @@ class Reading:
         left = next((k for k in range(start, len(self.lines)) if self.lines[k] != line), len(self.lines)) - start
         return crossed > 1 or left > 1
 
+    @staticmethod
+    def _echoes(s: State, h: Heard) -> bool:
+        for word, end in reversed(s.heard):
+            if h.end - end > ECHO:
+                return False
+            if word == h.word:
+                return not (s.waiting and s.waiting[0] == h.word)
+        return False
+
     def _recovered(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str, Callable | None]:
         for recovery in self.recoveries:
             if found := recovery(self, s, word, then, sure):
@@ -187,13 +201,12 @@ class Reading:
             if h.end <= s.last_end:
                 places.append(Place(at, -1, s.cursor, "late"))
                 continue
-            echo = any(w == h.word and abs(e - h.end) <= ECHO for w, e in s.heard) and not (s.waiting and s.waiting[0] == h.word)
-            if echo:
+            if self._echoes(s, h):
                 s = s._replace(last_end=h.end)
                 places.append(Place(at, -1, s.cursor, "echo"))
                 continue
             cursor, heard = s.cursor, (*s.heard[-REMEMBERED + 1 :], (h.word, h.end))
-            if cursor < len(words) and words[cursor] and alike(h.word, words[cursor]):
+            if self.fits(cursor, h.word):
                 s = State(cursor + 1, h.end, heard, None, None, False, s.excused)
                 places.append(Place(at, cursor, cursor + 1, "match"))
                 continue

@@ -9,6 +9,7 @@ the page: it may begin and end at any word of the page, but has to account for a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -62,10 +63,11 @@ def usable(words: list[Heard]) -> list[Heard]:
     return [] if made_up else kept
 
 
+@lru_cache(200_000)
 def pair_score(expected: str, heard: str) -> float:
     if same_word(heard, expected):
         return EXACT
-    if likeness(heard, expected) >= ENOUGH:
+    if likeness(heard, expected, ENOUGH) >= ENOUGH:
         return SIMILAR
     if is_swap(expected, heard):
         return SWAP
@@ -188,9 +190,12 @@ def flagged(page: list[str], heard: list[Heard], cursor: int, read: int, offset:
     high = max(0, min(len(page), read + PHRASE - offset))
     low = max(0, min(cursor - offset, max(0, high - PHRASE)))
     part = page[low:high]
-    if len([e for e in part if e]) >= 2:
+    if len([e for e in part if e]) >= 2 and not {w.word for w in heard} <= set(part):
         heard = spelled(unglued(heard, part), part)
-    pairs = aligned([w.word for w in heard], part)
+    said = [w.word for w in heard]
+    if any(said == part[k : k + len(said)] for k in range(len(part) - len(said) + 1)):
+        return None  # read as it is written: no alignment is better
+    pairs = aligned(said, part)
     anchor, similar, seen = any(p.kind == "exact" for p in pairs), None, False
     for at, p in enumerate(pairs):
         w, e, index = heard[p.heard], part[p.expected], offset + low + p.expected
