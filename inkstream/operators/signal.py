@@ -134,19 +134,22 @@ def crossfaded(a: Column, b: Column, n: int) -> Column:
     return F.concat(F.slice(a, 1, F.size(a) - k), fade, F.slice(b, k + 1, F.size(b) - k))
 
 
-def true_peak(x: np.ndarray, factor: int = 4, radius: int = 16) -> float:
-    """Largest amplitude between the samples too: each phase is one convolution with a windowed sinc, over its own weights,
-    so that the ends of a clip need no case of their own. No samples: 0."""
-    if len(x) < 2:
-        return float(np.abs(x).max(initial=0.0))
-    top, offsets = np.abs(x).max(), np.arange(radius, -radius, -1)
-    for phase in range(1, factor):
+def between_samples(x: np.ndarray, factor: int = 4, radius: int = 16) -> np.ndarray:
+    """Largest amplitude between each sample and the next: each phase is one convolution with a windowed sinc, over its own
+    weights, so that the ends of a clip need no case of their own."""
+    top, offsets = np.zeros(max(0, len(x) - 1)), np.arange(radius, -radius, -1)
+    for phase in range(1, factor if len(x) > 1 else 1):
         distance = phase / factor - offsets
         taps = np.where(np.abs(distance) < radius, np.sinc(distance) * (0.5 + 0.5 * np.cos(np.pi * distance / radius)), 0.0)
         inside = slice(radius, radius + len(x) - 1)
         value, weight = np.convolve(x, taps)[inside], np.convolve(np.ones(len(x)), taps)[inside]
-        top = max(top, np.abs(np.where(np.abs(weight) > 1e-12, value / np.where(weight == 0, 1, weight), value)).max())
-    return float(top)
+        top = np.maximum(top, np.abs(np.where(np.abs(weight) > 1e-12, value / np.where(weight == 0, 1, weight), value)))
+    return top
+
+
+def true_peak(x: np.ndarray) -> float:
+    """Largest amplitude, between the samples too. No samples: 0."""
+    return float(max(np.abs(x).max(initial=0.0), between_samples(x).max(initial=0.0)))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstream.functions.levels import dbfs, peak, range_status, rms, traffic_light, upper_status
-from inkstream.operators import signal
+from inkstream.operators import mastering, signal
 from inkstream.sources.tables import table
 
 FRAME, SCALE = 5, 10_000.0
@@ -47,6 +47,24 @@ def room_tone(spark: SparkSession, folder: str) -> DataFrame:
     return signal.room_tone(framed, signal.noise_floor(framed, ["user_id"], 2, 4), ["user_id"])
 
 
+TAKE = mastering.Delivery(rate=1000)
+
+
+def _takes(spark: SparkSession, folder: str) -> DataFrame:
+    """Stand-in recordings: the embeddings of a label end to end at 1 kHz, two of eight as faint as a room."""
+    order = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    clips = table(spark, folder, "embeddings").where("embedding is not null").select("label", order.alias("at"), "embedding")
+    samples = clips.select("label", "at", F.posexplode("embedding").alias("i", "v"))
+    return samples.select("label", (F.col("at") * 64 + F.col("i")).alias("position"), (F.col("v") * F.when(F.col("at") % 8 < 2, 0.0002).otherwise(0.4)).alias("value"))
+
+
+def mastered_takes(spark: SparkSession, folder: str) -> DataFrame:
+    """What mastering makes of each take, or why it gives it up."""
+    signal_ = mastering.chunked(_takes(spark, folder), ["label"], "position", "value", TAKE.chunk)
+    report = mastering.mastered(signal_, ["label"], TAKE)[1]
+    return report.select("label", "status", "abort_code", *[F.round(c, 4).alias(c) for c in mastering.REPORT[2:]])
+
+
 def clip_loudness(spark: SparkSession, folder: str) -> DataFrame:
     """Gated loudness of every embedding taken as a clip of 64 samples at 100 Hz (K-weighting is recursive: no SQL for it)."""
     clips = table(spark, folder, "embeddings").where("embedding is not null")
@@ -195,4 +213,4 @@ ORACLES |= {
             CASE WHEN rate IS NULL THEN 'unspecified' WHEN sr = rate THEN 'pass' ELSE 'fail' END AS rate, CASE WHEN sec IS NULL THEN 'unspecified' WHEN seconds <= sec THEN 'pass' ELSE 'fail' END AS length FROM g, p)
         SELECT *, CASE WHEN 'fail' IN (rms, peak, floor, rate, length) THEN 'red' WHEN 'warn' IN (rms, peak, floor, rate, length) THEN 'yellow' ELSE 'green' END AS light FROM k""",
 }
-QUERIES |= {f.__name__: f for f in (speech_shares, uneven_quiets, room_tests, packet_rates, edited_clips, delivery_lights)}
+QUERIES |= {f.__name__: f for f in (speech_shares, uneven_quiets, room_tests, packet_rates, edited_clips, delivery_lights, mastered_takes)}
