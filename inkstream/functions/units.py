@@ -1,7 +1,7 @@
 """What is compared when a reading is matched with a page: numbers as digits, words that sound alike as one class.
 
 A run of number words is written as one letter per word, and the grammar of spoken figures is a regular expression over
-those letters. Homophones and spelling variants are a parameter (word -> class), as they depend on the accent.
+those letters. British and American spellings are one; homophones are a parameter (word -> class), as they depend on the accent.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkstream.functions.spelling import american_spelling
 from inkstream.functions.text import _normal
 
 #: Number words, their ordinals and what they stand for.
@@ -87,7 +88,8 @@ def units(tokens: list[str], classes: dict[str, str] | None = None) -> list[tupl
         elif written := WRITTEN.fullmatch(word):
             key = written[1] + ("#ord" if written[2] else "")
         else:
-            key = classes.get(word, word)
+            spelled = american_spelling(word)
+            key = classes.get(spelled, spelled)
         found.append((key, pieces[i][1], pieces[i + n - 1][1]))
         i += n
     return found
@@ -97,7 +99,7 @@ UNIT = T.StructType([T.StructField("key", T.StringType()), T.StructField("first"
 
 
 def match_units(tokens: Column, classes: dict[str, str] | None = None) -> Column:
-    """The units of an array of tokens (null: none). classes: a word's class, for homophones and spelling variants."""
+    """The units of an array of tokens (null: none). classes: a word's class, for homophones, by its American spelling."""
 
     @F.pandas_udf(T.ArrayType(UNIT))
     def of(rows: pd.Series) -> pd.Series:

@@ -112,21 +112,62 @@ def _token_runs(chapters: DataFrame) -> DataFrame:
     return chapters.withColumn("runs", word_runs("tokens", F.transform("heard", lambda w: w["text"])))
 
 
-def _unit_runs(chapters: DataFrame, classes: dict[str, str] | None) -> DataFrame:
-    """Runs by units, given as ranges of tokens; one that holds nothing stands before the next unit's first token."""
-    keyed = chapters.withColumn("a", match_units(F.col("tokens"), classes)).withColumn("b", match_units(F.transform("heard", lambda w: w["text"]), classes))
-    keyed = keyed.withColumn("runs", diff_runs(F.transform("a", lambda u: u["key"]), F.transform("b", lambda u: u["key"])))
-    bounds = lambda units, low, high, end: (
-        F.coalesce(F.get(units, low)["first"], end),
-        F.when(high > low, F.get(units, high - 1)["last"] + 1).otherwise(F.coalesce(F.get(units, low)["first"], end)),
-    )
+PAUSE_PLACE = T.StructType([T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType()), T.StructField("between", T.StringType())])
+MATCHED = T.StructType([T.StructField("runs", T.ArrayType(RUN)), T.StructField("places", T.ArrayType(PAUSE_PLACE))])
+
+
+def matched_words(tokens: list[str], heard: list[str], classes: dict[str, str] | None = None) -> tuple[list, list, list[tuple[int, int, int, int]]]:
+    """Units of both sides and the runs of units that differ."""
+    a, b = units(tokens, classes), units(heard, classes)
+    return a, b, differing_runs([k for k, _, _ in a], [k for k, _, _ in b])
+
+
+def equal_units(a: list, b: list, runs: list[tuple[int, int, int, int]]) -> Iterator[tuple[tuple, tuple]]:
+    i = j = 0
+    for i0, i1, j0, j1 in [*runs, (len(a), len(a), len(b), len(b))]:
+        yield from zip(a[i:i0], b[j:j0])
+        i, j = i1, j1
+
+
+def _in_words(units_: list, low: int, high: int, size: int) -> tuple[int, int]:
+    """A run of units as a range of words; one that holds nothing stands before the next unit's first word."""
+    first = units_[low][1] if low < len(units_) else size
+    return first, units_[high - 1][2] + 1 if high > low else first
+
+
+def _places(text: str, a: list, b: list, runs: list, at: list[int]) -> list[dict | None]:
+    spans = [m.span() for m in regex.finditer(WORD, text)]
+    token = {w: (first, last) for (_, first, last), (_, low, high) in equal_units(a, b, runs) for w in range(low, high + 1)}
+    known = sorted(token)
+    found: list[dict | None] = []
+    for k in at:
+        n = bisect_right(known, k)
+        before, after = known[n - 1] if n else None, known[n] if n < len(known) else None
+        gap = token[after][0] - token[before][1] if before is not None and after is not None else 0
+        found.append(dict(zip(PAUSE_PLACE.names, (before, after, text[spans[token[before][1]][1] : spans[token[after][0]][0]]))) if 0 < gap <= TOKEN_GAP else None)
+    return found
 
-    def placed(r: Column) -> Column:
-        i0, i1 = bounds(F.col("a"), r["i0"], r["i1"], F.size("tokens"))
-        j0, j1 = bounds(F.col("b"), r["j0"], r["j1"], F.size("heard"))
-        return F.struct(i0.alias("i0"), i1.alias("i1"), j0.alias("j0"), j1.alias("j1"))
 
-    return keyed.withColumn("runs", F.transform("runs", placed)).drop("a", "b")
+def matched(classes: dict[str, str] | None) -> Callable[..., Column]:
+    """(tokens, heard words, text, the word that each silence follows) -> runs: where the units of both sides differ, as ranges of
+    words; places: of each silence the aligned words beside it and what is written between their tokens, null where they are not
+    in order or more than TOKEN_GAP tokens apart (a word pickup tells of that). Both from one edit script."""
+
+    def of(tokens: list[str], heard: list[str], text: str, at: list[int]) -> dict:
+        a, b, runs = matched_words(tokens, heard, classes)
+        ranges = [(*_in_words(a, i0, i1, len(tokens)), *_in_words(b, j0, j1, len(heard))) for i0, i1, j0, j1 in runs]
+        return {"runs": [dict(zip(RUN.names, r)) for r in ranges], "places": _places(text, a, b, runs, at) if len(at) else []}
+
+    @F.pandas_udf(MATCHED)
+    def each(tokens: pd.Series, heard: pd.Series, text: pd.Series, at: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([of(list(a), list(b), t or "", list(k)) for a, b, t, k in zip(tokens, heard, text, at)], columns=MATCHED.names)
+
+    return each
+
+
+def _unit_runs(chapters: DataFrame, classes: dict[str, str] | None) -> DataFrame:
+    none = F.array().cast("array<int>")
+    return chapters.withColumn("runs", matched(classes)("tokens", F.transform("heard", lambda w: w["text"]), F.lit(""), none)["runs"])
 
 
 def verified(takes: DataFrame, classes: dict[str, str] | None = None, least: float = 0.55, most: int = 6) -> DataFrame:
@@ -176,28 +217,28 @@ def align(chapters: DataFrame, key: str = "doc_id", fold: bool = False, classes:
     over the words heard, one that is missing counted as 0; it is null where the engine gave none at all. fold: numbers match
     however they are spoken or written, and words of one class (see functions.units) match each other."""
     keyed = (_unit_runs(chapters, classes) if fold else _token_runs(chapters)).where(F.size("runs") > 0)
+    return keyed.select(key, F.explode(F.transform("runs", _shown)).alias("r")).select(key, "r.*")
+
+
+def _shown(r: Column) -> Column:
+    """A run with all that is said of it, so that only small rows leave the chapter's arrays."""
     part = lambda c, a, b: F.slice(c, a + 1, b - a)
     edge = lambda i, field: F.try_element_at("heard", i)[field]
-
-    def shown(r: Column) -> Column:
-        """A run with all that is said of it, so that only small rows leave the chapter's arrays."""
-        i0, i1, j0, j1 = (r[c] for c in ("i0", "i1", "j0", "j1"))
-        said, some = part("heard", j0, j1), j1 > j0
-        before = F.when(j0 > 0, edge(F.greatest(j0, F.lit(1)), "end")).otherwise(0.0)
-        after = F.coalesce(edge(j0 + 1, "start"), F.try_element_at("heard", F.lit(-1))["end"], F.lit(0.0))
-        sure = F.aggregate(said, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.nanvl(w["confidence"], F.lit(0.0)), F.lit(0.0))) / (j1 - j0)
-        known = F.exists(said, lambda w: w["confidence"].isNotNull() & ~F.isnan(w["confidence"]))
-        return F.struct(
-            i0.alias("i0"), i1.alias("i1"), j0.alias("j0"), j1.alias("j1"),
-            F.when(i1 == i0, "insert").when(~some, "skip").otherwise("sub").alias("kind"),
-            F.array_join(part("tokens", i0, i1), " ").alias("expected"),
-            F.array_join(F.transform(said, lambda w: w["text"]), " ").alias("heard"),
-            F.when(some, edge(j0 + 1, "start")).otherwise(before).alias("t_start"),
-            F.when(some, edge(F.greatest(j1, F.lit(1)), "end")).otherwise(F.greatest(before, after)).alias("t_end"),
-            F.when(some & known, sure).alias("confidence"),
-        )
-
-    return keyed.select(key, F.explode(F.transform("runs", shown)).alias("r")).select(key, "r.*")
+    i0, i1, j0, j1 = (r[c] for c in ("i0", "i1", "j0", "j1"))
+    said, some = part("heard", j0, j1), j1 > j0
+    before = F.when(j0 > 0, edge(F.greatest(j0, F.lit(1)), "end")).otherwise(0.0)
+    after = F.coalesce(edge(j0 + 1, "start"), F.try_element_at("heard", F.lit(-1))["end"], F.lit(0.0))
+    sure = F.aggregate(said, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.nanvl(w["confidence"], F.lit(0.0)), F.lit(0.0))) / (j1 - j0)
+    known = F.exists(said, lambda w: w["confidence"].isNotNull() & ~F.isnan(w["confidence"]))
+    return F.struct(
+        i0.alias("i0"), i1.alias("i1"), j0.alias("j0"), j1.alias("j1"),
+        F.when(i1 == i0, "insert").when(~some, "skip").otherwise("sub").alias("kind"),
+        F.array_join(part("tokens", i0, i1), " ").alias("expected"),
+        F.array_join(F.transform(said, lambda w: w["text"]), " ").alias("heard"),
+        F.when(some, edge(j0 + 1, "start")).otherwise(before).alias("t_start"),
+        F.when(some, edge(F.greatest(j1, F.lit(1)), "end")).otherwise(F.greatest(before, after)).alias("t_end"),
+        F.when(some & known, sure).alias("confidence"),
+    )
 
 
 def same_letters(expected: Column, heard: Column) -> Column:
@@ -238,45 +279,34 @@ def merged(pickups: DataFrame, keys: list[str], window: float, ties: tuple[str,
     return with_ids(numbered, keys[-1], F.col("_n")).select(*keys, "pickup_id", "t_start", "t_end", "kind", "expected", "heard", "confidence", "pickups")
 
 
-PAUSE_PLACE = T.StructType([T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType()), T.StructField("between", T.StringType())])
-
-
-def matched_words(tokens: list[str], heard: list[str], classes: dict[str, str] | None = None) -> tuple[list, list, list[tuple[int, int, int, int]]]:
-    """Units of both sides and the runs of units that differ."""
-    a, b = units(tokens, classes), units(heard, classes)
-    return a, b, differing_runs([k for k, _, _ in a], [k for k, _, _ in b])
-
-
-def equal_units(a: list, b: list, runs: list[tuple[int, int, int, int]]) -> Iterator[tuple[tuple, tuple]]:
-    i = j = 0
-    for i0, i1, j0, j1 in [*runs, (len(a), len(a), len(b), len(b))]:
-        yield from zip(a[i:i0], b[j:j0])
-        i, j = i1, j1
-
-
-def pause_places(classes: dict[str, str] | None) -> Callable[..., Column]:
-    """(text, heard words, the word that each silence follows) -> the aligned words beside it and what is written between their
-    tokens; null where they are not in order or more than TOKEN_GAP tokens apart (a word pickup tells of that)."""
+def _gaps(chapters: DataFrame, limit: float) -> Column:
+    """(at, a, z) of each silence over the limit: after which word, from when to when."""
+    n = F.size("heard")
+    word = lambda i, f: F.get("heard", i)[f]
+    every = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+    place = lambda at, a, z: F.struct(at.alias("at"), a.alias("a"), z.alias("z"))
+    gaps = F.filter(F.transform(every, lambda i: place(i, word(i, "end"), word(i + 1, "start"))), lambda p: p["z"] - p["a"] > limit)
+    if "silences" not in chapters.columns:
+        return gaps
+    long = F.filter("silences", lambda s: (s["end"] - s["start"] > limit) & (s["end"] > word(F.lit(0), "start")) & (s["start"] < word(n - 1, "end")))
+    after = lambda s: F.coalesce(F.array_max(F.filter(every, lambda i: word(i, "start") <= s["start"])), F.lit(-1))
+    measured = F.filter(F.transform(long, lambda s: place(after(s), s["start"], s["end"])), lambda p: p["at"] >= 0)
+    return F.when(F.size("silences") > 0, measured).otherwise(gaps)
 
-    @F.pandas_udf(T.ArrayType(PAUSE_PLACE))
-    def of(texts: pd.Series, heard: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([_places(t or "", list(h), list(k), classes) for t, h, k in zip(texts, heard, at)])
 
-    return of
+def _pause_rows(places: Column) -> Column:
+    """The gaps of a chapter that are pauses within a sentence: word_index, t_start, t_end, confidence."""
+    sure = lambda p, side: F.coalesce(F.get("heard", p[side])["confidence"], F.lit(0.0))
+    rows = F.zip_with(
+        "_gaps", places, lambda g, p: F.struct(g["at"].alias("word_index"), F.greatest(F.lit(0.0), g["a"]).alias("t_start"), F.greatest(F.lit(0.0), g["a"], g["z"]).alias("t_end"), F.least(sure(p, "before"), sure(p, "after")).alias("confidence"), p["between"].alias("between"))
+    )
+    return F.filter(rows, lambda r: r["between"].isNotNull() & ~r["between"].rlike("[.!?。！？\n]"))
 
 
-def _places(text: str, heard: list[str], at: list[int], classes: dict[str, str] | None) -> list[dict | None]:
-    spans = [m.span() for m in regex.finditer(WORD, text)]
-    a, b, runs = matched_words([text[i:j] for i, j in spans], heard, classes)
-    token = {w: (first, last) for (_, first, last), (_, low, high) in equal_units(a, b, runs) for w in range(low, high + 1)}
-    known = sorted(token)
-    found: list[dict | None] = []
-    for k in at:
-        n = bisect_right(known, k)
-        before, after = known[n - 1] if n else None, known[n] if n < len(known) else None
-        gap = token[after][0] - token[before][1] if before is not None and after is not None else 0
-        found.append(dict(zip(PAUSE_PLACE.names, (before, after, text[spans[token[before][1]][1] : spans[token[after][0]][0]]))) if 0 < gap <= TOKEN_GAP else None)
-    return found
+def _with_matches(chapters: DataFrame, limit: float, classes: dict[str, str] | None) -> DataFrame:
+    """chapters with _gaps and _matched. No filter here: pushed below, it would take the words apart again for each gap."""
+    few = chapters.withColumn("_gaps", _gaps(chapters, limit))
+    return few.withColumn("_matched", matched(classes)("tokens", F.transform("heard", lambda w: w["text"]), F.coalesce("text", F.lit("")), F.transform("_gaps", lambda g: g["at"])))
 
 
 def pauses(chapters: DataFrame, limit: float = LONG_PAUSE, key: str = "doc_id", classes: dict[str, str] | None = None) -> DataFrame:
@@ -285,37 +315,27 @@ def pauses(chapters: DataFrame, limit: float = LONG_PAUSE, key: str = "doc_id",
     chapters: key, text, heard and, if it was measured, silences (array of start and end). Measured silences that lie between
     the first and the last word win over gaps between words, as a recogniser spreads words evenly. No end of a sentence or line
     may stand between the words beside a pause."""
-    silent = "silences" in chapters.columns
-    n = F.size("heard")
-    word = lambda i, f: F.get("heard", i)[f]
-    every = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
-    place = lambda at, a, z: F.struct(at.alias("at"), a.alias("a"), z.alias("z"))
-    gaps = F.filter(F.transform(every, lambda i: place(i, word(i, "end"), word(i + 1, "start"))), lambda p: p["z"] - p["a"] > limit)
-    if silent:
-        long = F.filter("silences", lambda s: (s["end"] - s["start"] > limit) & (s["end"] > word(F.lit(0), "start")) & (s["start"] < word(n - 1, "end")))
-        after = lambda s: F.coalesce(F.array_max(F.filter(every, lambda i: word(i, "start") <= s["start"])), F.lit(-1))
-        measured = F.filter(F.transform(long, lambda s: place(after(s), s["start"], s["end"])), lambda p: p["at"] >= 0)
-        gaps = F.when(F.size("silences") > 0, measured).otherwise(gaps)
-    few = chapters.withColumn("_gaps", gaps)  # no filter here: pushed below, it would take the words apart again for each gap
-    seen = few.withColumn("_places", pause_places(classes)(F.coalesce("text", F.lit("")), F.transform("heard", lambda w: w["text"]), F.transform("_gaps", lambda g: g["at"])))
-    sure = lambda p, side: F.coalesce(F.get("heard", p[side])["confidence"], F.lit(0.0))
-    rows = F.zip_with("_gaps", "_places", lambda g, p: F.struct(g["at"].alias("word_index"), F.greatest(F.lit(0.0), g["a"]).alias("t_start"), g["z"].alias("t_end"), F.least(sure(p, "before"), sure(p, "after")).alias("confidence"), p["between"].alias("between")))
-    each = seen.select(key, F.explode(rows).alias("r")).select(key, "r.*")
-    return each.where(F.col("between").isNotNull() & ~F.col("between").rlike("[.!?。！？\n]")).select(key, "word_index", "t_start", F.greatest("t_start", "t_end").alias("t_end"), "confidence")
+    seen = _with_matches(chapters.withColumn("tokens", words(F.col("text"))), limit, classes)
+    each = seen.select(key, F.explode(_pause_rows(F.col("_matched.places"))).alias("r")).select(key, "r.*")
+    return each.select(key, "word_index", "t_start", "t_end", "confidence")
 
 
 def checked(chapters: DataFrame, key: str = "doc_id", classes: dict[str, str] | None = None, floor: float = 0.0, suppressed: list[str] | None = None, limit: float = LONG_PAUSE, window: float = MERGE_WINDOWS["normal"]) -> DataFrame:
-    """The whole check of a chapter: usable words, their times held to the duration, units matched, runs that differ in spacing
-    alone or that the engine was not sure of or that hold listed words alone left out, pauses, and near pickups as one.
+    """The whole check of a chapter: usable words, their times held to the duration, units matched once, runs that differ in
+    spacing alone or that the engine was not sure of or that hold listed words alone left out, pauses, and near pickups as one.
 
     chapters: key, text, heard, duration (may be null) and, if measured, silences. Result as `merged` gives it."""
     fit = chapters.withColumn("tokens", words(F.col("text")))
     fit = fit.withColumn("heard", F.when(F.col("duration").isNull(), valid_words(F.col("heard"))).otherwise(valid_words(F.col("heard"), F.col("duration"))))
-    found = align(fit, key, True, classes).where(~((F.col("kind") == "sub") & same_letters(F.col("expected"), F.col("heard"))))
-    found = confident(unsuppressed(found, suppressed or []), floor)
-    columns = (key, "kind", "expected", "heard", "t_start", "t_end", "confidence")
-    long = pauses(fit, limit, key, classes).select(key, F.lit("pause").alias("kind"), F.lit(f"Pause > {limit:g}s").alias("expected"), F.lit("").alias("heard"), "t_start", "t_end", "confidence", F.col("word_index").alias("j0"))
-    return merged(found.select(*columns, "j0").unionByName(long), [key], window, ("j0", "kind"))
+    seen = _with_matches(fit, limit, classes)
+    columns = ("kind", "expected", "heard", "t_start", "t_end", "confidence", "j0")
+    runs = F.transform(F.transform("_matched.runs", _shown), lambda r: F.struct(*[r[c].alias(c) for c in columns]))
+    pause = {"kind": lambda r: F.lit("pause"), "expected": lambda r: F.lit(f"Pause > {limit:g}s"), "heard": lambda r: F.lit(""), "j0": lambda r: r["word_index"]}
+    long = F.transform(_pause_rows(F.col("_matched.places")), lambda r: F.struct(*[pause.get(c, lambda r, c=c: r[c])(r).alias(c) for c in columns]))
+    each = seen.select(key, F.explode(F.concat(runs, long)).alias("r")).select(key, "r.*")
+    is_pause = F.col("kind") == "pause"
+    told = unsuppressed(each.where(~((F.col("kind") == "sub") & same_letters(F.col("expected"), F.col("heard")))), suppressed or [])
+    return merged(told.where(is_pause | F.col("confidence").isNull() | (F.col("confidence") >= floor)), [key], window, ("j0", "kind"))
 
 
 TOKEN_SPAN = T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])

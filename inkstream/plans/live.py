@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstream.operators import live
 from inkstream.operators.proof import stand_in_transcript
-from inkstream.sources.tables import PICKUPS_SQL, STEP, pickups, table
+from inkstream.sources.tables import PICKUPS_SQL, STEP, pickups, spread, table
 from inkstream.streaming import follow, recheck, windows
 
 
@@ -36,7 +36,7 @@ def without_echoes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _readings(spark: SparkSession, folder: str) -> DataFrame:
     """A stand-in reading of every document: a session is a row, dealt over the cores."""
-    docs = follow.spread(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"))
+    docs = spread(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"))
     return stand_in_transcript(docs, "doc_id", "text").where(F.size("heard") > 0).withColumnRenamed("doc_id", "session")
 
 

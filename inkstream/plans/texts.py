@@ -9,7 +9,7 @@ from inkstream.functions.text import COUNTED_WORD, WORD, normalized_word, word_c
 from inkstream.operators import proof, structure
 from inkstream.operators.books import chapter_runs
 from inkstream.operators.idioms import islands
-from inkstream.sources.tables import DROPPED, MODULUS, REPLACED, table
+from inkstream.sources.tables import DROPPED, MODULUS, REPLACED, spread, table
 
 _W = WORD.replace("'", "''")
 _TOKENS = f"SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents"
@@ -124,14 +124,19 @@ def dialogue(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.sum(F.size("d")).alias("passages"))
 
 
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a text, dealt over the cores: matching is work for Python, whatever the splits of the file."""
+    return spread(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"))
+
+
 def align_pickups(spark: SparkSession, folder: str) -> DataFrame:
     """What the stand-in reading of every document got wrong."""
-    return proof.with_ids(proof.align(proof.stand_in_transcript(table(spark, folder, "documents").where("text is not null"))), "doc_id")
+    return proof.with_ids(proof.align(proof.stand_in_transcript(_docs(spark, folder))), "doc_id")
 
 
 def _read(spark: SparkSession, folder: str) -> DataFrame:
     """The stand-in readings, each third document with five seconds of silence before its tenth word."""
-    docs = table(spark, folder, "documents").where("text is not null")
+    docs = _docs(spark, folder)
     late = lambda w: F.when(F.col("doc_id") % 3 == 0, F.when(w["start"] >= 4, 5.0).otherwise(0.0)).otherwise(0.0)
     heard = F.transform("heard", lambda w: w.withField("start", w["start"] + late(w)).withField("end", w["end"] + late(w)))
     return proof.stand_in_transcript(docs, "doc_id", "text", True).withColumns({"heard": heard, "duration": F.lit(None).cast("double")})
@@ -144,20 +149,20 @@ def chapter_check(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_states(spark: SparkSession, folder: str) -> DataFrame:
     """How many tokens of each document were matched, read otherwise or missed (recursive matching: no SQL)."""
-    rows = proof.token_alignment(proof.stand_in_transcript(table(spark, folder, "documents").where("text is not null")))
+    rows = proof.token_alignment(proof.stand_in_transcript(_docs(spark, folder)))
     count = lambda s: F.count_if(F.col("state") == s).alias(s)
     return rows.groupBy("doc_id").agg(*map(count, ("matched", "different", "missing")))
 
 
 def proof_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Pickups by kind after suppression and merging."""
-    found = proof.unsuppressed(proof.align(proof.stand_in_transcript(table(spark, folder, "documents"))), ["added"])
+    found = proof.unsuppressed(proof.align(proof.stand_in_transcript(_docs(spark, folder))), ["added"])
     return proof.merged(found, ["doc_id"], proof.MERGE_WINDOWS["normal"], ("i0",)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("t_end") - F.col("t_start")), 3).alias("seconds"))
 
 
 def eval_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Precision and recall of the found skips and substitutions against the slips that were made."""
-    docs = table(spark, folder, "documents")
+    docs = _docs(spark, folder)
     made = docs.select("doc_id", F.posexplode(words(F.col("text")))).select("doc_id", F.col("pos").alias("token"), F.pmod(F.col("doc_id") * 31 + F.col("pos"), F.lit(97)).alias("slip")).where("slip < 2")
     runs = proof.align(proof.stand_in_transcript(docs)).where("i1 > i0")
     found = runs.select("doc_id", F.explode(F.sequence("i0", F.col("i1") - 1)).alias("token"))
@@ -172,7 +177,7 @@ def quality_agreement(spark: SparkSession, folder: str) -> DataFrame:
 
 def folded_pickups(spark: SparkSession, folder: str) -> DataFrame:
     """The same check when numbers match however they are spoken (recursive matching: no SQL)."""
-    return proof.align(proof.stand_in_transcript(table(spark, folder, "documents").where("text is not null")), fold=True)
+    return proof.align(proof.stand_in_transcript(_docs(spark, folder)), fold=True)
 
 
 def retake_checks(spark: SparkSession, folder: str) -> DataFrame:

@@ -250,12 +250,6 @@ def _words(texts: list, starts: list, ends: list, sure: list, normal: _Normals)
     return [Heard(t, normal[t or ""], a, b, min(1.0, max(0.0, c or 0.0))) for t, a, b, c in zip(texts, starts, ends, sure) if a is not None and b is not None and a == a and b == b]
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt over the cores, where their files have fewer splits than that; else as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def counted(rows: DataFrame, words: str, heard: str, window: int = 3, bars: Bars = Bars(), halting: bool = True) -> DataFrame:
     """rows without words and heard, and: cursor at the end, and how often each event came. A row is a whole session: its expected
     words, and what was heard (array of text, start, end, confidence), read in windows of so many words. A reader who is halted

@@ -2,6 +2,7 @@
 
 import pytest
 
+from inkstream.functions import spelling
 from inkstream.operators import proof
 
 WORDS = "array<struct<text string, start double, end double, confidence double>>"
@@ -32,22 +33,63 @@ CASES = {
     "near slips are one": ("One red apple fell from the tree.", said("one green pear fell from the tree"), [], [("sub", "red apple", "green pear")]),
     "unsure": ("The Wymondham road is long.", said("the windham road is long", confidence=0.1), [], []),
     "listed": ("Well the er road is long.", said("well the road is long"), [], []),
+    "year the long way": ("It opened in 1871 by the river.", said("it opened in one thousand eight hundred seventy one by the river"), [], []),
+    "year with a zero": ("The map is of 1706.", said("the map is of seventeen oh six"), [], []),
+    "late year": ("Since 2031 nobody came.", said("since twenty thirty one nobody came"), [], []),
+    "ordinal": ("On the 5th night it froze.", said("on the fifth night it froze"), [], []),
+    "scale words": ("They paid 3200000 for it.", said("they paid three million two hundred thousand for it"), [], []),
+    "single numbers": ("Two. Five. Now.", said("two five now"), [], []),
+    "sounds alike": ("We saw their mare by the sea.", said("we saw there mayor by the see"), [], []),
+    "sounds alike with marks": ("It's whose coat?", said("its who's coat"), [], []),
+    "same letters, other sound": ("She read the wind and led.", said("she red the wind and lead"), [], [("sub", "read", "red"), ("sub", "led", "lead")]),
+    "two spellings": ("The neighbour travelled to the grey centre, organising ploughs.", said("the neighbor traveled to the gray center organizing plows"), [], []),
+    "guarded spellings": ("Four hours they filled it.", said("for hours they filed it"), [], [("sub", "Four", "for"), ("sub", "filled", "filed")]),
+    "closed compound": ("A half-open door.", said("a halfopen door"), [], []),
+    "compound read closed": ("By the farm yard wall.", said("by the farmyard wall"), [], []),
+    "slip in a compound": ("The half-open door.", said("the half shut door"), [], [("sub", "half-open", "shut")]),
+    "room before the first word": ("He turned the key.", said("he turned the key", [(0, 6.0)]), [(0.0, 5.9)], []),
+    "sure of another word": ("The Wymondham path is long.", said("the windsor path is long"), [], [("sub", "Wymondham", "windsor")]),
+    "no confidence at all": ("The Wymondham lane is long.", said("the windsor lane is long", confidence=None), [], [("sub", "Wymondham", "windsor")]),
     "nothing heard": ("Two words.", [], [], [("skip", "Two words", "")]),
     "nothing written": ("", said("hello there"), [], [("insert", "", "hello there")]),
 }
 
 
-def test_cases_of_every_kind(spark):
+ALIKE = "their there they're\nmare mayor\nsea see\n\nit's its\nwhose who's\n"
+
+
+def test_cases_of_every_kind(spark, tmp_path):
+    (tmp_path / "alike.txt").write_text(ALIKE)
+    classes = spelling.read_classes(spark, str(tmp_path / "alike.txt"))
     rows = [(name, text, heard, [(a, z) for a, z in silences], None) for name, (text, heard, silences, _) in CASES.items()]
     chapters = spark.createDataFrame(rows, f"doc_id string, text string, heard {WORDS}, silences array<struct<start double, end double>>, duration double")
-    found = proof.checked(chapters, floor=0.4, suppressed=["er"]).orderBy("doc_id", "t_start").collect()
+    found = proof.checked(chapters, classes=classes, floor=0.4, suppressed=["er"]).orderBy("doc_id", "t_start").collect()
     by = {name: [] for name in CASES}
     for r in found:
         by[r.doc_id].append((r.kind, r.expected, r.heard))
     assert {n: x for n, x in by.items() if x != CASES[n][3]} == {}
+    labels = spark.createDataFrame([(n, *x) for n, c in CASES.items() for x in c[3]], "doc_id string, kind string, expected string, heard string")
+    score = proof.scores(spark.createDataFrame(found, "doc_id string, pickup_id string, t_start double, t_end double, kind string, expected string, heard string, confidence double, pickups long"), labels, ["doc_id", "kind", "expected", "heard"]).first()
+    assert score.precision == score.recall == 1.0 and score.true_positives == sum(len(c[3]) for c in CASES.values())
     assert all(r.t_end >= r.t_start and r.pickup_id.startswith("pickup-") for r in found)
 
 
+@pytest.mark.parametrize(
+    "word, american",
+    [("colours", "colors"), ("Favourite", "favorite"), ("hour", "hour"), ("four", "four"), ("realised", "realized"), ("rise", "rise"), ("analysing", "analyzing"), ("theatres", "theaters"), ("acre", "acre"), ("more", "more"),
+     ("signalling", "signaling"), ("filled", "filled"), ("calling", "calling"), ("marvellous", "marvelous"), ("callous", "callous"), ("dialogues", "dialogs"), ("rogue", "rogue"), ("storeys", "stories"), ("ploughing", "plowing"), ("cheques", "checks"), ("jeweller", "jeweler"), ("zebra", "zebra")],
+)
+def test_spellings(word, american):
+    assert spelling.american_spelling(word) == american == spelling.american_spelling(american)
+
+
+def test_a_table_of_classes_that_is_too_large_is_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "alike.txt").write_text(ALIKE)
+    monkeypatch.setattr(spelling, "MAX_CLASSES", 3)
+    with pytest.raises(ValueError):
+        spelling.read_classes(spark, str(tmp_path / "alike.txt"))
+
+
 def test_words_of_no_use_and_a_duration(spark):
     heard = [("one", 0.0, 0.3, 0.9), ("", 0.3, 0.4, 0.9), ("two", float("nan"), 0.5, 0.9), ("two", 0.6, 9.0, None), ("three", 20.0, 21.0, 0.9)]
     chapters = spark.createDataFrame([(1, "One two.", heard, 2.0)], f"doc_id long, text string, heard {WORDS}, duration double")

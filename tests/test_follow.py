@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inkstream.sources.tables import spread
 from inkstream.streaming import follow as L
 from inkstream.streaming.recheck import Heard, usable
 
@@ -160,7 +161,7 @@ def test_sessions_in_rows_are_counted_alike(spark):
     said = {name: [tuple(h[:1]) + tuple(h[2:]) for h in hear(spoken(parts))] for name, (parts, *_) in READINGS.items()}
     kind = "name string, words array<string>, heard array<struct<text string, start double, end double, confidence double>>"
     rows = spark.createDataFrame([(k, PAGE, v) for k, v in said.items()] + [("none", None, None), ("silent", PAGE, [])], kind)
-    for r in L.counted(L.spread(rows), "words", "heard").collect():
+    for r in L.counted(spread(rows), "words", "heard").collect():
         reading, state, places = L.Reading(PAGE), L.State(), []
         words = hear(spoken(READINGS[r.name][0])) if r.name in READINGS else []
         for i in range(0, len(words), 3):
