@@ -262,3 +262,44 @@ def judged(reports: DataFrame, presets: DataFrame, keys: list[str]) -> DataFrame
     }
     named = both.select(*keys, "preset", *[c.alias(n) for n, c in checks.items()])
     return named.withColumn("light", traffic_light(F.array(*checks)))
+
+
+#: Fixed values of noise cleaning: the least and the most reduction (dB) and what is added to what is needed; frames over the floor
+#: that count, and that count as strong; what they may lose or gain (dB), how alike they must stay, how many may be altered in a
+#: row and in all.
+CLEAN_LEAST, CLEAN_MOST, CLEAN_MARGIN, COUNTS, STRONG = 4, 12, 2, 10.0, 18.0
+LOST, LOST_STRONG, GAINED, ALIKE, ALIKE_STRONG, IN_A_ROW, ALTERED = -6.0, -3.0, 0.5, 0.9, 0.98, 5, 0.02
+
+
+def cleaning_attempts(predicted: Column, most: float) -> Column:
+    """The reductions (dB) to try, in order, for a floor that is predicted to lie too high."""
+    needed = F.when(predicted > SILENCE, predicted - most + CLEAN_MARGIN).otherwise(F.lit(float(CLEAN_MOST)))
+    first = F.greatest(F.lit(CLEAN_LEAST), F.least(F.lit(CLEAN_MOST), F.ceil(needed).cast("int")))
+    return F.when(first < CLEAN_MOST, F.array(first, F.lit(CLEAN_MOST))).otherwise(F.array(F.lit(CLEAN_MOST)))
+
+
+def cleaned_frames(pairs: DataFrame, keys: list[str], position: str, before: str, after: str, size: int) -> DataFrame:
+    """keys, frame, n, sound, energies before and after and their product, of the samples of two versions of a recording."""
+    a, b = F.col(before).cast("double"), F.col(after).cast("double")
+    sound = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b) & (F.abs(b) <= 1.0001)
+    return pairs.groupBy(*keys, F.floor(F.col(position) / size).alias("frame")).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(sound).alias("sound"), F.sum(a * a).alias("before"), F.sum(b * b).alias("after"), F.sum(a * b).alias("product")
+    )
+
+
+def cleaning_check(framed: DataFrame, floors: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, safe, active, altered: whether noise cleaning left alone what sounds like a voice. Frames well over the floor must keep
+    their energy and their shape; few of them may be altered, and never several in a row."""
+    level = 10 * F.log10(F.greatest(F.col("before") / F.col("n"), F.lit(1e-20)))
+    change = 10 * F.log10(F.greatest(F.col("after"), F.lit(1e-20)) / F.greatest(F.col("before"), F.lit(1e-20)))
+    likeness = F.col("product") / F.sqrt(F.greatest(F.col("before") * F.col("after"), F.lit(1e-30)))
+    known = framed.join(floors.select(*keys, "floor_db"), keys)
+    active, strong = level >= F.col("floor_db") + COUNTS, level >= F.col("floor_db") + STRONG
+    bad = active & ((change < F.when(strong, LOST_STRONG).otherwise(LOST)) | (change > GAINED) | (likeness < F.when(strong, ALIKE_STRONG).otherwise(ALIKE)))
+    runs = islands(known.withColumns({"active": active, "bad": bad}), keys, ["frame"], "bad").groupBy(*keys, "island").agg(
+        F.count(F.lit(1)).alias("n"), F.first("bad").alias("bad"), F.count_if(F.col("active")).alias("active"), F.bool_and("sound").alias("sound")
+    )
+    altered = F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0))
+    found = runs.groupBy(*keys).agg(F.sum("active").alias("active"), altered.alias("altered"), F.max(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("_longest"), F.bool_and("sound").alias("_sound"))
+    safe = F.col("_sound") & (F.col("active") > 0) & (F.col("_longest") < IN_A_ROW) & (F.col("altered") <= ALTERED * F.col("active"))
+    return found.select(*keys, F.coalesce(safe, F.lit(False)).alias("safe"), "active", "altered")

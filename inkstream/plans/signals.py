@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstream.functions.levels import dbfs, peak, range_status, rms, traffic_light, upper_status
-from inkstream.operators import mastering, signal
+from inkstream.operators import duet, mastering, signal
 from inkstream.sources.tables import table
 
 FRAME, SCALE = 5, 10_000.0
@@ -47,6 +47,29 @@ def room_tone(spark: SparkSession, folder: str) -> DataFrame:
     return signal.room_tone(framed, signal.noise_floor(framed, ["user_id"], 2, 4), ["user_id"])
 
 
+def cleaning_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a change to each clip left its voice alone: softer by its id, some with frames that are gone."""
+    clips = table(spark, folder, "embeddings").where("embedding is not null").select("vec_id", F.posexplode("embedding").alias("i", "a"))
+    gone = (F.col("vec_id") % 3 == 0) & (F.col("i") < 8 * (F.col("vec_id") % 7))
+    pairs = clips.withColumn("b", F.when(gone, 0.0).otherwise(F.col("a").cast("double") * (1 - (F.col("vec_id") % 4) * 0.05)))
+    floors = table(spark, folder, "embeddings").select("vec_id", F.lit(-40.0).alias("floor_db"))
+    return signal.cleaning_check(signal.cleaned_frames(pairs, ["vec_id"], "i", "a", "b", 8), floors, ["vec_id"])
+
+
+def duet_mixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each clip and the one after it as two readers of three passages: energies of the mix and of both parts of it."""
+    clips = table(spark, folder, "embeddings").where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("n1"))
+    tracks = clips.join(clips.select((F.col("vec_id") - 1).alias("vec_id"), F.col("n1").alias("n2")), "vec_id").where(F.size("n1") == F.size("n2"))
+    size = 16
+    part = lambda c: F.slice(c, F.col("chunk").cast("int") * size + 1, size).alias(c)
+    cut = tracks.select("vec_id", F.size("n1").cast("long").alias("length"), "n1", "n2", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.size("n1") / size) - 1)).alias("chunk"))
+    passages = tracks.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j")).withColumn("start", F.pmod(F.col("vec_id") * 7 + F.col("j") * 13, F.lit(50)) / 100)
+    seat = F.element_at(F.array(*map(F.lit, ("N1", "N2", "narration"))), (F.pmod(F.col("vec_id") + F.col("j"), F.lit(3)) + 1).cast("int"))
+    mixed = duet.mixed(cut.select("vec_id", "chunk", "length", part("n1"), part("n2")), passages.select("vec_id", "start", (F.col("start") + 0.15).alias("end"), seat.alias("seat")), ["vec_id"], 100, size)
+    energy = lambda c: F.round(F.sum(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)), 6).alias(c)
+    return mixed.groupBy("vec_id").agg(*map(energy, ("mix", "first", "second")))
+
+
 TAKE = mastering.Delivery(rate=1000)
 
 
@@ -213,4 +236,30 @@ ORACLES |= {
             CASE WHEN rate IS NULL THEN 'unspecified' WHEN sr = rate THEN 'pass' ELSE 'fail' END AS rate, CASE WHEN sec IS NULL THEN 'unspecified' WHEN seconds <= sec THEN 'pass' ELSE 'fail' END AS length FROM g, p)
         SELECT *, CASE WHEN 'fail' IN (rms, peak, floor, rate, length) THEN 'red' WHEN 'warn' IN (rms, peak, floor, rate, length) THEN 'yellow' ELSE 'green' END AS light FROM k""",
 }
-QUERIES |= {f.__name__: f for f in (speech_shares, uneven_quiets, room_tests, packet_rates, edited_clips, delivery_lights, mastered_takes)}
+QUERIES |= {f.__name__: f for f in (speech_shares, uneven_quiets, room_tests, packet_rates, edited_clips, delivery_lights, mastered_takes, cleaning_checks, duet_mixes)}
+ORACLES |= {
+    "cleaning_checks": """
+        WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS a FROM embeddings),
+        p AS (SELECT vec_id, i // 8 AS f, a, CASE WHEN vec_id % 3 = 0 AND i < 8 * (vec_id % 7) THEN 0 ELSE a * (1 - (vec_id % 4) * 0.05::DOUBLE) END AS b FROM s),
+        f AS (SELECT vec_id, f, count(*) AS n, sum(a * a) AS x, sum(b * b) AS y, sum(a * b) AS d, bool_and(abs(b) <= 1.0001) AS ok FROM p GROUP BY ALL),
+        m AS (SELECT *, 10 * log10(greatest(x / n, 1e-20)) AS lv, 10 * log10(greatest(y, 1e-20) / greatest(x, 1e-20)) AS ch, d / sqrt(greatest(x * y, 1e-30)) AS co FROM f),
+        k AS (SELECT *, lv >= -30 AND (ch < CASE WHEN lv >= -22 THEN -3 ELSE -6 END OR ch > 0.5 OR co < CASE WHEN lv >= -22 THEN 0.98 ELSE 0.9 END) AS bad FROM m),
+        r AS (SELECT *, f - row_number() OVER (PARTITION BY vec_id, bad ORDER BY f) AS g FROM k),
+        l AS (SELECT vec_id, max(c) AS longest FROM (SELECT vec_id, g, count(*) AS c FROM r WHERE bad GROUP BY ALL) GROUP BY ALL),
+        t AS (SELECT vec_id, CAST(count(*) FILTER (WHERE lv >= -30) AS BIGINT) AS active, CAST(count(*) FILTER (WHERE bad) AS BIGINT) AS altered, bool_and(ok) AS ok FROM k GROUP BY ALL)
+        SELECT vec_id, ok AND active > 0 AND coalesce(longest, 0) < 5 AND altered <= 0.02 * active AS safe, active, altered FROM t LEFT JOIN l USING (vec_id)""",
+    "duet_mixes": """
+        WITH e AS (SELECT vec_id, embedding AS x FROM embeddings WHERE embedding IS NOT NULL),
+        c AS (SELECT a.vec_id, a.x AS n1, b.x AS n2, len(a.x) AS n FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 WHERE len(a.x) = len(b.x)),
+        g AS (SELECT vec_id, j, ((vec_id * 7 + j * 13) % 50)::DOUBLE / 100 AS s, (vec_id + j) % 3 = 1 AS two FROM c, range(3) t(j)),
+        i AS (SELECT c.vec_id, n, t.i, CAST(n1[t.i + 1] AS DOUBLE) AS a, CAST(n2[t.i + 1] AS DOUBLE) AS b FROM c, range(64) t(i) WHERE t.i < n),
+        m AS (SELECT i.vec_id, i.n, i.i, any_value(a) AS a, any_value(b) AS b, coalesce(arg_max(two, s) FILTER (WHERE i.i >= floor(s * 100) AND i.i < ceil((s + 0.15::DOUBLE) * 100)), false) AS two
+              FROM i JOIN g USING (vec_id) GROUP BY ALL),
+        w AS (SELECT *, lag(two) OVER o AS before, lead(two) OVER o AS after, lag(two, 2) OVER o AS earlier FROM m WINDOW o AS (PARTITION BY vec_id ORDER BY i)),
+        h AS (SELECT *, CASE WHEN after <> two THEN CASE WHEN after THEN 0.0 ELSE 1.0 END
+                             WHEN before <> two THEN CASE WHEN i = n - 1 THEN CASE WHEN two THEN 1.0 ELSE 0.0 END ELSE 0.5 END
+                             WHEN earlier <> before THEN CASE WHEN before THEN 1.0 ELSE 0.0 END
+                             WHEN two THEN 1.0 ELSE 0.0 END::DOUBLE AS share FROM w)
+        SELECT vec_id, round(sum((a * (1 - share) + b * share) * (a * (1 - share) + b * share)), 6) AS mix, round(sum(a * (1 - share) * a * (1 - share)), 6) AS first, round(sum(b * share * b * share), 6) AS second
+        FROM h GROUP BY ALL""",
+}
