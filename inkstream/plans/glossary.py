@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstream.functions import respell
 from inkstream.operators import glossary as G
+from inkstream.operators import links
 from inkstream.sources.tables import table
 
 COMMON = ("the", "and", "of", "to", "a", "in", "is", "it", "that", "was", "der", "die", "und", "le", "la", "de", "el", "que")
@@ -77,7 +79,36 @@ def pronunciation_states(spark: SparkSession, folder: str) -> DataFrame:
     return G.pronunciation_states(rows, ["chapter_id", "name"])
 
 
-QUERIES = {f.__name__: f for f in (name_reasons, glossary_rebuild, glossary_rename, candidate_ids, glossary_respells, guide_rows, spelled_syllables, pronunciation_states)}
+def respellings(spark: SparkSession, folder: str) -> DataFrame:
+    """How the words of parts' names are said, by a stand-in dictionary that says each letter and stresses the first vowel (cut by
+    looking ahead: no SQL)."""
+    names = table(spark, folder, "part").select(F.col("p_name").alias("spelling")).distinct()
+    words = names.select(F.explode(F.split(F.lower("spelling"), r"\s+")).alias("word")).distinct()
+    says = F.create_map(*[F.lit(x) for pair in zip("abcdefghijklmnopqrstuvwxyz", "AE B K D EH F G HH IH JH K L M N OW P K R S T AH V W K Y Z".split()) for x in pair])
+    letters = F.filter(F.split("word", ""), lambda c: c.rlike("[a-z]"))
+    first = F.array_position(F.transform(letters, lambda c: c.rlike("[aeiou]")), True)
+    phone = lambda c, i: F.concat(F.try_element_at(says, c), F.when(c.rlike("[aeiou]"), F.when(i + 1 == first, "1").otherwise("0")).otherwise(""))
+    lexicon = words.select("word", F.array_join(F.transform(letters, phone), " ").alias("phones")).where("phones <> ''")
+    return respell.suggested(names, lexicon)
+
+
+def _names_of_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """A stand-in glossary: the first word of every turn, and its first two words."""
+    text = table(spark, folder, "conversations").select("text")
+    one, two = (F.regexp_extract("text", p, 0) for p in (r"^[\p{L}\p{N}]+", r"^[\p{L}\p{N}]+ [\p{L}\p{N}]+"))
+    found = text.select(F.explode(F.array(one, two)).alias("spelling")).where("spelling <> ''").distinct()
+    return found.select(F.lower("spelling").alias("id"), "spelling", F.lit("auto").alias("source")).groupBy("id", "source").agg(F.min("spelling").alias("spelling"))
+
+
+def glossary_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The turns of conversations parted at names: how many pieces and names, and where these begin."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    pieces = links.linked(turns, _names_of_turns(spark, folder), ["conv_id", "turn"])
+    named = F.col("glossary_id").isNotNull()
+    return pieces.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("pieces"), F.count_if(named).alias("names"), F.coalesce(F.sum(F.when(named, F.col("start") * F.length("glossary_id"))), F.lit(0)).alias("places"))
+
+
+QUERIES = {f.__name__: f for f in (respellings, glossary_links, name_reasons, glossary_rebuild, glossary_rename, candidate_ids, glossary_respells, guide_rows, spelled_syllables, pronunciation_states)}
 
 _N = G.NAME_TOKEN.replace("'", "''")
 _COMMON = ", ".join(f"'{w}'" for w in COMMON)
@@ -103,6 +134,20 @@ _CANDIDATES = f"""{_TOKENS}, sp AS (SELECT word, raw, cap, count(*) AS n, count(
 _ENTRIES = """e0 AS (SELECT regexp_extract(p_name, '^(\\S+)', 1) AS spelling, min(p_partkey) AS k, count(*) AS frequency FROM part GROUP BY 1),
     en AS (SELECT spelling, lower(trim(spelling)) AS word, frequency, CASE WHEN k % 2 = 0 THEN 'user' ELSE 'auto' END AS source, CASE WHEN k % 3 = 0 THEN lower(spelling) END AS respell, CASE WHEN k % 5 = 0 THEN 'soft' END AS note FROM e0)"""
 ORACLES = {
+    "glossary_links": """
+        WITH RECURSIVE g AS (SELECT DISTINCT lower(w) AS word FROM (SELECT regexp_extract(text, '^[\\p{L}\\p{N}]+') AS w FROM conversations UNION ALL SELECT regexp_extract(text, '^[\\p{L}\\p{N}]+ [\\p{L}\\p{N}]+') FROM conversations) WHERE w <> ''),
+        e AS (SELECT word, regexp_extract(word, '^[\\p{L}\\p{N}]+') AS first, length(word) AS n FROM g),
+        t AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations),
+        i AS (SELECT conv_id, turn, t, unnest(range(1, length(t) + 1)) AS i FROM t),
+        s AS (SELECT *, regexp_extract(substr(t, i), '^[\\p{L}\\p{N}]+') AS first FROM i WHERE regexp_matches(substr(t, i, 1), '[\\p{L}\\p{N}]') AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[\\p{L}\\p{N}]'))),
+        m AS (SELECT conv_id, turn, i - 1 AS a, i - 1 + n AS z, n FROM s JOIN e USING (first) WHERE substr(t, i, n) = word AND NOT regexp_matches(substr(t, i + n, 1), '[\\p{L}\\p{N}]')),
+        b AS (SELECT conv_id, turn, a, max(z) AS z, max(n) AS n FROM m GROUP BY ALL),
+        k AS (SELECT p.*, (SELECT min(q.a) FROM b q WHERE q.conv_id = p.conv_id AND q.turn = p.turn AND q.a >= p.z) AS next FROM b p),
+        c AS (SELECT conv_id, turn, a, z, n, next FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY a) AS r FROM k) WHERE r = 1
+              UNION ALL SELECT k.conv_id, k.turn, k.a, k.z, k.n, k.next FROM c JOIN k ON k.conv_id = c.conv_id AND k.turn = c.turn AND k.a = c.next),
+        o AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY conv_id, turn ORDER BY a), 0) AS before, next IS NULL AS last FROM c),
+        p AS (SELECT conv_id, turn, count(*) AS names, sum(a * n) AS places, sum(CAST(a > before AS INT)) AS gaps, max(z) AS z FROM o GROUP BY ALL)
+        SELECT t.conv_id, t.turn, CAST(coalesce(names + gaps + CAST(length(t) > z AS INT), 1) AS BIGINT) AS pieces, coalesce(names, 0) AS names, CAST(coalesce(places, 0) AS BIGINT) AS places FROM t LEFT JOIN p USING (conv_id, turn)""",
     "name_reasons": f"WITH {_CANDIDATES} SELECT * FROM ca",
     "guide_rows": f"""WITH {_CANDIDATES}, ch AS (SELECT word, doc_id, count(*) AS n FROM tk GROUP BY ALL), nn AS (SELECT {_CANON.format('spelling')} AS w FROM ca)
         SELECT w AS word, w AS spelling, CAST(coalesce(sum(n), 0) AS BIGINT) AS "count", count(doc_id) AS chapters FROM nn LEFT JOIN ch ON w = word GROUP BY w""",
