@@ -9,7 +9,7 @@ from inkstream.functions.text import WORD, words
 from inkstream.operators import duet, live
 from inkstream.operators.proof import stand_in_transcript
 from inkstream.sources.tables import PICKUPS_SQL, STEP, pickups, spread, table
-from inkstream.streaming import follow, recheck, windows
+from inkstream.streaming import follow, phrases, recheck, windows
 
 _WORD = WORD.replace("'", "''")
 
@@ -55,6 +55,18 @@ def live_flags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def phrase_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of each user's events taken as hops of half a second: a view or click reads a word on (state machine: no SQL)."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    read = F.sum(F.when(F.col("event_type").isin("view", "click"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    seq = F.row_number().over(order) - 1
+    rows = _events(spark, folder).select(F.col("user_id").cast("string").alias("session"), seq.cast("long").alias("seq"), F.lit(0.5).alias("seconds"), (F.pmod("event_id", F.lit(5)) / 10).alias("speech"), read.alias("covered"), F.lead("event_id").over(order).isNull().alias("last"))
+    before = F.coalesce(F.lag("covered").over(Window.partitionBy("session").orderBy("seq")), F.lit(0))
+    hops = rows.withColumns({"cursor": before, "start": F.col("seq") * 0.5, "gold": F.col("covered")})
+    found = phrases.windows(hops)
+    return found.select("session", "window", F.size("hops").alias("hops"), F.size("taken").alias("taken"), "cursor", "read", "start")
+
+
 def refined_timelines(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose live word times a later alignment may replace: every word a little later, but for one in eleven (in four, of
     some documents), and some in the wrong place."""
@@ -129,7 +141,7 @@ def pickup_seats(spark: SparkSession, folder: str) -> DataFrame:
     return live.seats_at(asked, spoken, ["chapter_id"], "at", "seat")
 
 
-QUERIES = {f.__name__: f for f in (hop_windows, sliding_windows, reading_sessions, without_echoes, live_follow, live_flags, refined_timelines)}
+QUERIES = {f.__name__: f for f in (hop_windows, sliding_windows, reading_sessions, without_echoes, live_follow, live_flags, phrase_windows, refined_timelines)}
 ORACLES = {
     "refined_timelines": f"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents), t AS (SELECT doc_id, unnest(range(len(w))) AS i FROM w),
