@@ -242,24 +242,46 @@ def gain(samples: Column, db: Column | float) -> Column:
     return F.transform(samples, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double") * factor)))
 
 
-PRESET_FIELDS = "preset string, rms_low double, rms_high double, peak_most double, floor_most double, rate int, seconds_most double"
+PRESET_FIELDS = (
+    "preset string, rms_low double, rms_high double, lufs_low double, lufs_high double, peak_most double, floor_most double, rate int, seconds_most double, "
+    "kbps_least int, vbr_allowed boolean, head_low double, head_high double, tail_low double, tail_high double"
+)
+#: Presets that are judged at a time, at most: they go to every task.
+MAX_PRESETS = 10_000
+#: Containers that can be delivered.
+FORMATS = ("wav", "mp3", "flac", "m4a", "aiff")
 
 
 def judged(reports: DataFrame, presets: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, preset, rms, peak, floor, rate, length (pass, warn, fail or unspecified) and light of each report under each preset; a
-    limit that is null sets none. reports: keys, rms_db, peak_db, floor_db, sample_rate, seconds. presets are a handful of rows."""
-    from inkstream.functions.levels import FAIL, PASS, UNSPECIFIED, WARN, range_status, traffic_light, upper_status
+    """keys, preset, the ten checks (pass, warn, fail or unspecified) and light of each report under each preset; a limit that is
+    null sets none.
 
+    reports: keys, rms_db, lufs, peak_db, floor_db, uneven (quiet passages vary), sample_rate, channels, samples (of all channels),
+    seconds, format, kbps, vbr, head_s, tail_s, head_silent, tail_silent (digital silence). presets: as PRESET_FIELDS."""
+    from inkstream.functions.levels import FAIL, LU_EDGE, PASS, UNSPECIFIED, WARN, range_status, traffic_light, upper_status
+
+    if (n := presets.limit(MAX_PRESETS + 1).count()) > MAX_PRESETS:
+        raise ValueError(f"{n} presets or more; up to {MAX_PRESETS} are taken")
     both = reports.join(F.broadcast(presets))
     quiet = upper_status(F.col("floor_db"), F.col("floor_most"))
+    quiet = F.when(F.col("floor_most").isNotNull() & (F.col("floor_db") == SILENCE), WARN).otherwise(quiet)
     exact = lambda value, limit, holds: F.when(F.col(limit).isNull(), UNSPECIFIED).when(holds, PASS).otherwise(FAIL)
+    room = lambda end: F.when(F.col(f"{end}_low").isNull() | F.col(f"{end}_high").isNull(), UNSPECIFIED).when(F.col(f"{end}_s").between(F.col(f"{end}_low"), F.col(f"{end}_high")) & ~F.col(f"{end}_silent"), PASS).otherwise(FAIL)
+    packed, slow = F.col("format") == "mp3", F.coalesce(F.col("kbps") < F.col("kbps_least"), F.lit(False))
+    uneven_rate = F.coalesce(F.col("vbr") & ~F.coalesce("vbr_allowed", F.lit(False)), F.lit(False))
     checks = {
         "rms": range_status(F.col("rms_db"), F.col("rms_low"), F.col("rms_high")),
+        "loudness": range_status(F.col("lufs"), F.col("lufs_low"), F.col("lufs_high"), LU_EDGE),
         "peak": upper_status(F.col("peak_db"), F.col("peak_most")),
-        "floor": F.when(F.col("floor_most").isNotNull() & (F.col("floor_db") == SILENCE), WARN).otherwise(quiet),
+        "floor": F.when((quiet == PASS) & F.col("uneven"), WARN).otherwise(quiet),
         "rate": exact("sample_rate", "rate", F.col("sample_rate") == F.col("rate")),
+        "channels": F.when(F.coalesce(F.col("channels").isin(1, 2) & (F.pmod("samples", F.when(F.col("channels") > 0, F.col("channels"))) == 0), F.lit(False)), PASS).otherwise(FAIL),
         "length": exact("seconds", "seconds_most", F.col("seconds") <= F.col("seconds_most")),
-    }
+        "format": F.when(F.coalesce("format", F.lit("unknown")) == "unknown", WARN).when(~F.col("format").isin(*FORMATS), FAIL).when(F.col("kbps_least").isNull() | ~packed, PASS)
+        .when(uneven_rate | slow, FAIL).when(F.col("kbps").isNull() | F.col("vbr").isNull(), WARN).otherwise(PASS),
+        "head": room("head"),
+        "tail": room("tail"),
+    }
     named = both.select(*keys, "preset", *[c.alias(n) for n, c in checks.items()])
     return named.withColumn("light", traffic_light(F.array(*checks)))
 

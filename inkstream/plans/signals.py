@@ -148,14 +148,26 @@ def edited_clips(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("vec_id", *[F.size(n).alias(f"{n}_n") for n in made], *[F.round(rms(F.col(n)), 9).alias(f"{n}_rms") for n in made])
 
 
-PRESETS = [("strict", -19.0, -17.0, -6.0, -30.0, 100, 0.5), ("loose", -30.0, None, -1.0, None, None, 2.0), ("empty", None, None, None, None, None, None)]
+PRESETS = [
+    ("strict", -19.0, -17.0, -20.0, -17.5, -6.0, -30.0, 100, 0.5, 192, False, 0.01, 0.05, 0.01, 0.05),
+    ("loose", -30.0, None, None, -12.0, -1.0, None, None, 2.0, 64, True, None, None, 0.0, 0.2),
+    ("empty", *[None] * 14),
+]
+KINDS = ("mp3", "wav", "ogg", "unknown", None, "flac", "mp3")
 
 
 def delivery_lights(spark: SparkSession, folder: str) -> DataFrame:
-    """Checks of every clip under three presets."""
-    x = F.col("x")
-    floor = dbfs(F.array_min(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: rms(F.slice(x, i * 8 + 1, 8)))))
-    reports = _clip(spark, folder).select("vec_id", dbfs(rms(x)).alias("rms_db"), dbfs(peak(x)).alias("peak_db"), floor.alias("floor_db"), F.when(F.col("vec_id") % 2 == 0, 100).otherwise(50).alias("sample_rate"), (F.size(x) / 100).alias("seconds"))
+    """The ten checks of every clip under three presets; what a file says of itself goes by its id."""
+    x, d = F.col("x"), F.col("vec_id")
+    level = lambda i: rms(F.slice(x, i * 8 + 1, 8))
+    levels = F.transform(F.sequence(F.lit(0), F.lit(7)), level)
+    report = {
+        "rms_db": dbfs(rms(x)), "lufs": dbfs(rms(x)) - F.lit(0.691), "peak_db": dbfs(peak(x)), "floor_db": dbfs(F.array_min(levels)), "uneven": F.array_max(levels) > 1.4 * F.array_min(levels),
+        "sample_rate": F.when(d % 2 == 0, 100).otherwise(50), "channels": (d % 4).cast("int"), "samples": F.size(x) - (d % 5 == 0).cast("int"), "seconds": F.size(x) / 100,
+        "format": F.element_at(F.array(*map(F.lit, KINDS)), (d % 7 + 1).cast("int")), "kbps": F.when(d % 3 > 0, F.when(d % 6 == 1, 256).otherwise(128)), "vbr": F.when(d % 8 > 0, d % 8 == 1),
+        "head_s": (d % 6) / 100, "tail_s": (d % 30) / 100, "head_silent": d % 9 == 0, "tail_silent": d % 10 == 0,
+    }
+    reports = _clip(spark, folder).select("vec_id", *[c.alias(n) for n, c in report.items()])
     return signal.judged(reports, spark.createDataFrame(PRESETS, signal.PRESET_FIELDS), ["vec_id"])
 
 
@@ -228,13 +240,21 @@ ORACLES |= {
             list_transform(x, lambda v: greatest(-1, least(1, v * pow(10, 6.0 / 20)))) AS raised FROM c)
         SELECT vec_id, """ + ", ".join(f"CAST(len({n}) AS INT) AS {n}_n, round(sqrt(list_avg(list_transform({n}, lambda v: v * v))), 9) AS {n}_rms" for n in ("mono", "resampled", "spliced", "raised")) + " FROM m",
     "delivery_lights": f"""WITH c AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL),
-        r AS (SELECT vec_id, sqrt(list_avg(list_transform(x, lambda v: v * v))) AS a, list_max(list_transform(x, lambda v: abs(v))) AS b, list_min(list_transform(range(8), lambda i: sqrt(list_avg(list_transform(x[i * 8 + 1:i * 8 + 8], lambda v: v * v))))) AS d, len(x) / 100 AS seconds FROM c),
-        g AS (SELECT vec_id, {_DB.format('a')} AS rms_db, {_DB.format('b')} AS peak_db, {_DB.format('d')} AS floor_db, CASE WHEN vec_id % 2 = 0 THEN 100 ELSE 50 END AS sr, seconds FROM r), p(preset, lo, hi, pk, fl, rate, sec) AS (VALUES {_PRESET_SQL}),
-        k AS (SELECT vec_id, preset, CASE WHEN lo IS NULL AND hi IS NULL THEN 'unspecified' WHEN coalesce(rms_db < lo, false) OR coalesce(rms_db > hi, false) THEN 'fail' WHEN coalesce(rms_db - lo <= 0.5, false) OR coalesce(hi - rms_db <= 0.5, false) THEN 'warn' ELSE 'pass' END AS rms,
+        r AS (SELECT vec_id, x, sqrt(list_avg(list_transform(x, lambda v: v * v))) AS a, list_max(list_transform(x, lambda v: abs(v))) AS b, list_transform(range(8), lambda i: sqrt(list_avg(list_transform(x[i * 8 + 1:i * 8 + 8], lambda v: v * v)))) AS l FROM c),
+        g AS (SELECT vec_id AS d, {_DB.format('a')} AS rms_db, {_DB.format('a')} - 0.691::DOUBLE AS lufs, {_DB.format('b')} AS peak_db, {_DB.format('list_min(l)')} AS floor_db, list_max(l) > 1.4::DOUBLE * list_min(l) AS uneven,
+                     CASE WHEN vec_id % 2 = 0 THEN 100 ELSE 50 END AS sr, vec_id % 4 AS ch, len(x) - CAST(vec_id % 5 = 0 AS INT) AS n, len(x) / 100 AS seconds, ['mp3', 'wav', 'ogg', 'unknown', 'unknown', 'flac', 'mp3'][vec_id % 7 + 1] AS kind,
+                     CASE WHEN vec_id % 3 > 0 THEN CASE WHEN vec_id % 6 = 1 THEN 256 ELSE 128 END END AS kbps, CASE WHEN vec_id % 8 > 0 THEN vec_id % 8 = 1 END AS vbr, (vec_id % 6)::DOUBLE / 100 AS hs, (vec_id % 30)::DOUBLE / 100 AS ts FROM r),
+        p(preset, lo, hi, ll, lh, pk, fl, rt, sec, kb, va, hl, hh, tl, th) AS (VALUES {_PRESET_SQL}),
+        f AS (SELECT *, CASE WHEN fl IS NULL THEN 'unspecified' WHEN floor_db = CAST('-inf' AS DOUBLE) THEN 'warn' WHEN floor_db > fl THEN 'fail' WHEN fl - floor_db <= 0.5 THEN 'warn' ELSE 'pass' END AS q FROM g, p),
+        k AS (SELECT d AS vec_id, preset, CASE WHEN lo IS NULL AND hi IS NULL THEN 'unspecified' WHEN coalesce(rms_db < lo, false) OR coalesce(rms_db > hi, false) THEN 'fail' WHEN coalesce(rms_db - lo <= 0.5, false) OR coalesce(hi - rms_db <= 0.5, false) THEN 'warn' ELSE 'pass' END AS rms,
+            CASE WHEN ll IS NULL AND lh IS NULL THEN 'unspecified' WHEN coalesce(lufs < ll, false) OR coalesce(lufs > lh, false) THEN 'fail' WHEN coalesce(lufs - ll <= 0.2, false) OR coalesce(lh - lufs <= 0.2, false) THEN 'warn' ELSE 'pass' END AS loudness,
             CASE WHEN pk IS NULL THEN 'unspecified' WHEN peak_db > pk THEN 'fail' WHEN pk - peak_db <= 0.5 THEN 'warn' ELSE 'pass' END AS peak,
-            CASE WHEN fl IS NULL THEN 'unspecified' WHEN floor_db = CAST('-inf' AS DOUBLE) THEN 'warn' WHEN floor_db > fl THEN 'fail' WHEN fl - floor_db <= 0.5 THEN 'warn' ELSE 'pass' END AS floor,
-            CASE WHEN rate IS NULL THEN 'unspecified' WHEN sr = rate THEN 'pass' ELSE 'fail' END AS rate, CASE WHEN sec IS NULL THEN 'unspecified' WHEN seconds <= sec THEN 'pass' ELSE 'fail' END AS length FROM g, p)
-        SELECT *, CASE WHEN 'fail' IN (rms, peak, floor, rate, length) THEN 'red' WHEN 'warn' IN (rms, peak, floor, rate, length) THEN 'yellow' ELSE 'green' END AS light FROM k""",
+            CASE WHEN q = 'pass' AND uneven THEN 'warn' ELSE q END AS floor,
+            CASE WHEN rt IS NULL THEN 'unspecified' WHEN sr = rt THEN 'pass' ELSE 'fail' END AS rate, CASE WHEN ch IN (1, 2) AND n % ch = 0 THEN 'pass' ELSE 'fail' END AS channels,
+            CASE WHEN sec IS NULL THEN 'unspecified' WHEN seconds <= sec THEN 'pass' ELSE 'fail' END AS length,
+            CASE WHEN kind = 'unknown' THEN 'warn' WHEN kind = 'ogg' THEN 'fail' WHEN kb IS NULL OR kind <> 'mp3' THEN 'pass' WHEN coalesce(vbr AND NOT va, false) OR coalesce(kbps < kb, false) THEN 'fail' WHEN kbps IS NULL OR vbr IS NULL THEN 'warn' ELSE 'pass' END AS format,
+            CASE WHEN hl IS NULL THEN 'unspecified' WHEN hs BETWEEN hl AND hh AND d % 9 <> 0 THEN 'pass' ELSE 'fail' END AS head, CASE WHEN tl IS NULL THEN 'unspecified' WHEN ts BETWEEN tl AND th AND d % 10 <> 0 THEN 'pass' ELSE 'fail' END AS tail FROM f)
+        SELECT *, CASE WHEN 'fail' IN (rms, loudness, peak, floor, rate, channels, length, format, head, tail) THEN 'red' WHEN 'warn' IN (rms, loudness, peak, floor, rate, channels, length, format, head, tail) THEN 'yellow' ELSE 'green' END AS light FROM k""",
 }
 QUERIES |= {f.__name__: f for f in (speech_shares, uneven_quiets, room_tests, packet_rates, edited_clips, delivery_lights, mastered_takes, cleaning_checks, duet_mixes)}
 ORACLES |= {
