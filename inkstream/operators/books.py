@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstream.functions.text import WORDS_PER_HOUR, marker_label, spoken_pieces
 from inkstream.functions.timecode import minutes_seconds, subtitle_time
+from inkstream.operators.idioms import Scan, scan
 
 KINDS = ("skip", "insert", "sub", "pause")
 
@@ -136,27 +137,38 @@ def fix_summary(changes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+class _Joined(Scan):
+    """Intervals in order; one that overlaps the clip before joins it, unless that grows too long."""
+
+    def __init__(self, most: float):
+        self.most, self.open, self.number = most, None, 0
+
+    def feed(self, a: float, z: float) -> list[tuple]:
+        if self.open and a <= self.open[0][1] and z - self.open[0][0] <= self.most:
+            (first, last), n = self.open
+            self.open = (first, max(last, z)), n + 1
+            return []
+        done, self.open = self.close(), ((a, z), 1)
+        return done
+
+    def close(self) -> list[tuple]:
+        if not self.open:
+            return []
+        self.number += 1
+        return [(self.number, *self.open[0], self.open[1])]
+
+
 def clips(pickups: DataFrame, keys: list[str], pad: float = 2.0, most: float = 30.0, duration: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """keys, number, name, clip_start, clip_end, pickups: padded pickups as clips. One that overlaps the clip before joins it if
-    the clip then still is at most `most` seconds; this depends on the order, so a chapter's intervals (no more than its
-    pickups) are folded in order. Ends are held to the duration, if there is one."""
+    the clip then still is at most `most` seconds; this depends on the order, so a chapter's intervals stream through a fold that
+    holds one clip. Ends are held to the duration, if there is one."""
     span = [F.greatest(F.lit(0.0), F.col("t_start") - pad), F.greatest("t_start", "t_end") + pad]
     span[1] = span[1] if duration is None else F.least(span[1], duration)
-    row = F.struct(F.col("t_start").alias("_s"), F.col("t_end").alias("_e"), *ties, span[0].alias("a"), span[1].alias("z"))
-    ordered = pickups.where(span[1] > span[0]).groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    clip = lambda a, z, n: F.struct(a.alias("a"), z.alias("z"), n.alias("n"))
-
-    def step(done: Column, r: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = F.coalesce((r["a"] <= last["z"]) & (r["z"] - last["a"] <= most), F.lit(False))
-        more = F.array(clip(last["a"], F.greatest(last["z"], r["z"]), last["n"] + 1))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), more)).otherwise(F.concat(done, F.array(clip(r["a"], r["z"], F.lit(1)))))
-
-    folded = ordered.select(*keys, F.aggregate("rows", F.array().cast("array<struct<a:double,z:double,n:int>>"), step).alias("c"))
-    found = folded.select(*keys, F.posexplode("c").alias("at", "c"))
-    whole = F.floor("c.a").cast("int")
-    name = F.format_string("%03d_%02d-%02d-%02d", F.col("at") + 1, F.floor(whole / 3600).cast("int"), F.floor(whole / 60).cast("int") % 60, whole % 60)
-    return found.select(*keys, (F.col("at") + 1).alias("number"), name.alias("name"), F.round("c.a", 3).alias("clip_start"), F.round("c.z", 3).alias("clip_end"), F.col("c.n").alias("pickups"))
+    rows = pickups.where(span[1] > span[0]).withColumns({"_a": span[0].cast("double"), "_z": span[1].cast("double")})
+    found = scan(rows, keys, ["t_start", "t_end", *ties], ["_a", "_z"], lambda: _Joined(most), "number int, a double, z double, pickups int")
+    whole = F.floor("a").cast("int")
+    name = F.format_string("%03d_%02d-%02d-%02d", F.col("number"), F.floor(whole / 3600).cast("int"), F.floor(whole / 60).cast("int") % 60, whole % 60)
+    return found.select(*keys, "number", name.alias("name"), F.round("a", 3).alias("clip_start"), F.round("z", 3).alias("clip_end"), "pickups")
 
 
 def chapter_runs(rows: DataFrame, key: str, number: str) -> DataFrame:

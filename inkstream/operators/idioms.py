@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str, out: str = "island") -> DataFrame:
@@ -21,6 +26,46 @@ def gap_sessions(df: DataFrame, keys: list[str], start: str, end: str, gap: floa
     return df.withColumn("_opens", opens.cast("long")).withColumn(out, F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
+def scan(df: DataFrame, keys: list[str], order: list[str], values: list[str], make: Callable[[], Scan], fields: str) -> DataFrame:
+    """keys and the fields of the rows that a fold gives, each key's rows in order: for what depends on all rows before and is no sum.
+    Rows stream through a task with the fold's own state; none is collected. `make` begins a key; its `feed` takes the values of a
+    row and its `close` ends the key, both give rows."""
+    kinds = T._parse_datatype_string(fields).fields
+    schema = T.StructType([*[df.schema[k] for k in keys], *kinds])
+    rows = df.select(*keys, *values, *[c for c in order if c not in values]).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fold, types = None, None, None
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=schema.names)
+
+        for batch in batches:
+            types = types or [*(batch.column(k).type for k in keys), *to_arrow_schema(T.StructType(kinds)).types]
+            found: list[tuple] = []
+            for of, row in zip(zip(*(batch.column(k).to_pylist() for k in keys)), zip(*(batch.column(v).to_pylist() for v in values))):
+                if fold is None or of != key:
+                    found += [(*key, *r) for r in fold.close()] if fold is not None else []
+                    key, fold = of, make()
+                found += [(*of, *r) for r in fold.feed(*row)]
+            if found:
+                yield out(found)
+        if fold is not None and (found := [(*key, *r) for r in fold.close()]):
+            yield out(found)
+
+    return rows.mapInArrow(run, schema)
+
+
+class Scan:
+    """A fold over the rows of one key."""
+
+    def feed(self, *row) -> list[tuple]:
+        raise NotImplementedError
+
+    def close(self) -> list[tuple]:
+        return []
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
     """left with the values of the last row of right at or before each row's `at` (null where there is none).
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstream.functions.text import WORD, minutes, ngrams, similar, word_count, words
+from inkstream.operators.idioms import as_of
 
 #: What a heading line looks like, and the longest narration that one chapter should have.
 HEADING = r"(?i)^\s*(?:#{1,6}\s+\S.*|(?:chapter|part|book)\s+(?:\d+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\b.{0,80}|(?:prologue|epilogue|introduction|foreword|afterword|preface)\s*\.?)\s*$"
@@ -111,10 +112,11 @@ def sentence_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def line_ranges(ranges: DataFrame, tokens: DataFrame, key: str, more: int = 0) -> DataFrame:
-    """tokens (key, token) with first and last of the sentence that holds it, widened by `more` sentences on either side."""
-    own = tokens.join(ranges.select(F.col(key).alias("_k"), F.col("sentence").alias("_s"), F.col("first").alias("_a"), F.col("last").alias("_z")), (F.col(key) == F.col("_k")) & F.col("token").between(F.col("_a"), F.col("_z")))
-    wide = own.join(ranges.select(F.col(key).alias("_j"), "sentence", "first", "last"), (F.col(key) == F.col("_j")) & F.col("sentence").between(F.col("_s") - more, F.col("_s") + more))
-    return wide.groupBy(key, "token").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    """tokens (key, token) with first and last of the sentence that holds it, widened by `more` sentences on either side: each
+    sentence is widened once, and a token takes the last that begins at or before it."""
+    order = Window.partitionBy(key).orderBy("sentence")
+    wide = ranges.select(key, F.col("first").alias("token"), F.col("last").alias("_z"), F.min("first").over(order.rowsBetween(-more, 0)).alias("first"), F.max("last").over(order.rowsBetween(0, more)).alias("last"))
+    return as_of(tokens.select(key, "token"), wide, [key], "token", ["_z", "first", "last"]).where("token <= _z").drop("_z")
 
 
 def without_heading_marks(text: Column) -> Column:

@@ -87,15 +87,15 @@ def _seconds(spark: SparkSession, folder: str) -> DataFrame:
 
 def input_qualities(spark: SparkSession, folder: str) -> DataFrame:
     """Peak, ambient level and label of each user's values, taken as levels."""
-    rows = _seconds(spark, folder).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "event_id", "value"))), lambda r: r["value"] / 200).alias("levels"))
-    return rows.withColumn("q", live.input_quality(F.col("levels"))).select("user_id", F.round("q.peak", 6).alias("peak"), F.round("q.ambient", 6).alias("ambient"), "q.label")
+    rows = _seconds(spark, folder).withColumn("level", F.col("value") / 200)
+    return live.input_qualities(rows, ["user_id"], ["at", "event_id"], "level").select("user_id", F.round("peak", 6).alias("peak"), F.round("ambient", 6).alias("ambient"), "label")
 
 
 def reading_pace(spark: SparkSession, folder: str) -> DataFrame:
     """Pace of each user after all events, in seconds an event, and the lead after half an hour."""
     step = F.col("at") - F.lag("at").over(Window.partitionBy("user_id").orderBy("at", "event_id"))
     rows = _seconds(spark, folder).withColumn("step", step).where("step is not null")
-    paces = rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "event_id", "step"))), lambda r: r["step"]).alias("steps")).withColumn("pace", live.pace(F.col("steps")))
+    paces = live.paces(rows, ["user_id"], ["at", "event_id"], "step")
     return paces.select("user_id", F.round("pace", 3).alias("pace"), F.round(live.lead(F.col("pace"), F.lit(1800.0)), 6).alias("lead"))
 
 

@@ -88,9 +88,9 @@ def sentence_ranges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    """The sentence of every hundredth token of a document, with one sentence on either side."""
+    """The sentence of every token of a document, with one sentence on either side."""
     docs = table(spark, folder, "documents")
-    at = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.size(words(F.col("text"))), F.lit(100))).alias("token"))
+    at = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("token", "_")).drop("_")
     return structure.line_ranges(structure.sentence_ranges(docs), at, "doc_id", 1)
 
 
@@ -222,8 +222,8 @@ ORACLES = {
     "sentence_stats": f"""WITH s AS (SELECT lang, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?。！？…])[\\s"”’)]+|\\n+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents),
         n AS (SELECT lang, len(regexp_extract_all(s, '{_COUNTED}')) AS n FROM s) SELECT lang, count(*) AS sentences, CAST(sum(n) AS BIGINT) AS words, max(n) AS longest FROM n WHERE n > 0 GROUP BY lang""",
     "sentence_ranges": f"WITH {_SENTENCES} SELECT * FROM sr",
-    "line_ranges": f"""WITH {_SENTENCES}, tk AS (SELECT doc_id, unnest(range(0, len(w) + 1, 100)) AS token FROM tg), ow AS (SELECT tk.*, sentence FROM tk JOIN sr ON tk.doc_id = sr.doc_id AND token BETWEEN "first" AND "last")
-        SELECT ow.doc_id, CAST(token AS INT) AS token, min("first") AS "first", max("last") AS "last" FROM ow JOIN sr ON ow.doc_id = sr.doc_id AND sr.sentence BETWEEN ow.sentence - 1 AND ow.sentence + 1 GROUP BY ALL""",
+    "line_ranges": f"""WITH {_SENTENCES}, wd AS (SELECT *, min("first") OVER o AS a, max("last") OVER o AS z FROM sr WINDOW o AS (PARTITION BY doc_id ORDER BY sentence ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+        SELECT doc_id, CAST(unnest(range("first", "last" + 1)) AS INT) AS token, a AS "first", z AS "last" FROM wd""",
     "plain_texts": """WITH l AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: repeat(' ', length(regexp_extract(x, '^(\\s{0,3}#{1,6})(?:\\s|$)', 1))) || x[length(regexp_extract(x, '^(\\s{0,3}#{1,6})(?:\\s|$)', 1)) + 1:]) AS l FROM documents)
         SELECT doc_id, md5(array_to_string(l, chr(10))) AS digest, CAST(length(array_to_string(l, chr(10))) AS INT) AS length FROM l""",
     "transcript_blocks": """WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' ') AS w FROM documents), b AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w WHERE w[1] <> '')
