@@ -7,8 +7,9 @@ after that (times, confidence, suppression, pauses, merging) is DataFrame work o
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from math import inf
 
 import pandas as pd
 import regex
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from inkstream.functions.text import WORD, _Normals, spoken_pieces, stable_id, words
 from inkstream.functions.units import match_units, units
-from inkstream.operators.idioms import gap_sessions
+from inkstream.operators.idioms import Scan, gap_sessions, scan
 from inkstream.sources.tables import DROPPED, FOLLOWED, LENGTH, MODULUS, REPLACED, STEP
 
 #: Seconds within which pickups become one, by setting; pause limits.
@@ -422,40 +423,63 @@ def with_ids(pickups: DataFrame, key: str, ordinal: Column | None = None) -> Dat
     return numbered.withColumn("pickup_id", named).drop("_ordinal")
 
 
+class _Nearest(Scan):
+    """Takes times that are there to be used, in order, then gives each asked time the nearest that is left, the earlier of two. Which
+    neighbours are left is known by two chains that skip what is used."""
+
+    def __init__(self):
+        self.times, self.values, self.left, self.right = [], [], None, None
+
+    @staticmethod
+    def _end(chain: list[int], i: int) -> int:
+        root = i
+        while chain[root] != root:
+            root = chain[root]
+        while chain[i] != root:
+            chain[i], i = root, chain[i]
+        return root
+
+    def feed(self, old: bool, at: float, taken: dict | None, row: dict | None) -> list[tuple]:
+        if old:
+            self.times.append(at)
+            self.values.append(taken)
+            return []
+        n = len(self.times)
+        if self.left is None:  # left[i + 1] and right[i] lead from i to the nearest that is left; 0 and n are ends
+            self.left, self.right = list(range(n + 1)), list(range(n + 1))
+        place = bisect_left(self.times, at)
+        before, after = self._end(self.left, place) - 1, self._end(self.right, place)
+        if before >= 0:
+            before = self._end(self.right, bisect_left(self.times, self.times[before]))  # of equal times the first
+        gaps = [abs(self.times[i] - at) if 0 <= i < n else inf for i in (before, after)]
+        pick = before if gaps[0] <= gaps[1] else after
+        if min(gaps) == inf:
+            return [(row, None, None)]
+        self.left[pick + 1], self.right[pick] = pick, pick + 1
+        return [(row, self.values[pick], min(gaps))]
+
+
 def preserved(fresh: DataFrame, previous: DataFrame, keys: list[str], signature: list[str], at: str, values: list[str], id: str) -> DataFrame:
     """fresh with the values of the previous row of equal id, else of the nearest in time that is of equal signature and not
-    yet used; rows choose in order of time, and moved_by says how far that row is. Ids are unique within the keys. What no id
-    settles of one chapter and signature is one group in memory."""
+    yet used; rows choose in order of time, and moved_by says how far that row is. Ids are unique within the keys. Of what no id
+    settles, the previous rows of one chapter and signature are held while the new ones stream by."""
     on = [*keys, *signature]
     taken = [f"_{v}" for v in values]
     at_of = lambda df: df.withColumn(at, F.col(at).cast("double"))
     left, right = at_of(fresh), at_of(previous).select(*[F.col(c).alias(c) for c in (*on, id)], F.col(at).alias("_at"), *[F.col(v).alias(f"_{v}") for v in values])
     same = left.join(right.drop(*signature), [*keys, id]).select(*left.columns, *taken, F.abs(F.col(at) - F.col("_at")).alias("_gap"))
     rest, old = left.join(right, [*keys, id], "left_anti"), right.join(left, [*keys, id], "left_anti")
-    rows = lambda df, *first: F.array_sort(F.collect_list(F.struct(*first, *[c for c in df.columns if c not in (*first, *on)])))
-    groups = rest.groupBy(*on).agg(rows(rest, at, id).alias("_new")).join(old.groupBy(*on).agg(rows(old, "_at", id).alias("_old")), on, "left")
-    picked = groups.withColumn("_pick", _nearest_unused(F.transform("_new", lambda r: r[at]), F.transform("_old", lambda r: r["_at"])))
-    each = picked.select(*on, "_old", F.explode(F.arrays_zip("_new", "_pick")).alias("_r")).withColumn("_o", F.get("_old", F.col("_r._pick")))
-    chosen = each.select(*[F.col(c) if c in on else F.col(f"_r._new.{c}").alias(c) for c in left.columns], *[F.col(f"_o.{t}").alias(t) for t in taken], F.abs(F.col(f"_r._new.{at}") - F.col("_o._at")).alias("_gap"))
+    own = [c for c in left.columns if c not in on]
+    offered = old.select(*on, F.lit(True).alias("_old"), F.col("_at"), F.col(id).alias("_id"), F.struct(*taken).alias("_taken"))
+    asked = rest.select(*on, F.lit(False).alias("_old"), F.col(at).alias("_at"), F.col(id).alias("_id"), F.struct(*own).alias("_row"))
+    both = offered.unionByName(asked, allowMissingColumns=True).withColumn("_new", ~F.col("_old"))
+    kind = lambda c: both.schema[c].dataType.simpleString()
+    found = scan(both, on, ["_new", "_at", "_id"], ["_old", "_at", "_taken", "_row"], _Nearest, f"_row {kind('_row')}, _taken {kind('_taken')}, _gap double")
+    chosen = found.select(*[F.col(c) if c in on else F.col(f"_row.{c}").alias(c) for c in left.columns], *[F.col(f"_taken.{t}").alias(t) for t in taken], "_gap")
     met = same.unionByName(chosen)
     return met.select(*left.columns, *[F.col(t).alias(v) for t, v in zip(taken, values)], F.col("_gap").alias("moved_by"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _nearest_unused(fresh: pd.Series, old: pd.Series) -> pd.Series:
-    """Of each fresh time in order, the place of the nearest old time that none before it has taken, the earlier of two; -1: none."""
-
-    def of(times, others) -> list[int]:
-        free, out = {} if others is None else dict(enumerate(others)), []
-        for t in times:
-            best = min(free, key=lambda i: (abs(free[i] - t), i), default=-1)
-            free.pop(best, None)
-            out.append(best)
-        return out
-
-    return pd.Series([of(a, b) for a, b in zip(fresh, old)])
-
-
 def scores(found: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """true_positives, false_positives, false_negatives, precision, recall; 0 of 0 is 1."""
     both = found.select(*keys).distinct().withColumn("_f", F.lit(1)).join(labels.select(*keys).distinct().withColumn("_l", F.lit(1)), keys, "full_outer")

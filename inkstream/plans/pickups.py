@@ -58,13 +58,13 @@ def merge_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def carry_over(spark: SparkSession, folder: str) -> DataFrame:
-    """Decisions of an earlier check given to a later one: by id, else to the first of equal chapter and kind (there is one earlier
-    pickup of each; which of several is nearest, tests say)."""
+    """Decisions of an earlier check (odd lines) given to a later one (even lines): by id, else the nearest of equal chapter and kind
+    that is left."""
     rows = pickups(spark, folder).select("chapter_id", "line", "kind", "status", "word_id", F.col("t_start").cast("double").alias("t_start"))
-    old = rows.where("line % 2 = 1").groupBy("chapter_id", "kind").agg(F.min(F.struct("line", "t_start", "status")).alias("o"))
-    old = old.select("chapter_id", "kind", F.col("o.line").alias("id"), "o.t_start", "o.status")
     number = F.row_number().over(Window.partitionBy("chapter_id").orderBy("line", "word_id", "t_start"))
-    known = (F.col("word_id") % 3 == 0) & (F.row_number().over(Window.partitionBy("chapter_id", "line").orderBy("word_id", "t_start")) == 1)
+    first = F.row_number().over(Window.partitionBy("chapter_id", "line").orderBy("word_id", "t_start")) == 1
+    old = rows.where("line % 2 = 1").withColumn("id", F.when(first, F.col("line")).otherwise(1000 + number)).select("chapter_id", "kind", "id", "t_start", "status")
+    known = (F.col("word_id") % 3 == 0) & first
     fresh = rows.where("line % 2 = 0").withColumn("id", F.when(known, F.col("line") - 1).otherwise(100 + number)).select("chapter_id", "kind", "id", "t_start")
     return proof.preserved(fresh, old, ["chapter_id"], ["kind"], "t_start", ["status"], "id")
 
@@ -299,13 +299,17 @@ ORACLES = {
         c AS (SELECT chapter_id, CAST(number AS INT) AS number, min("start") AS clip_start, max("end") AS clip_end, CAST(count(*) AS INT) AS pickups FROM f GROUP BY chapter_id, number)
         SELECT chapter_id, number, printf('%03d_%02d-%02d-%02d', number, CAST(floor(clip_start) AS INT) // 3600, CAST(floor(clip_start) AS INT) // 60 % 60, CAST(floor(clip_start) AS INT) % 60) AS name,
                round(clip_start, 3) AS clip_start, round(clip_end, 3) AS clip_end, pickups FROM c""",
-    "carry_over": f"""WITH {PICKUPS_SQL}, o AS (SELECT chapter_id, kind, line AS id, t_start, status FROM (SELECT *, row_number() OVER (PARTITION BY chapter_id, kind ORDER BY line, t_start, status) AS k FROM p WHERE line % 2 = 1) WHERE k = 1),
+    "carry_over": f"""WITH RECURSIVE {PICKUPS_SQL}, o AS (SELECT chapter_id, kind, CASE WHEN row_number() OVER (PARTITION BY chapter_id, line ORDER BY word_id, t_start) = 1 THEN line ELSE 1000 + row_number() OVER (PARTITION BY chapter_id ORDER BY line, word_id, t_start) END AS id, t_start, status FROM p WHERE line % 2 = 1),
         f AS (SELECT chapter_id, kind, CASE WHEN word_id % 3 = 0 AND row_number() OVER (PARTITION BY chapter_id, line ORDER BY word_id, t_start) = 1 THEN line - 1 ELSE 100 + row_number() OVER (PARTITION BY chapter_id ORDER BY line, word_id, t_start) END AS id, t_start FROM p WHERE line % 2 = 0),
         m AS (SELECT f.*, o.status, abs(f.t_start - o.t_start) AS moved_by FROM f JOIN o USING (chapter_id, id)),
         l AS (SELECT *, row_number() OVER (PARTITION BY chapter_id, kind ORDER BY t_start, id) AS k FROM f WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.chapter_id = f.chapter_id AND o.id = f.id)),
-        r AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM f WHERE o.chapter_id = f.chapter_id AND o.id = f.id))
+        r AS (SELECT chapter_id, kind, list({{'t': t_start, 'i': id, 's': status}} ORDER BY t_start, id) AS free FROM o WHERE NOT EXISTS (SELECT 1 FROM f WHERE o.chapter_id = f.chapter_id AND o.id = f.id) GROUP BY ALL),
+        g AS (SELECT l.chapter_id, l.kind, CAST(0 AS BIGINT) AS k, coalesce(any_value(free), []) AS free, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS DOUBLE) AS moved_by FROM l LEFT JOIN r USING (chapter_id, kind) GROUP BY ALL
+              UNION ALL
+              SELECT chapter_id, kind, k, list_filter(free, lambda x: x.i <> b.i), b.s, b.d
+              FROM (SELECT g.chapter_id, g.kind, l.k, g.free, list_min(list_transform(g.free, lambda x: {{'d': abs(x.t - l.t_start), 't': x.t, 'i': x.i, 's': x.s}})) AS b FROM g JOIN l ON l.chapter_id = g.chapter_id AND l.kind = g.kind AND l.k = g.k + 1))
         SELECT chapter_id, kind, id, t_start, status, moved_by FROM m
-        UNION ALL SELECT l.chapter_id, l.kind, l.id, l.t_start, r.status, abs(l.t_start - r.t_start) FROM l LEFT JOIN r ON l.chapter_id = r.chapter_id AND l.kind = r.kind AND l.k = 1""",
+        UNION ALL SELECT l.chapter_id, l.kind, l.id, l.t_start, g.status, g.moved_by FROM l JOIN g USING (chapter_id, kind, k)""",
     "compare_reports": f"""WITH {PICKUPS_SQL}, {_changes_sql()} SELECT chapter_id, "check", before, after, outcome FROM ch""",
     "fix_summary": f"""WITH {PICKUPS_SQL}, {CHAPTERS_SQL}, {_changes_sql()}, w AS (SELECT book_id, ch.*, CASE outcome WHEN 'outstanding' THEN 4 WHEN 'fixed' THEN 3 WHEN 'adjusted' THEN 2 WHEN 'held' THEN 1 ELSE 0 END AS w FROM ch JOIN (SELECT book_id, chapter_id FROM c) USING (chapter_id)),
         t AS (SELECT *, max(w) OVER (PARTITION BY book_id, "check") AS top FROM w)

@@ -1,3 +1,5 @@
+import random
+
 from inkstream.operators.proof import preserved
 
 
@@ -10,3 +12,29 @@ def test_new_early_pickup_shifts_no_decision(spark):
     early = spark.createDataFrame([(1, "p", "x", 98.0), (1, "q", "x", 101.0), (1, "r", "x", 300.0)], schema)
     found = {r.id: r.status for r in preserved(early, old, ["chapter"], ["expected"], "t", ["status"], "id").collect()}
     assert found == {"p": "open", "q": "done", "r": None}
+
+
+def plain(fresh, old):
+    free, out = sorted(old), {}
+    for t, i in sorted(fresh):
+        best = min(free, key=lambda o: (abs(o[0] - t), o[0], o[1]), default=None)
+        if best:
+            free.remove(best)
+        out[i] = best and best[1]
+    return out
+
+
+def test_each_takes_the_nearest_that_is_left(spark):
+    r = random.Random(3)
+    groups = {g: ([(float(r.randint(0, 12)), f"n{i:02}") for i in range(r.randint(0, 15))], [(float(r.randint(0, 12)), f"o{i:02}") for i in range(r.randint(0, 12))]) for g in range(60)}
+    schema = "g int, s string, id string, t double"
+    fresh = spark.createDataFrame([(g, "x", i, t) for g, (new, _) in groups.items() for t, i in new], schema)
+    old = spark.createDataFrame([(g, "x", i, t, i) for g, (_, were) in groups.items() for t, i in were], schema + ", was string")
+    found = {(x.g, x.id): x.was for x in preserved(fresh, old, ["g"], ["s"], "t", ["was"], "id").collect()}
+    assert found == {(g, i): was for g, (new, were) in groups.items() for i, was in plain(new, were).items()}
+
+
+def test_a_hot_signature_of_many_rows(spark):
+    rows = spark.range(200_000).selectExpr("1 AS g", "'x' AS s", "id", "CAST(id AS DOUBLE) AS t")
+    fresh, old = rows.selectExpr("g", "s", "id + 1000000 AS id", "t + 0.25 AS t"), rows.selectExpr("g", "s", "id", "t", "id AS was")
+    assert preserved(fresh, old, ["g"], ["s"], "t", ["was"], "id").where("was = id - 1000000 and moved_by = 0.25").count() == 200_000
