@@ -191,7 +191,7 @@ def retake_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def voice_guide(spark: SparkSession, folder: str) -> DataFrame:
     """A guide of words to be said, and the lines they stand in: those of even number are decided."""
-    rows = pickups(spark, folder).where("word_id % 7 <> line").select((F.col("word_id") % 50).alias("n"), "line")
+    rows = pickups(spark, folder).select((F.col("word_id") % 50).alias("n"), (F.col("line") * (1 + F.col("word_id") % 3)).alias("line"))
     names = rows.groupBy("n").agg(F.count(F.lit(1)).alias("count"), F.collect_set("line").alias("chapters"))
     spelling = F.concat(F.lit("Na|me "), F.col("n").cast("string"))
     return books.guide_lines(names.select(spelling.alias("spelling"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("NAY  "), F.col("n").cast("string"))).alias("respell"), "count", "chapters"))
@@ -345,7 +345,7 @@ ORACLES["marker_files"] = f"WITH l AS ({ORACLES['marker_lines']}) " + " UNION AL
 )
 QUERIES |= {f.__name__: f for f in (voice_guide, spec_reports, book_dashboard)}
 ORACLES |= {
-    "voice_guide": f"""WITH {PICKUPS_SQL}, r AS (SELECT word_id % 50 AS n, line FROM p WHERE word_id % 7 <> line), k AS (SELECT n, count(*) AS c FROM r GROUP BY n), d AS (SELECT DISTINCT n, line FROM r),
+    "voice_guide": f"""WITH {PICKUPS_SQL}, r AS (SELECT word_id % 50 AS n, line * (1 + word_id % 3) AS line FROM p), k AS (SELECT n, count(*) AS c FROM r GROUP BY n), d AS (SELECT DISTINCT n, line FROM r),
         i AS (SELECT n, line, line - row_number() OVER (PARTITION BY n ORDER BY line) AS g FROM d), s AS (SELECT n, min(line) AS a, max(line) AS z FROM i GROUP BY n, g),
         t AS (SELECT n, string_agg(CASE WHEN a = z THEN CAST(a AS VARCHAR) ELSE a || '–' || z END, ', ' ORDER BY a) AS t FROM s GROUP BY n)
         SELECT CASE WHEN n % 2 = 0 THEN 'decided' ELSE 'undecided' END AS section, CAST(row_number() OVER (PARTITION BY n % 2 ORDER BY c DESC, 'Na|me ' || n) AS INT) AS number,

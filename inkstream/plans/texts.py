@@ -31,17 +31,17 @@ def occurrence_context(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def occurrence_readings(spark: SparkSession, folder: str) -> DataFrame:
-    """How the first word of each benchmark item was heard wherever it stands (every fifth document was not checked; what was
-    heard follows the stand-in's slips), and whether in one way."""
-    docs = table(spark, folder, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    """How each benchmark item was heard wherever all its words stand (every fifth document was not checked; what was heard follows
+    the stand-in's slips), by digest, and whether in one way."""
+    docs = table(spark, folder, "documents").select("doc_id", words(F.lower("text")).alias("w"))
     slip = F.pmod(F.col("doc_id") * 31 + F.col("token_index"), F.lit(MODULUS))
-    tokens = docs.select("doc_id", F.posexplode("w").alias("token_index", "written"))
-    alignment = tokens.where("doc_id % 5 <> 0").withColumn("heard", F.when(slip == DROPPED, "").when(slip == REPLACED, "slipped").otherwise(F.col("written")))
-    names = table(spark, folder, "benchmark").select(F.get(words(F.lower("text")), 0).alias("word")).where("word is not null").distinct()
-    places = tokens.withColumn("word", F.lower("written")).join(names, "word").select("word", "doc_id", "token_index", F.lit(1).alias("n_tokens"))
-    found = proof.readings(places, alignment, ["word"])
-    spoken = F.count_if(F.col("reading") != "#no-audio").over(Window.partitionBy("word"))
-    return found.select("word", "reading", "count", (spoken <= 1).alias("consistent"))
+    places = _places(spark, folder).select("item_id", "doc_id", F.col("position").alias("token_index"), F.col("size").alias("n_tokens"))
+    held = docs.join(places.select("doc_id").distinct(), "doc_id", "left_semi")  # only documents that hold an item are taken apart
+    tokens = held.where("doc_id % 5 <> 0").select("doc_id", F.posexplode("w").alias("token_index", "written"))
+    alignment = tokens.withColumn("heard", F.when(slip == DROPPED, "").when(slip == REPLACED, "slipped").otherwise(F.col("written")))
+    found = proof.readings(places, alignment, ["item_id"])
+    spoken = F.count_if(F.col("reading") != "#no-audio").over(Window.partitionBy("item_id"))
+    return found.select("item_id", F.md5("reading").alias("reading"), F.length("reading").alias("length"), "count", (spoken <= 1).alias("consistent"))
 
 
 def glossary_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,12 +213,13 @@ _STEM = " OR ".join(f"a = b || '{x}' OR b = a || '{x}'" for x in ("s", "es", "ed
 ORACLES = {
     "phrase_occurrences": f"WITH {_PLACES} SELECT item_id, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM hit GROUP BY ALL",
     "occurrence_context": f"WITH {_PLACES} SELECT item_id, doc_id, CAST(i - 1 AS INT) AS position, array_to_string(w[greatest(i - 4, 1):i + len(p) + 3], ' ') AS context FROM hit",
-    "occurrence_readings": f"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM t),
-        n AS (SELECT DISTINCT regexp_extract_all(lower(text), '{_W}')[1] AS word FROM benchmark),
-        h AS (SELECT n.word, doc_id, t, (doc_id * 31 + i) % {MODULUS} AS slip FROM x JOIN n ON lower(t) = n.word),
-        r AS (SELECT word, CASE WHEN doc_id % 5 = 0 THEN '#no-audio' WHEN slip = {DROPPED} THEN '#silent' WHEN slip = {REPLACED} THEN 'slipped' ELSE
-              array_to_string(list_filter(list_transform(regexp_split_to_array(replace(t, '’', ''''), '[\\s‐-―\\-]+'), lambda p: trim(regexp_replace(lower(strip_accents(p)), '[^\\p{{L}}\\p{{N}}'']', '', 'g'), '''')), lambda p: p <> ''), ' ') END AS reading FROM h),
-        c AS (SELECT word, reading, count(*) AS "count" FROM r GROUP BY ALL) SELECT *, count(*) FILTER (WHERE reading <> '#no-audio') OVER (PARTITION BY word) <= 1 AS consistent FROM c""",
+    "occurrence_readings": f"""WITH {_PLACES},
+        l AS (SELECT item_id, doc_id, list_filter(list_transform(range(len(p)), lambda k: CASE (doc_id * 31 + i - 1 + k) % {MODULUS} WHEN {DROPPED} THEN '' WHEN {REPLACED} THEN 'slipped' ELSE p[k + 1] END), lambda x: x <> '') AS l FROM hit),
+        o1 AS (SELECT item_id, doc_id, list_filter(l, lambda x, n: n = 1 OR l[n - 1] <> x) AS l FROM l),
+        r AS (SELECT item_id, CASE WHEN doc_id % 5 = 0 THEN '#no-audio' WHEN len(l) = 0 THEN '#silent' ELSE
+              array_to_string(list_filter(flatten(list_transform(l, lambda t: list_transform(regexp_split_to_array(replace(t, '’', ''''), '[\\s‐-―\\-]+'), lambda p: trim(regexp_replace(lower(strip_accents(p)), '[^\\p{{L}}\\p{{N}}'']', '', 'g'), '''')))), lambda p: p <> ''), ' ') END AS reading FROM o1),
+        k AS (SELECT item_id, reading, count(*) AS "count" FROM r GROUP BY ALL)
+        SELECT item_id, md5(reading) AS reading, CAST(length(reading) AS INT) AS length, "count", count(*) FILTER (WHERE reading <> '#no-audio') OVER (PARTITION BY item_id) <= 1 AS consistent FROM k""",
     "sentence_stats": f"""WITH s AS (SELECT lang, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?。！？…])[\\s"”’)]+|\\n+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents),
         n AS (SELECT lang, len(regexp_extract_all(s, '{_COUNTED}')) AS n FROM s) SELECT lang, count(*) AS sentences, CAST(sum(n) AS BIGINT) AS words, max(n) AS longest FROM n WHERE n > 0 GROUP BY lang""",
     "sentence_ranges": f"WITH {_SENTENCES} SELECT * FROM sr",
