@@ -5,6 +5,8 @@ probe and one comparison. Tier two takes the misses: their bytes are nodes of a
 lowest rank, leftmost first, so a pre-token of n bytes costs O(n log n).
 
 Every row is encoded by itself (no shuffle). Null texts are empty texts; an empty text has no ids and decodes to no bytes.
+Repeated rows are encoded once each, null keys are carried along, no rows give no rows; columns of the input that bear names of
+the result's own are replaced.
 The vocabulary is a parameter (a rank file's path); its size is fixed and checked before it is broadcast.
 """
 
@@ -218,10 +220,12 @@ def digests(docs: DataFrame, codec: Codec) -> DataFrame:
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     return digests(table(spark, sf_dir, "documents"), standard_codec())
 
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the columns of digests and the ids themselves, for every document that is left."""
+    """Pipeline stage, the last: the columns of digests and the ids themselves, for every document that is left; null texts have
+    no ids, repeated rows come out once each."""
     coded = round_trip(docs.select("doc_id", "text"), standard_codec())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

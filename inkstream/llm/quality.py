@@ -7,7 +7,9 @@ share of 0 among the labelled rows, is the threshold; the score is a logistic cu
 The model is fitted on the driver from at most MAX_LABELLED labelled rows, those of smallest hash, so its cost does not
 grow with the input; every document is scored where it is read, without a shuffle. Labels, language, source and id are
 never features. Null texts are empty texts and get a score too. Where the labels do not hold both classes every
-document scores 0.5. Labels that are null, or contradict each other for a document, teach nothing.
+document scores 0.5. Repeated rows are scored once each (a labelled id that repeats teaches once), a null id is not held out,
+no documents give no rows, and columns of the input are carried along but for one of the score's name. Labels that are null,
+or contradict each other for a document, teach nothing.
 """
 
 from __future__ import annotations
