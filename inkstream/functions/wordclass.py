@@ -44,8 +44,8 @@ PLURALS = dict(
 INFLECTIONS = frozenset("s es ed ing er est".split())
 
 _SCALES = {"hundred": 100, "thousand": 10**3, "million": 10**6, "billion": 10**9}
-_UNITS = {"zero": 0} | {w: n for names, first, step in ((ONES, 1, 1), (ONES_ORDINAL, 1, 1), (TEENS, 11, 1), (TEENS_ORDINAL, 11, 1), (TENS, 10, 10), (TENS_ORDINAL, 10, 10)) for n, w in enumerate(names, 0) for n in [first + step * n]}
-_PIECE = re.compile("|".join(sorted([*_UNITS, *_SCALES], key=len, reverse=True)))
+UNIT_WORDS = {"zero": 0} | {w: n for names, first, step in ((ONES, 1, 1), (ONES_ORDINAL, 1, 1), (TEENS, 11, 1), (TEENS_ORDINAL, 11, 1), (TENS, 10, 10), (TENS_ORDINAL, 10, 10)) for n, w in enumerate(names, 0) for n in [first + step * n]}
+_PIECE = re.compile("|".join(sorted([*UNIT_WORDS, *_SCALES], key=len, reverse=True)))
 _DIGITS = re.compile(r"(\d+)(?:st|nd|rd|th)?", re.ASCII)
 
 
@@ -61,7 +61,7 @@ def number_value(token: str) -> int | None:
         if piece is None:
             return None
         at, scale = piece.end(), _SCALES.get(piece[0])
-        open_ = max(open_, 1) * scale if scale else open_ + _UNITS[piece[0]]
+        open_ = max(open_, 1) * scale if scale else open_ + UNIT_WORDS[piece[0]]
         if scale and scale > 100:
             done, open_ = done + open_, 0
     return done + open_ if raw else None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstream.functions.text import WORD, minutes, ngrams, similar, word_count, words
+from inkstream.functions.wordclass import PLURALS, UNIT_WORDS
 from inkstream.operators.idioms import as_of
 
 #: What a heading line looks like, and the longest narration that one chapter should have.
@@ -156,15 +157,21 @@ def _sized(n: int) -> Column:
 
 
 def slip_kind(written: Column, heard: Column) -> Column:
-    """How a heard word differs from the written one (both lower-cased): same, inflection, onset (clipped by up to two letters),
-    piece, short-swap (both are short words of one class), near (a letter or two) or other."""
+    """How a heard word differs from the written one (both lower-cased): same (equal numbers too), number (another one), short-swap
+    (both are short words of one class), inflection (irregular plurals too), onset (clipped by up to two letters), piece, near (a
+    letter or two) or other."""
+    units, plurals = (F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) for names in (UNIT_WORDS, PLURALS))
+    number = lambda w: F.coalesce(F.try_element_at(units, w).cast("long"), F.when(w.rlike("^[0-9]+$"), w.try_cast("long")))
+    said, meant = number(heard), number(written)
+    irregular = F.coalesce(F.try_element_at(plurals, written) == heard, F.lit(False)) | F.coalesce(F.try_element_at(plurals, heard) == written, F.lit(False))
     stem = lambda a, b: (a == F.concat(b, F.lit("s"))) | (a == F.concat(b, F.lit("es"))) | (a == F.concat(b, F.lit("ed"))) | (a == F.concat(b, F.lit("d"))) | (a == F.concat(b, F.lit("ing")))
     cut = F.length(written) - F.length(heard)
     swap = F.lit(False)
     for g in SHORT_WORDS:
         swap = swap | (written.isin(*g) & heard.isin(*g))
     return (
-        F.when(written == heard, "same").when(swap, "short-swap").when(stem(written, heard) | stem(heard, written), "inflection")
+        F.when((written == heard) | F.coalesce(said == meant, F.lit(False)), "same").when(F.coalesce(said != meant, F.lit(False)), "number")
+        .when(swap, "short-swap").when(stem(written, heard) | stem(heard, written) | irregular, "inflection")
         .when((cut > 0) & (cut <= 2) & (F.length(heard) >= 3) & F.endswith(written, heard), "onset").when((F.length(heard) >= 3) & F.contains(written, heard), "piece")
         .when(similar(written, heard), "near").otherwise("other")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstream.functions.text import COUNTED_WORD, WORD, normalized_word, word_count, words
+from inkstream.functions.wordclass import PLURALS, UNIT_WORDS
 from inkstream.operators import proof, structure
 from inkstream.operators.books import chapter_runs
 from inkstream.operators.idioms import islands
@@ -209,6 +210,9 @@ _SENTENCES = f"""tg AS (SELECT doc_id, list_transform(regexp_extract_all(coalesc
     sr AS (SELECT doc_id, CAST(k AS INT) AS sentence, CAST(p + 1 AS INT) AS "first", CAST(z AS INT) AS "last" FROM se)"""
 _HEAD = structure.HEADING.replace("'", "''")
 _SWAP = " OR ".join("(a IN ({0}) AND b IN ({0}))".format(", ".join(f"'{x}'" for x in g)) for g in structure.SHORT_WORDS)
+_NUMBER = "coalesce(CASE {0} " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in UNIT_WORDS.items()) + " END, CASE WHEN regexp_matches({0}, '^[0-9]+$') THEN TRY_CAST({0} AS BIGINT) END)"
+_NUMBERS = f"coalesce({_NUMBER.format('a')} {{0}} {_NUMBER.format('b')}, false)"
+_PLURAL = " OR ".join(f"(a = '{x}' AND b = '{y}') OR (a = '{y}' AND b = '{x}')" for x, y in PLURALS.items())
 _STEM = " OR ".join(f"a = b || '{x}' OR b = a || '{x}'" for x in ("s", "es", "ed", "d", "ing"))
 ORACLES = {
     "phrase_occurrences": f"WITH {_PLACES} SELECT item_id, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM hit GROUP BY ALL",
@@ -230,7 +234,7 @@ ORACLES = {
     "transcript_blocks": """WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' ') AS w FROM documents), b AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM w WHERE w[1] <> '')
         SELECT doc_id, CAST(i // 90 AS INT) AS block, CAST(sum(length(x)) + count(*) - 1 AS INT) AS length FROM b GROUP BY ALL""",
     "slip_kinds": f"""WITH t AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '{_W}') AS w FROM documents), x AS (SELECT unnest(w) AS a, unnest(list_concat(w[2:], [NULL])) AS b FROM t), p AS (SELECT a, b, count(*) AS n FROM x WHERE b IS NOT NULL GROUP BY ALL),
-        k AS (SELECT n, CASE WHEN a = b THEN 'same' WHEN {_SWAP} THEN 'short-swap' WHEN {_STEM} THEN 'inflection' WHEN length(a) - length(b) BETWEEN 1 AND 2 AND length(b) >= 3 AND suffix(a, b) THEN 'onset' WHEN length(b) >= 3 AND contains(a, b) THEN 'piece'
+        k AS (SELECT n, CASE WHEN a = b OR {_NUMBERS.format('=')} THEN 'same' WHEN {_NUMBERS.format('<>')} THEN 'number' WHEN {_SWAP} THEN 'short-swap' WHEN {_STEM} OR {_PLURAL} THEN 'inflection' WHEN length(a) - length(b) BETWEEN 1 AND 2 AND length(b) >= 3 AND suffix(a, b) THEN 'onset' WHEN length(b) >= 3 AND contains(a, b) THEN 'piece'
               WHEN greatest(length(a), length(b)) >= 5 AND levenshtein(translate(a, 'àáâãäåæçèéêëìíîïñòóôöøùúûüýÿœß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#%&'), translate(b, 'àáâãäåæçèéêëìíîïñòóôöøùúûüýÿœß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#%&')) <= CASE WHEN greatest(length(a), length(b)) >= 8 THEN 2 ELSE 1 END THEN 'near' ELSE 'other' END AS kind FROM p) SELECT kind, CAST(sum(n) AS BIGINT) AS n, count(*) AS pairs FROM k GROUP BY kind""",
     "chapters": f"""WITH l AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\r|\\n') AS l FROM documents), r AS (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS line FROM l),
         h AS (SELECT *, regexp_matches(t, '{_HEAD}') AS heading, trim(t) = '' AS blank FROM r),

@@ -5,7 +5,10 @@ from functools import cache
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from inkstream.functions import wordclass as W
+from inkstream.operators.structure import slip_kind
 from inkstream.streaming import recheck as R
 
 
@@ -135,3 +138,9 @@ def test_windows_give_the_same_flags_as_single_calls(spark):
     assert sorted(found) == [("s", 2, 18, "zebra", "k"), ("s", 7, 60, "zebra", "k")]
     assert [r.expected_index for r in R.flags(cut, dismissed=R.F.array(R.F.lit("18-zebra"))).collect()] == [60]
     assert R.flags(cut.limit(0)).count() == 0
+
+
+def test_slip_kinds_as_columns(spark):
+    cases = {("five", "six"): "number", ("5", "five"): "same", ("12", "21"): "number", ("children", "child"): "inflection", ("ox", "oxen"): "inflection", ("walk", "walked"): "inflection", ("the", "a"): "short-swap", ("abroad", "road"): "onset", ("boat", "zebra"): "other"}
+    rows = spark.createDataFrame([(*k, v) for k, v in cases.items()], "a string, b string, kind string")
+    assert [r for r in rows.select("a", "b", "kind", slip_kind(F.col("a"), F.col("b")).alias("found")).collect() if r.kind != r.found] == []
