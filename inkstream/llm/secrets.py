@@ -9,7 +9,8 @@ exclusive; `value` is where the secret itself starts inside its span.
 
 Values refer to the values they are made of and carry sums over their characters, so a text of any number of parts is
 lexed in about linear time and none is left out. Every row is scanned by itself: no shuffle, whole texts. Null and empty
-texts have no spans; rows that repeat an id are scanned each; an empty table gives no rows.
+texts have no spans; rows that repeat an id are scanned each; an empty table gives no rows; columns of the input are carried
+along but for one of the result's name.
 """
 
 from __future__ import annotations
