@@ -77,6 +77,7 @@ def test_proofing_flags_the_first_slip_that_has_an_anchor():
     assert [p.event for p in L.Reading("lantern harbor beside".split(), proofing=True).read(L.State(), hear("kettle harbor beside", 0.95))[1]] == ["flag", "match", "match"]
 
 
+#: A page and nine readings of it, with their outcomes.
 LINES = [
     "The lantern waited beside the quiet harbor.",
     "Beyond the window, winter rain moved softly.",
