@@ -8,10 +8,11 @@ stretch. Equal windows have equal anchors, so:
 1. anchors of all documents are counted by a pre-aggregated grouping; those of a single document are dropped;
 2. stretches of the others go to shards by their anchor. Where very many documents share an anchor (HOT), its windows go
    one by one, by their own hash, so that no anchor fills a shard. A task that has met the same stretch in a smaller
-   document settles it at once, so of equal stretches few are shipped;
+   document, by a 128-bit digest of its words, settles it at once, so of equal stretches few are shipped;
 3. each shard puts its different stretches into a compressed FM-index and streams them through backward search over its
    wavelet matrix, for matching statistics at the end of each window; the interval of a match of MIN_WORDS holds the
-   documents that have it, and the smallest decides. Words are compared themselves, hashes only say which may be equal;
+   documents that have it, and the smallest decides. In a shard words are compared themselves; only what a task has
+   settled before rests on the digest. The index compresses its transform, not the document of each suffix;
 4. the ranges return to their documents.
 
 Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return, unchanged. Null and

@@ -1,8 +1,9 @@
 """Exact top-k inner products with block-at-a-time pruning.
 
 Components are the terms of a vector and their integer values the term weights. A shard sorts its rows so that alike
-vectors are neighbours, cuts them into document-range blocks and keeps this index as a row of a table, built once. A block has
-a forward index (its rows' values) and, per term, the largest and the smallest value. For a query, the sum over terms of
+vectors are neighbours, cuts them into document-range blocks and keeps their rows in this order in a table, built once. A block
+has a forward index (its rows' values) and, per term, the largest and the smallest value, which are taken again for each pair of a
+shard and a group of queries; the k-th score is that of the shard. For a query, the sum over terms of
 weight x maximum (or minimum, for a negative weight) bounds every score in a block; blocks are scored by falling bound until
 it is below the k-th score so far. The result is exact for any data; what pruning saves depends on how the vectors cluster:
 groups of alike vectors leave most blocks unread, while of vectors in random directions every block has to be read, as the
