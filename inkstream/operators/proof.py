@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import islice
 from math import inf
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from inkstream.functions.text import WORD, _Normals, spoken_pieces, stable_id, words
 from inkstream.functions.units import match_units, units
@@ -73,17 +76,26 @@ def _step(reach: dict[int, int], k: int, d: int) -> tuple[int, bool]:
 RUN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("i0", "i1", "j0", "j1")])
 
 
-@F.pandas_udf(T.ArrayType(RUN))
-def diff_runs(written: pd.Series, heard: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(RUN.names, r)) for r in differing_runs(list(a), list(b))] for a, b in zip(written, heard)])
+def _lists(column: pa.Array) -> Iterator[list]:
+    """The lists of a column one after the other, so that no batch is held as Python objects as a whole; a null is empty."""
+    offsets = column.offsets.to_numpy()
+    for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield column.values.slice(low, high - low).to_numpy(zero_copy_only=False).tolist()
 
 
-@F.pandas_udf(T.ArrayType(RUN))
-def word_runs(written: pd.Series, heard: pd.Series) -> pd.Series:
-    """The same for words as they are written and heard, which are normalised on the way."""
+# The matchers are marked as not deterministic, though they are: else a condition on what they find is worked out a second time
+# below the shuffle that deals the chapters over the cores, in as few tasks as their file has row groups.
+
+
+@F.arrow_udf(T.ArrayType(RUN))
+def word_runs(written: pa.Array, heard: pa.Array) -> pa.Array:
+    """The runs in which words differ, in normal form."""
     known = _Normals()
     of = lambda x: list(map(known.__getitem__, x))
-    return pd.Series([[dict(zip(RUN.names, r)) for r in differing_runs(of(a), of(b))] for a, b in zip(written, heard)])
+    return pa.array([differing_runs(of(a), of(b)) for a, b in zip(_lists(written), _lists(heard))], to_arrow_type(T.ArrayType(RUN)))
+
+
+word_runs = word_runs.asNondeterministic()
 
 
 def stand_in_transcript(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -137,16 +149,18 @@ def _in_words(units_: list, low: int, high: int, size: int) -> tuple[int, int]:
 
 
 def _places(text: str, a: list, b: list, runs: list, at: list[int]) -> list[dict | None]:
-    spans = [m.span() for m in regex.finditer(WORD, text)]
     token = {w: (first, last) for (_, first, last), (_, low, high) in equal_units(a, b, runs) for w in range(low, high + 1)}
     known = sorted(token)
-    found: list[dict | None] = []
+    sides: list[tuple[int, int] | None] = []
     for k in at:
         n = bisect_right(known, k)
         before, after = known[n - 1] if n else None, known[n] if n < len(known) else None
         gap = token[after][0] - token[before][1] if before is not None and after is not None else 0
-        found.append(dict(zip(PAUSE_PLACE.names, (before, after, text[spans[token[before][1]][1] : spans[token[after][0]][0]]))) if 0 < gap <= TOKEN_GAP else None)
-    return found
+        sides.append((before, after) if 0 < gap <= TOKEN_GAP else None)
+    last = max((token[x[1]][0] for x in sides if x), default=-1)
+    spans = [m.span() for m in islice(regex.finditer(WORD, text), last + 1)]
+    between = lambda x: text[spans[token[x[0]][1]][1] : spans[token[x[1]][0]][0]]
+    return [dict(zip(PAUSE_PLACE.names, (*x, between(x)))) if x else None for x in sides]
 
 
 def matched(classes: dict[str, str] | None) -> Callable[..., Column]:
@@ -159,11 +173,11 @@ def matched(classes: dict[str, str] | None) -> Callable[..., Column]:
         ranges = [(*_in_words(a, i0, i1, len(tokens)), *_in_words(b, j0, j1, len(heard))) for i0, i1, j0, j1 in runs]
         return {"runs": [dict(zip(RUN.names, r)) for r in ranges], "places": _places(text, a, b, runs, at) if len(at) else []}
 
-    @F.pandas_udf(MATCHED)
-    def each(tokens: pd.Series, heard: pd.Series, text: pd.Series, at: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([of(list(a), list(b), t or "", list(k)) for a, b, t, k in zip(tokens, heard, text, at)], columns=MATCHED.names)
+    @F.arrow_udf(MATCHED)
+    def each(tokens: pa.Array, heard: pa.Array, text: pa.Array, at: pa.Array) -> pa.Array:
+        return pa.array([of(a, b, t.as_py() or "", k) for a, b, t, k in zip(_lists(tokens), _lists(heard), text, _lists(at))], to_arrow_type(MATCHED))
 
-    return each
+    return each.asNondeterministic()
 
 
 def _unit_runs(chapters: DataFrame, classes: dict[str, str] | None) -> DataFrame:
@@ -217,7 +231,7 @@ def align(chapters: DataFrame, key: str = "doc_id", fold: bool = False, classes:
     the one after. An empty transcript makes one skip of the whole chapter; equal sequences make no row. Confidence is the mean
     over the words heard, one that is missing counted as 0; it is null where the engine gave none at all. fold: numbers match
     however they are spoken or written, and words of one class (see functions.units) match each other."""
-    keyed = (_unit_runs(chapters, classes) if fold else _token_runs(chapters)).where(F.size("runs") > 0)
+    keyed = _unit_runs(chapters, classes) if fold else _token_runs(chapters)
     return keyed.select(key, F.explode(F.transform("runs", _shown)).alias("r")).select(key, "r.*")
 
 
@@ -339,48 +353,69 @@ def checked(chapters: DataFrame, key: str = "doc_id", classes: dict[str, str] |
     return merged(told.where(is_pause | F.col("confidence").isNull() | (F.col("confidence") >= floor)), [key], window, ("j0", "kind"))
 
 
-TOKEN_SPAN = T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])
+#: Fixed value: tokens of chapters that leave a worker together.
+TOKENS_AT_ONCE = 50_000
 
 
-def _token_spans(tokens: list[str], heard: list[str], classes: dict[str, str] | None) -> list[dict]:
+def _token_spans(tokens: list[str], heard: list[str], classes: dict[str, str] | None) -> tuple[list[int], list[int]]:
     """For each token the heard words [low, high) that stand for it, empty where none do. Equal units stand for each other; where
     they differ, one for several, several for one, and as many for as many."""
     a, b, runs = matched_words(tokens, heard, classes)
-    spans: list[tuple[int, int] | None] = [None] * len(tokens)
+    lows, highs = [0] * len(tokens), [0] * len(tokens)
 
-    def give(unit: tuple, said: list[tuple]) -> None:
+    def give(unit: tuple, first: tuple, last: tuple) -> None:
+        low, high = first[1], last[2] + 1
         for t in range(unit[1], unit[2] + 1):
-            if said:
-                low, high = said[0][1], said[-1][2] + 1
-                spans[t] = (low, high) if spans[t] is None or spans[t][0] == spans[t][1] else (min(low, spans[t][0]), max(high, spans[t][1]))
+            lows[t], highs[t] = (min(low, lows[t]), max(high, highs[t])) if highs[t] > lows[t] else (low, high)
 
     for unit, said in equal_units(a, b, runs):
-        give(unit, [said])
+        give(unit, said, said)
     for i0, i1, j0, j1 in runs:
         one_for_all = i1 - i0 == 1 or j1 - j0 == 1
-        for k in range(i0, i1):
-            give(a[k], b[j0:j1] if one_for_all else b[j0 + k - i0 : j0 + k - i0 + 1] if i1 - i0 == j1 - j0 else [])
-    return [dict(zip(("low", "high"), s or (0, 0))) for s in spans]
-
+        if j1 > j0 and (one_for_all or i1 - i0 == j1 - j0):
+            for k in range(i1 - i0):
+                give(a[i0 + k], *(b[j0], b[j1 - 1]) if one_for_all else (b[j0 + k], b[j0 + k]))
+    return lows, highs
 
-def token_alignment(chapters: DataFrame, key: str = "doc_id", classes: dict[str, str] | None = None) -> DataFrame:
-    """key, token_index, written, heard, start, end, state (matched, different, missing) of every token of a chapter.
-    chapters: key, tokens, heard."""
-
-    @F.pandas_udf(T.ArrayType(TOKEN_SPAN))
-    def spans(tokens: pd.Series, heard: pd.Series) -> pd.Series:
-        return pd.Series([_token_spans(list(a), list(b), classes) for a, b in zip(tokens, heard)])
 
-    spanned = chapters.withColumn("_spans", spans("tokens", F.transform("heard", lambda w: w["text"])))
+def _said(texts: pa.Array, lows: np.ndarray, highs: np.ndarray) -> pa.Array:
+    """The texts [low, high) joined by a blank, empty where there are none."""
+    one = texts.take(pa.array(lows, mask=highs <= lows)).to_numpy(zero_copy_only=False)
+    one[[t is None for t in one]] = ""
+    for k in np.flatnonzero(highs - lows > 1):
+        one[k] = " ".join(t for t in texts.slice(lows[k], highs[k] - lows[k]).to_pylist() if t is not None)
+    return pa.array(one, pa.string())
 
-    def row(t: Column, s: Column) -> Column:
-        said, some = F.slice("heard", s["low"] + 1, s["high"] - s["low"]), s["high"] > s["low"]
-        text = F.array_join(F.transform(said, lambda w: w["text"]), " ")
-        return F.struct(t.alias("written"), text.alias("heard"), F.when(some, F.get("heard", s["low"])["start"]).alias("start"), F.when(some, F.get("heard", s["high"] - 1)["end"]).alias("end"))
 
-    each = spanned.select(key, F.posexplode(F.zip_with("tokens", "_spans", row)).alias("token_index", "r")).select(key, "token_index", "r.*")
+def token_alignment(chapters: DataFrame, key: str = "doc_id", classes: dict[str, str] | None = None) -> DataFrame:
+    """key, token_index, written, heard, start, end, state (matched, different, missing) of every token of a chapter.
+    chapters: key, tokens, heard. Tokens are exploded in the workers, some chapters at a time: a worker holds one chapter's words as
+    Python objects, whatever the batch."""
+    schema = T.StructType([chapters.schema[key], *T._parse_datatype_string("token_index int, written string, heard string, start double, end double").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            keys, tokens, heard = (batch.column(c) for c in range(3))
+            said, at, base = heard.values, tokens.offsets.to_numpy(), heard.offsets.to_numpy()
+            texts, first, rows, lows, highs = said.field("text"), 0, [], [], []
+            for i, (a, b) in enumerate(zip(_lists(tokens), _lists(pa.ListArray.from_arrays(heard.offsets, texts)))):
+                spans = np.array(_token_spans(a, b, classes), np.int64).reshape(2, -1)
+                lows.append(spans[0] + base[i])
+                highs.append(spans[1] + base[i])
+                rows.append(np.arange(len(a), dtype=np.int32))
+                if i + 1 < len(batch) and at[i + 1] - at[first] < TOKENS_AT_ONCE:
+                    continue
+                low, high, sizes = np.concatenate(lows), np.concatenate(highs), np.diff(at[first : i + 2])
+                none, of = high <= low, pa.array(np.repeat(np.arange(first, i + 1), sizes))
+                written = tokens.values.slice(at[first], at[i + 1] - at[first])
+                times = (said.field(c).take(pa.array(x, mask=none)) for c, x in (("start", low), ("end", high - 1)))
+                yield pa.RecordBatch.from_arrays([keys.take(of), pa.array(np.concatenate(rows)), written, _said(texts, low, high), *times], schema=kinds)
+                first, rows, lows, highs = i + 1, [], [], []
+
+    each = chapters.select(key, "tokens", F.transform("heard", lambda w: F.struct(w["text"].alias("text"), w["start"].cast("double").alias("start"), w["end"].cast("double").alias("end"))).alias("heard")).mapInArrow(run, schema)
     alike = F.array_join(spoken_pieces(F.col("written")), "") == F.array_join(spoken_pieces(F.col("heard")), "")
-    return each.withColumn("state", F.when(F.col("heard") == "", "missing").when(alike, "matched").otherwise("different"))
+    return each.withColumn("state", F.when(F.col("heard") == "", "missing").when(F.col("written") == F.col("heard"), "matched").when(alike, "matched").otherwise("different"))
 
 
 def coverage(alignment: DataFrame, key: str = "doc_id") -> DataFrame:
