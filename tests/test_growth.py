@@ -28,3 +28,10 @@ def test_tokens_leave_the_workers_some_chapters_at_a_time(spark):
     assert {(r.doc_id, r.state): r["count"] for r in found.groupBy("doc_id", "state").count().collect()} == {(1, "matched"): n - 1, (1, "missing"): 1, (3, "missing"): 2, (4, "different"): 3, (5, "matched"): 1}
     few = found.where("doc_id > 2").orderBy("doc_id", "token_index").select("doc_id", "token_index", "written", "heard", "start", "end").collect()
     assert [tuple(r) for r in few] == [(3, 0, "see", "", None, None), (3, 1, "me", "", None, None), (4, 0, "twenty", "21", 1.0, 2.0), (4, 1, "one", "21", 1.0, 2.0), (4, 2, "colour", "color", 1.0, 2.0), (5, 0, "b", "b", 1.0, 2.0)]
+
+
+def test_runs_are_worked_out_once_and_after_the_dealing(spark, small):
+    for query, matcher in ((texts.align_pickups, "word_runs"), (texts.folded_pickups, "each"), (texts.proof_summary, "word_runs"), (texts.eval_scores, "word_runs")):
+        plan = plan_of(query(spark, small))
+        assert len(re.findall(rf"\b{matcher}\(", plan)) == 1
+        assert f"{matcher}(" not in below_dealing(plan)
