@@ -1,17 +1,27 @@
 """Names of a glossary in a script: spans of text are parted where a name stands, and carry its id.
 
-Words of spans meet the first words of names by a join of small rows, so neither side is searched for each of the other and
-nothing is broadcast that Spark has not measured; what follows is compared letter by letter. Of names that overlap, the
-leftmost has the place, and of those that begin together the longest.
+Every stretch of a span that has as many words as some name meets the names by a join on all its letters, so a word that begins
+many names is not compared with each of them, and no row carries its span. Of names that overlap, the leftmost has the place, and
+of those that begin together the longest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 RUN = r"[\p{L}\p{N}]+"
 PARTS = rf"([^\p{{L}}\p{{N}}]*)({RUN})?"
+#: From the first letter of a name to its last.
+CORE = r"(?s)[\p{L}\p{N}](?:.*[\p{L}\p{N}])?"
+#: Fixed value: stretches that leave a worker together.
+STRETCHES_AT_ONCE = 50_000
 
 
 def entries(glossary: DataFrame) -> DataFrame:
@@ -25,19 +35,54 @@ def entries(glossary: DataFrame) -> DataFrame:
     return one.select("id", "spelling", "word", F.regexp_extract("word", RUN, 0).alias("first"), F.length(F.regexp_extract("word", PARTS, 1)).alias("lead"))
 
 
+def _stretches(spans: DataFrame, keys: list[str], text: str, sizes: str) -> DataFrame:
+    """keys, start, core, before, after of each stretch of a text that has one of these numbers of words: its letters, and what stands
+    beside it up to one letter of the words before and after."""
+    schema = T.StructType([*[spans.schema[k] for k in keys], *T._parse_datatype_string("start int, core string, before string, after string").fields])
+    word = regex.compile(RUN)
+
+    def of(text: str, sizes: list[int]) -> Iterator[tuple[int, str, str, str]]:
+        runs = [m.span() for m in word.finditer(text)]
+        befores = [text[a:z] for a, z in zip([0, *(z - 1 for _, z in runs)], [a for a, _ in runs])]
+        afters = [text[a:z] for a, z in zip([z for _, z in runs], [*(a + 1 for a, _ in runs[1:]), len(text)])]
+        for n in sizes:
+            for i in range(len(runs) - n + 1):
+                a, z = runs[i][0], runs[i + n - 1][1]
+                yield a, text[a:z], befores[i], afters[i + n - 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+
+        def out(batch: pa.RecordBatch, at: list[int], found: list[tuple]) -> pa.RecordBatch:
+            rest = batch.select(keys).take(pa.array(at, pa.int32()))
+            return pa.RecordBatch.from_arrays([*rest.columns, *[pa.array(c, k) for c, k in zip(zip(*found), kinds.types[len(keys) :])]], schema=kinds)
+
+        for batch in batches:
+            at, found = [], []
+            for i, (t, n) in enumerate(zip(batch.column(len(keys)), batch.column(len(keys) + 1))):
+                found += of(t.as_py(), n.as_py())
+                at += [i] * (len(found) - len(at))
+                if len(found) >= STRETCHES_AT_ONCE:
+                    yield out(batch, at, found)
+                    at, found = [], []
+            if found:
+                yield out(batch, at, found)
+
+    return spans.select(*keys, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), sizes).mapInArrow(run, schema)
+
+
 def matches(spans: DataFrame, glossary: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, start, end (exclusive), id of every place where a whole name stands, whatever its case; names may overlap."""
-    names = entries(glossary).select("id", "word", "first", "lead", F.length("word").alias("n"))
-    split = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), rf"(?<=[\p{{L}}\p{{N}}])(?![\p{{L}}\p{{N}}])|(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}\p{{N}}])")
-    pieces = spans.select(*keys, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.posexplode(split).alias("_i", "first"))
-    at = F.coalesce(F.sum(F.length("first")).over(Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    words = pieces.withColumn("_at", at).where(F.col("first").rlike(RUN))
-    start = F.col("_at") - F.col("lead")
-    met = words.join(names, "first").withColumn("start", start.cast("int")).where(start >= 0)
-    here = F.substring(F.col("_text"), F.col("start") + 1, F.col("n"))
-    letter = lambda i: F.substring(F.col("_text"), i, F.lit(1)).rlike(RUN)
-    inside = (F.col("start") > 0) & letter(F.col("start")) | letter(F.col("start") + F.col("n") + 1)
-    return met.where((here == F.col("word")) & ~inside).select(*keys, "start", (F.col("start") + F.col("n")).alias("end"), "id")
+    rows = entries(glossary).select("id", "word", F.regexp_extract("word", CORE, 0).alias("core"), F.substring("word", F.lit(1), F.col("lead")).alias("_lead"))
+    names = rows.select("id", "core", "_lead", F.substring("word", F.length("_lead") + F.length("core") + 1, F.length("word")).alias("_tail"))
+    sizes = names.agg(F.sort_array(F.collect_set(F.regexp_count("core", F.lit(RUN)))).alias("_sizes"))
+    met = _stretches(spans.crossJoin(sizes), keys, text, "_sizes").join(names, "core")
+    letter = lambda side, i: F.substring(side, i, F.lit(1)).rlike(RUN)
+    lead, tail, before, after = F.col("_lead"), F.col("_tail"), F.col("before"), F.col("after")
+    opens = (lead == "") | F.endswith(before, lead) & ((F.length(before) == F.length(lead)) | ~letter(before, F.length(before) - F.length(lead)))
+    closes = (tail == "") | F.startswith(after, tail) & ~letter(after, F.length(tail) + 1)
+    start = F.col("start") - F.length("_lead")
+    return met.where(opens & closes).select(*keys, start.alias("start"), (start + F.length("_lead") + F.length("core") + F.length("_tail")).alias("end"), "id")
 
 
 def linked(spans: DataFrame, glossary: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

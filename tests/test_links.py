@@ -113,3 +113,14 @@ def test_slices_keep_styles(spark, seed):
             else:
                 plain.append((c, s))
         assert [x for _, x in sorted(found.get((d, k), {}).items())] == plain
+
+
+def test_a_word_that_begins_many_names_is_not_compared_with_each(spark):
+    n = 400
+    glossary = spark.createDataFrame([(str(i), f"the n{i}", "auto") for i in range(n)], "id string, spelling string, source string")
+    spans = spark.createDataFrame([(1, " ".join(f"the n{i}" for i in range(0, n, 2)) + " the other")], "at int, text string")
+    found = links.matches(spans, glossary, ["at"])
+    assert {x.id for x in found.collect()} == {str(i) for i in range(0, n, 2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert [line.count("core#") for line in joins if "core#" in line] == [2] and not any("first#" in line for line in joins)
