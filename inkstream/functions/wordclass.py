@@ -98,13 +98,21 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
+_letters = lru_cache(200_000)(frozenset)
+
+
+def least_distance(a: str, b: str) -> int:
+    """What the distance is at least: an edit changes a length by one and the letters that only one word has by two."""
+    return max(abs(len(a) - len(b)), (len(_letters(a) ^ _letters(b)) + 1) // 2)
+
+
 def near(a: str, b: str) -> bool:
     """Equal, or long enough and a letter apart (two from eight letters on)."""
     if a == b:
         return a != ""
     m, n = len(a), len(b)
     most = 2 if m >= 8 or n >= 8 else 1
-    return -most <= m - n <= most and (m >= 5 or n >= 5) and m > 0 < n and distance(a, b) <= most
+    return -most <= m - n <= most and (m >= 5 or n >= 5) and m > 0 < n and least_distance(a, b) <= most and distance(a, b) <= most
 
 
 def alike(heard: str, expected: str) -> bool:

@@ -56,6 +56,14 @@ def scan(df: DataFrame, keys: list[str], order: list[str], values: list[str], ma
     return rows.mapInArrow(run, schema)
 
 
+def lists(column: pa.Array) -> Iterator[list]:
+    """The lists of an Arrow column one after the other, so that no batch is held as Python objects as a whole; a null is empty, and
+    a number that is null among numbers is not a number."""
+    offsets = column.offsets.to_numpy()
+    for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield column.values.slice(low, high - low).to_numpy(zero_copy_only=False).tolist()
+
+
 class Scan:
     """A fold over the rows of one key."""
 

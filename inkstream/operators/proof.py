@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from inkstream.functions.text import WORD, _Normals, spoken_pieces, stable_id, words
 from inkstream.functions.units import match_units, units
-from inkstream.operators.idioms import Scan, gap_sessions, scan
+from inkstream.operators.idioms import Scan, gap_sessions, lists, scan
 from inkstream.sources.tables import DROPPED, FOLLOWED, LENGTH, MODULUS, REPLACED, STEP
 
 #: Seconds within which pickups become one, by setting; pause limits.
@@ -76,13 +76,6 @@ def _step(reach: dict[int, int], k: int, d: int) -> tuple[int, bool]:
 RUN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("i0", "i1", "j0", "j1")])
 
 
-def _lists(column: pa.Array) -> Iterator[list]:
-    """The lists of a column one after the other, so that no batch is held as Python objects as a whole; a null is empty."""
-    offsets = column.offsets.to_numpy()
-    for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        yield column.values.slice(low, high - low).to_numpy(zero_copy_only=False).tolist()
-
-
 # The matchers are marked as not deterministic, though they are: else a condition on what they find is worked out a second time
 # below the shuffle that deals the chapters over the cores, in as few tasks as their file has row groups.
 
@@ -92,7 +85,7 @@ def word_runs(written: pa.Array, heard: pa.Array) -> pa.Array:
     """The runs in which words differ, in normal form."""
     known = _Normals()
     of = lambda x: list(map(known.__getitem__, x))
-    return pa.array([differing_runs(of(a), of(b)) for a, b in zip(_lists(written), _lists(heard))], to_arrow_type(T.ArrayType(RUN)))
+    return pa.array([differing_runs(of(a), of(b)) for a, b in zip(lists(written), lists(heard))], to_arrow_type(T.ArrayType(RUN)))
 
 
 word_runs = word_runs.asNondeterministic()
@@ -175,7 +168,7 @@ def matched(classes: dict[str, str] | None) -> Callable[..., Column]:
 
     @F.arrow_udf(MATCHED)
     def each(tokens: pa.Array, heard: pa.Array, text: pa.Array, at: pa.Array) -> pa.Array:
-        return pa.array([of(a, b, t.as_py() or "", k) for a, b, t, k in zip(_lists(tokens), _lists(heard), text, _lists(at))], to_arrow_type(MATCHED))
+        return pa.array([of(a, b, t.as_py() or "", k) for a, b, t, k in zip(lists(tokens), lists(heard), text, lists(at))], to_arrow_type(MATCHED))
 
     return each.asNondeterministic()
 
@@ -399,7 +392,7 @@ def token_alignment(chapters: DataFrame, key: str = "doc_id", classes: dict[str,
             keys, tokens, heard = (batch.column(c) for c in range(3))
             said, at, base = heard.values, tokens.offsets.to_numpy(), heard.offsets.to_numpy()
             texts, first, rows, lows, highs = said.field("text"), 0, [], [], []
-            for i, (a, b) in enumerate(zip(_lists(tokens), _lists(pa.ListArray.from_arrays(heard.offsets, texts)))):
+            for i, (a, b) in enumerate(zip(lists(tokens), lists(pa.ListArray.from_arrays(heard.offsets, texts)))):
                 spans = np.array(_token_spans(a, b, classes), np.int64).reshape(2, -1)
                 lows.append(spans[0] + base[i])
                 highs.append(spans[1] + base[i])

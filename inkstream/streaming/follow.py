@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -21,7 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from inkstream.functions.text import _Normals
 from inkstream.functions.wordclass import dialect_key, is_content, is_swap, near, number_value
-from inkstream.streaming.recheck import Heard, usable
+from inkstream.operators.idioms import lists
+from inkstream.streaming.recheck import MADE_UP, Heard, usable
 
 #: Seconds within which an equal word is an echo, heard words that are remembered; words looked ahead by each
 #: recovery, and back; seconds between the words of a restart; letters of a telling word.
@@ -78,21 +80,36 @@ class Place(NamedTuple):
     event: str  # match, restart, cue, skip, swap, wait, passed, miss, late, echo, flag, jump or lost (both halt) or halted
 
 
+class _Fits(dict):
+    """word of a page -> whether a heard word is that word (`wordclass.alike`), remembered while there are few enough."""
+
+    def __init__(self, heard: str):
+        self.heard, self.key, self.value = heard, dialect_key(heard), number_value(heard)
+
+    def __missing__(self, w: str) -> bool:
+        if len(self) > 1000:
+            self.clear()
+        same = w == self.heard or dialect_key(w) == self.key or self.value is not None and self.value == number_value(w)
+        self[w] = found = w != "" and (same or -2 <= len(w) - len(self.heard) <= 2 and near(self.heard, w))
+        return found
+
+
+@lru_cache(1000)
+def _fits(heard: str) -> _Fits:
+    return _Fits(heard)
+
+
 class Reading:
     """A session's script: expected words in normal form, and the line (or shown row) of each. proofing: slips are looked for, so
     the page is held to, with the two strictest recoveries; the first sure slip of a window that has an anchor is a flag."""
 
     def __init__(self, words: list[str], lines: list[int] | None = None, bars: Bars = Bars(), halting: bool = True, proofing: bool = False):
         self.words, self.lines, self.bars, self.halting, self.proofing = words, lines or [0] * len(words), bars, halting, proofing
-        self.keys, self.values = list(map(dialect_key, words)), list(map(number_value, words))
+        self.plain = [w != "" and w not in MADE_UP and "blank" not in w for w in words]
         self.recoveries = (Reading.together, Reading.alone) if proofing else self.RECOVERIES
 
     def fits(self, at: int, word: str) -> bool:
-        """As `wordclass.alike`, with what is known of the page."""
-        if not 0 <= at < len(self.words) or not word or not (w := self.words[at]):
-            return False
-        value = self.values[at]
-        return word == w or self.keys[at] == dialect_key(word) or value is not None and value == number_value(word) or near(word, w)
+        return 0 <= at < len(self.words) and word != "" and _fits(word)[self.words[at]]
 
     def _only(self, places: Iterator[int]) -> int:
         """The one place there is, or -1."""
@@ -108,7 +125,9 @@ class Reading:
             said = [w for w, _ in tail]
             if len(tail) < n or tail[-1][1] - tail[0][1] > RESTART_GAP or CUES.intersection(said):
                 continue
-            places = (at for at in range(max(0, s.cursor - BACK), s.cursor - n) if all(self.fits(at + k, w) for k, w in enumerate(said)))
+            first, low = _fits(said[0]), max(0, s.cursor - BACK)
+            begun = (at for at, w in enumerate(self.words[low : max(low, s.cursor - n)], low) if first[w])
+            places = (at for at in begun if all(self.fits(at + k, w) for k, w in enumerate(said)))
             at = self._only(places)
             begins = at == 0 or at > 0 and self.lines[at - 1] != self.lines[at]
             if at >= 0 and (n == 3 or begins or any(len(w) >= TELLING and is_content(w) for w in said)):
@@ -130,7 +149,8 @@ class Reading:
         """This word and the next stand together at one place of the next 64; at a window's end, a telling word alone."""
         if not then and not (is_content(word) and len(word) >= TELLING and self.bars.sure >= 0.55):
             return None
-        at = self._only(k for k in range(s.cursor + 1, s.cursor + 1 + FAR) if self.fits(k, word) and (not then or self.fits(k + 1, then)))
+        fit, low = _fits(word), s.cursor + 1
+        at = self._only(k for k, w in enumerate(self.words[low : low + FAR], low) if fit[w] and (not then or self.fits(k + 1, then)))
         return ([at, at + 1] if then else [at], "skip") if at >= 0 else None
 
     def together(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
@@ -188,6 +208,23 @@ class Reading:
             return s._replace(cursor=s.cursor + 1), "passed"
         return s, "miss"
 
+    def straight(self, s: State, words: list[str], starts: list[float], ends: list[float]) -> State | None:
+        """The state after a window that is read word for word, as `read` gives it; null where a word needs a closer look."""
+        low, high, last, begun, heard = s.cursor, s.cursor + len(words), s.last_end, float("-inf"), list(s.heard)
+        if s.halted or self.words[low:high] != words or not all(self.plain[low:high]):
+            return None
+        for word, start, end in zip(words, starts, ends):
+            if not begun <= start <= end or end <= last:
+                return None
+            for before, at in reversed(heard):
+                if end - at > ECHO:
+                    break
+                if before == word:
+                    return None
+            heard.append((word, end))
+            last, begun = end, start
+        return State(high, last, tuple(heard[-REMEMBERED:]), None, None, False, s.excused)
+
     def read(self, s: State, window: list[Heard], seq: int = 0) -> tuple[State, list[Place]]:
         """One window of heard words, in normal form and in order of time, the first numbered seq. What comes after a halt is not
         read."""
@@ -263,12 +300,17 @@ def counted(rows: DataFrame, words: str, heard: str, window: int = 3, bars: Bars
         normal = _Normals()
         for batch in batches:
             found = []
-            for at in range(batch.num_rows):  # one session at a time: a long one is not held beside others
-                script, *said = (batch.column(c)[at].as_py() or [] for c in ("_words", "_text", "_start", "_end", "_confidence"))
+            for script, *said in zip(*(lists(batch.column(c)) for c in ("_words", "_text", "_start", "_end", "_confidence"))):
                 reading, s, count = Reading([normal[w or ""] for w in script], None, bars, halting), State(), dict.fromkeys(EVENTS, 0)
-                every = _words(*said, normal)
-                for i in range(0, len(every), window):
-                    s, places = reading.read(s.resumed() if s.halted else s, usable(every[i : i + window]), i)
+                known = [(t, normal[t or ""], a, b, c) for t, a, b, c in zip(*said) if a == a and b == b]
+                texts, plain, starts, ends, sure = map(list, zip(*known)) if known else ([], [], [], [], [])
+                for i in range(0, len(known), window):
+                    z, s = i + window, s.resumed() if s.halted else s
+                    if then := reading.straight(s, plain[i:z], starts[i:z], ends[i:z]):
+                        count["match"] += then.cursor - s.cursor
+                        s = then
+                        continue
+                    s, places = reading.read(s, usable(_words(texts[i:z], starts[i:z], ends[i:z], sure[i:z], normal)), i)
                     for p in places:
                         count[p.event] += 1
                 found.append((s.cursor, *count.values()))

@@ -1,11 +1,14 @@
 """What the work of a query grows with: matchers run once and after the chapters are dealt over the cores, workers hold a chapter at a time."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from inkstream.functions import wordclass
 from inkstream.operators import proof
-from inkstream.plans import texts
+from inkstream.plans import live, texts
+from inkstream.streaming import follow, recheck
 
 
 def plan_of(df):
@@ -35,3 +38,29 @@ def test_runs_are_worked_out_once_and_after_the_dealing(spark, small):
         plan = plan_of(query(spark, small))
         assert len(re.findall(rf"\b{matcher}\(", plan)) == 1
         assert f"{matcher}(" not in below_dealing(plan)
+
+
+def test_readings_are_made_after_the_dealing(spark, small):
+    for query in (live.live_follow, live.live_flags):
+        assert "slipped" not in below_dealing(plan_of(query(spark, small)))
+
+
+def test_a_window_read_word_for_word_is_as_a_closer_look_gives_it():
+    r, taken = random.Random(3), 0
+    for _ in range(3000):
+        page = r.choices(["the", "cat", "thanks", "pointblank", "audiotape", "sat", "here", ""], k=12)
+        at = r.randint(0, 9)
+        said = [page[at + k] if r.random() < 0.9 else "dog" for k in range(3)]
+        starts = [5 + 0.4 * k + r.choice([0, 0, 0, -0.9]) for k in range(3)]
+        ends = [s + 0.3 for s in starts]
+        reading = follow.Reading(page)
+        before = follow.State(at, r.choice([0.0, 5.1]), tuple(zip(r.choices(page, k=2), (4.5, 4.9))), r.choice([None, ("cat", 3)]), None, False, r.choice([-1, 4]))
+        found = reading.straight(before, said, starts, ends)
+        if found:
+            window = recheck.usable([recheck.Heard(w, w, a, z, 0.9) for w, a, z in zip(said, starts, ends)])
+            after, places = reading.read(before, window)
+            assert found == after and [p.event for p in places] == ["match"] * 3
+            taken += 1
+    assert taken > 100
+    words = ["colour", "color", "letter", "ladder", "seven", "7", "abcdefgh", "hgfedcba", "abcdefxy", "s", ""]
+    assert all(follow._fits(a)[b] == wordclass.alike(a, b) for a in words[:-1] for b in words)
