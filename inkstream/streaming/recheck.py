@@ -231,19 +231,22 @@ def windows(sessions: DataFrame, tokens: str, heard: str, step: float, hop: int
     """sessions without tokens and heard, and a row for each window of `hop` words of the page: window, cursor, read, offset, page
     and heard. step: seconds a word, by which the heard words of a window are found near their place."""
     kept = [c for c in sessions.columns if c not in (tokens, heard)]
-    k = F.col("window")
-    rows = sessions.where(F.size(tokens) > 0).select(*kept, tokens, heard, F.explode(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / hop).cast("int"))).alias("window"))
-    first, until = k * hop * step, (k + 1) * hop * step
-    near_by = F.slice(heard, F.greatest(F.lit(1), k * hop - 2 * hop), 5 * hop)
-    return rows.select(
-        *kept,
-        "window",
-        (k * hop).alias("cursor"),
-        F.least((k + 1) * hop, F.size(tokens)).alias("read"),
-        (k * hop).alias("offset"),
-        F.slice(tokens, k * hop + 1, hop + PHRASE).alias("page"),
-        F.filter(near_by, lambda w: (w["start"] >= first) & (w["start"] < until)).alias("heard"),
-    )
+
+    def window(k: Column) -> Column:
+        first, until = k * hop * step, (k + 1) * hop * step
+        near_by = F.slice(heard, F.greatest(F.lit(1), k * hop - 2 * hop), 5 * hop)
+        return F.struct(
+            k.alias("window"),
+            (k * hop).alias("cursor"),
+            F.least((k + 1) * hop, F.size(tokens)).alias("read"),
+            (k * hop).alias("offset"),
+            F.slice(tokens, k * hop + 1, hop + PHRASE).alias("page"),
+            F.filter(near_by, lambda w: (w["start"] >= first) & (w["start"] < until)).alias("heard"),
+        )
+
+    # cut in one expression: rows exploded beside the arrays would copy them for each window
+    each = F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / hop).cast("int")), window))
+    return sessions.select(*kept, F.explode(each).alias("_w")).select(*kept, "_w.*")
 
 
 FLAGS = "expected_index long, expected string, heard string, start double, end double, confidence double, kind string"
