@@ -4,8 +4,9 @@ import random
 import re
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
-from inkstream.functions import wordclass
+from inkstream.functions import units, wordclass
 from inkstream.operators import proof
 from inkstream.plans import live, texts
 from inkstream.streaming import follow, recheck
@@ -64,3 +65,10 @@ def test_a_window_read_word_for_word_is_as_a_closer_look_gives_it():
     assert taken > 100
     words = ["colour", "color", "letter", "ladder", "seven", "7", "abcdefgh", "hgfedcba", "abcdefxy", "s", ""]
     assert all(follow._fits(a)[b] == wordclass.alike(a, b) for a in words[:-1] for b in words)
+
+
+def test_units_travel_in_columns(spark):
+    rows = spark.createDataFrame([(1, ["See", "—", "twenty-one"]), (2, None), (3, [])], "i int, w array<string>").coalesce(1)
+    plan = rows.select(units.match_units(F.col("w")).alias("u"))._jdf.queryExecution().executedPlan().toString()
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in plan
+    assert [[tuple(u) for u in r.u] for r in rows.select("i", units.match_units(F.col("w")).alias("u")).orderBy("i").collect()] == [[("see", 0, 0), ("21", 2, 2)], [], []]
