@@ -19,6 +19,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from inkstream.llm._common import strings, table, whole_text
 
 #: A vocabulary beyond this is refused rather than broadcast.
 MAX_VOCABULARY = 1_000_000
-#: Chunks of text that one worker process remembers at a time.
+#: Chunks of text, and pre-tokens that are not in the vocabulary, that one worker process remembers at a time.
 MEMO = 500_000
 
 
@@ -99,9 +100,9 @@ class Codec:
         self.bytes_of = dict((rank, token) for token, rank in entries)
         keys = list(self.ranks)
         self.hash = MinimalPerfectHash(keys)
-        self.slots: list[tuple[bytes, int]] = [(b"", 0)] * len(keys)
+        self.slots: list[tuple[bytes, int, bytes]] = [(b"", 0, b"")] * len(keys)
         for key, slot in zip(keys, self.hash.slot_of_key.tolist()):
-            self.slots[slot] = (key, self.ranks[key])
+            self.slots[slot] = (key, self.ranks[key], array("i", [self.ranks[key]]).tobytes())
         self._ready()
 
     def _ready(self) -> None:
@@ -109,9 +110,15 @@ class Codec:
         #: A run of white space that splitting at single spaces would cut.
         self.joined = regex.compile(r"\s (?:\s|$)|  ").search
         self.memo: dict[str, bytes] = {}
+        self.missed: dict[bytes, bytes] = {}
+        #: Where each rank's bytes stand in `entries`.
+        ranks = np.fromiter(self.bytes_of, np.int64, len(self.bytes_of))
+        self.place = np.zeros(ranks.max() + 1, np.int32)
+        self.place[ranks] = np.arange(len(ranks))
+        self.entries = pa.array(self.bytes_of.values(), pa.binary())
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("find", "joined", "memo")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("find", "joined", "memo", "missed", "place", "entries")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -123,12 +130,14 @@ class Codec:
         after = list(range(1, n + 2))  # where the next part starts, and so where this one ends
         before = list(range(-1, n))
         pair = [rank_of(token[i : i + 2], -1) for i in range(n - 1)] + [-1]  # rank of a part joined with the next
-        heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
+        bits = n.bit_length()  # entries of short tokens are small numbers
+        low = (1 << bits) - 1
+        heap = [r << bits | i for i, r in enumerate(pair) if r >= 0]
         heapify(heap)
         while heap:
             entry = heappop(heap)
-            i = entry & 0xFFFFFFFF
-            if pair[i] != entry >> 32:
+            i = entry & low
+            if pair[i] != entry >> bits:
                 continue  # one of the two has been merged since
             j = after[i]
             after[i] = k = after[j]
@@ -137,11 +146,11 @@ class Codec:
                 before[k] = i
                 pair[i] = r = rank_of(token[i : after[k]], -1)
                 if r >= 0:
-                    heappush(heap, r << 32 | i)
+                    heappush(heap, r << bits | i)
             if (h := before[i]) >= 0:
                 pair[h] = r = rank_of(token[h:k], -1)
                 if r >= 0:
-                    heappush(heap, r << 32 | h)
+                    heappush(heap, r << bits | h)
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[token[i : after[i]]])
@@ -149,30 +158,51 @@ class Codec:
         return ids
 
     def token_ids(self, token: bytes) -> list[int]:
-        key, rank = self.slots[self.hash.slot(token)]
+        key, rank, _ = self.slots[self.hash.slot(token)]
         return [rank] if key == token else self.merged(token)
 
+    def _packed_token(self, token: bytes) -> bytes:
+        key, _, packed = self.slots[self.hash.slot(token)]
+        if key == token:
+            return packed
+        if (found := self.missed.get(token)) is None:
+            if len(self.missed) >= MEMO:
+                self.missed.clear()
+            self.missed[token] = found = array("i", self.merged(token)).tobytes()
+        return found
+
     def _packed(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for token in self.find(chunk):
-            ids += self.token_ids(token.encode("utf-8", "surrogatepass"))
-        return array("i", ids).tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        """No pre-token continues over a single space between two other characters, so such chunks are encoded (and
-        remembered) one by one; a text with longer runs of white space is matched as a whole."""
-        if self.joined(text):
-            return np.frombuffer(self._packed(text), "<i4")
-        memo, head, *rest = self.memo, *text.split(" ")
-        chunks = [head, *[" " + x for x in rest]]
-        if len(memo) > MEMO:
-            memo.clear()
-        for chunk in set(chunks).difference(memo):
-            memo[chunk] = self._packed(chunk)
-        return np.frombuffer(b"".join(map(memo.__getitem__, chunks)), "<i4")
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        return b"".join([self._packed_token(token.encode("utf-8", "surrogatepass")) for token in self.find(chunk)])
+
+    def _remembered(self, chunk: str) -> bytes:
+        if (found := self.memo.get(chunk)) is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[chunk] = found = self._packed(" " + chunk)
+        return found
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where those of each begin and the last end.
+
+        No pre-token continues over a single space between two other characters, so such chunks are encoded (and remembered) one by
+        one, each once however often these texts have it; a text with longer runs of white space is matched as a whole."""
+        whole = [self.joined(x) is not None for x in texts]
+        parts = pc.split_pattern(pa.array(["" if w else x for x, w in zip(texts, whole)], pa.large_string()), " ")
+        starts = parts.offsets.to_numpy()
+        chunks = parts.values.dictionary_encode()
+        packed = list(map(self._remembered, chunks.dictionary.to_pylist()))
+        at = chunks.indices.to_numpy().copy()
+        at[starts[:-1]] = np.arange(len(packed), len(packed) + len(texts))  # a text's beginning has no space before it
+        packed += [self._packed(x if w else x.partition(" ")[0]) for x, w in zip(texts, whole)]
+        found = pa.array(packed, pa.large_binary()).take(pa.array(at))
+        offsets, data = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1], found.buffers()[2]
+        return np.frombuffer(data, "<i4", offsets[-1] // 4) if data else np.empty(0, "<i4"), offsets[starts] // 4
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The bytes of the ids of each text."""
+        found = self.entries.take(pa.array(self.place[ids]))
+        ends = np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1][offsets]
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(ends), found.buffers()[2]])
 
 
 def read_ranks(path: str) -> list[tuple[bytes, int]]:
@@ -191,13 +221,9 @@ def round_trip(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids"
         for batch in batches:
             rest = batch.select(kept)
             for at in range(0, batch.num_rows, 256):  # small results at a time, whatever the batch holds
-                texts = strings(batch.column(text).slice(at, 256))
-                found = [coder.encode(x) for x in texts]
-                offsets = np.cumsum([0, *map(len, found)], dtype=np.int64)
-                values = pa.array(np.concatenate(found) if found else np.empty(0, "<i4"), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-                back = pa.array([coder.decode(x) for x in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rest.slice(at, 256).columns, lists, back], names=[*kept, ids, decoded])
+                found, offsets = coder.encode_all(strings(batch.column(text).slice(at, 256)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*rest.slice(at, 256).columns, lists, coder.decode_all(found, offsets)], names=[*kept, ids, decoded])
 
     return df.select(*kept, whole_text(F.col(text)).alias(text)).mapInArrow(run, schema)
 
