@@ -102,7 +102,8 @@ def respelt(glossary: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def guide_rows(glossary: DataFrame, tokens: DataFrame, chapter: str) -> DataFrame:
-    """word, spelling, count, chapters: how often each name stands where. One join on the word, not a search for each name;
+    """word, spelling, count, chapters: how often each name stands where. Joins on the word, not a search for each name; tokens that are
+    no names are left out before anything is counted;
     names of one word (those of several are phrases, see phrase_places)."""
     counted = tokens.groupBy("word", chapter).agg(F.count(F.lit(1)).alias("n"))
     names = glossary.select(F.lower(F.trim("spelling")).alias("word"), "spelling")
@@ -115,6 +116,7 @@ def spelled_syllables(word: Column) -> Column:
     letters = F.regexp_replace(F.regexp_replace(F.lower(word), "[^a-z]", ""), "(?:es|e)$", "")
     return F.greatest(F.lit(1), F.regexp_count(letters, F.lit("[aeiouy]+")))
 
+    counted = tokens.join(names.select("word"), "word", "left_semi").groupBy("word", chapter).agg(F.count(F.lit(1)).alias("n"))
 
 def said_unlike_spelling(word: Column, phones: Column) -> Column:
     """A dictionary gives another number of syllables (stress digits) than the spelling has."""
