@@ -23,23 +23,33 @@ def tokens(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, raw, word, capitalised, starts (a sentence), before, after: each name token with its neighbours in the sentence.
 
     Texts are cut where a sentence ends; what is left between two tokens of a piece is no sentence end."""
-    pieces = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"[.!?。！？:：—–\n]+(?=\s|$)|\n")).alias("piece", "p"))
-    found = pieces.select(key, "piece", F.regexp_extract_all("p", F.lit(NAME_TOKEN), 0).alias("raws")).where(F.size("raws") > 0)
-    words = found.withColumn("words", F.transform("raws", canonical))
-    row = lambda r, i: F.struct(
-        r.alias("raw"), F.get("words", i).alias("word"), r.rlike(r"^\p{Lu}").alias("capitalised"), (i == 0).alias("starts"), F.when(i > 0, F.get("words", i - 1)).alias("before"), F.get("words", i + 1).alias("after")
-    )
-    return words.select(key, F.explode(F.transform("raws", row)).alias("t")).select(key, "t.*")
+    pieces = docs.select(key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), r"[.!?。！？:：—–\n]+(?=\s|$)|\n")).alias("p"))
+    found = pieces.select(key, F.regexp_extract_all("p", F.lit(NAME_TOKEN), 0).alias("r")).where(F.size("r") > 0)
+    none = F.lit(None).cast("string")
+    beside = F.arrays_zip(F.col("r").alias("raw"), F.concat(F.array(none), F.slice("r", F.lit(1), F.size("r") - 1)).alias("b"), F.slice("r", F.lit(2), F.size("r")).alias("a"))
+    rows = found.select(key, F.posexplode(beside).alias("at", "t")).select(key, "at", "t.raw", "t.b", "t.a")
+    return rows.select(key, "raw", _word("raw"), _capitalised("raw"), (F.col("at") == 0).alias("starts"), _word("b").alias("before"), _word("a").alias("after"))
+
+
+def _word(raw: str) -> Column:
+    """canonical() of a name token, which has no other dashes; without a search in each."""
+    c = F.col(raw)
+    return F.lower(F.when(F.right(c, F.lit(2)).isin("'s", "'S", "’s", "’S"), F.left(c, F.length(c) - 2)).otherwise(c)).alias("word")
+
+
+def _capitalised(raw: str) -> Column:
+    return F.col(raw).rlike(r"^\p{Lu}").alias("capitalised")
 
 
 def candidates(tokens: DataFrame, common: list[str], most: int = 80, context: tuple[str, ...] = NAME_CONTEXT) -> DataFrame:
     """spelling, word, frequency, reasons, score of the words that look like names or are spelt oddly, the most frequent first.
 
     tokens: as `tokens` gives them. The way it is mostly written is its spelling (of equals the capitalised, then the least)."""
-    named = F.col("capitalised") & ~F.contains("word", F.lit("'")) & (F.coalesce(F.col("before").isin(*context), F.lit(False)) | F.coalesce(F.col("after").isin(*context), F.lit(False)))
+    named = _capitalised("raw") & ~F.contains("word", F.lit("'")) & (F.coalesce(F.col("before").isin(*context), F.lit(False)) | F.coalesce(F.col("after").isin(*context), F.lit(False)))
     upper = (F.length("raw") > 1) & (F.col("raw") == F.upper("raw")) & (F.col("raw") != F.lower("raw"))
     count = lambda c: F.count_if(c)
-    spelt = tokens.groupBy("word", "raw", "capitalised").agg(F.count(F.lit(1)).alias("n"), count(~F.col("starts")).alias("inside"), count(named).alias("named"), F.bool_or(upper).alias("upper"))
+    spelt = tokens.groupBy("raw").agg(F.count(F.lit(1)).alias("n"), count(~F.col("starts")).alias("inside"), count(named).alias("named"))
+    spelt = spelt.select("*", _word("raw"), _capitalised("raw"), upper.alias("upper"))
     total = lambda c, on=None: F.sum(F.col(c) if on is None else F.when(on, F.col(c)).otherwise(0))
     cap = F.col("capitalised")
     words = spelt.groupBy("word").agg(
@@ -48,7 +58,7 @@ def candidates(tokens: DataFrame, common: list[str], most: int = 80, context: tu
     )
     known = F.col("word").isin(*common) if common else F.lit(False)
     letters = F.regexp_replace("word", "[^a-z]", "")
-    noise = (F.length(letters) >= 6) & (F.size(F.array_distinct(F.split(letters, ""))) <= 3) & letters.rlike("^[aeiouhywm]+$")
+    noise = (F.length(letters) >= 6) & letters.rlike("^[aeiouhywm]+$") & (F.size(F.array_distinct(F.split(letters, ""))) <= 3)
     unusual = F.col("word").rlike(UNUSUAL) | F.col("odd_letters")
     name = ~noise & ((F.col("named") > 0) | (~known & (F.col("capitals") > 0)))
     listed = words.where(name | (~known & ~noise & (unusual | (F.col("acronyms") > 0))))
@@ -105,8 +115,8 @@ def guide_rows(glossary: DataFrame, tokens: DataFrame, chapter: str) -> DataFram
     """word, spelling, count, chapters: how often each name stands where. Joins on the word, not a search for each name; tokens that are
     no names are left out before anything is counted;
     names of one word (those of several are phrases, see phrase_places)."""
-    counted = tokens.groupBy("word", chapter).agg(F.count(F.lit(1)).alias("n"))
     names = glossary.select(F.lower(F.trim("spelling")).alias("word"), "spelling")
+    counted = tokens.join(names.select("word"), "word", "left_semi").groupBy("word", chapter).agg(F.count(F.lit(1)).alias("n"))
     rows = names.join(counted, "word", "left").groupBy("word").agg(F.min("spelling").alias("spelling"), F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.count(F.col(chapter)).alias("chapters"))
     return rows
 
@@ -116,7 +126,6 @@ def spelled_syllables(word: Column) -> Column:
     letters = F.regexp_replace(F.regexp_replace(F.lower(word), "[^a-z]", ""), "(?:es|e)$", "")
     return F.greatest(F.lit(1), F.regexp_count(letters, F.lit("[aeiouy]+")))
 
-    counted = tokens.join(names.select("word"), "word", "left_semi").groupBy("word", chapter).agg(F.count(F.lit(1)).alias("n"))
 
 def said_unlike_spelling(word: Column, phones: Column) -> Column:
     """A dictionary gives another number of syllables (stress digits) than the spelling has."""
