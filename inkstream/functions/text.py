@@ -86,7 +86,7 @@ def ngrams(tokens: Column, n: int) -> Column:
 def similar(a: Column, b: Column) -> Column:
     """Long enough words that differ by one letter (two from eight letters on)."""
     longest = F.greatest(F.length(a), F.length(b))
-    return (longest >= 5) & (F.levenshtein(a, b) <= F.when(longest >= 8, 2).otherwise(1))
+    return (longest >= 5) & (F.abs(F.length(a) - F.length(b)) <= 2) & F.levenshtein(a, b, 2).between(0, F.when(longest >= 8, 2).otherwise(1))
 
 
 def similarity(a: Column, b: Column) -> Column:

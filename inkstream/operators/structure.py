@@ -160,15 +160,14 @@ def slip_kind(written: Column, heard: Column) -> Column:
     """How a heard word differs from the written one (both lower-cased): same (equal numbers too), number (another one), short-swap
     (both are short words of one class), inflection (irregular plurals too), onset (clipped by up to two letters), piece, near (a
     letter or two) or other."""
-    units, plurals = (F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) for names in (UNIT_WORDS, PLURALS))
-    number = lambda w: F.coalesce(F.try_element_at(units, w).cast("long"), F.when(w.rlike("^[0-9]+$"), w.try_cast("long")))
+    among = lambda names, w: F.when(w.isin(*{*names}), F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), w))
+    number = lambda w: F.coalesce(among(UNIT_WORDS, w).cast("long"), F.when(F.substring(w, 1, 1).between("0", "9") & w.rlike("^[0-9]+$"), w.try_cast("long")))
     said, meant = number(heard), number(written)
-    irregular = F.coalesce(F.try_element_at(plurals, written) == heard, F.lit(False)) | F.coalesce(F.try_element_at(plurals, heard) == written, F.lit(False))
-    stem = lambda a, b: (a == F.concat(b, F.lit("s"))) | (a == F.concat(b, F.lit("es"))) | (a == F.concat(b, F.lit("ed"))) | (a == F.concat(b, F.lit("d"))) | (a == F.concat(b, F.lit("ing")))
+    irregular = F.coalesce(among(PLURALS, written) == heard, F.lit(False)) | F.coalesce(among(PLURALS, heard) == written, F.lit(False))
+    stem = lambda a, b: F.startswith(a, b) & F.substring(a, F.length(b) + 1, F.lit(4)).isin("s", "es", "ed", "d", "ing")
     cut = F.length(written) - F.length(heard)
-    swap = F.lit(False)
-    for g in SHORT_WORDS:
-        swap = swap | (written.isin(*g) & heard.isin(*g))
+    short = {w: i for i, g in enumerate(SHORT_WORDS) for w in g}
+    swap = F.coalesce(among(short, written) == among(short, heard), F.lit(False))
     return (
         F.when((written == heard) | F.coalesce(said == meant, F.lit(False)), "same").when(F.coalesce(said != meant, F.lit(False)), "number")
         .when(swap, "short-swap").when(stem(written, heard) | stem(heard, written) | irregular, "inflection")

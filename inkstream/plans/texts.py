@@ -109,7 +109,8 @@ def transcript_blocks(spark: SparkSession, folder: str) -> DataFrame:
 def slip_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """Kinds of difference between neighbouring words of the documents, counted."""
     docs = table(spark, folder, "documents").select(words(F.lower("text")).alias("w")).where(F.size("w") > 1)
-    pairs = docs.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))).alias("p")).select("p.a", "p.b")
+    n = F.size("w") - 1
+    pairs = docs.select(F.inline(F.arrays_zip(F.slice("w", F.lit(1), n).alias("a"), F.slice("w", F.lit(2), n).alias("b"))))
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("kind", structure.slip_kind(F.col("a"), F.col("b"))).groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
 
