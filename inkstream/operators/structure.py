@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstream.functions.text import WORD, minutes, ngrams, similar, word_count, words
+from inkstream.functions.text import WORD, minutes, similar, word_count, words
 from inkstream.functions.wordclass import PLURALS, UNIT_WORDS
 from inkstream.operators.idioms import as_of
 
@@ -140,11 +142,9 @@ def phrase_places(docs: DataFrame, phrases: DataFrame, key: str, phrase: str, an
 
     Places of a phrase's first words are found by a join of small rows (no row carries its document's words); only documents
     with such a place are looked at again, for the rest of the phrase."""
-    first = F.least(F.size("w"), F.lit(anchor))
-    keyed = phrases.where(F.size("w") > 0).select(phrase, F.col("w").alias("_p"), first.alias("_n"), F.array_join(F.slice("w", 1, first), " ").alias("gram"))
+    keyed = phrases.where(F.size("w") > 0).select(phrase, F.col("w").alias("_p"), F.least(F.size("w"), F.lit(anchor)).alias("_n"))
     sizes = range(1, anchor + 1)
-    grams = docs.select(key, F.explode(F.flatten(F.array(*map(_sized, sizes)))).alias("g")).select(key, "g.*")
-    hits = grams.join(keyed.select(phrase, F.col("_n").alias("n"), "gram"), ["n", "gram"]).select(phrase, key, "position")
+    hits = reduce(DataFrame.union, [_starts(docs, keyed, key, phrase, n) for n in sizes])
     near = hits.join(keyed.select(phrase, "_p"), phrase).groupBy(key).agg(F.collect_list(F.struct(phrase, "position", "_p")).alias("_hits"))
     looked = docs.join(near, key)
     whole = F.filter("_hits", lambda h: F.slice("w", h["position"] + 1, F.size(h["_p"])) == h["_p"])
@@ -152,8 +152,14 @@ def phrase_places(docs: DataFrame, phrases: DataFrame, key: str, phrase: str, an
     return looked.select(key, F.explode(rows).alias("r")).select(F.col(f"r.{phrase}").alias(phrase), key, "r.position", "r.size", "r.context")
 
 
-def _sized(n: int) -> Column:
-    return F.transform(ngrams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g["position"].alias("position"), g["gram"].alias("gram")))
+def _starts(docs: DataFrame, keyed: DataFrame, key: str, phrase: str, n: int) -> DataFrame:
+    """phrase, key, position of the places of the first n words of those phrases that are known by so many. Where there are none such,
+    the texts are not read for them."""
+    names = [f"_{i}" for i in range(n)]
+    grams = F.arrays_zip(*[F.slice("w", F.lit(i + 1), F.size("w")).alias(c) for i, c in enumerate(names)])
+    rows = docs.select(key, F.posexplode(grams).alias("position", "g")).select(key, "position", *[F.col(f"g.{c}").alias(c) for c in names])
+    firsts = keyed.where(F.col("_n") == n).select(phrase, *[F.get("_p", i).alias(c) for i, c in enumerate(names)])
+    return rows.join(firsts, names).select(phrase, key, "position")
 
 
 def slip_kind(written: Column, heard: Column) -> Column:
