@@ -93,16 +93,21 @@ word_runs = word_runs.asNondeterministic()
 
 def stand_in_transcript(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """key, tokens, heard: array of (text, start, end, confidence), read with deterministic slips; and the text, if asked for."""
-    tokens = words(F.col(text))
-    slip = lambda i: F.pmod(F.col(key) * 31 + i, F.lit(MODULUS))
-    spoken = lambda t, i, late: F.struct(t.alias("text"), (i * STEP + late).alias("start"), (i * STEP + late + LENGTH).alias("end"), F.lit(0.9).alias("confidence"))
-    one = lambda t, i: (
-        F.when(slip(i) == DROPPED, F.filter(F.array(spoken(t, i, 0.0)), lambda _: F.lit(False)))
-        .when(slip(i) == REPLACED, F.array(spoken(F.lit("slipped"), i, 0.0)))
-        .when(slip(i) == FOLLOWED, F.array(spoken(t, i, 0.0), spoken(F.lit("added"), i, 0.05)))
-        .otherwise(F.array(spoken(t, i, 0.0)))
-    )
-    return docs.select(key, *[text] * keep_text, tokens.alias("tokens")).withColumn("heard", F.flatten(F.transform("tokens", one)))
+    slip = lambda i: F.coalesce(F.pmod(F.col(key) * 31 + i, F.lit(MODULUS)), F.lit(MODULUS))
+    n = F.size("tokens")
+    # The slips follow each other: where a token is dropped the next two move up by one, and what is added has the place of the latter.
+    up = lambda p: p < FOLLOWED
+    low, high = F.when(up(slip(F.lit(-1))), -1).otherwise(0), F.when(up(slip(n - 1)), n - 2).otherwise(n - 1)
+
+    def spoken(at: Column) -> Column:
+        p = slip(at)
+        i, late = F.when(up(p), at + 1).otherwise(at), F.when(p == FOLLOWED, 0.05).otherwise(0.0)
+        said = F.when(p == DROPPED, "slipped").when(p == FOLLOWED, "added").otherwise(F.get("tokens", i))
+        word = lambda t, start: F.struct(t.alias("text"), start.alias("start"), (start + LENGTH).alias("end"), F.lit(0.9).alias("confidence"))
+        return F.when(p > FOLLOWED, word(F.get("tokens", at), at * STEP)).otherwise(word(said, i * STEP + late))
+
+    places = F.when((n > 0) & (high >= low), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    return docs.select(key, *[text] * keep_text, words(F.col(text)).alias("tokens")).withColumn("heard", F.transform(places, spoken))
 
 
 def valid_words(heard: Column, duration: Column | None = None) -> Column:
@@ -293,7 +298,7 @@ def _gaps(chapters: DataFrame, limit: float) -> Column:
     word = lambda i, f: F.get("heard", i)[f]
     every = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
     place = lambda at, a, z: F.struct(at.alias("at"), a.alias("a"), z.alias("z"))
-    gaps = F.filter(F.transform(every, lambda i: place(i, word(i, "end"), word(i + 1, "start"))), lambda p: p["z"] - p["a"] > limit)
+    gaps = F.transform(F.filter(every, lambda i: word(i + 1, "start") - word(i, "end") > limit), lambda i: place(i, word(i, "end"), word(i + 1, "start")))
     if "silences" not in chapters.columns:
         return gaps
     long = F.filter("silences", lambda s: (s["end"] - s["start"] > limit) & (s["end"] > word(F.lit(0), "start")) & (s["start"] < word(n - 1, "end")))

@@ -139,8 +139,9 @@ def align_pickups(spark: SparkSession, folder: str) -> DataFrame:
 def _read(spark: SparkSession, folder: str) -> DataFrame:
     """The stand-in readings, each third document with five seconds of silence before its tenth word."""
     docs = _docs(spark, folder)
-    late = lambda w: F.when(F.col("doc_id") % 3 == 0, F.when(w["start"] >= 4, 5.0).otherwise(0.0)).otherwise(0.0)
-    heard = F.transform("heard", lambda w: w.withField("start", w["start"] + late(w)).withField("end", w["end"] + late(w)))
+    late = lambda w: F.when(w["start"] >= 4, 5.0).otherwise(0.0)
+    moved = F.transform("heard", lambda w: F.struct(w["text"].alias("text"), (w["start"] + late(w)).alias("start"), (w["end"] + late(w)).alias("end"), w["confidence"].alias("confidence")))
+    heard = F.when(F.col("doc_id") % 3 == 0, moved).otherwise(F.col("heard"))
     return proof.stand_in_transcript(docs, "doc_id", "text", True).withColumns({"heard": heard, "duration": F.lit(None).cast("double")})
 
 
