@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.operators import merge as M
-from inkstream.sources.tables import CHAPTERS_SQL, TOLD_SQL, chapters, table, told_pickups
+from inkstream.sources.tables import CHAPTERS_SQL, TOLD_SQL, chapters, dealt, table, told_pickups
 
 
 def _chapters(spark: SparkSession, folder: str, theirs: bool) -> DataFrame:
@@ -14,12 +14,12 @@ def _chapters(spark: SparkSession, folder: str, theirs: bool) -> DataFrame:
     own = 1 if theirs else 0
     audio = F.when((k + own) % 3 != 0, F.concat(F.lit("take/"), (k % (5 + own)).cast("string")))
     status = F.when(k % (4 + own) == 0, "approved").when(k % 2 == 0, "draft")
-    rows = chapters(spark, folder).where(k % (7 if theirs else 11) != 0)
+    rows = dealt(chapters(spark, folder), "chapter_id").where(k % (7 if theirs else 11) != 0)
     return rows.select("chapter_id", (k % (9 + own) == 0).cast("int").alias("script"), audio.alias("audio"), (k % (2 + own) == 0).alias("aligned"), status.alias("status"), F.when(k % 5 != 0, k % (3 + own)).alias("updated_at"))
 
 
 def _pickups(spark: SparkSession, folder: str, theirs: bool) -> DataFrame:
-    rows = told_pickups(spark, folder)
+    rows = dealt(told_pickups(spark, folder).select("id", "line", "status"), "id")
     if not theirs:
         return rows.where("line % 5 <> 0").select("id", "status", F.when(F.col("line") == 3, "kept").alias("note"))
     return rows.select("id", F.when(F.col("line") % 2 == 0, "done").otherwise(F.col("status")).alias("status"), F.when(F.col("line") == 4, "theirs").alias("note"))

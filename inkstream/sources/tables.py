@@ -68,6 +68,16 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Fixed value: parts for each split of a file, where rows are dealt by a key.
+PARTS = 8
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table dealt by a key into parts whose number grows with its files, so that what a task sorts, joins or counts does not."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), PARTS * rows.rdd.getNumPartitions())
+    return rows.repartition(parts, *keys)
+
+
 #: The same rows in SQL, as common table expressions.
 PICKUPS_SQL = f"""p AS (SELECT l_orderkey AS chapter_id, l_linenumber AS line, l_partkey AS word_id,
     CASE l_returnflag WHEN 'R' THEN 'skip' WHEN 'A' THEN 'insert' ELSE 'sub' END AS kind,
