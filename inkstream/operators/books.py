@@ -88,9 +88,10 @@ def violations(rows: DataFrame, table: str, key: str, rules: dict[str, Column])
     return found.select(F.lit(table).alias("table"), "key", "rule")
 
 
-def repeated_keys(rows: DataFrame, table: str, key: str) -> DataFrame:
-    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return found.select(F.lit(table).alias("table"), F.col(key).cast("string").alias("key"), F.lit("unique").alias("rule"))
+def repeated_keys(rows: DataFrame, table: str, *keys: str) -> DataFrame:
+    """(table, key, rule) of each key that more than one row has; of several columns the key is their values, joined by a colon."""
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.select(F.lit(table).alias("table"), (F.concat_ws(":", *[F.col(k).cast("string") for k in keys]) if len(keys) > 1 else F.col(keys[0]).cast("string")).alias("key"), F.lit("unique").alias("rule"))
 
 
 def orphans(rows: DataFrame, table: str, key: str, parents: DataFrame, parent: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkstream.functions.levels import traffic_light
 from inkstream.operators import books, proof
 from inkstream.operators.idioms import as_of
-from inkstream.sources.tables import CHAPTERS_SQL, PICKUPS_SQL, TOLD_SQL, chapters, pickups, table, told_pickups
+from inkstream.sources.tables import CHAPTERS_SQL, PICKUPS_SQL, TOLD_SQL, chapters, dealt, pickups, table, told_pickups
 
 
 def pickup_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,7 +170,8 @@ def catalogue_violations(spark: SparkSession, folder: str) -> DataFrame:
     rows, chap = pickups(spark, folder), chapters(spark, folder)
     rules = {"interval": F.col("t_end") >= F.col("t_start"), "confidence": F.col("confidence").between(0, 0.09), "kind": F.col("kind").isin("skip", "insert", "sub")}
     found = books.violations(rows, "pickups", "chapter_id", rules)
-    found = found.union(books.repeated_keys(rows.withColumn("place", F.concat_ws(":", F.col("chapter_id").cast("string"), F.col("line").cast("string"))), "pickups", "place"))
+    rows, chap = dealt(rows.select("chapter_id", "line"), "chapter_id"), dealt(chap.select("chapter_id"), "chapter_id")
+    found = found.union(books.repeated_keys(rows, "pickups", "chapter_id", "line"))
     found = found.union(books.repeated_keys(chap, "chapters", "chapter_id")).union(books.orphans(rows, "pickups", "chapter_id", chap, "chapter_id"))
     return found.groupBy("table", "rule").agg(F.count(F.lit(1)).alias("n"))
 
