@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +27,16 @@ def gap_sessions(df: DataFrame, keys: list[str], start: str, end: str, gap: floa
     return df.withColumn("_opens", opens.cast("long")).withColumn(out, F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], values: list[str], make: Callable[[], Scan], fields: str) -> DataFrame:
+def scan(df: DataFrame, keys: list[str], order: list[str], values: list[str], make: Callable[[], Scan], fields: str, settled: str | None = None, together: bool = False) -> DataFrame:
     """keys and the fields of the rows that a fold gives, each key's rows in order: for what depends on all rows before and is no sum.
     Rows stream through a task with the fold's own state; none is collected. `make` begins a key; its `feed` takes the values of a
-    row and its `close` ends the key, both give rows."""
+    row and its `close` ends the key, both give rows. Rows for which the column `settled` is true have their fields already and pass
+    by the fold as columns. `together` says that rows of a key are in one part, as they come from a window over the keys."""
     kinds = T._parse_datatype_string(fields).fields
     schema = T.StructType([*[df.schema[k] for k in keys], *kinds])
-    rows = df.select(*keys, *values, *[c for c in order if c not in values]).repartition(*keys).sortWithinPartitions(*keys, *order)
+    asked = [*keys, *values, *order, *([settled, *(k.name for k in kinds)] if settled else [])]
+    rows = df.select(*dict.fromkeys(asked))
+    rows = (rows if together else rows.repartition(*keys)).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fold, types = None, None, None
@@ -41,7 +45,13 @@ def scan(df: DataFrame, keys: list[str], order: list[str], values: list[str], ma
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=schema.names)
 
         for batch in batches:
-            types = types or [*(batch.column(k).type for k in keys), *to_arrow_schema(T.StructType(kinds)).types]
+            types = types or [*(batch.column(k).type for k in keys), *([batch.column(k.name).type for k in kinds] if settled else to_arrow_schema(T.StructType(kinds)).types)]
+            if settled:
+                done = batch.column(settled)
+                if done.true_count:
+                    past = batch.filter(done)
+                    yield pa.RecordBatch.from_arrays([past.column(c) for c in schema.names], names=schema.names)
+                batch = batch.filter(pc.invert(done))
             found: list[tuple] = []
             for of, row in zip(zip(*(batch.column(k).to_pylist() for k in keys)), zip(*(batch.column(v).to_pylist() for v in values))):
                 if fold is None or of != key:

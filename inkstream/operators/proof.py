@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import islice
 from math import inf
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -494,23 +496,36 @@ class _Nearest(Scan):
 
 def preserved(fresh: DataFrame, previous: DataFrame, keys: list[str], signature: list[str], at: str, values: list[str], id: str) -> DataFrame:
     """fresh with the values of the previous row of equal id, else of the nearest in time that is of equal signature and not
-    yet used; rows choose in order of time, and moved_by says how far that row is. Ids are unique within the keys. Of what no id
-    settles, the previous rows of one chapter and signature are held while the new ones stream by."""
+    yet used; rows choose in order of time, and moved_by says how far that row is. Ids are unique within the keys.
+
+    No side is joined: rows of equal id meet in a window, what no id settles in the next one, of equal signature. Where one side has a
+    single row there, that window tells who takes what; of other groups, the previous rows are held while the new ones stream by.
+    Sides that are dealt by the keys into as many parts each are not dealt again."""
     on = [*keys, *signature]
     taken = [f"_{v}" for v in values]
-    at_of = lambda df: df.withColumn(at, F.col(at).cast("double"))
-    left, right = at_of(fresh), at_of(previous).select(*[F.col(c).alias(c) for c in (*on, id)], F.col(at).alias("_at"), *[F.col(v).alias(f"_{v}") for v in values])
-    same = left.join(right.drop(*signature), [*keys, id]).select(*left.columns, *taken, F.abs(F.col(at) - F.col("_at")).alias("_gap"))
-    rest, old = left.join(right, [*keys, id], "left_anti"), right.join(left, [*keys, id], "left_anti")
-    own = [c for c in left.columns if c not in on]
-    offered = old.select(*on, F.lit(True).alias("_old"), F.col("_at"), F.col(id).alias("_id"), F.struct(*taken).alias("_taken"))
-    asked = rest.select(*on, F.lit(False).alias("_old"), F.col(at).alias("_at"), F.col(id).alias("_id"), F.struct(*own).alias("_row"))
-    both = offered.unionByName(asked, allowMissingColumns=True).withColumn("_new", ~F.col("_old"))
-    kind = lambda c: both.schema[c].dataType.simpleString()
-    found = scan(both, on, ["_new", "_at", "_id"], ["_old", "_at", "_taken", "_row"], _Nearest, f"_row {kind('_row')}, _taken {kind('_taken')}, _gap double")
-    chosen = found.select(*[F.col(c) if c in on else F.col(f"_row.{c}").alias(c) for c in left.columns], *[F.col(f"_taken.{t}").alias(t) for t in taken], "_gap")
-    met = same.unionByName(chosen)
-    return met.select(*left.columns, *[F.col(t).alias(v) for t, v in zip(taken, values)], F.col("_gap").alias("moved_by"))
+    timed = fresh.withColumn(at, F.col(at).cast("double"))
+    own = [c for c in fresh.columns if c not in on]
+    offered = previous.select(*on, F.lit(True).alias("_old"), F.col(at).cast("double").alias("_at"), F.col(id).alias("_id"), F.struct(*[F.col(v).alias(t) for v, t in zip(values, taken)]).alias("_taken"))
+    asked = timed.select(*on, F.lit(False).alias("_old"), F.col(at).alias("_at"), F.col(id).alias("_id"), F.struct(*own).alias("_row"))
+    both = offered.unionByName(asked, allowMissingColumns=True)
+    twins = Window.partitionBy(*keys, "_id")
+    known = reduce(and_, [F.col(c).isNotNull() for c in (*keys, "_id")])
+    same = known & F.bool_or("_old").over(twins) & ~F.bool_and("_old").over(twins)
+    twin = F.first(F.when(F.col("_old"), F.struct("_at", "_taken")), ignorenulls=True).over(twins)
+    rows = both.withColumns({"_same": same, "_twin": twin}).where("not (_old and _same)").withColumn("_new", F.when(F.col("_old"), 0).when(~F.col("_same"), 1).otherwise(2))
+    turn = Window.partitionBy(*on).orderBy("_new", "_at", "_id")
+    whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_old, is_asked = F.col("_new") == 0, F.col("_new") == 1
+    rows = rows.withColumns({"_olds": F.count_if(is_old).over(whole), "_asked": F.count_if(is_asked).over(whole), "_n": F.row_number().over(turn), "_when": F.max(F.when(is_asked, F.col("_at"))).over(whole)})
+    nearest = F.min_by(F.struct("_at", "_taken"), F.when(is_old, F.struct(F.abs(F.col("_at") - F.col("_when")).alias("gap"), "_at", "_id"))).over(whole)
+    rows = rows.withColumns({"_nearest": nearest, "_settled": (F.col("_new") == 2) | (F.least("_olds", "_asked") <= 1)}).where("_new > 0 or not _settled")
+    first = is_asked & (F.col("_n") == F.col("_olds") + 1)
+    found = F.when(F.col("_same"), F.col("_twin")).when(F.col("_settled") & first, F.col("_nearest"))
+    rows = rows.withColumn("_found", found).withColumns({"_gap": F.abs(F.col("_at") - F.col("_found._at")), "_taken": F.when(F.col("_old"), F.col("_taken")).otherwise(F.col("_found._taken"))})
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    met = scan(rows, on, ["_new", "_at", "_id"], ["_old", "_at", "_taken", "_row"], _Nearest, f"_row {kind('_row')}, _taken {kind('_taken')}, _gap double", "_settled", together=True)
+    chosen = [F.col(c) if c in on else F.col(f"_row.{c}").alias(c) for c in fresh.columns]
+    return met.select(*chosen, *[F.col(f"_taken.{t}").alias(v) for t, v in zip(taken, values)], F.col("_gap").alias("moved_by"))
 
 
 def scores(found: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:

@@ -63,9 +63,9 @@ def carry_over(spark: SparkSession, folder: str) -> DataFrame:
     rows = pickups(spark, folder).select("chapter_id", "line", "kind", "status", "word_id", F.col("t_start").cast("double").alias("t_start"))
     number = F.row_number().over(Window.partitionBy("chapter_id").orderBy("line", "word_id", "t_start"))
     first = F.row_number().over(Window.partitionBy("chapter_id", "line").orderBy("word_id", "t_start")) == 1
-    old = rows.where("line % 2 = 1").withColumn("id", F.when(first, F.col("line")).otherwise(1000 + number)).select("chapter_id", "kind", "id", "t_start", "status")
+    old = dealt(rows.where("line % 2 = 1"), "chapter_id").withColumn("id", F.when(first, F.col("line")).otherwise(1000 + number)).select("chapter_id", "kind", "id", "t_start", "status")
     known = (F.col("word_id") % 3 == 0) & first
-    fresh = rows.where("line % 2 = 0").withColumn("id", F.when(known, F.col("line") - 1).otherwise(100 + number)).select("chapter_id", "kind", "id", "t_start")
+    fresh = dealt(rows.where("line % 2 = 0"), "chapter_id").withColumn("id", F.when(known, F.col("line") - 1).otherwise(100 + number)).select("chapter_id", "kind", "id", "t_start")
     return proof.preserved(fresh, old, ["chapter_id"], ["kind"], "t_start", ["status"], "id")
 
 

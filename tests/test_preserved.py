@@ -1,6 +1,7 @@
 import random
 
 from inkstream.operators.proof import preserved
+from inkstream.plans import pickups
 
 
 def test_new_early_pickup_shifts_no_decision(spark):
@@ -38,3 +39,36 @@ def test_a_hot_signature_of_many_rows(spark):
     rows = spark.range(200_000).selectExpr("1 AS g", "'x' AS s", "id", "CAST(id AS DOUBLE) AS t")
     fresh, old = rows.selectExpr("g", "s", "id + 1000000 AS id", "t + 0.25 AS t"), rows.selectExpr("g", "s", "id", "t", "id AS was")
     assert preserved(fresh, old, ["g"], ["s"], "t", ["was"], "id").where("was = id - 1000000 and moved_by = 0.25").count() == 200_000
+
+
+def test_f18_ids_then_the_nearest_whatever_each_side_has(spark):
+    r = random.Random(5)
+    new, were, expected = [], [], {}
+    for g in range(150):
+        a = [(float(r.randint(0, 9)), i) for i in r.sample(range(40), r.choice([0, 1, 1, 2, 3, 6]))]
+        b = [(float(r.randint(0, 9)), i) for i in r.sample(range(40), r.choice([0, 1, 1, 2, 3, 6]))]
+        kind = {i: r.choice("xy") for _, i in a}, {i: r.choice("xy") for _, i in b}
+        same = {i for _, i in a} & {i for _, i in b}
+        expected |= {(g, i): i for i in same}
+        for s in "xy":
+            left = [[(t, i) for t, i in side if i not in same and kind[n][i] == s] for n, side in enumerate((a, b))]
+            expected |= {(g, i): was for i, was in plain(*left).items()}
+        new += [(g, kind[0][i], i, t) for t, i in a]
+        were += [(g, kind[1][i], i, t, i) for t, i in b]
+    schema = "g int, s string, id int, t double"
+    times = {(g, i): t for g, _, i, t, _ in were}
+    found = preserved(spark.createDataFrame(new, schema), spark.createDataFrame(were, schema + ", was int"), ["g"], ["s"], "t", ["was"], "id").collect()
+    assert {(x.g, x.id): x.was for x in found} == expected and len(found) == len(expected)
+    assert all(x.moved_by == (None if x.was is None else abs(x.t - times[x.g, x.was])) for x in found)
+
+
+def test_f18_rows_without_an_id_are_met_by_time_alone(spark):
+    schema = "g int, s string, id string, t double"
+    old = spark.createDataFrame([(1, "x", None, 5.0, "a"), (1, "y", None, 6.0, "b")], schema + ", was string")
+    fresh = spark.createDataFrame([(1, "x", None, 7.0), (1, "z", None, 8.0)], schema)
+    assert {(x.s, x.was, x.moved_by) for x in preserved(fresh, old, ["g"], ["s"], "t", ["was"], "id").collect()} == {("x", "a", 2.0), ("z", None, None)}
+
+
+def test_f18_each_side_of_carry_over_is_dealt_once_and_none_is_joined(spark, small):
+    plan = pickups.carry_over(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == plan.count("FileScan") == 2
