@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,21 +91,50 @@ def mixed(tracks: DataFrame, segments: DataFrame, keys: list[str], rate: int, si
     return met.select(*keys, "chunk", "length", "n1", "n2", "segments").mapInArrow(run, schema)
 
 
+def _timed(start: Column, end: Column) -> Column:
+    return start.isNotNull() & ~F.isnan(start) & (end >= start)
+
+
 def refined(baseline: DataFrame, aligned: DataFrame, keys: list[str], least: float = COVERED) -> DataFrame:
     """keys, token_index, written, start, end, confidence, adopted, coverage: the words of a live timeline, with the times of a later
     alignment where it has the word. The new times are adopted for a whole chapter, if they cover enough of it and no word then
-    begins before the one before it. Both sides: keys, token_index, start, end; baseline: written, confidence too."""
-    timed = lambda x: x.where(F.col("start").isNotNull() & ~F.isnan("start") & (F.col("end") >= F.col("start")))
-    later = timed(aligned).select(*keys, "token_index", F.col("start").alias("_start"), F.col("end").alias("_end"))
-    both = timed(baseline).join(later, [*keys, "token_index"], "left")
-    known = F.col("_start").isNotNull()
-    start = F.coalesce("_start", "start")
-    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("token_index")
-    back = start < F.lag(start).over(order)
-    marked = both.withColumn("_back", F.coalesce(back, F.lit(False))).withColumns({"coverage": F.avg(known.cast("double")).over(whole), "_falls": F.bool_or("_back").over(whole)})
-    marked = marked.withColumn("adopted", (F.col("coverage") >= least) & ~F.col("_falls"))
-    new = F.col("adopted") & known
+    begins before the one before it. Both sides: keys, token_index, start, end; baseline: written, confidence too. Words of both sides
+    meet in one window over a chapter."""
+    timed = lambda x: x.where(_timed(F.col("start"), F.col("end")))
+    later = timed(aligned).select(*keys, "token_index", F.struct("token_index", "start", "end").alias("_later"))
+    both = timed(baseline).unionByName(later, allowMissingColumns=True).withColumn("_live", F.col("_later").isNull())
+    order = Window.partitionBy(*keys).orderBy("token_index", "_live")
+    last = F.last("_later", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("_last", last).where("_live").withColumn("_new", F.when(F.col("_last.token_index") == F.col("token_index"), F.col("_last")))
+    whole = Window.partitionBy(*keys)
+    start = F.coalesce("_new.start", "start")
+    back = start < F.lag(start).over(whole.orderBy("token_index"))
+    marked = met.withColumn("_back", F.coalesce(back, F.lit(False))).withColumns({"coverage": F.avg(F.col("_new").isNotNull().cast("double")).over(whole), "_falls": F.bool_or("_back").over(whole)})
+    return _chosen(marked, keys, least)
+
+
+def refined_chapters(chapters: DataFrame, keys: list[str], least: float = COVERED) -> DataFrame:
+    """The same of chapters that are a row each, which are neither dealt nor sorted. chapters: keys, and arrays with an entry for each
+    word: written, start, end, confidence, later_start and later_end (null where the alignment does not have the word). What is made
+    of them are arrays of numbers, words become rows at the end."""
+    timed = lambda s, e: F.when(_timed(s, e), s)
+    rows = chapters.withColumns({"_at": F.zip_with("start", "end", timed), "_new": F.zip_with("later_start", "later_end", timed)})
+    rows = rows.withColumn("_new", F.zip_with("_at", "_new", lambda s, x: F.when(s.isNotNull(), x)))
+    rows = rows.withColumn("_times", F.array_compact(F.zip_with("_new", "_at", lambda x, s: F.coalesce(x, s))))
+    back = F.zip_with("_times", F.slice("_times", F.lit(2), F.size("_times")), lambda s, after: after < s)
+    coverage = F.try_divide(F.size(F.array_compact("_new")), F.size("_times"))
+    rows = rows.withColumns({"coverage": coverage, "_falls": F.coalesce(F.array_contains(back, True), F.lit(False))})
+    # outer: of an inner one Spark asks first whether there is a word, and works all this out once more for it
+    words = rows.select(*keys, "coverage", "_falls", F.posexplode_outer(F.arrays_zip("written", "_at", "end", "confidence", "_new", "later_end")).alias("token_index", "_w")).where("_w._at is not null")
+    new = F.when(F.col("_w._new").isNotNull(), F.struct(F.col("_w._new").alias("start"), F.col("_w.later_end").alias("end")))
+    return _chosen(words.select(*keys, "coverage", "_falls", "token_index", "_w.written", F.col("_w._at").alias("start"), "_w.end", "_w.confidence", new.alias("_new")), keys, least)
+
+
+def _chosen(words: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """Words with the times that their chapter adopts."""
+    marked = words.withColumn("adopted", (F.col("coverage") >= least) & ~F.col("_falls"))
+    new = F.col("adopted") & F.col("_new").isNotNull()
     return marked.select(
-        *keys, "token_index", "written", F.when(new, F.col("_start")).otherwise(F.col("start")).alias("start"), F.when(new, F.col("_end")).otherwise(F.col("end")).alias("end"),
+        *keys, "token_index", "written", F.when(new, F.col("_new.start")).otherwise(F.col("start")).alias("start"), F.when(new, F.col("_new.end")).otherwise(F.col("end")).alias("end"),
         F.when(~new, F.col("confidence")).alias("confidence"), "adopted", "coverage",
     )

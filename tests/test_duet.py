@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstream.operators import duet, signal
+from inkstream.plans import live
 
 
 def plain_mix(n1, n2, segments, rate, narrator, fade):
@@ -103,3 +104,40 @@ def test_cleaning_is_checked_frame_by_frame(spark):
 def test_attempts_at_cleaning(spark):
     rows = spark.createDataFrame([(-58.0,), (-40.0,), (-90.0,), (float("-inf"),)], "p double")
     assert [x.a for x in rows.select(signal.cleaning_attempts(F.col("p"), -60.0).alias("a")).collect()] == [[4, 12], [12], [4, 12], [12]]
+
+
+def plain_refined(base, later):
+    """Words of a chapter as [index, start, end, confidence], whether their new times are taken, and how many have one."""
+    ok = lambda s, e: s is not None and e is not None and not math.isnan(s) and e >= s
+    words = [(i, s, e, p, later[i] if ok(*later[i]) else None) for i, (s, e, p) in enumerate(base) if ok(s, e)]
+    starts = [x[0] if x else s for _, s, _, _, x in words]
+    share = sum(x is not None for *_, x in words) / len(words) if words else 0
+    taken = share >= 0.8 and all(a <= b for a, b in zip(starts, starts[1:]))
+    return [(i, *((*x, None) if taken and x else (s, e, p)), taken, share) for i, s, e, p, x in words]
+
+
+def test_f21_chapters_in_rows_are_refined_as_their_words_are(spark):
+    r, nan = random.Random(7), float("nan")
+    chapters, expected = {}, {}
+    for c in range(60):
+        n, gaps = r.choice([0, 1, 5, 12]), r.choice([0, 0, 0.1, 0.4])
+        odd = lambda s, e: r.choice([(None, e), (nan, e), (s, None), (e, s)])
+        base = [(*(odd(i, i + 0.5) if r.random() < 0.05 else (float(i), i + 0.5)), 0.9) for i in range(n)]
+        later = [(None, None) if (x := r.random()) < gaps else odd(i + 0.1, i + 0.4) if x > 0.97 else (i + 0.1 - (3 if r.random() < 0.02 else 0), i + 0.4) for i in range(n)]
+        chapters[c], expected[c] = (base, later), plain_refined(base, later)
+    rows = [(c, [f"w{i}" for i in range(len(b))], *([[float(x) if x is not None else None for x in column] for column in zip(*b)] or [[], [], []]), *([[float(x) if x is not None else None for x in column] for column in zip(*z)] or [[], []])) for c, (b, z) in chapters.items()]
+    arrays = spark.createDataFrame(rows, "c int, written array<string>, start array<double>, end array<double>, confidence array<double>, later_start array<double>, later_end array<double>")
+    want = sorted((c, i, f"w{i}", s, e, p, taken, share) for c, found in expected.items() for i, s, e, p, taken, share in found)
+    assert sorted(tuple(x) for x in duet.refined_chapters(arrays, ["c"]).collect()) == want and {x[6] for x in want} == {True, False}
+    words = lambda columns: arrays.select("c", F.posexplode(F.arrays_zip("written", *columns)).alias("token_index", "w")).select("c", "token_index", "w.written", *[F.col(f"w.{x}").alias(x.removeprefix("later_")) for x in columns])
+    aligned = words(["later_start", "later_end"]).drop("written").where("start is not null")
+    rows_of = duet.refined(words(["start", "end", "confidence"]), aligned, ["c"])
+    assert sorted(tuple(x) for x in rows_of.collect()) == want
+    assert "Join" not in rows_of._jdf.queryExecution().executedPlan().toString()
+
+
+def test_f21_words_of_timelines_are_not_dealt(spark, small):
+    plan = live.refined_timelines(spark, small)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("partial_sum", 1)[0]  # only sums of a document travel, and the texts where a file has few splits
+    assert above.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning") == 1
+    assert "Window" not in plan and "Join" not in plan and plan.count("regexp_extract_all") == 1
