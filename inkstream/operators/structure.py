@@ -102,16 +102,30 @@ SHORT_WORDS = [("the", "a", "an", "this", "that"), ("in", "on", "at", "by", "of"
 TOKEN_AND_GAP = rf"({WORD})([^\p{{L}}\p{{N}}]*)"
 
 
+def _sentences_of(docs: DataFrame, key: str, text: str, more: int = 0) -> DataFrame:
+    """key, sentence, first, last (tokens, from 0), and from and to: where the sentence `more` before begins and the one `more` after
+    ends. A text is gone through once, for its words with what follows each; no row leaves its text."""
+    parts = docs.select(key, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN_AND_GAP), F.lit(0)).alias("p"))
+    word = lambda p: F.lower(F.regexp_replace(p, r"[^\p{L}\p{N}]+$", ""))
+    ends = lambda p, i: p.rlike("[\n!?。！？]") | (F.contains(p, F.lit(".")) & ~word(p).isin(*ABBREVIATIONS)) | (i == F.size("p") - 1)
+    lasts = parts.select(key, F.array_compact(F.transform("p", lambda p, i: F.when(ends(p, i), i))).alias("e"))
+    after = lambda i: F.when(i < 0, 0).otherwise(F.get("e", i) + 1)
+    row = lambda z, i: F.struct(after(i - 1).alias("first"), z.alias("last"), after(i - 1 - more).alias("from"), F.get("e", F.least(i + more, F.size("e") - 1)).alias("to"))
+    # outer: of an inner one Spark asks first whether there is a sentence, and goes through the text once more for it
+    rows = lasts.select(key, F.posexplode_outer(F.transform("e", row)).alias("sentence", "r")).where("r is not null")
+    return rows.select(key, "sentence", "r.first", "r.last", "r.from", "r.to")
+
+
 def sentence_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, sentence, first, last (tokens, from 0): a sentence ends at a line end, at ! or ?, and at a full stop that does not
     belong to an abbreviation."""
-    both = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    parts = both.select(key, F.transform(F.regexp_extract_all("_t", F.lit(TOKEN_AND_GAP), 1), F.lower).alias("w"), F.regexp_extract_all("_t", F.lit(TOKEN_AND_GAP), F.lit(2)).alias("g")).where(F.size("w") > 0)
-    at = F.sequence(F.lit(0), F.size("w") - 1)
-    ends = lambda i: F.get("g", i).rlike("[\n!?。！？]") | (F.contains(F.get("g", i), F.lit(".")) & ~F.get("w", i).isin(*ABBREVIATIONS)) | (i == F.size("w") - 1)
-    lasts = parts.select(key, F.filter(at, ends).alias("e"))
-    rows = F.transform("e", lambda z, i: F.struct(F.when(i == 0, 0).otherwise(F.get("e", i - 1) + 1).alias("first"), z.alias("last")))
-    return lasts.select(key, F.posexplode(rows).alias("sentence", "r")).select(key, "sentence", "r.first", "r.last")
+    return _sentences_of(docs, key, text).select(key, "sentence", "first", "last")
+
+
+def token_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", more: int = 0) -> DataFrame:
+    """key, token, first, last: what line_ranges gives for every token of the texts, made from the sentences, so nothing is looked up."""
+    wide = _sentences_of(docs, key, text, more)
+    return wide.select(key, F.explode_outer(F.sequence("first", "last")).alias("token"), F.col("from").alias("first"), F.col("to").alias("last"))
 
 
 def line_ranges(ranges: DataFrame, tokens: DataFrame, key: str, more: int = 0) -> DataFrame:

@@ -85,14 +85,12 @@ def lookalikes(spark: SparkSession, folder: str) -> DataFrame:
 
 def sentence_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of each sentence of every document."""
-    return structure.sentence_ranges(table(spark, folder, "documents"))
+    return structure.sentence_ranges(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 def line_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence of every token of a document, with one sentence on either side."""
-    docs = table(spark, folder, "documents")
-    at = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("token", "_")).drop("_")
-    return structure.line_ranges(structure.sentence_ranges(docs), at, "doc_id", 1)
+    return structure.token_lines(spread(table(spark, folder, "documents").select("doc_id", "text")), more=1)
 
 
 def plain_texts(spark: SparkSession, folder: str) -> DataFrame:
