@@ -138,7 +138,8 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", ve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 (ids, counts, a), (asking, _, b) = (_unpacked(row, s) for s in "rq")
                 width = max(a.shape[1], b.shape[1])
                 a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
@@ -148,7 +149,9 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", ve
                     found += [(own, i, max(-(2**63), min(2**63 - 1, s)), n) for i, s, n in blocks.search(own, q, k)[0]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found) if found else [[]] * 4)], names=["query_id", "vec_id", "score", "n"])
 
-    parts = side(index, "r", ["shard"]).join(asked, "shard").mapInArrow(run, "query_id long, vec_id long, score long, n long")
+    # The queries of all shards together are as many as queries times shards: they are dealt to the shards, never broadcast by the driver.
+    ranked = side(index, "r", ["shard"]).repartition(shards, "shard").hint("shuffle_hash")
+    parts = ranked.join(asked.repartition(shards, "shard"), "shard").mapInArrow(run, "query_id long, vec_id long, score long, n long")
     each = parts.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int"))))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
