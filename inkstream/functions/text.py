@@ -42,6 +42,8 @@ def minutes(words: Column) -> Column:
 def _normal(token: str) -> str:
     if token.isascii():
         bare = token.lower()
+        if bare.isalnum():
+            return bare
     else:
         bare = "".join(c for c in unicodedata.normalize("NFKD", token.replace("’", "'").replace("‘", "'")) if not unicodedata.category(c).startswith("M")).lower()
     return "".join(c for c in bare if c.isalpha() or c.isnumeric() or c == "'").strip("'")

@@ -35,6 +35,8 @@ ENDINGS = [
     (6, re.compile(r"ence$"), "ense"),
     (8, re.compile(r"ll(ed|ing|er|est|ous)$"), r"l\1"),
 ]
+#: How a word ends that one of these may change, but for the first, which holds a part.
+_ANY_END = ("re", "ogue", "ence", *(x + y for x, ends in (("is", "e ed es ing ation ations"), ("ys", "e ed es ing"), ("ll", "ed ing er est ous")) for y in ends.split()))
 #: Plurals that no rule gives, and endings that make one word of another.
 PLURALS = dict(
     x.split("/")
@@ -67,12 +69,13 @@ def number_value(token: str) -> int | None:
     return done + open_ if raw else None
 
 
-@lru_cache(100_000)
 def dialect_key(token: str) -> str:
     """The spelling that stands for all spellings of a word."""
     key = token.replace("'", "")
     if key in SPELLINGS:
         return SPELLINGS[key]
+    if "our" not in key and not key.endswith(_ANY_END):
+        return key
     for least, ending, other in ENDINGS:
         if len(key) >= least:
             key = ending.sub(other, key, count=1)

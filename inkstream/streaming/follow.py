@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from inkstream.functions.text import _Normals
+from inkstream.functions.vocabulary import EIGHT, Vocabulary
 from inkstream.functions.wordclass import dialect_key, is_content, is_swap, near, number_value
-from inkstream.operators.idioms import lists
 from inkstream.streaming.recheck import MADE_UP, Heard, usable
 
 #: Seconds within which an equal word is an echo, heard words that are remembered; words looked ahead by each
@@ -99,18 +100,56 @@ def _fits(heard: str) -> _Fits:
     return _Fits(heard)
 
 
+def _plain(word: str) -> bool:
+    """Whether a word is neither a sound nor may be made up."""
+    return word != "" and word not in MADE_UP and "blank" not in word
+
+
+class Places:
+    """The words of a page as places of a vocabulary: where one word may stand is asked of many places at once."""
+
+    def __init__(self, known: Vocabulary, page: np.ndarray):
+        self.known, self.page, self.sketch = known, page, known.sketch[page]
+
+    def maybe(self, word: str, low: int, high: int) -> list[int]:
+        """The places from low up to high where `_fits` may hold: no other one has it, and few of these have not."""
+        known, size = self.known, len(word)
+        own = known.ids[word]
+        # an edit changes two bits of a sketch at most; two edits only count where one of the words has eight letters
+        part = self.sketch[low:high]
+        apart = np.bitwise_count(part ^ known.sketch[own])
+        found = apart <= (4 if size >= 8 else 2 if size >= 4 else 0)
+        if 6 <= size < 8:
+            found |= (apart <= 4) & (part & EIGHT != 0)
+        if known.is_spelled_otherwise(own):
+            found |= known.spelling[self.page[low:high]] == known.spelling[own]
+        if known.number[own] >= 0:
+            found |= known.number[self.page[low:high]] == known.number[own]
+        return (found.nonzero()[0] + low).tolist()
+
+
 class Reading:
     """A session's script: expected words in normal form, and the line (or shown row) of each. proofing: slips are looked for, so
-    the page is held to, with the two strictest recoveries; the first sure slip of a window that has an anchor is a flag."""
+    the page is held to, with the two strictest recoveries; the first sure slip of a window that has an anchor is a flag. places:
+    the same words in a vocabulary that also has all that is heard."""
 
-    def __init__(self, words: list[str], lines: list[int] | None = None, bars: Bars = Bars(), halting: bool = True, proofing: bool = False):
-        self.words, self.lines, self.bars, self.halting, self.proofing = words, lines or [0] * len(words), bars, halting, proofing
-        self.plain = [w != "" and w not in MADE_UP and "blank" not in w for w in words]
+    def __init__(self, words: list[str], lines: list[int] | None = None, bars: Bars = Bars(), halting: bool = True, proofing: bool = False, places: Places | None = None):
+        self.words, self.lines, self.bars, self.halting, self.proofing, self.places = words, lines or [0] * len(words), bars, halting, proofing, places
+        self._around: tuple[tuple[str, int] | None, list[int]] = (None, [])
         self.recoveries = (Reading.together, Reading.alone) if proofing else self.RECOVERIES
 
     def fits(self, at: int, word: str) -> bool:
         return 0 <= at < len(self.words) and word != "" and _fits(word)[self.words[at]]
 
+    def fitting(self, s: State, word: str, low: int, high: int) -> Iterator[int]:
+        """The places from low up to high that a word fits; of all that the recoveries look at, if the page has places."""
+        fit, words = _fits(word), self.words
+        if self.places is None:
+            return (k for k in range(low, min(high, len(words))) if fit[words[k]])
+        if self._around[0] != (word, s.cursor):
+            self._around = (word, s.cursor), [k for k in self.places.maybe(word, max(0, s.cursor - BACK), s.cursor + 1 + FAR) if fit[words[k]]]
+        return (k for k in self._around[1] if low <= k < high)
+
     def _only(self, places: Iterator[int]) -> int:
         """The one place there is, or -1."""
         first = next(places, -1)
@@ -120,15 +159,15 @@ class Reading:
 
     def restart(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
         """The last three or two words stand together at just one place a little behind, and say enough to be no chance."""
-        for n in (3, 2):
+        low = max(0, s.cursor - BACK)
+        behind = list(self.fitting(s, word, low + 1, s.cursor - 1))
+        for n in (3, 2) if behind else ():
             tail = s.heard[-n:]
             said = [w for w, _ in tail]
             if len(tail) < n or tail[-1][1] - tail[0][1] > RESTART_GAP or CUES.intersection(said):
                 continue
-            first, low = _fits(said[0]), max(0, s.cursor - BACK)
-            begun = (at for at, w in enumerate(self.words[low : max(low, s.cursor - n)], low) if first[w])
-            places = (at for at in begun if all(self.fits(at + k, w) for k, w in enumerate(said)))
-            at = self._only(places)
+            begun = (k - n + 1 for k in behind if k >= low + n - 1)
+            at = self._only(at for at in begun if all(self.fits(at + k, w) for k, w in enumerate(said[:-1])))
             begins = at == 0 or at > 0 and self.lines[at - 1] != self.lines[at]
             if at >= 0 and (n == 3 or begins or any(len(w) >= TELLING and is_content(w) for w in said)):
                 return [at + n - 1], "restart"
@@ -139,7 +178,7 @@ class Reading:
 
     def near(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
         """Up to three words were lost; a small word must be the very next."""
-        at = self._only(k for k in range(s.cursor + 1, s.cursor + 1 + NEAR) if self.fits(k, word))
+        at = self._only(self.fitting(s, word, s.cursor + 1, s.cursor + 1 + NEAR))
         return ([at], "skip") if at >= 0 and (at == s.cursor + 1 or is_content(word) or len(word) >= TELLING) else None
 
     def swap(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
@@ -149,8 +188,8 @@ class Reading:
         """This word and the next stand together at one place of the next 64; at a window's end, a telling word alone."""
         if not then and not (is_content(word) and len(word) >= TELLING and self.bars.sure >= 0.55):
             return None
-        fit, low = _fits(word), s.cursor + 1
-        at = self._only(k for k, w in enumerate(self.words[low : low + FAR], low) if fit[w] and (not then or self.fits(k + 1, then)))
+        low = s.cursor + 1
+        at = self._only(k for k in self.fitting(s, word, low, low + FAR) if not then or self.fits(k + 1, then))
         return ([at, at + 1] if then else [at], "skip") if at >= 0 else None
 
     def together(self, s: State, word: str, then: str, sure: float) -> tuple[list[int], str] | None:
@@ -211,7 +250,7 @@ class Reading:
     def straight(self, s: State, words: list[str], starts: list[float], ends: list[float]) -> State | None:
         """The state after a window that is read word for word, as `read` gives it; null where a word needs a closer look."""
         low, high, last, begun, heard = s.cursor, s.cursor + len(words), s.last_end, float("-inf"), list(s.heard)
-        if s.halted or self.words[low:high] != words or not all(self.plain[low:high]):
+        if s.halted or self.words[low:high] != words or not all(map(_plain, words)):
             return None
         for word, start, end in zip(words, starts, ends):
             if not begun <= start <= end or end <= last:
@@ -243,7 +282,7 @@ class Reading:
                 places.append(Place(at, -1, s.cursor, "echo"))
                 continue
             cursor, heard = s.cursor, (*s.heard[-REMEMBERED + 1 :], (h.word, h.end))
-            if self.fits(cursor, h.word):
+            if cursor < len(words) and words[cursor] == h.word or self.fits(cursor, h.word):
                 s = State(cursor + 1, h.end, heard, None, None, False, s.excused)
                 places.append(Place(at, cursor, cursor + 1, "match"))
                 continue
@@ -280,6 +319,8 @@ class Reading:
         return s, places
 
 
+#: Readings whose words are encoded together, and windows that are compared with the page at once.
+TOGETHER, STRETCH = 512, 64
 PLACES = "session string, seq long, index int, cursor int, event string"
 
 
@@ -287,33 +328,100 @@ def _words(texts: list, starts: list, ends: list, sure: list, normal: _Normals)
     return [Heard(t, normal[t or ""], a, b, min(1.0, max(0.0, c or 0.0))) for t, a, b, c in zip(texts, starts, ends, sure) if a is not None and b is not None and a == a and b == b]
 
 
+class Session(NamedTuple):
+    """A whole reading. page, heard: numbers of a vocabulary; clean: whether a heard word may be read word for word."""
+
+    page: np.ndarray
+    heard: np.ndarray
+    written: list[str]  # as the recogniser wrote it
+    starts: np.ndarray
+    ends: np.ndarray
+    sure: np.ndarray
+    clean: np.ndarray
+
+
+def _clean(heard: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Heard words that are plain, stand in order after all before them, and do not echo any of them. That is more than a reading asks
+    for, as it only knows some of the words before."""
+    if not len(heard):
+        return np.empty(0, bool)
+    latest = np.maximum.accumulate(np.concatenate([[0.0], ends]))[:-1]
+    clean = plain[heard] & (starts <= ends) & (ends > latest)
+    clean[1:] &= starts[1:] >= starts[:-1]
+    # an echo ends within so many seconds of an equal word before it: of the last one, or of any, where times fall back
+    order = np.argsort(heard, kind="stable")
+    again = order[1:][(heard[order[1:]] == heard[order[:-1]]) & ~(ends[order[1:]] - ends[order[:-1]] > ECHO)]
+    clean[again] = False
+    if not (ends[1:] >= ends[:-1]).all():
+        last: dict[int, float] = {}
+        for i, (word, end) in enumerate(zip(heard.tolist(), ends.tolist())):
+            before = last.get(word, float("-inf"))
+            clean[i] &= end - before > ECHO
+            last[word] = max(before, end)
+    return clean
+
+
+def _sessions(batch: pa.RecordBatch, known: Vocabulary) -> Iterator[Session]:
+    """The readings of a batch, their words encoded together."""
+    lists = [batch.column(c) for c in ("_words", "_text", "_start", "_end", "_confidence")]
+    bounds = [c.offsets.to_numpy() for c in lists[:2]]
+    page, text, *numbers = (c.values.slice(c.offsets[0].as_py(), c.offsets[-1].as_py() - c.offsets[0].as_py()) for c in lists)
+    distinct, (on_page, said), ids = known.encoded(page, text)
+    starts, ends, sure = (x.to_numpy(zero_copy_only=False).astype(float) for x in numbers)
+    plain = np.zeros(len(known.words), bool)
+    plain[ids] = [_plain(known.words[i]) for i in ids.tolist()]
+    on_page, heard = ids[on_page], ids[said]
+    cuts = lambda x: zip((x[:-1] - x[0]).tolist(), (x[1:] - x[0]).tolist())
+    for (a, z), (low, high) in zip(*map(cuts, bounds)):
+        timed = np.flatnonzero((starts[low:high] == starts[low:high]) & (ends[low:high] == ends[low:high])) + low
+        times = starts[timed], ends[timed]
+        yield Session(on_page[a:z], heard[timed], [distinct[k] for k in said[timed].tolist()], *times, np.clip(np.nan_to_num(sure[timed]), 0.0, 1.0), _clean(heard[timed], *times, plain))
+
+
+def _followed_alone(session: Session, known: Vocabulary, window: int, bars: Bars, halting: bool) -> tuple[int, ...]:
+    """The cursor at the end of a reading, and how often each event came. Windows that are read word for word are taken together, up to
+    the first that needs a closer look."""
+    page, heard, n, words = session.page, np.where(session.clean, session.heard, -1), len(session.heard), known.words
+    reading, s, count, i = Reading([words[k] for k in page.tolist()], None, bars, halting, places=Places(known, page)), State(), dict.fromkeys(EVENTS, 0), 0
+    said = [words[k] for k in session.heard.tolist()]
+    starts, ends, sure = (x.tolist() for x in (session.starts, session.ends, session.sure))
+    while i < n:
+        s = s.resumed() if s.halted else s
+        m = min(n - i, len(page) - s.cursor, window * STRETCH)
+        wrong = heard[i : i + m] != page[s.cursor : s.cursor + m]
+        straight = int(wrong.argmax()) if m > 0 and wrong.any() else max(m, 0)
+        if i + straight < n:
+            straight -= straight % window
+        if straight:
+            z = i + straight
+            last = range(max(i, z - REMEMBERED), z)
+            s = State(s.cursor + straight, ends[z - 1], (*s.heard, *((said[k], ends[k]) for k in last))[-REMEMBERED:], None, None, False, s.excused)
+            count["match"], i = count["match"] + straight, z
+            continue
+        z = i + window
+        s, places = reading.read(s, usable(list(map(Heard, session.written[i:z], said[i:z], starts[i:z], ends[i:z], sure[i:z]))), i)
+        for p in places:
+            count[p.event] += 1
+        i = z
+    return s.cursor, *count.values()
+
+
 def counted(rows: DataFrame, words: str, heard: str, window: int = 3, bars: Bars = Bars(), halting: bool = True) -> DataFrame:
     """rows without words and heard, and: cursor at the end, and how often each event came. A row is a whole session: its expected
     words, and what was heard (array of text, start, end, confidence), read in windows of so many words. A reader who is halted
     carries on at the next window. No shuffle, and only counts leave the workers."""
     kept = [c for c in rows.columns if c not in (words, heard)]
-    part = lambda name: F.transform(heard, lambda w: w[name]).alias(f"_{name}")
+    part = lambda name: F.col(heard)[name].alias(f"_{name}")
     sent = rows.select(*kept, F.col(words).alias("_words"), *map(part, ("text", "start", "end", "confidence")))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept] + ["cursor long"] + [f"{e} long" for e in EVENTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normal = _Normals()
+        known = Vocabulary()
         for batch in batches:
             found = []
-            for script, *said in zip(*(lists(batch.column(c)) for c in ("_words", "_text", "_start", "_end", "_confidence"))):
-                reading, s, count = Reading([normal[w or ""] for w in script], None, bars, halting), State(), dict.fromkeys(EVENTS, 0)
-                known = [(t, normal[t or ""], a, b, c) for t, a, b, c in zip(*said) if a == a and b == b]
-                texts, plain, starts, ends, sure = map(list, zip(*known)) if known else ([], [], [], [], [])
-                for i in range(0, len(known), window):
-                    z, s = i + window, s.resumed() if s.halted else s
-                    if then := reading.straight(s, plain[i:z], starts[i:z], ends[i:z]):
-                        count["match"] += then.cursor - s.cursor
-                        s = then
-                        continue
-                    s, places = reading.read(s, usable(_words(texts[i:z], starts[i:z], ends[i:z], sure[i:z], normal)), i)
-                    for p in places:
-                        count[p.event] += 1
-                found.append((s.cursor, *count.values()))
+            for at in range(0, batch.num_rows, TOGETHER):
+                known.start()
+                found += [_followed_alone(session, known, window, bars, halting) for session in _sessions(batch.slice(at, TOGETHER), known)]
             columns = [pa.array(c, pa.int64()) for c in zip(*found)]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *columns], names=[*kept, "cursor", *EVENTS])
 
