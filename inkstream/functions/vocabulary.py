@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,9 @@ import pyarrow as pa
 from inkstream.functions.text import _Normals
 from inkstream.functions.wordclass import _PIECE, CLASSES, CLOSED, dialect_key, is_function, number_value
 
-#: Fixed value: distinct words of a worker that are remembered; a bound on memory, not on the input.
-REMEMBERED = 300_000
+#: Distinct words of a worker that are remembered, and readings whose words are encoded together; bounds on memory, not on
+#: the input.
+REMEMBERED, TOGETHER = 300_000, 512
 _CLASSES = {w: sum((w in c) << k for k, c in enumerate(CLASSES)) for w in CLOSED}
 _NUMBER = re.compile(rf"\d|{_PIECE.pattern}")
 
@@ -91,3 +93,30 @@ class Vocabulary:
         written = coded.dictionary.to_pylist()
         places = np.split(coded.indices.to_numpy(), np.cumsum([len(c) for c in columns])[:-1])
         return written, places, self.add([w.lower() if w.isascii() and w.isalnum() else self.normal[w] for w in written])
+
+
+class Readings(NamedTuple):
+    """Pages, and what was heard of them, one after the other. page, heard: numbers of a vocabulary."""
+
+    page: np.ndarray
+    pages: np.ndarray  # where each page begins, and the end
+    heard: np.ndarray
+    words: np.ndarray  # where what is heard of each begins, and the end
+    distinct: list[str]
+    written: np.ndarray  # which of the distinct words each heard one is, as the recogniser wrote it
+    starts: np.ndarray
+    ends: np.ndarray
+    sure: np.ndarray  # from 0 to 1
+
+    def text(self, at: int) -> str:
+        return self.distinct[self.written[at]]
+
+
+def readings(batch: pa.RecordBatch, known: Vocabulary) -> Readings:
+    """The readings of rows with _words, _text, _start, _end and _confidence (arrays). A time that is null is not a number."""
+    lists = [batch.column(c) for c in ("_words", "_text", "_start", "_end", "_confidence")]
+    pages, words = (c.offsets.to_numpy() for c in lists[:2])
+    page, text, *numbers = (c.values.slice(c.offsets[0].as_py(), c.offsets[-1].as_py() - c.offsets[0].as_py()) for c in lists)
+    distinct, (on_page, written), ids = known.encoded(page, text)
+    starts, ends, sure = (x.to_numpy(zero_copy_only=False).astype(float) for x in numbers)
+    return Readings(ids[on_page], pages - pages[0], ids[written], words - words[0], distinct, written, starts, ends, np.clip(np.nan_to_num(sure), 0.0, 1.0))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from inkstream.functions.text import _Normals
-from inkstream.functions.vocabulary import EIGHT, Vocabulary
+from inkstream.functions.vocabulary import EIGHT, TOGETHER, Vocabulary, readings
 from inkstream.functions.wordclass import dialect_key, is_content, is_swap, near, number_value
 from inkstream.streaming.recheck import MADE_UP, Heard, usable
 
@@ -319,8 +319,8 @@ class Reading:
         return s, places
 
 
-#: Readings whose words are encoded together, and windows that are compared with the page at once.
-TOGETHER, STRETCH = 512, 64
+#: Windows that are compared with the page at once.
+STRETCH = 64
 PLACES = "session string, seq long, index int, cursor int, event string"
 
 
@@ -362,20 +362,17 @@ def _clean(heard: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.nd
 
 
 def _sessions(batch: pa.RecordBatch, known: Vocabulary) -> Iterator[Session]:
-    """The readings of a batch, their words encoded together."""
-    lists = [batch.column(c) for c in ("_words", "_text", "_start", "_end", "_confidence")]
-    bounds = [c.offsets.to_numpy() for c in lists[:2]]
-    page, text, *numbers = (c.values.slice(c.offsets[0].as_py(), c.offsets[-1].as_py() - c.offsets[0].as_py()) for c in lists)
-    distinct, (on_page, said), ids = known.encoded(page, text)
-    starts, ends, sure = (x.to_numpy(zero_copy_only=False).astype(float) for x in numbers)
+    """The readings of a batch, their words encoded together. A word without times does not count."""
+    r = readings(batch, known)
     plain = np.zeros(len(known.words), bool)
-    plain[ids] = [_plain(known.words[i]) for i in ids.tolist()]
-    on_page, heard = ids[on_page], ids[said]
-    cuts = lambda x: zip((x[:-1] - x[0]).tolist(), (x[1:] - x[0]).tolist())
-    for (a, z), (low, high) in zip(*map(cuts, bounds)):
-        timed = np.flatnonzero((starts[low:high] == starts[low:high]) & (ends[low:high] == ends[low:high])) + low
-        times = starts[timed], ends[timed]
-        yield Session(on_page[a:z], heard[timed], [distinct[k] for k in said[timed].tolist()], *times, np.clip(np.nan_to_num(sure[timed]), 0.0, 1.0), _clean(heard[timed], *times, plain))
+    used = np.unique(r.heard)
+    plain[used] = [_plain(known.words[i]) for i in used.tolist()]
+    timed = np.flatnonzero((r.starts == r.starts) & (r.ends == r.ends))
+    bounds = np.searchsorted(timed, r.words).tolist()
+    for a, z, low, high in zip(r.pages[:-1].tolist(), r.pages[1:].tolist(), bounds, bounds[1:]):
+        at = timed[low:high]
+        times = r.starts[at], r.ends[at]
+        yield Session(r.page[a:z], r.heard[at], [r.distinct[k] for k in r.written[at].tolist()], *times, r.sure[at], _clean(r.heard[at], *times, plain))
 
 
 def _followed_alone(session: Session, known: Vocabulary, window: int, bars: Bars, halting: bool) -> tuple[int, ...]:

@@ -12,12 +12,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.functions.text import _Normals
-from inkstream.functions.wordclass import CLOSED, is_content, is_function, is_piece, is_plausible, is_swap, likeness, number_value, same_word, slip
+from inkstream.functions.vocabulary import TOGETHER, Readings, Vocabulary, readings
+from inkstream.functions.wordclass import CLOSED, dialect_key, distance, is_content, is_function, is_piece, is_plausible, is_swap, likeness, number_value, same_word, slip
 
 #: Scores of a pair of words, of a word that is not read and of one that is not written; likeness from which words
 #: are similar.
@@ -98,14 +99,106 @@ def aligned(heard: list[str], page: list[str]) -> list[Pair]:
     return pairs[::-1]
 
 
+#: Fixed value: letters of the longest words whose distances are taken together.
+LONGEST = 32
+
+
+def distances(known: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`distance` of pairs of words of a vocabulary, all at once: a column of the table of edits is two numbers of bits, where it rises
+    and where it falls (Myers)."""
+    used, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    words = [known.words[k] for k in used.tolist()]
+    short = np.flatnonzero(known.size[used] <= LONGEST)
+    letters = np.zeros((len(used), LONGEST), np.uint32)
+    text = np.frombuffer("".join(words[k] for k in short.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters[short] = np.where(np.arange(LONGEST) < known.size[used][short][:, None], 1, 0)
+    letters[letters > 0] = text + 1
+    x, y = letters[places[: len(a)]], letters[places[len(a) :]]
+    m, n, one = known.size[a], known.size[b], np.uint64(1)
+    last = one << np.maximum(m - 1, 0).astype(np.uint64)
+    rises, falls, found = np.full(len(a), 2**LONGEST - 1, np.uint64), np.zeros(len(a), np.uint64), m.copy()
+    for j in range(min(LONGEST, n.max(initial=0))):
+        same = np.packbits(x == np.where(y[:, j] > 0, y[:, j], 2**32 - 1)[:, None], 1, "little").view(np.uint32).ravel().astype(np.uint64)
+        diagonal = (((same & rises) + rises) ^ rises) | same | falls
+        up, down = falls | ~(diagonal | rises), rises & diagonal
+        inside = j < n
+        found += inside & (up & last != 0)
+        found -= inside & (down & last != 0)
+        up, down = (up << one) | one, down << one
+        falls, rises = up & diagonal, down | ~(up | diagonal)
+    found[m == 0] = n[m == 0]
+    for k in np.flatnonzero((m > LONGEST) | (n > LONGEST)).tolist():
+        found[k] = distance(known.words[a[k]], known.words[b[k]])
+    return found
+
+
+def pair_scores(known: Vocabulary, expected: np.ndarray, heard: np.ndarray) -> np.ndarray:
+    """`pair_score` of pairs of words of a vocabulary. Edits are only counted where the sketches leave the words alike enough."""
+    e, h = expected, heard
+    size, number, both = np.maximum(np.maximum(known.size[e], known.size[h]), 1), known.number[e] >= 0, (known.size[e] > 0) & (known.size[h] > 0)
+    number &= known.number[h] >= 0
+    equal = known.number[e] == known.number[h]
+    same = both & ((e == h) | number & equal | (known.spelling[e] == known.spelling[h]))
+    alike = ~same & both & (1 - (np.bitwise_count(known.sketch[e] ^ known.sketch[h]) + 1) // 2 / size >= ENOUGH)
+    at = np.flatnonzero(alike)
+    alike[at] = 1 - distances(known, h[at], e[at]) / size[at] >= ENOUGH
+    swap = (e != h) & ((known.classes[e] & known.classes[h] > 0) | number & ~equal)
+    other = np.where(known.function[e] == known.function[h], MISMATCH, CROSS_CLASS)
+    return np.where(same, EXACT, np.where(alike, SIMILAR, np.where(swap, SWAP, other)))
+
+
+def aligned_together(known: Vocabulary, looks: list[tuple[list[str], list[str]]]) -> list[list[Pair]]:
+    """`aligned` of many windows (what is heard, and the page), the longest first through the same steps."""
+    if not looks:
+        return []
+    order = sorted(range(len(looks)), key=lambda k: -len(looks[k][0]))
+    high, wide = len(looks[order[0]][0]), max(len(page) for _, page in looks)
+    heard, page = np.zeros((len(looks), high), np.int64), np.zeros((len(looks), wide), np.int64)
+    many, width = (np.array([len(looks[k][side]) for k in order]) for side in (0, 1))
+    ids = known.add([w for k in order for side in looks[k] for w in side])
+    at = 0
+    for row, (m, n) in enumerate(zip(many.tolist(), width.tolist())):
+        heard[row, :m], page[row, :n], at = ids[at : at + m], ids[at + m : at + m + n], at + m + n
+    rows, i, j = np.nonzero((np.arange(high) < many[:, None])[:, :, None] & (np.arange(wide) < width[:, None])[:, None, :])
+    score = np.zeros((len(looks), high, wide))
+    score[rows, i, j] = pair_scores(known, page[rows, j], heard[rows, i])
+    best, steps = np.zeros((len(looks), wide + 1)), np.zeros((len(looks), high, wide + 1), np.int8)  # a step: 2 pairs, 1 goes up, 0 left
+    steps[:, :, 0] = 1
+    for i in range(high):
+        live = int(np.searchsorted(-many, -i))  # windows with more words than i
+        old, row = best[:live].copy(), best[:live]
+        row[:, 0] = old[:, 0] + UNWRITTEN
+        for j in range(wide):
+            pair, up, left = old[:, j] + score[:live, i, j], old[:, j + 1] + UNWRITTEN, row[:, j] + UNREAD
+            beside = np.maximum(up, left)
+            steps[:live, i, j + 1] = np.where(pair >= beside, 2, up >= left)
+            np.maximum(pair, beside, out=row[:, j + 1])
+    best[np.arange(wide + 1) > width[:, None]] = -np.inf
+    found: list[list[Pair]] = [[]] * len(looks)
+    for row, end in enumerate(best.argmax(1).tolist()):
+        i, j, pairs, step = int(many[row]), end, [], steps[row].tolist()
+        while i:
+            name = step[i - 1][j]
+            if name == 2:
+                value = score[row, i - 1, j - 1]
+                pairs.append(Pair(i - 1, j - 1, "exact" if value == EXACT else "similar" if value == SIMILAR else "mismatch"))
+            i, j = i - (name > 0), j - (name != 1)
+        found[order[row]] = pairs[::-1]
+    return found
+
+
 def unglued(words: list[Heard], page: list[str]) -> list[Heard]:
     """Words that were written together are parted where both halves are words of the page side by side, one of them perhaps
     with a slip."""
     beside, out = list(zip(page, page[1:])), []
+    spellings, numbers = {dialect_key(e) for e in page if e}, {number_value(e) for e in page} - {None}
+    written = lambda x: dialect_key(x) in spellings or number_value(x) in numbers
     for w in words:
-        cuts = range(2, len(w.word) - 1) if len(w.word) >= 6 and not any(same_word(w.word, e) for e in page) else ()
+        cuts = range(2, len(w.word) - 1) if len(w.word) >= 6 and not written(w.word) else ()
         for cut in cuts:
             left, right = w.word[:cut], w.word[cut:]
+            if not written(left) and not written(right):
+                continue
             fits = ((same_word(left, a), same_word(right, b), a, b) for a, b in beside)
             if any(x and y or x and is_plausible(b, right) or y and is_plausible(a, left) for x, y, a, b in fits):
                 at = w.start + (w.end - w.start) * cut / len(w.word)
@@ -184,6 +277,23 @@ def flagged(page: list[str], heard: list[Heard], cursor: int, read: int, offset:
 
     A slip of a bounded kind, or a word that is quite another, comes first; one that only sounds alike is told if the window has
     no other, not even a dismissed one."""
+    looked = _looked(page, heard, cursor, read, offset)
+    return looked and _judged(aligned([w.word for w in looked.heard], looked.part), looked, dismissed, least, anchored)
+
+
+class Look(NamedTuple):
+    """A window that needs an alignment. part: what of the page may have been read, from `low` of it on."""
+
+    page: list[str]
+    heard: list[Heard]
+    part: list[str]
+    low: int
+    cursor: int
+    read: int
+    offset: int
+
+
+def _looked(page: list[str], heard: list[Heard], cursor: int, read: int, offset: int) -> Look | None:
     heard = usable(heard)
     if not heard or not page:
         return None
@@ -195,7 +305,11 @@ def flagged(page: list[str], heard: list[Heard], cursor: int, read: int, offset:
     said = [w.word for w in heard]
     if any(said == part[k : k + len(said)] for k in range(len(part) - len(said) + 1)):
         return None  # read as it is written: no alignment is better
-    pairs = aligned(said, part)
+    return Look(page, heard, part, low, cursor, read, offset)
+
+
+def _judged(pairs: list[Pair], look: Look, dismissed: frozenset[str], least: float, anchored: bool = True) -> Flag | None:
+    page, heard, part, low, cursor, read, offset = look
     anchor, similar, seen = any(p.kind == "exact" for p in pairs), None, False
     for at, p in enumerate(pairs):
         w, e, index = heard[p.heard], part[p.expected], offset + low + p.expected
@@ -260,20 +374,105 @@ def flags(rows: DataFrame, least: float = ALONE, dismissed: Column | None = None
     given = F.array().cast("array<string>") if dismissed is None else F.coalesce(dismissed, F.array())
     sent = rows.select(*kept, "cursor", "read", "offset", "page", given.alias("_dismissed"), *map(part, ("text", "start", "end", "confidence")))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept] + [FLAGS])
-    names, kinds = [x.split()[0] for x in FLAGS.split(", ")], [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normal = _Normals()
+        known = Vocabulary()
         for batch in batches:
-            at, found = [], []
+            known.start()
+            normal, at, looks, gone = known.normal, [], [], []
             columns = (batch.column(c).to_pylist() for c in ("cursor", "read", "offset", "page", "_dismissed", "_text", "_start", "_end", "_confidence"))
-            for i, (cursor, read, offset, page, gone, *said) in enumerate(zip(*columns)):
+            for i, (cursor, read, offset, page, out, *said) in enumerate(zip(*columns)):
                 words = [Heard(t, normal[t or ""], s, e, min(1.0, max(0.0, c or 0.0))) for t, s, e, c in zip(*(x or [] for x in said)) if s is not None and e is not None]
-                flag = flagged([normal[x or ""] for x in page or []], words, cursor, read, offset, frozenset(gone), least)
-                if flag:
+                if look := _looked([normal[x or ""] for x in page or []], words, cursor, read, offset):
                     at.append(i)
-                    found.append(flag)
-            rest = batch.select(kept).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, *[pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * len(names), kinds)]], names=[*kept, *names])
+                    looks.append(look)
+                    gone.append(frozenset(out))
+            found = _judged_together(known, looks, gone, least)
+            yield _flag_rows(batch.select(kept), [(at[k], flag) for k, flag in found])
 
     return sent.mapInArrow(run, schema)
+
+
+def _judged_together(known: Vocabulary, looks: list[Look], dismissed: list[frozenset[str]] | None, least: float) -> list[tuple[int, Flag]]:
+    """The looks that tell a slip, by their numbers, and the slips."""
+    pairs = aligned_together(known, [([w.word for w in x.heard], x.part) for x in looks])
+    flags = (_judged(p, x, dismissed[k] if dismissed else frozenset(), least) for k, (p, x) in enumerate(zip(pairs, looks)))
+    return [(k, flag) for k, flag in enumerate(flags) if flag]
+
+
+def _flag_rows(rows: pa.RecordBatch, found: list[tuple[int, Flag]]) -> pa.RecordBatch:
+    names, kinds = [x.split()[0] for x in FLAGS.split(", ")], [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+    rest, values = rows.take(pa.array([i for i, _ in found], pa.int64())), list(zip(*(flag for _, flag in found))) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([*rest.columns, *map(pa.array, values, kinds)], names=[*rows.schema.names, *names])
+
+
+def session_flags(sessions: DataFrame, tokens: str, heard: str, step: float, hop: int = PHRASE, least: float = ALONE) -> DataFrame:
+    """`flags` of the `windows` of sessions, without a row for each window: they are cut out of a session's arrays where these are
+    read, and those that are read as written are left out at once."""
+    kept = [c for c in sessions.columns if c not in (tokens, heard)]
+    part = lambda name: F.col(heard)[name].alias(f"_{name}")
+    sent = sessions.select(*kept, F.col(tokens).alias("_words"), *map(part, ("text", "start", "end", "confidence")))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sessions.schema.fields if f.name in kept] + ["window int", FLAGS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary()
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                known.start()
+                some = batch.slice(at, TOGETHER)
+                rows, numbers, looks = _looks(readings(some, known), known, step, hop)
+                found = _judged_together(known, looks, None, least)
+                windows = pa.array([numbers[k] for k, _ in found], pa.int32())
+                each = some.select(kept).take(pa.array([rows[k] for k, _ in found], pa.int64()))
+                yield _flag_rows(pa.RecordBatch.from_arrays([*each.columns, windows], names=[*kept, "window"]), [(k, flag) for k, (_, flag) in enumerate(found)])
+
+    return sent.mapInArrow(run, schema)
+
+
+def _looks(r: Readings, known: Vocabulary, step: float, hop: int) -> tuple[list[int], list[int], list[Look]]:
+    """The windows of readings that need an alignment: whose they are, their numbers, and they."""
+    size = np.diff(r.pages)
+    each = -(-size // hop)
+    row = np.repeat(np.arange(len(size)), each)
+    window = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+    page = r.pages[row] + window * hop
+    wide = np.minimum(hop + PHRASE, r.pages[row + 1] - page)
+    near_by = (r.words[row] + np.maximum(1, window * hop - 2 * hop) - 1)[:, None] + np.arange(5 * hop)
+    inside = near_by < r.words[row + 1][:, None]
+    near_by[~inside] = 0
+    start = r.starts[near_by] if len(r.starts) else np.zeros(near_by.shape)
+    inside &= (start >= (window * hop * step)[:, None]) & (start < ((window + 1) * hop * step)[:, None])
+    many, first = inside.sum(1), near_by[np.arange(len(row)), inside.argmax(1)]
+    # what is read as written: words side by side, in order, that count, and the same as at some place of the page
+    counts = np.zeros(len(known.words), bool)
+    used = np.unique(r.heard)
+    counts[used] = [known.words[k] != "" and known.words[k] not in SOUNDS for k in used.tolist()]
+    odd = ~(counts[r.heard] & (r.starts <= r.ends))
+    fall = np.concatenate([[False], r.starts[1:] < r.starts[:-1]])[: len(odd)]
+    odds, falls = (np.concatenate([[0], np.cumsum(x)]) for x in (odd, fall))
+    last = first + many
+    last_in = near_by[np.arange(len(row)), inside.shape[1] - 1 - inside[:, ::-1].argmax(1)]
+    asked = many > 0
+    at = np.flatnonzero(asked)
+    at = at[(last_in[at] + 1 == last[at]) & (odds[last[at]] == odds[first[at]]) & (falls[last[at]] == falls[first[at] + 1])]
+    for shift in range(hop + PHRASE):
+        at = at[many[at] + shift <= wide[at]]
+        if not len(at):
+            break
+        k = np.arange(int(many[at].max()))
+        within = k < many[at][:, None]
+        same = ~within | (r.heard[np.where(within, first[at][:, None] + k, 0)] == r.page[np.where(within, page[at][:, None] + shift + k, 0)])
+        straight = same.all(1)
+        asked[at[straight]] = False
+        at = at[~straight]
+    rows, numbers, looks = [], [], []
+    for w in np.flatnonzero(asked).tolist():
+        said = near_by[w][inside[w]].tolist()
+        words = [Heard(r.text(k), known.words[r.heard[k]], *x) for k, x in zip(said, zip(r.starts[said].tolist(), r.ends[said].tolist(), r.sure[said].tolist()))]
+        cursor, a = int(window[w]) * hop, int(page[w])
+        part = [known.words[k] for k in r.page[a : a + int(wide[w])].tolist()]
+        if look := _looked(part, words, cursor, min(cursor + hop, int(size[row[w]])), cursor):
+            rows.append(int(row[w]))
+            numbers.append(int(window[w]))
+            looks.append(look)
+    return rows, numbers, looks
