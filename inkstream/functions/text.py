@@ -39,13 +39,18 @@ def minutes(words: Column) -> Column:
     return words / F.lit(WORDS_PER_HOUR) * 60
 
 
+#: The marks of Latin letters.
+_MARKS = dict.fromkeys(range(0x300, 0x370))
+
+
 def _normal(token: str) -> str:
     if token.isascii():
         bare = token.lower()
-        if bare.isalnum():
-            return bare
     else:
-        bare = "".join(c for c in unicodedata.normalize("NFKD", token.replace("’", "'").replace("‘", "'")) if not unicodedata.category(c).startswith("M")).lower()
+        bare = unicodedata.normalize("NFKD", token.replace("’", "'").replace("‘", "'")).translate(_MARKS)
+        bare = (bare if bare.isascii() else "".join(c for c in bare if not unicodedata.category(c).startswith("M"))).lower()
+    if bare.isascii() and bare.isalnum():
+        return bare
     return "".join(c for c in bare if c.isalpha() or c.isnumeric() or c == "'").strip("'")
 
 

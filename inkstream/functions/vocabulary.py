@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from inkstream.functions.text import _Normals
 from inkstream.functions.wordclass import _PIECE, CLASSES, CLOSED, dialect_key, is_function, number_value
@@ -112,6 +114,17 @@ class Readings(NamedTuple):
         return self.distinct[self.written[at]]
 
 
+Made = Callable[[pa.RecordBatch, Vocabulary], Readings]
+
+
+def sent(words: str, heard: str | Made) -> tuple[list[Column], Made]:
+    """The columns that `readings` asks for, from a column of words and one of what is heard (text, start, end, confidence), and what makes
+    readings of them; or, for what is heard, a function that makes it beside the words (`_words`) and the other columns."""
+    if callable(heard):
+        return [F.col(words).alias("_words")], heard
+    return [F.col(words).alias("_words"), *(F.col(heard)[x].alias(f"_{x}") for x in ("text", "start", "end", "confidence"))], readings
+
+
 def readings(batch: pa.RecordBatch, known: Vocabulary) -> Readings:
     """The readings of rows with _words, _text, _start, _end and _confidence (arrays). A time that is null is not a number."""
     lists = [batch.column(c) for c in ("_words", "_text", "_start", "_end", "_confidence")]

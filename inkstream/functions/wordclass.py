@@ -159,7 +159,12 @@ def slip(expected: str, heard: str) -> str | None:
 
 def is_swap(expected: str, heard: str) -> bool:
     """A small word, or a number, said for another of its kind."""
-    return slip(expected, heard) in ("swap", "number") or expected != heard and any(expected in c and heard in c for c in CLASSES)
+    if expected == heard:
+        return False
+    if heard in CLOSED and any(expected in c and heard in c for c in CLASSES):
+        return True
+    said = number_value(heard)
+    return said is not None and (meant := number_value(expected)) is not None and said != meant
 
 
 def is_plausible(expected: str, heard: str) -> bool:

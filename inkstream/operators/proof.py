@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from inkstream.functions.text import WORD, _Normals, spoken_pieces, stable_id, words
 from inkstream.functions.units import match_units, units
+from inkstream.functions.vocabulary import Readings, Vocabulary
 from inkstream.operators.idioms import Scan, gap_sessions, lists, scan
 from inkstream.sources.tables import DROPPED, FOLLOWED, LENGTH, MODULUS, REPLACED, STEP
 
@@ -93,13 +94,55 @@ def word_runs(written: pa.Array, heard: pa.Array) -> pa.Array:
 word_runs = word_runs.asNondeterministic()
 
 
+def _slip(key: str) -> Callable[[Column], Column]:
+    return lambda i: F.coalesce(F.pmod(F.col(key) * 31 + i, F.lit(MODULUS)), F.lit(MODULUS))
+
+
+def _moved_up(p: Column) -> Column:
+    """The slips follow each other: where a token is dropped the next two move up by one, and what is added has the place of the latter."""
+    return p < FOLLOWED
+
+
+def stand_in_places(key: str, tokens: str) -> tuple[Column, Column]:
+    """The first and the last place of a stand-in reading; there is none where the last is before the first."""
+    slip, n = _slip(key), F.size(tokens)
+    return F.when(_moved_up(slip(F.lit(-1))), -1).otherwise(0), F.when(_moved_up(slip(n - 1)), n - 2).otherwise(n - 1)
+
+
+def stand_in_readings(key: str) -> Callable[[pa.RecordBatch, Vocabulary], Readings]:
+    """`stand_in_transcript` of rows with key and _words, made where they are read, so that only the tokens travel."""
+
+    def made(batch: pa.RecordBatch, known: Vocabulary) -> Readings:
+        column = batch.column("_words")
+        pages = column.offsets.to_numpy()
+        distinct, (on_page,), ids = known.encoded(column.values.slice(pages[0], pages[-1] - pages[0]))
+        pages, n = pages - pages[0], np.diff(pages)
+        keys = batch.column(key)
+        base, null = keys.fill_null(0).to_numpy(zero_copy_only=False) % MODULUS * 31 % MODULUS, keys.is_null().to_numpy(zero_copy_only=False)
+        slip = lambda row, i: np.where(null[row], MODULUS, (base[row] + i) % MODULUS)
+        each = np.arange(len(n))
+        low, high = np.where(slip(each, -1) < FOLLOWED, -1, 0), np.where(slip(each, n - 1) < FOLLOWED, n - 2, n - 1)
+        count = np.where(n > 0, np.maximum(high - low + 1, 0), 0)
+        words = np.concatenate([[0], np.cumsum(count)])
+        row = np.repeat(each, count)
+        at = np.arange(words[-1]) - words[:-1][row] + low[row]
+        p = slip(row, at)
+        i = np.where(p < FOLLOWED, at + 1, at)
+        starts = i * STEP + np.where(p == FOLLOWED, 0.05, 0.0)
+        extra = len(distinct)
+        source = np.append(on_page, 0)  # a place of no page, where nothing is heard
+        written = np.select([p == DROPPED, p == FOLLOWED], [extra, extra + 1], source[pages[:-1][row] + i])
+        ids = np.concatenate([ids, known.add(["slipped", "added"])])
+        return Readings(ids[on_page], pages, ids[written], words, [*distinct, "slipped", "added"], written, starts, starts + LENGTH, np.full(len(at), 0.9))
+
+    return made
+
+
 def stand_in_transcript(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """key, tokens, heard: array of (text, start, end, confidence), read with deterministic slips; and the text, if asked for."""
-    slip = lambda i: F.coalesce(F.pmod(F.col(key) * 31 + i, F.lit(MODULUS)), F.lit(MODULUS))
+    slip, up = _slip(key), _moved_up
     n = F.size("tokens")
-    # The slips follow each other: where a token is dropped the next two move up by one, and what is added has the place of the latter.
-    up = lambda p: p < FOLLOWED
-    low, high = F.when(up(slip(F.lit(-1))), -1).otherwise(0), F.when(up(slip(n - 1)), n - 2).otherwise(n - 1)
+    low, high = stand_in_places(key, "tokens")
 
     def spoken(at: Column) -> Column:
         p = slip(at)

@@ -18,11 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from inkstream.functions.text import _Normals
-from inkstream.functions.vocabulary import EIGHT, TOGETHER, Vocabulary, readings
+from inkstream.functions.vocabulary import EIGHT, TOGETHER, Made, Vocabulary, readings, sent
 from inkstream.functions.wordclass import dialect_key, is_content, is_swap, near, number_value
 from inkstream.streaming.recheck import MADE_UP, Heard, usable
 
@@ -110,6 +109,16 @@ class Places:
 
     def __init__(self, known: Vocabulary, page: np.ndarray):
         self.known, self.page, self.sketch = known, page, known.sketch[page]
+        self.sketches, self.spellings, self.numbers = (x.tolist() for x in (self.sketch, known.spelling[page], known.number[page]))
+
+    def fits(self, at: int, word: str, written: str) -> bool:
+        """`_fits` of a heard word and the written one of a place."""
+        if written == word:
+            return True
+        own, n = self.known.ids[word], self.numbers[at]
+        if written and (self.spellings[at] == self.known.spelling[own] or n >= 0 and n == self.known.number[own]):
+            return True
+        return (self.sketches[at] ^ int(self.known.sketch[own])).bit_count() <= 4 and near(word, written)
 
     def maybe(self, word: str, low: int, high: int) -> list[int]:
         """The places from low up to high where `_fits` may hold: no other one has it, and few of these have not."""
@@ -139,15 +148,19 @@ class Reading:
         self.recoveries = (Reading.together, Reading.alone) if proofing else self.RECOVERIES
 
     def fits(self, at: int, word: str) -> bool:
-        return 0 <= at < len(self.words) and word != "" and _fits(word)[self.words[at]]
+        if not 0 <= at < len(self.words) or word == "":
+            return False
+        return self.places.fits(at, word, self.words[at]) if self.places else _fits(word)[self.words[at]]
 
     def fitting(self, s: State, word: str, low: int, high: int) -> Iterator[int]:
         """The places from low up to high that a word fits; of all that the recoveries look at, if the page has places."""
-        fit, words = _fits(word), self.words
-        if self.places is None:
+        words, places = self.words, self.places
+        if places is None:
+            fit = _fits(word)
             return (k for k in range(low, min(high, len(words))) if fit[words[k]])
         if self._around[0] != (word, s.cursor):
-            self._around = (word, s.cursor), [k for k in self.places.maybe(word, max(0, s.cursor - BACK), s.cursor + 1 + FAR) if fit[words[k]]]
+            maybe = places.maybe(word, max(0, s.cursor - BACK), s.cursor + 1 + FAR)
+            self._around = (word, s.cursor), [k for k in maybe if places.fits(k, word, words[k])]
         return (k for k in self._around[1] if low <= k < high)
 
     def _only(self, places: Iterator[int]) -> int:
@@ -278,7 +291,7 @@ class Reading:
                 places.append(Place(at, -1, s.cursor, "late"))
                 continue
             if self._echoes(s, h):
-                s = s._replace(last_end=h.end)
+                s = State(s.cursor, h.end, s.heard, s.waiting, s.run, False, s.excused)
                 places.append(Place(at, -1, s.cursor, "echo"))
                 continue
             cursor, heard = s.cursor, (*s.heard[-REMEMBERED + 1 :], (h.word, h.end))
@@ -286,7 +299,7 @@ class Reading:
                 s = State(cursor + 1, h.end, heard, None, None, False, s.excused)
                 places.append(Place(at, cursor, cursor + 1, "match"))
                 continue
-            s = s._replace(last_end=h.end, heard=heard)
+            s = State(cursor, h.end, heard, s.waiting, s.run, False, s.excused)
             if cursor >= len(words) or not words[cursor]:
                 places.append(Place(at, -1, cursor, "miss"))
                 continue
@@ -299,7 +312,7 @@ class Reading:
                 s = s._replace(waiting=None, run=None)
                 places.append(Place(at, -1, cursor, event))
             elif event == "miss":
-                s, event = self._missed(s._replace(waiting=None), h)
+                s, event = self._missed(State(cursor, h.end, heard, None, s.run, False, s.excused), h)
                 if event == "passed" and self.proofing and not any(p.event == "flag" for p in places):
                     anchored = any(p.index >= 0 for p in places) or i + 1 < n and all(self.fits(cursor + 1 + k, window[i + k].word) for k in (0, 1))
                     event = "flag" if anchored else event
@@ -315,7 +328,7 @@ class Reading:
                         h, i = window[i], i + 1
                         s = s._replace(last_end=max(s.last_end, h.end), heard=(*s.heard[-REMEMBERED + 1 :], (h.word, h.end)))
                     places.append(Place(seq + i - 1, index, index + 1, event))
-                s = s._replace(cursor=where[-1] + 1, waiting=None, run=None)
+                s = State(where[-1] + 1, s.last_end, s.heard, None, None, False, s.excused)
         return s, places
 
 
@@ -329,7 +342,8 @@ def _words(texts: list, starts: list, ends: list, sure: list, normal: _Normals)
 
 
 class Session(NamedTuple):
-    """A whole reading. page, heard: numbers of a vocabulary; clean: whether a heard word may be read word for word."""
+    """A whole reading. page, heard: numbers of a vocabulary; clean: whether a heard word may be read word for word; odd: how many
+    words before a place are not plain, or not in order of time."""
 
     page: np.ndarray
     heard: np.ndarray
@@ -338,16 +352,16 @@ class Session(NamedTuple):
     ends: np.ndarray
     sure: np.ndarray
     clean: np.ndarray
+    odd: list[int]
 
 
 def _clean(heard: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> np.ndarray:
-    """Heard words that are plain, stand in order after all before them, and do not echo any of them. That is more than a reading asks
+    """Heard words that are plain and in order, end after all before them, and do not echo any of them. That is more than a reading asks
     for, as it only knows some of the words before."""
     if not len(heard):
         return np.empty(0, bool)
     latest = np.maximum.accumulate(np.concatenate([[0.0], ends]))[:-1]
-    clean = plain[heard] & (starts <= ends) & (ends > latest)
-    clean[1:] &= starts[1:] >= starts[:-1]
+    clean = plain & (ends > latest)
     # an echo ends within so many seconds of an equal word before it: of the last one, or of any, where times fall back
     order = np.argsort(heard, kind="stable")
     again = order[1:][(heard[order[1:]] == heard[order[:-1]]) & ~(ends[order[1:]] - ends[order[:-1]] > ECHO)]
@@ -361,9 +375,9 @@ def _clean(heard: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.nd
     return clean
 
 
-def _sessions(batch: pa.RecordBatch, known: Vocabulary) -> Iterator[Session]:
+def _sessions(batch: pa.RecordBatch, known: Vocabulary, made: Made = readings) -> Iterator[Session]:
     """The readings of a batch, their words encoded together. A word without times does not count."""
-    r = readings(batch, known)
+    r = made(batch, known)
     plain = np.zeros(len(known.words), bool)
     used = np.unique(r.heard)
     plain[used] = [_plain(known.words[i]) for i in used.tolist()]
@@ -371,22 +385,28 @@ def _sessions(batch: pa.RecordBatch, known: Vocabulary) -> Iterator[Session]:
     bounds = np.searchsorted(timed, r.words).tolist()
     for a, z, low, high in zip(r.pages[:-1].tolist(), r.pages[1:].tolist(), bounds, bounds[1:]):
         at = timed[low:high]
-        times = r.starts[at], r.ends[at]
-        yield Session(r.page[a:z], r.heard[at], [r.distinct[k] for k in r.written[at].tolist()], *times, r.sure[at], _clean(r.heard[at], *times, plain))
+        heard, starts, ends = r.heard[at], r.starts[at], r.ends[at]
+        odd = ~(plain[heard] & (starts <= ends))
+        odd[1:] |= starts[1:] < starts[:-1]
+        yield Session(r.page[a:z], heard, [r.distinct[k] for k in r.written[at].tolist()], starts, ends, r.sure[at], _clean(heard, starts, ends, ~odd), [0, *np.cumsum(odd).tolist()])
 
 
 def _followed_alone(session: Session, known: Vocabulary, window: int, bars: Bars, halting: bool) -> tuple[int, ...]:
     """The cursor at the end of a reading, and how often each event came. Windows that are read word for word are taken together, up to
     the first that needs a closer look."""
     page, heard, n, words = session.page, np.where(session.clean, session.heard, -1), len(session.heard), known.words
-    reading, s, count, i = Reading([words[k] for k in page.tolist()], None, bars, halting, places=Places(known, page)), State(), dict.fromkeys(EVENTS, 0), 0
+    next_heard, next_page = heard.tolist(), page.tolist()
+    reading, s, count, i = Reading([words[k] for k in next_page], None, bars, halting, places=Places(known, page)), State(), dict.fromkeys(EVENTS, 0), 0
     said = [words[k] for k in session.heard.tolist()]
     starts, ends, sure = (x.tolist() for x in (session.starts, session.ends, session.sure))
     while i < n:
         s = s.resumed() if s.halted else s
         m = min(n - i, len(page) - s.cursor, window * STRETCH)
-        wrong = heard[i : i + m] != page[s.cursor : s.cursor + m]
-        straight = int(wrong.argmax()) if m > 0 and wrong.any() else max(m, 0)
+        straight = 0
+        if m > 0 and next_heard[i] == next_page[s.cursor]:
+            wrong = heard[i : i + m] != page[s.cursor : s.cursor + m]
+            straight = int(wrong.argmax())
+            straight = straight or (0 if wrong[0] else m)
         if i + straight < n:
             straight -= straight % window
         if straight:
@@ -396,20 +416,22 @@ def _followed_alone(session: Session, known: Vocabulary, window: int, bars: Bars
             count["match"], i = count["match"] + straight, z
             continue
         z = i + window
-        s, places = reading.read(s, usable(list(map(Heard, session.written[i:z], said[i:z], starts[i:z], ends[i:z], sure[i:z]))), i)
+        few = list(map(Heard, session.written[i:z], said[i:z], starts[i:z], ends[i:z], sure[i:z]))
+        if session.odd[min(z, n)] > session.odd[i] or "blankaudio" in "".join(said[i:z]):
+            few = usable(few)
+        s, places = reading.read(s, few, i)
         for p in places:
             count[p.event] += 1
         i = z
     return s.cursor, *count.values()
 
 
-def counted(rows: DataFrame, words: str, heard: str, window: int = 3, bars: Bars = Bars(), halting: bool = True) -> DataFrame:
+def counted(rows: DataFrame, words: str, heard: str | Made, window: int = 3, bars: Bars = Bars(), halting: bool = True) -> DataFrame:
     """rows without words and heard, and: cursor at the end, and how often each event came. A row is a whole session: its expected
-    words, and what was heard (array of text, start, end, confidence), read in windows of so many words. A reader who is halted
+    words, and what was heard (array of text, start, end, confidence; or how it is made of the words), read in windows of so many words. A reader who is halted
     carries on at the next window. No shuffle, and only counts leave the workers."""
     kept = [c for c in rows.columns if c not in (words, heard)]
-    part = lambda name: F.col(heard)[name].alias(f"_{name}")
-    sent = rows.select(*kept, F.col(words).alias("_words"), *map(part, ("text", "start", "end", "confidence")))
+    columns, made = sent(words, heard)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept] + ["cursor long"] + [f"{e} long" for e in EVENTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,11 +440,11 @@ def counted(rows: DataFrame, words: str, heard: str, window: int = 3, bars: Bars
             found = []
             for at in range(0, batch.num_rows, TOGETHER):
                 known.start()
-                found += [_followed_alone(session, known, window, bars, halting) for session in _sessions(batch.slice(at, TOGETHER), known)]
-            columns = [pa.array(c, pa.int64()) for c in zip(*found)]
-            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *columns], names=[*kept, "cursor", *EVENTS])
+                found += [_followed_alone(session, known, window, bars, halting) for session in _sessions(batch.slice(at, TOGETHER), known, made)]
+            counts = [pa.array(c, pa.int64()) for c in zip(*found)]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *counts], names=[*kept, "cursor", *EVENTS])
 
-    return sent.mapInArrow(run, schema)
+    return rows.select(*kept, *columns).mapInArrow(run, schema)
 
 
 EVENTS = ("match", "restart", "cue", "skip", "swap", "wait", "passed", "miss", "late", "echo", "flag", "jump", "lost", "halted")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.functions.vocabulary import TOGETHER, Readings, Vocabulary, readings
+from inkstream.functions.vocabulary import TOGETHER, Made, Readings, Vocabulary, sent
 from inkstream.functions.wordclass import CLOSED, dialect_key, distance, is_content, is_function, is_piece, is_plausible, is_swap, likeness, number_value, same_word, slip
 
 #: Scores of a pair of words, of a word that is not read and of one that is not written; likeness from which words
@@ -372,7 +372,7 @@ def flags(rows: DataFrame, least: float = ALONE, dismissed: Column | None = None
     kept = [c for c in rows.columns if c not in ("cursor", "read", "offset", "page", "heard")]
     part = lambda name: F.transform("heard", lambda w: w[name]).alias(f"_{name}")
     given = F.array().cast("array<string>") if dismissed is None else F.coalesce(dismissed, F.array())
-    sent = rows.select(*kept, "cursor", "read", "offset", "page", given.alias("_dismissed"), *map(part, ("text", "start", "end", "confidence")))
+    shown = rows.select(*kept, "cursor", "read", "offset", "page", given.alias("_dismissed"), *map(part, ("text", "start", "end", "confidence")))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept] + [FLAGS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +390,7 @@ def flags(rows: DataFrame, least: float = ALONE, dismissed: Column | None = None
             found = _judged_together(known, looks, gone, least)
             yield _flag_rows(batch.select(kept), [(at[k], flag) for k, flag in found])
 
-    return sent.mapInArrow(run, schema)
+    return shown.mapInArrow(run, schema)
 
 
 def _judged_together(known: Vocabulary, looks: list[Look], dismissed: list[frozenset[str]] | None, least: float) -> list[tuple[int, Flag]]:
@@ -406,12 +406,11 @@ def _flag_rows(rows: pa.RecordBatch, found: list[tuple[int, Flag]]) -> pa.Record
     return pa.RecordBatch.from_arrays([*rest.columns, *map(pa.array, values, kinds)], names=[*rows.schema.names, *names])
 
 
-def session_flags(sessions: DataFrame, tokens: str, heard: str, step: float, hop: int = PHRASE, least: float = ALONE) -> DataFrame:
+def session_flags(sessions: DataFrame, tokens: str, heard: str | Made, step: float, hop: int = PHRASE, least: float = ALONE) -> DataFrame:
     """`flags` of the `windows` of sessions, without a row for each window: they are cut out of a session's arrays where these are
-    read, and those that are read as written are left out at once."""
+    read, and those that are read as written are left out at once. heard: a column, or how it is made of the tokens."""
     kept = [c for c in sessions.columns if c not in (tokens, heard)]
-    part = lambda name: F.col(heard)[name].alias(f"_{name}")
-    sent = sessions.select(*kept, F.col(tokens).alias("_words"), *map(part, ("text", "start", "end", "confidence")))
+    columns, made = sent(tokens, heard)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in sessions.schema.fields if f.name in kept] + ["window int", FLAGS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,13 +419,13 @@ def session_flags(sessions: DataFrame, tokens: str, heard: str, step: float, hop
             for at in range(0, batch.num_rows, TOGETHER):
                 known.start()
                 some = batch.slice(at, TOGETHER)
-                rows, numbers, looks = _looks(readings(some, known), known, step, hop)
+                rows, numbers, looks = _looks(made(some, known), known, step, hop)
                 found = _judged_together(known, looks, None, least)
                 windows = pa.array([numbers[k] for k, _ in found], pa.int32())
                 each = some.select(kept).take(pa.array([rows[k] for k, _ in found], pa.int64()))
                 yield _flag_rows(pa.RecordBatch.from_arrays([*each.columns, windows], names=[*kept, "window"]), [(k, flag) for k, (_, flag) in enumerate(found)])
 
-    return sent.mapInArrow(run, schema)
+    return sessions.select(*kept, *columns).mapInArrow(run, schema)
 
 
 def _looks(r: Readings, known: Vocabulary, step: float, hop: int) -> tuple[list[int], list[int], list[Look]]:

@@ -1,10 +1,10 @@
 import random
 
 import numpy as np
-from test_vocabulary import WORDS, made_up, readings, slipped
+from test_vocabulary import WORDS, list_batch, made_up, readings, slipped
 
 from inkstream.functions import wordclass
-from inkstream.functions.vocabulary import Vocabulary
+from inkstream.functions.vocabulary import Vocabulary, readings as as_readings
 from inkstream.plans import live
 from inkstream.streaming import recheck as R
 
@@ -54,9 +54,7 @@ def test_live_flags_have_no_row_for_each_window(spark, small):
 def test_only_windows_that_differ_are_looked_at():
     known, r = Vocabulary(), random.Random(6)
     page = made_up(r, 800)
-    from test_vocabulary import list_batch
-
     said = [("slipped" if i % 80 == 4 else w, "", i * 0.4, i * 0.4 + 0.3, 0.9) for i, w in enumerate(page)]
-    rows, numbers, looks = R._looks(R.readings(list_batch([(page, said), ([], said), (page, [])]), known), known, 0.4, 8)
+    rows, numbers, looks = R._looks(as_readings(list_batch([(page, said), ([], said), (page, [])]), known), known, 0.4, 8)
     assert rows == [0] * 10 and numbers == list(range(0, 100, 10)) and [x.cursor for x in looks] == [80 * k for k in range(10)]
     assert np.isclose(looks[1].heard[4].start, 84 * 0.4)

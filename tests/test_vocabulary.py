@@ -6,6 +6,7 @@ import pyarrow as pa
 from inkstream.functions import wordclass
 from inkstream.functions.text import _normal
 from inkstream.functions.vocabulary import Vocabulary, sketches
+from inkstream.operators import proof
 from inkstream.streaming import follow
 from inkstream.streaming.recheck import Heard, usable
 
@@ -93,10 +94,27 @@ def test_stretches_give_what_windows_give_one_by_one(monkeypatch):
             assert (cursor, counts) == (state.cursor, [events.count(e) for e in follow.EVENTS])
 
 
+def test_a_stand_in_reading_is_the_same_made_in_columns_and_beside_the_matcher(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choices(["The", "cat", "sat", "Élan"], k=k)) for k in [*range(1, 8)] * 30 + [300]]
+    docs = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), (-7, texts[-1]), (2**57, texts[-1]), (None, texts[-1]), (9, "..")], "doc_id long, text string")
+    rows = proof.stand_in_transcript(docs).select("doc_id", "tokens", "heard", *((high - low + 1).alias("said") for low, high in [proof.stand_in_places("doc_id", "tokens")])).collect()
+    batch = pa.RecordBatch.from_arrays([pa.array([x.doc_id for x in rows], pa.int64()), pa.array([x.tokens for x in rows], pa.list_(pa.string()))], names=["doc_id", "_words"])
+    known = Vocabulary()
+    for at in (0, 100):
+        made, some = proof.stand_in_readings("doc_id")(batch.slice(at, [100, 999][at > 0]), known), rows[at : at + [100, 999][at > 0]]
+        for k, x in enumerate(some):
+            said = range(*made.words[k : k + 2].tolist())
+            assert [(made.text(i), made.starts[i], made.ends[i], made.sure[i]) for i in said] == [tuple(w) for w in x.heard] and len(said) == max(0, x.said if x.tokens else 0)
+            assert [known.words[made.heard[i]] for i in said] == [_normal(w.text) for w in x.heard]
+            assert [known.words[w] for w in made.page[slice(*made.pages[k : k + 2].tolist())]] == [_normal(w) for w in x.tokens]
+
+
 def test_few_words_of_the_page_are_compared_with_a_slip(monkeypatch):
     compared = []
-    missing = follow._Fits.__missing__
+    missing, fits = follow._Fits.__missing__, follow.Places.fits
     monkeypatch.setattr(follow._Fits, "__missing__", lambda self, w: compared.append(w) or missing(self, w))
+    monkeypatch.setattr(follow.Places, "fits", lambda self, at, word, written: compared.append(word) or fits(self, at, word, written))
     r = random.Random(4)
     page = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(2000)]
     said = [("slipped" if i % 50 == 7 else w, i * 0.4, i * 0.4 + 0.3) for i, w in enumerate(page)]
